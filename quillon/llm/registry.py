@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from quillon.llm import fingerprint_index, suffix_dedup
+from quillon.llm import chat_format, fingerprint_index, line_dedup, mixing, suffix_dedup, url_filter
 
 QUERIES = {
+    "op1_chat_format": chat_format.op1_chat_format,
+    "op4_url_filter": url_filter.op4_url_filter,
+    "op5_mixing": mixing.op5_mixing,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_fingerprint_index": fingerprint_index.op10_fingerprint_index,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_chat_format": chat_format.SQL,
+    "op4_url_filter": url_filter.SQL,
+    "op5_mixing": mixing.SQL,
+    "op7_line_dedup": line_dedup.SQL,
+}
