@@ -19,6 +19,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ from quillon.plans.shared import scratch_dir, staged
 
 WIDTH = 50
 GRAM = 12
-BATCHES = 3
+BATCHES = 2
 NO_ID = (1 << 63) - 1
 RUN = "anchor long, region long, least long, most long, doc_id long, text_key long, first int, last int"
 
@@ -72,10 +73,10 @@ def _windows(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     both = docs.join(lists, ["doc_id", "text_key"]).select("text", "wanted")
 
     def scan(batches):
-        for batch in batches:
+        for batch in spans.slices(batches, "text"):
             syms, counts = spans.symbols(batch.column("text"), "word")
             base = np.cumsum(counts) - counts
-            rows = np.repeat(np.arange(len(batch)), np.diff(np.asarray(batch.column("wanted").offsets)))
+            rows = np.repeat(np.arange(len(batch)), np.asarray(pc.list_value_length(batch.column("wanted"))))
             if not len(rows):
                 continue
             anchor, region, least, fresh, first, last = batch.column("wanted").flatten().flatten()
@@ -104,20 +105,20 @@ def batch_runs(index: FingerprintIndex, docs: DataFrame, batch: DataFrame, width
     found = spans.occurrences(batch, "word", width, gram)
     path = index.write(merge(found.withColumns({"least": F.col("doc_id"), "most": F.col("doc_id")})))
     new, old = index.read([path]), index.history()
-    seen = old.join(new.select("anchor").distinct(), "anchor", "left_semi")
-    known = new.withColumn("fresh", F.lit(True)).unionByName(seen.withColumn("fresh", F.lit(False)))
-    regions = known.groupBy("anchor", "region").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.every("fresh").alias("fresh"), *(F.first(c).alias(c) for c in ("doc_id", "text_key", "first", "last")))
-    variants = regions.groupBy("anchor").agg(F.count(F.lit(1)).alias("variants"))
-    hits = staged(regions.join(variants, "anchor").filter("least < most or variants > 1"), "hits")
+    both = new.withColumn("fresh", F.lit(True)).unionByName(old.withColumn("fresh", F.lit(False)))
+    # anchors of this batch that stand in two regions or documents; most stand in one and go no further
+    summed = both.groupBy("anchor").agg(F.bool_or("fresh").alias("here"), (F.min("region") < F.max("region")).alias("several"), (F.min("least") < F.max("most")).alias("shared"))
+    wanted = summed.filter("here and (several or shared)").select("anchor", "several")
+    regions = both.join(wanted, "anchor").groupBy("anchor", "region").agg(F.first("several").alias("several"), F.min("least").alias("least"), F.max("most").alias("most"), F.every("fresh").alias("fresh"), *(F.first(c).alias(c) for c in ("doc_id", "text_key", "first", "last")))
+    hits = staged(regions.filter("several or least < most"), "hits")
     # verification: windows of all regions of one anchor; a fresh region's windows that a smaller document's region has
-    windows = staged(_windows(docs, hits.filter("variants > 1"), width), "windows")
+    windows = staged(_windows(docs, hits.filter("several"), width), "windows")
     smallest = staged(windows.groupBy("anchor", "window").agg(F.min("least").alias("smallest"), F.max("least").alias("largest")).filter("smallest < largest").select("anchor", "window", "smallest"), "smallest")
     later = windows.filter("fresh").join(smallest, ["anchor", "window"]).filter("smallest < least").groupBy("anchor", "region").agg(F.collect_set("offset").alias("offsets"))
+    known = staged(hits.select("anchor", "region", "least", "most").join(later, ["anchor", "region"], "left").filter("least < most or offsets is not null"), "known")
     # a later document's copy of a region goes whole; in the smallest document itself only the verified windows go
-    whole = found.join(hits.filter("least < most").select("anchor", "region", "least"), ["anchor", "region"]).filter("doc_id > least").select("doc_id", "text_key", "first", "last")
-    verified = staged(hits.filter("fresh").select("anchor", "region", "least").join(later, ["anchor", "region"]), "verified")
-    partly = found.join(verified, ["anchor", "region"]).filter("doc_id = least").select("doc_id", "text_key", "first", F.explode("offsets").alias("offset")).selectExpr("doc_id", "text_key", "first + offset AS first", "first + offset AS last")
-    runs = staged(whole.unionByName(partly), "runs")
+    marked = found.join(known, ["anchor", "region"]).withColumn("own", F.expr("if(doc_id > least, array(struct(first, last)), transform(offsets, x -> struct(first + x AS first, first + x AS last)))"))
+    runs = staged(marked.select("doc_id", "text_key", F.inline("own")), "runs")
     index.append(path)
     return runs
 
@@ -144,7 +145,7 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, b
     marked = spans.with_runs(docs, runs)
 
     def apply(parts):
-        for batch in parts:
+        for batch in spans.slices(parts, "text"):
             raw, offsets = spans.flat(batch.column("text"))
             starts, stops, counts = spans.word_bounds(raw, offsets)
             ends = np.cumsum(counts)

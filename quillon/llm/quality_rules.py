@@ -35,7 +35,7 @@ MIN_CONTENT = 0.5
 STEPS = 300
 PENALTY = 1e-3
 #: bytes of texts worked on at a time
-SLICE = 1 << 22
+SLICE = 1 << 21
 
 FEATURES = ("bias", "log_words", "symbols", "upper", "digits", "stops", "exclaim", "word_length", "ends_sentence", "repeated_words", "repeated_line", "one_word")
 

@@ -10,13 +10,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import winnow
 
 #: symbols worked on at a time; longer texts go in overlapping pieces
-PIECE = 1 << 20
+PIECE = 1 << 19
+#: bytes of texts worked on at a time; a longer text goes alone
+SLICE = 1 << 21
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True  # [\x20\x09-\x0D]
 KEYS = "doc_id long, text_key long"
@@ -37,9 +40,9 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and stops of the words ``[^\\x20\\x09-\\x0D]+`` of texts laid end to end, and the number of words of each."""
-    solid = ~SPACE[raw]
+def word_bounds(raw: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and stops of the words ``[^\\x20\\x09-\\x0D]+`` of texts laid end to end, and the number of words of each; breaks: bytes between words."""
+    solid = ~breaks[raw]
     edge = np.zeros(len(raw) + 1, dtype=bool)
     edge[offsets] = True
     before = np.zeros(len(raw) + 1, dtype=bool)
@@ -56,7 +59,7 @@ def word_symbols(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.n
     out = np.empty(len(starts), dtype=np.uint64)
     k = 0
     while k < len(starts):
-        end = max(k + 1, int(np.searchsorted(stops, starts[k] + 8 * PIECE, side="right")))
+        end = max(k + 1, int(np.searchsorted(stops, starts[k] + 2 * PIECE, side="right")))
         base = starts[k]
         sums = winnow.prefix_sums(raw[base : stops[end - 1]])
         out[k:end] = winnow.span_hash(sums, starts[k:end] - base, stops[k:end] - base)
@@ -64,6 +67,16 @@ def word_symbols(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.n
     return out
 
 
+def slices(batches: Iterator[pa.RecordBatch], text_col: str | int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each has about SLICE bytes of text or one row."""
+    for batch in batches:
+        lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(text_col)), 0)).astype(np.int64)
+        piece = np.cumsum(lengths) // SLICE
+        edges = [*(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(piece)] if len(piece) else []
+        for a, b in zip([0, *edges], edges):  # noqa: B905  pairs of neighbours
+            yield batch.slice(a, b - a)
+
+
 def symbols(column: pa.Array, unit: str) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of all rows end to end and their counts; unit: byte or word."""
     raw, offsets = flat(column)
@@ -113,7 +126,7 @@ def occurrences(docs: DataFrame, unit: str, width: int, gram: int) -> DataFrame:
     """
 
     def scan(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             syms, lengths = symbols(batch.column("text"), unit)
             ids, keys = batch.column("doc_id"), batch.column("text_key")
             for rows, r, shift in found_regions(syms, lengths, width, gram):
@@ -153,7 +166,8 @@ def with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
 
 def run_lists(column: pa.Array) -> list[np.ndarray]:
     """The runs of each row as an (n, 2) array."""
-    offsets = np.asarray(column.fill_null([]).offsets) if column.null_count else np.asarray(column.offsets)
-    values = (column.fill_null([]) if column.null_count else column).values
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
+    offsets = np.append(0, np.cumsum(lengths))
+    values = column.flatten()
     both = np.stack([np.asarray(values.field(0)), np.asarray(values.field(1))], axis=1).astype(np.int64).reshape(-1, 2)
     return [both[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,12 +92,11 @@ def _fetched(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     both = docs.join(lists, docs["doc_id"].eqNullSafe(lists["doc_id"]) & (docs["text_key"] == lists["text_key"])).select(docs["doc_id"], docs["text_key"], "text", "wanted")
 
     def cut(batches):
-        for batch in batches:
+        for batch in spans.slices(batches, "text"):
             raw, offsets = spans.flat(batch.column("text"))
             data = raw.tobytes()
             wants = batch.column("wanted")
-            at = np.asarray(wants.offsets)
-            rows = np.repeat(np.arange(len(batch)), np.diff(at))
+            rows = np.repeat(np.arange(len(batch)), np.asarray(pc.list_value_length(wants)))
             fields = wants.flatten()
             first, last = np.asarray(fields.field(2)).astype(np.int64), np.asarray(fields.field(3)).astype(np.int64)
             base = offsets[rows]
@@ -145,12 +145,10 @@ def _by_suffix_arrays(regions: DataFrame, width: int) -> DataFrame:
                 open_anchor = anchors[a]
                 part = batch.slice(a, b - a)
                 held.append(part)
-                size += int(pa.compute.sum(pa.compute.binary_length(part.column("bytes"))).as_py())
+                size += int(pc.sum(pc.binary_length(part.column("bytes"))).as_py())
         if held:
             yield solve(pa.Table.from_batches(held))
 
-    import pyarrow.compute  # noqa: F401  used by slabs
-
     dealt = regions.repartition(partitions(regions.sparkSession), "anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(slabs, f"{spans.KEYS}, first int, last int")
 
@@ -203,7 +201,7 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, h
     marked = spans.with_runs(docs, repeated_runs(docs, width, gram, hot))
 
     def apply(batches):
-        for batch in batches:
+        for batch in spans.slices(batches, "text"):
             raw, offsets = spans.flat(batch.column("text"))
             n_bytes, n_removed, removed, kept = np.diff(offsets), [], [], []
             for k, runs in enumerate(spans.run_lists(batch.column("runs"))):
