@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quillon.llm import chat_format, decontaminate, fingerprint_index, line_dedup, mixing, quality_rules, suffix_dedup, url_filter
+from quillon.llm import chat_format, decontaminate, fingerprint_index, jaccard_join, line_dedup, mixing, quality_rules, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_mixing": mixing.op5_mixing,
+    "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
