@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillon.llm import chat_format, decontaminate, fingerprint_index, jaccard_join, line_dedup, mixing, quality_rules, suffix_dedup, url_filter
+from quillon.llm import chat_format, decontaminate, fingerprint_index, jaccard_join, license_scan, line_dedup, mixing, quality_rules, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_license_scan": license_scan.op3_license_scan,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_mixing": mixing.op5_mixing,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 SQL: dict[str, str] = {
     "op1_chat_format": chat_format.SQL,
+    "op3_license_scan": license_scan.SQL,
     "op4_url_filter": url_filter.SQL,
     "op5_mixing": mixing.SQL,
     "op7_line_dedup": line_dedup.SQL,
