@@ -15,7 +15,9 @@ turns of their own; a null conv_id is a conversation; an empty table gives no ro
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -31,11 +33,25 @@ VOCABULARY = "byte_bpe_50k.json"
 TOKENIZERS = "/opt/tokenizers"
 LOSS_ROLE = "assistant"
 PART_CHARS = 1 << 20
+#: characters encoded in one batch, unless one part is longer
+BATCH_CHARS = 1 << 17
 
 _control = re.compile(r"<(\\*)\|")
 _escaped = re.compile(r"<\\(\\*)\|")
 
 
+@functools.lru_cache(maxsize=2)
+def load_tokenizer(vocabulary: str):
+    """One tokenizer for a worker process, with the template's markers as special tokens, on the task's own core."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary)
+    tokenizer.encode_special_tokens = False
+    tokenizer.add_special_tokens([START, MIDDLE, STOP])
+    return tokenizer
+
+
 def escape(text: str) -> str:
     """No ``<|`` is left: ``<``, n backslashes and ``|`` get one backslash more."""
     return _control.sub(r"<\\\1|", text)
@@ -84,11 +100,7 @@ def format_conversations(conversations: DataFrame, vocabulary: str = f"{TOKENIZE
     dealt = rows.repartition(partitions(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(vocabulary)
-        tokenizer.encode_special_tokens = False
-        tokenizer.add_special_tokens([START, MIDDLE, STOP])
+        tokenizer = load_tokenizer(vocabulary)
         for group in parts(batches):
             texts = [render(turns, loss_role) for _, _, turns in group]
             encoded = tokenizer.encode_batch([t for t, _ in texts], add_special_tokens=False)
@@ -102,7 +114,7 @@ def format_conversations(conversations: DataFrame, vocabulary: str = f"{TOKENIZE
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        """Lists of (conv_id, part, turns), of about part_chars each."""
+        """Lists of (conv_id, part, turns), of about BATCH_CHARS each."""
         group, turns, conv, part, size, whole = [], [], None, 0, 0, 0
         for batch in batches:
             for c, role, text in zip(*[batch.column(k).to_pylist() for k in ("conv_id", "role", "text")], strict=True):
@@ -110,7 +122,7 @@ def format_conversations(conversations: DataFrame, vocabulary: str = f"{TOKENIZE
                     group.append((conv, part, turns))
                     part = part + 1 if c == conv else 0
                     turns, size = [], 0
-                    if whole >= part_chars:
+                    if whole >= BATCH_CHARS:
                         yield group
                         group, whole = [], 0
                 conv = c
