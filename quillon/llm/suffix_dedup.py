@@ -182,16 +182,21 @@ def _by_windows(regions: DataFrame, width: int) -> DataFrame:
 def repeated_runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, text_key, first, last): runs of starts of windows that also start elsewhere, of ``spans.keyed`` documents."""
     found = spans.occurrences(docs, "byte", width, gram)
+    # most anchors stand in one place and go no further; the places of the others are kept, so texts are scanned twice
+    summed = found.groupBy("anchor").agg((F.min("region") < F.max("region")).alias("several"), (F.count(F.lit(1)) > 1).alias("again"))
+    places = staged(found.join(summed.filter("again").select("anchor", "several"), "anchor"), "places")
     # first() of one group comes from one row: an occurrence of the region
-    regions = found.groupBy("anchor", "region").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("doc_id", "text_key", "first", "last")))
-    variants = regions.groupBy("anchor").agg(F.count(F.lit(1)).alias("variants"))
-    several = staged(regions.join(variants, "anchor").filter("n > 1 or variants > 1"), "regions")
-    open_regions = several.filter("variants > 1")
-    parts = [_by_suffix_arrays(_fetched(docs, open_regions.filter(F.col("variants") <= hot), width), width)]
-    if not several.filter(F.col("variants") > hot).isEmpty():
-        parts.append(_by_windows(_fetched(docs, open_regions.filter(F.col("variants") > hot), width), width))
-    once = staged(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), "runs")
-    whole = found.join(several.filter("n > 1").select("anchor", "region"), ["anchor", "region"]).select("doc_id", "text_key", "first", "last")
+    grouped = places.groupBy("anchor", "region").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("several", "doc_id", "text_key", "first", "last")))
+    regions = staged(grouped, "regions")
+    several = regions.filter("several")
+    crowded = staged(several.groupBy("anchor").agg(F.count(F.lit(1)).alias("variants")).filter(F.col("variants") > hot).select("anchor"), "hot-anchors")
+    if crowded.isEmpty():
+        once = _by_suffix_arrays(_fetched(docs, several, width), width)
+    else:
+        once = _by_suffix_arrays(_fetched(docs, several.join(crowded, "anchor", "left_anti"), width), width)
+        once = once.unionByName(_by_windows(_fetched(docs, several.join(crowded, "anchor", "left_semi"), width), width))
+    once = staged(once, "runs")
+    whole = places.join(regions.filter("n > 1").select("anchor", "region"), ["anchor", "region"]).select("doc_id", "text_key", "first", "last")
     return whole.unionByName(once)
 
 
