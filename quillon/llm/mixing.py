@@ -6,8 +6,8 @@ distribution of that mean at a uniform number hashed from (seed, document), so i
 or retries; a mean above PART is a sum of several such draws.  Documents are exploded by their counts and shuffled
 globally: the output is sorted by a hash of (seed, document, copy).
 
-Sources may be many: their sizes are joined to documents by source, and a hot source's documents are not gathered
-anywhere, since sizes are map-side sums and the join may be split or broadcast by its measured size.
+Sources may be many.  Their sizes are map-side sums, written once and counted: up to ``BROADCAST_SOURCES`` rates are
+broadcast, more are joined by source, where a hot source's side may be split.  So documents are shuffled once, to sort.
 
 Defined results: a null text counts as any other; null is a source of its own; a source that ``weights`` does not name
 has weight ``other``; weight 0 drops a source; repeated rows get equal counts; an empty table gives no rows; all columns
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.plans.shared import staged
+
 SEED = 17
 #: largest mean of one inverted draw: exp(-PART) is far from underflow, and TERMS cover its tail beyond 2**-52
 PART = 16
@@ -26,6 +28,8 @@ TERMS = 96
 #: output documents per input document
 SIZE = 1.0
 TWO_52 = 1 << 52
+#: rates are broadcast up to so many sources, which is checked; beyond it the join is left to Spark
+BROADCAST_SOURCES = 100_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -71,6 +75,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, other: float =
         sizes = sizes.withColumn("__mix_weight", F.lit(1.0))
     total = sizes.agg(F.sum("__mix_n").alias("__mix_all"), F.sum("__mix_weight").alias("__mix_weights"))  # one row
     rates = sizes.crossJoin(F.broadcast(total)).select("__mix_source", F.when(F.col("__mix_weights") > 0, F.lit(size) * F.col("__mix_all") * F.col("__mix_weight") / F.col("__mix_weights") / F.col("__mix_n")).otherwise(0.0).alias("__mix_rate"))
+    rates = staged(rates, "rates")
+    if rates.count() <= BROADCAST_SOURCES:
+        rates = F.broadcast(rates)
     rated = docs.join(rates, source.eqNullSafe(F.col("__mix_source"))).drop("__mix_source")
     counted = rated.withColumn("__mix_count", copies(F.col(id_col), F.col("__mix_rate"), seed)).filter("__mix_count > 0").drop("__mix_rate")
     many = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_count")))).drop("__mix_count")
