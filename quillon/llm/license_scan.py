@@ -7,7 +7,7 @@ its best unit.  A licence file speaks for its directory.  Files without a licenc
 directory above that has one: distinct directories are exploded into their ancestors and joined by path, and the files
 join their directory.
 
-Only joins on equality; sparse vectors are rows (unit, word, weight); hot lines and hot directories are one row each
+Only joins on equality; sparse vectors are rows (unit key, word, weight); hot lines and hot directories are one row each
 until the files join them, where a large side may be split.
 
 Defined results: null paths and texts are empty; a file without ``/`` is in the directory ``""``, which is above all;
@@ -46,23 +46,24 @@ def directory(path: Column) -> Column:
 
 
 def vectors(units: DataFrame) -> DataFrame:
-    """(unit, word, tf) of distinct unit texts."""
-    return units.select("unit", F.explode(words(F.col("unit"))).alias("word")).groupBy("unit", "word").agg(F.count(F.lit(1)).alias("tf"))
+    """(unit, word, tf) of units (unit, body); ``unit`` is a key, so that rows stay short."""
+    return units.select("unit", F.explode(words(F.col("body"))).alias("word")).groupBy("unit", "word").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def score_units(units: DataFrame, templates: DataFrame, threshold: float) -> DataFrame:
-    """(unit, license, score) for distinct units (unit, times) at or above the threshold; templates: name, body."""
-    tf = vectors(units)
+    """(unit, license, score) at or above the threshold of distinct units (unit, body, times); templates: name, body."""
+    tf = staged(vectors(units), "unit-words")
     total = units.agg(F.sum("times").alias("total"))  # one row
-    df = tf.join(units, "unit").groupBy("word").agg(F.sum("times").alias("df"))
-    idf = df.crossJoin(F.broadcast(total)).select("word", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
+    df = tf.join(units.select("unit", "times"), "unit").groupBy("word").agg(F.sum("times").alias("df"))
+    idf = staged(df.crossJoin(F.broadcast(total)).select("word", "total", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
     # words that no unit has weigh most, so that a unit must have most of a template
-    base = vectors(templates.select(F.col("body").alias("unit")).distinct()).withColumnRenamed("unit", "body")
-    known = templates.join(base, "body").join(idf, "word", "left").crossJoin(F.broadcast(total)).select("name", "word", (F.col("tf") * F.coalesce("idf", F.log(1 + F.col("total")) + 1)).alias("w"))
+    base = vectors(templates.select(F.col("name").alias("unit"), "body")).withColumnRenamed("unit", "name")
+    known = base.join(idf.select("word", "idf"), "word", "left").crossJoin(F.broadcast(total)).select("name", "word", (F.col("tf") * F.coalesce("idf", F.log(1 + F.col("total")) + 1)).alias("v"))
+    known = staged(known, "template-weights")
     weighted = tf.join(idf, "word").select("unit", "word", (F.col("tf") * F.col("idf")).alias("w"))
+    sizes = known.groupBy("name").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("name_norm"))
     norms = weighted.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("unit_norm"))
-    sizes = known.groupBy("name").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("name_norm"))
-    dots = weighted.join(known.withColumnRenamed("w", "v"), "word").groupBy("unit", "name").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    dots = weighted.join(known, "word").groupBy("unit", "name").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
     cosine = F.round(F.col("dot") / (F.col("unit_norm") * F.col("name_norm")), 6)
     scored = dots.join(norms, "unit").join(sizes, "name").select("unit", "name", cosine.alias("score")).filter(F.col("score") >= threshold)
     return scored.groupBy("unit").agg(F.max("score").alias("score"), F.min_by("name", F.struct(-F.col("score"), "name")).alias("license"))
@@ -78,10 +79,11 @@ def scan_licenses(files: DataFrame, templates: DataFrame, threshold: float = THR
     files = files.withColumn("dir", directory(F.col("path"))).withColumn("is_license", F.substring_index("path", "/", -1).rlike(LICENSE_FILE))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(TERMS))
     units = F.when(F.col("is_license"), F.array_union(lines, F.array("text"))).otherwise(F.array_distinct(lines))
-    files = files.select("doc_id", "path", "dir", "is_license", units.alias("units"))
-    named = files.select("doc_id", "path", "dir", "is_license", F.explode("units").alias("unit"))
-    scores = staged(score_units(named.groupBy("unit").agg(F.count(F.lit(1)).alias("times")), templates, threshold), "license-scores")
-    best = named.join(scores, "unit").groupBy("doc_id", "path", "dir", "is_license").agg(F.max("score").alias("own_score"), F.min_by("license", F.struct(-F.col("score"), "license")).alias("own_license"))
+    named = files.select("doc_id", "path", "dir", "is_license", F.explode(units).alias("body")).withColumn("unit", F.md5("body"))
+    distinct = staged(named.groupBy("unit").agg(F.first("body").alias("body"), F.count(F.lit(1)).alias("times")), "license-units")
+    scores = staged(score_units(distinct, templates, threshold), "license-scores")
+    files = files.select("doc_id", "path", "dir", "is_license")
+    best = named.drop("body").join(scores, "unit").groupBy("doc_id", "path", "dir", "is_license").agg(F.max("score").alias("own_score"), F.min_by("license", F.struct(-F.col("score"), "license")).alias("own_license"))
     best = staged(best, "license-files")
     spoken = best.filter("is_license").groupBy("dir").agg(F.min_by("own_license", F.struct(-F.col("own_score"), "own_license")).alias("license"))
     # the directory itself, then its parents up to ""
