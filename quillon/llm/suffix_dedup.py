@@ -184,7 +184,9 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: in
     found = spans.occurrences(docs, "byte", width, gram)
     # most anchors stand in one place and go no further; the places of the others are kept, so texts are scanned twice
     summed = found.groupBy("anchor").agg((F.min("region") < F.max("region")).alias("several"), (F.count(F.lit(1)) > 1).alias("again"))
-    places = staged(found.join(summed.filter("again").select("anchor", "several"), "anchor"), "places")
+    # written first: a join of two plain exchanges lets Spark split the places of a hot anchor
+    wanted = staged(summed.filter("again").select("anchor", "several"), "repeated-anchors")
+    places = staged(found.join(wanted, "anchor"), "places")
     # first() of one group comes from one row: an occurrence of the region
     grouped = places.groupBy("anchor", "region").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("several", "doc_id", "text_key", "first", "last")))
     regions = staged(grouped, "regions")
