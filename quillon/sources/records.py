@@ -49,6 +49,29 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataF
     return both.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).filter("__r = 1").drop("__r")
 
 
+def by_priority(rows: DataFrame, keys: list[str], rank: str, *ties: str) -> DataFrame:
+    """The row of the best (lowest) rank for each key, as when candidate paths are tried in order."""
+    return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(rank, *ties))).filter("__r = 1").drop("__r")
+
+
+def published_portfolio(rows: DataFrame, signal: str, port: str = "LS") -> DataFrame:
+    """(date, theirs) of one published predictor's portfolio, in percent a month, at calendar month ends."""
+    return rows.filter((F.col("signalname") == signal) & (F.col("port") == port)).select(F.last_day("date").alias("date"), F.col("ret").alias("theirs"))
+
+
+def with_counts(papers: DataFrame, counts: DataFrame, key: str = "id") -> DataFrame:
+    """Papers with citation counts of another table; papers it lacks have none."""
+    return papers.join(counts.groupBy(key).agg(F.max("citations").alias("citations")), key, "left").withColumn("citations", F.coalesce("citations", F.lit(0)))
+
+
+def paper_record(works: DataFrame) -> DataFrame:
+    """Flat works as paper records: link and date by fallback, the first three authors."""
+    names = F.split("authors", ", ")
+    short = F.when(F.size(names) > 3, F.concat(F.array_join(F.slice(names, 1, 3), ", "), F.lit(" et al."))).otherwise(F.col("authors"))
+    link = F.coalesce(F.nullif("oa_url", F.lit("")), F.when(F.col("doi") != "", F.concat(F.lit("https://doi.org/"), "doi")), F.concat(F.lit("https://openalex.org/"), "id"))
+    return works.select("id", "title", short.alias("authors"), link.alias("url"), F.coalesce(F.nullif("date", F.lit("")), F.concat("year", F.lit("-01-01"))).alias("published"), "abstract", "citations", "venue")
+
+
 def abstract_of(index: Column) -> Column:
     """Text from a map of words to their positions."""
     places = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))

@@ -192,3 +192,18 @@ def test_upserting_stream_is_idempotent(spark, tmp_path):
 def test_staged_tables_keep_their_rows(spark):
     df = shared.staged(spark.range(10).withColumn("x", F.col("id") * 2), "t")
     assert df.count() == 10 and shared.scratch_dir(spark).startswith("file:")
+
+
+def test_record_helpers(spark):
+    rows = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 3, "z")], "k string, rank int, v string")
+    assert {r.v for r in records.by_priority(rows, ["k"], "rank").collect()} == {"y", "z"}
+    p = spark.createDataFrame([("m", "LS", date(2020, 1, 15), 1.5), ("m", "01", date(2020, 1, 15), 9.0)], "signalname string, port string, date date, ret double")
+    assert [(r.date, r.theirs) for r in records.published_portfolio(p, "m").collect()] == [(date(2020, 1, 31), 1.5)]
+    c = records.with_counts(spark.createDataFrame([(1,), (2,)], "id int"), spark.createDataFrame([(1, 5), (1, 7)], "id int, citations int"))
+    assert {r.id: r.citations for r in c.collect()} == {1: 7, 2: 0}
+
+
+def test_command_line_lists_queries(capsys):
+    from quillon import cli
+
+    assert cli.main(["list"]) == 0 and "momentum_backtest" in capsys.readouterr().out
