@@ -175,7 +175,7 @@ def confusion(pairs: DataFrame, classes: list[str]) -> DataFrame:
     e, a = F.col("expected") == F.col("class"), F.col("actual") == F.col("class")
     row = long.groupBy("class").agg(F.count_if(e & a).alias("tp"), F.count_if(~e & a).alias("fp"), F.count_if(e & ~a).alias("fn"))
     p, r = F.try_divide("tp", F.col("tp") + F.col("fp")), F.try_divide("tp", F.col("tp") + F.col("fn"))
-    return row.withColumn("precision", p).withColumn("recall", r).withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    return row.withColumn("precision", p).withColumn("recall", r).withColumn("f1", F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
 
 
 def asymmetric_loss(fn: Column, fp: Column, score: Column | None = None) -> Column:

@@ -74,7 +74,7 @@ def universe_ladder(spark, folder):
     for parts in (4, 2, 1):
         some = panel.filter(F.pmod(F.xxhash64("asset"), F.lit(parts)) == 0)
         book = B.net_returns(some, B.quintile_long_short(S.momentum(some, 1, 12)), 10.0)
-        row = book.join(full, "date").agg(F.corr("ret", "all").alias("corr")).select(F.lit(100 // parts).alias("names"), "corr")
+        row = book.join(full, "date").agg(T.correlation("ret", "all").alias("corr")).select(F.lit(100 // parts).alias("names"), "corr")
         out = row if out is None else out.unionByName(row)
     return R.lift_verdict(out)
 
