@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import spans, winnow
+from quillon.plans.shared import small_batches
 
 MIN_MATCH = 5
 THRESHOLD = 0.8
@@ -170,6 +171,7 @@ LEAK = "item_id long, covered_words long, item_words long, coverage double, tile
 def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, min_match: int = MIN_MATCH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_id, LEAK) for each document and test item that it leaks; starts count the words as defined above."""
     spark = documents.sparkSession
+    small_batches(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = None
     for items in blocks(benchmark, min_match, item_col, item_text_col, block):
@@ -194,6 +196,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = TH
 def clean_documents(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, min_match: int = MIN_MATCH, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """The documents that leak no test item, with all their columns."""
     at, schema = documents.columns.index(text_col), documents.schema
+    small_batches(documents.sparkSession)
     for items in blocks(benchmark, min_match, item_col, item_text_col, block):
         shared = documents.sparkSession.sparkContext.broadcast(items)
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import spans, winnow
+from quillon.plans.shared import small_batches
 
 #: bound of the labelled sample
 TRAIN_DOCS = 2000
@@ -35,7 +36,7 @@ MIN_CONTENT = 0.5
 STEPS = 300
 PENALTY = 1e-3
 #: bytes of texts worked on at a time
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 FEATURES = ("bias", "log_words", "symbols", "upper", "digits", "stops", "exclaim", "word_length", "ends_sentence", "repeated_words", "repeated_line", "one_word")
 
@@ -252,6 +253,7 @@ def verdicts(texts: pa.Array, field: Field, min_content: float = MIN_CONTENT) ->
 
 def score(documents: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", min_content: float = MIN_CONTENT) -> DataFrame:
     """(doc_id, VERDICT) for each document."""
+    small_batches(documents.sparkSession)
 
     def scan(batches):
         for batch in batches:
@@ -263,6 +265,7 @@ def score(documents: DataFrame, field: Field, id_col: str = "doc_id", text_col:
 def quality_filter(documents: DataFrame, field: Field, text_col: str = "text", min_content: float = MIN_CONTENT) -> DataFrame:
     """The documents that are kept, with all their columns."""
     at = documents.columns.index(text_col)
+    small_batches(documents.sparkSession)
 
     def scan(batches):
         for batch in batches:

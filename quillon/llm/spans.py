@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import winnow
+from quillon.plans.shared import small_batches
 
 #: symbols worked on at a time; longer texts go in overlapping pieces
 PIECE = 1 << 19
 #: bytes of texts worked on at a time; a longer text goes alone
-SLICE = 1 << 21
+SLICE = 1 << 20
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True  # [\x20\x09-\x0D]
 KEYS = "doc_id long, text_key long"
@@ -27,6 +28,7 @@ KEYS = "doc_id long, text_key long"
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, text); a null text is empty, other columns go."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 

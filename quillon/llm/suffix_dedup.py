@@ -31,7 +31,7 @@ GRAM = 48
 #: different regions of one anchor that may meet in one task
 HOT = 20_000
 #: bytes of regions in one suffix array, unless one anchor's regions alone are more
-SLAB = 1 << 22
+SLAB = 1 << 20
 #: a token starts where the two bytes around its start hash to 0 modulo this
 TOKEN = 16
 
