@@ -33,6 +33,21 @@ def test_stages_in_order(spark, tmp_path):
     assert p.ORACLE_SQL is None
 
 
+def test_stages_take_odd_rows_and_columns(spark):
+    prose = lambda k, n: " ".join(f"w{(k * 37 + j * j) % 9973}" for j in range(n))
+    rows = [(k, prose(k, 80) + "\n" + prose(k + 1000, 20), "en", "s", 1, k, "x", 2) for k in range(30)]
+    rows += [(None, prose(50, 90), None, None, None, None, None, None), (None, None, None, None, None, None, None, None), (40, "", "en", "s", 0, 1, "", 0), (41, " \n ", "en", None, 3, 1, "", 0), rows[3], rows[3], (42, prose(7, 60000), "en", "t", 1, 1, "y", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, node long, runs string, kept int").repartition(3)
+    for frame in (docs, docs.limit(0)):
+        for name, stage in p.STAGES:
+            out = stage(spark, frame, FOLDER)
+            assert out.columns[: len(frame.columns)] == frame.columns, name
+            assert out.count() <= 4 * docs.count()
+    kept = p.STAGES[2][1](spark, docs, FOLDER)
+    assert sum(r.doc_id == 3 for r in kept.collect()) == 1
+    assert {r.doc_id for r in kept.collect()} >= {*range(30), 42}
+
+
 def test_the_rest_stands_alone(tmp_path):
     """Without this subpackage and the pipeline the entry module still imports and has the other queries."""
     root = os.path.dirname(os.path.abspath(p.__file__))
