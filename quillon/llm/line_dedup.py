@@ -6,6 +6,8 @@ powers of two takes two overlapping names.  The names live in an array beside th
 one shuffle with map-side sums finds the intervals of equal names of ``min_lines`` lines (their common prefix is at
 least that long) and the first start of each.  Every later start is deleted; starts side by side make up the maximal
 repeated runs.  Longer names are not needed: a run is repeated if and only if all its windows of ``min_lines`` are.
+A single line of ``min_words`` words or more is a run too, by its own name, so that a long passage that is one line goes
+whatever stands around it.
 
 Defined results: a null text is empty; lines are equal if all their characters are; lines without a word never start a
 run and share the fate of the line with words before them; copies are ordered by (doc_id, line), null ids last, and
@@ -21,7 +23,9 @@ from pyspark.sql import functions as F
 from quillon.plans.shared import staged
 
 MIN_LINES = 2
+MIN_WORDS = 50
 HAS_WORD = r"[^\x20\x09-\x0D]"
+WORD = HAS_WORD + "+"
 NO_ID = (1 << 63) - 1
 P = "__line_dedup_"
 
@@ -55,36 +59,52 @@ def _places(text: Column) -> tuple[Column, Column]:
     return lines, F.filter(flagged, lambda i: i.isNotNull())
 
 
-def repeated_starts(docs: DataFrame, min_lines: int, text_col: str) -> DataFrame:
-    """(id, key, start): places, counted in lines with words, where a copy of an earlier run of ``min_lines`` starts."""
+def repeated_starts(docs: DataFrame, min_lines: int, text_col: str, min_words: int | None = MIN_WORDS) -> DataFrame:
+    """(id, key, start, n): places, counted in lines with words, where a copy of an earlier run of n lines starts.
+
+    n is ``min_lines``, or 1 for a line of ``min_words`` words or more; min_words None: no such lines.
+    """
     lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), lambda x: x.rlike(HAS_WORD))
-    ids = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b")))
-    starts = docs.select(f"{P}id", f"{P}key", F.posexplode(_names(ids, min_lines)).alias("start", "name"))
-    starts = starts.select(f"{P}id", f"{P}key", "start", F.col("name.a").alias("a"), F.col("name.b").alias("b"))
+
+    def is_long(x: Column) -> Column:
+        # n words have 2 n - 1 characters at least, so that few lines are counted
+        return F.lit(False) if min_words is None else (F.length(x) >= 2 * min_words - 1) & (F.regexp_count(x, F.lit(WORD)) >= min_words)
+
+    def run(name: Column, i: Column, n: int) -> Column:
+        return F.struct(i.alias("start"), F.lit(n).alias("n"), name["a"].alias("a"), name["b"].alias("b"))
+
+    ids = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"), is_long(x).alias("long")))
+    docs = docs.select(f"{P}id", f"{P}key", ids.alias("ids"))
+    runs = F.transform(_names(F.col("ids"), min_lines), lambda x, i: run(x, i, min_lines))
+    if min_words is not None and min_lines > 1:
+        singles = F.transform("ids", lambda x, i: F.when(x["long"], run(x, i, 1)))
+        runs = F.concat(runs, F.filter(singles, lambda x: x.isNotNull()))
+    starts = docs.select(f"{P}id", f"{P}key", F.explode(runs).alias("run")).select(f"{P}id", f"{P}key", "run.*")
     place = (F.col(f"{P}id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("start")).cast("decimal(38,0)")
     starts = starts.withColumn("place", place)
     intervals = starts.groupBy("a", "b").agg(F.min("place").alias("first_place"), F.max("place").alias("last_place")).filter("first_place < last_place").select("a", "b", "first_place")
-    return starts.join(staged(intervals, "line-runs"), ["a", "b"]).filter("place > first_place").select(f"{P}id", f"{P}key", "start")
+    return starts.join(staged(intervals, "line-runs"), ["a", "b"]).filter("place > first_place").select(f"{P}id", f"{P}key", "start", "n")
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = MIN_WORDS) -> DataFrame:
     """The documents with later copies of line runs deleted, all columns, and ``removed_runs`` as an extra last column.
 
-    removed_runs: array of (first line, number of lines) in the input text.
+    removed_runs: array of (first line, number of lines) in the input text; min_words: see ``repeated_starts``.
     """
     docs = _prepared(docs, id_col, text_col)
-    starts = repeated_starts(docs, min_lines, text_col).distinct()
-    listed = starts.groupBy(f"{P}id", f"{P}key").agg(F.array_sort(F.collect_list("start")).alias(f"{P}starts"))
+    starts = repeated_starts(docs, min_lines, text_col, min_words).distinct()
+    covered = F.flatten(F.transform(F.collect_list(F.struct("start", "n")), lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1)))
+    listed = starts.groupBy(f"{P}id", f"{P}key").agg(F.array_sort(F.array_distinct(covered)).alias(f"{P}covered"))
     joined = docs.join(listed, [f"{P}id", f"{P}key"], "left")
-    s = F.col(f"{P}starts")
-    # starts at most min_lines apart join into one run; element_at counts from 1
-    begins = F.filter(s, lambda x, i: (i == 0) | (x > F.element_at(s, F.greatest(i, F.lit(1))) + min_lines))
-    ends = F.filter(s, lambda x, i: (i == F.size(s) - 1) | (x + min_lines < F.element_at(s, F.least(i + 2, F.size(s)))))
+    s = F.col(f"{P}covered")
+    # covered lines side by side join into one run; element_at counts from 1
+    begins = F.filter(s, lambda x, i: (i == 0) | (x > F.element_at(s, F.greatest(i, F.lit(1))) + 1))
+    ends = F.filter(s, lambda x, i: (i == F.size(s) - 1) | (x + 1 < F.element_at(s, F.least(i + 2, F.size(s)))))
     lines, content = _places(F.col(text_col))
     joined = joined.withColumn(f"{P}lines", F.when(s.isNotNull(), lines)).withColumn(f"{P}content", F.when(s.isNotNull(), content))
     lines, content = F.col(f"{P}lines"), F.col(f"{P}content")
     # [begin, end) in lines: blank lines after a run go with it
-    runs = F.zip_with(begins, ends, lambda a, b: F.struct(F.element_at(content, a + 1).alias("first"), F.coalesce(F.try_element_at(content, (b + min_lines + 1).cast("int")), F.size(lines)).alias("stop")))
+    runs = F.zip_with(begins, ends, lambda a, b: F.struct(F.element_at(content, a + 1).alias("first"), F.coalesce(F.try_element_at(content, (b + 2).cast("int")), F.size(lines)).alias("stop")))
     joined = joined.withColumn(f"{P}runs", runs)
     runs = F.col(f"{P}runs")
     # what stays: from the stop of one run to the start of the next
@@ -93,13 +113,13 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_
     stays = F.flatten(F.zip_with(froms, tos, lambda a, b: F.slice(lines, a + 1, F.greatest(b - a, F.lit(0)))))
     text = F.when(s.isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(stays, "\n"))
     removed = F.coalesce(F.transform(runs, lambda r: F.struct(r["first"].alias("first"), (r["stop"] - r["first"]).alias("lines"))), F.array().cast("array<struct<first:int,lines:int>>"))
-    return joined.withColumn(text_col, text).withColumn("removed_runs", removed).drop(*[f"{P}{x}" for x in ("id", "key", "starts", "lines", "content", "runs")])
+    return joined.withColumn(text_col, text).withColumn("removed_runs", removed).drop(*[f"{P}{x}" for x in ("id", "key", "covered", "lines", "content", "runs")])
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of every document after line dedup."""
+    """Digest of every document after line dedup, by runs of lines only, as its SQL has it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = dedup_lines(docs.withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")))
+    out = dedup_lines(docs.withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")), min_words=None)
     return out.select("doc_id", "n_lines", F.aggregate("removed_runs", F.lit(0).cast("long"), lambda a, r: a + r["lines"]).alias("n_removed"), F.size("removed_runs").cast("long").alias("n_runs"), F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -56,6 +56,19 @@ def test_line_dedup_against_brute_force(spark, seed, m):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_long_single_lines_are_runs(spark):
+    long = " ".join(f"w{k}" for k in range(50))
+    short = " ".join(f"v{k}" for k in range(49)) + " " * 80
+    rows = [(1, long), (2, f"a\n{long}\nb"), (3, f"c\n{short}\n{long}\n\nd\ne"), (4, f"{short}\nf\n{long}"), (None, f"g\n{long}\n{long}"), (5, f"x\ny\n{long}"), (6, f"x\ny\n{long}\nz")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "r", 2, 3) for i, t in rows], DOCS).repartition(3)
+    want = {1: long, 2: "a\nb", 3: f"c\n{short}\nd\ne", 4: f"{short}\nf", None: "g", 5: "x\ny", 6: "z"}
+    out = line_dedup.dedup_lines(docs).collect()
+    assert {r.doc_id: r.text for r in out} == want
+    assert {r.doc_id: [tuple(x) for x in r.removed_runs] for r in out} == {1: [], 2: [(1, 1)], 3: [(2, 2)], 4: [(2, 1)], None: [(1, 2)], 5: [(2, 1)], 6: [(0, 3)]}
+    again = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, min_words=None).collect()}
+    assert again == dict(rows) | {6: "z"}
+
+
 def brute_url(url, rules):
     host, path = "", ""
     if url is not None and "://" in url:
