@@ -26,3 +26,21 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 1
     assert set(QUERIES) <= set(__spark_entry__.queries())
     assert set(SQL) <= set(__spark_entry__.oracle_sql())
+
+
+def brute_ewm(levels, span):
+    out, a = [], 2 / (span + 1)
+    for x in levels:
+        out.append(x if not out else out[-1] * (1 - a) + x * a)
+    return out
+
+
+def test_ewm_series_has_all_dates(spark, tmp_path):
+    import datetime
+
+    days = [datetime.datetime(1995, 1, 1) + datetime.timedelta(days=k) for k in range(450)]
+    prices = [1000.0 * (k * k % 97) for k in range(450)]
+    spark.createDataFrame(list(zip(days, prices, strict=True)), "o_orderdate timestamp, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted(QUERIES["ewm_series_all"](spark, str(tmp_path)).collect())
+    assert [r.date for r in got] == [d.date() for d in days]
+    assert [r.ewm for r in got] == pytest.approx(brute_ewm([1000 + p / 1000 for p in prices], 12), abs=1e-6)
