@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import scoring as S
 from quillon.plans.panels import rounded
-from quillon.plans.registry import query
+from quillon.plans.registry import query, without
 from quillon.sources import views as V
 from quillon.sources.views import sql
 
@@ -115,8 +115,13 @@ def reputation_fold(spark, folder):
 LOG = "log AS (SELECT date AS ts, avg_ok AS verdict_accuracy, loss AS asymmetric_loss, fn AS n_false_negatives FROM (SELECT o_orderdate::DATE AS date, avg((o_orderstatus = 'F')::INTEGER)::DOUBLE AS avg_ok, sum((o_orderstatus = 'P')::INTEGER)::DOUBLE AS loss, count(*) FILTER (o_orderstatus = 'O') AS fn FROM orders WHERE o_orderdate < TIMESTAMP '1995-06-01' GROUP BY 1))"
 
 
-def log(spark: SparkSession, folder: str) -> DataFrame:
-    o = V.table(spark, folder, "orders").filter("o_orderdate < '1995-06-01'")
+BEFORE = " WHERE o_orderdate < TIMESTAMP '1995-06-01'"
+
+
+def log(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+    """Runs by day; the queries named ``_all`` read the whole log, the others what LOG has."""
+    o = V.table(spark, folder, "orders")
+    o = o if whole else o.filter("o_orderdate < '1995-06-01'")
     s = F.col("o_orderstatus")
     return o.groupBy(F.to_date("o_orderdate").alias("ts")).agg(F.avg((s == "F").cast("double")).alias("verdict_accuracy"), F.sum((s == "P").cast("double")).alias("asymmetric_loss"), F.count_if(s == "O").alias("n_false_negatives"))
 
@@ -126,16 +131,35 @@ def platform_metrics(spark, folder):
     return rounded(S.platform_metrics(log(spark, folder)), "mean_verdict_accuracy", "mean_asymmetric_loss")
 
 
+@query(without("platform_metrics", BEFORE))
+def platform_metrics_all(spark, folder):
+    return rounded(S.platform_metrics(log(spark, folder, whole=True)), "mean_verdict_accuracy", "mean_asymmetric_loss")
+
+
 @query(f"WITH {LOG} SELECT ts, CASE WHEN lag(ts) OVER w IS NULL THEN [] ELSE list_filter([CASE WHEN verdict_accuracy < lag(verdict_accuracy) OVER w - 0.05::DOUBLE THEN 'verdict_accuracy dropped' END, CASE WHEN n_false_negatives > lag(n_false_negatives) OVER w THEN 'false_negatives rose' END, CASE WHEN asymmetric_loss > lag(asymmetric_loss) OVER w * 1.2::DOUBLE THEN 'asymmetric_loss jumped' END], lambda x: x IS NOT NULL) END AS alerts FROM log WINDOW w AS (ORDER BY ts)")
 def regression_alerts(spark, folder):
     return S.regression_alerts(log(spark, folder))
 
 
+@query(without("regression_alerts", BEFORE))
+def regression_alerts_all(spark, folder):
+    return S.regression_alerts(log(spark, folder, whole=True))
+
+
 @query(f"WITH {LOG}, n AS (SELECT *, row_number() OVER (ORDER BY ts) AS k FROM log), c AS (SELECT ts, k, 'c' || (k % 3)::VARCHAR AS ref FROM n WHERE k % 4 = 0), d AS (SELECT ref, (SELECT avg(p.asymmetric_loss) FROM n p WHERE p.k BETWEEN c.k + 1 AND c.k + 3) - (SELECT p.asymmetric_loss FROM n p WHERE p.k = c.k) AS delta FROM c) SELECT ref, count(delta) AS fired, round(avg(delta), 3) + 0.0::DOUBLE AS mean_delta, CASE WHEN count(delta) >= 5 THEN CASE WHEN avg(delta) < -2 THEN 'promote' WHEN avg(delta) > 2 THEN 'demote' ELSE 'low_signal' END ELSE 'needs_more_data' END AS verdict FROM d GROUP BY ref")
 def rule_attribution(spark, folder):
+    return attributed(log(spark, folder))
+
+
+@query(without("rule_attribution", BEFORE))
+def rule_attribution_all(spark, folder):
+    return attributed(log(spark, folder, whole=True))
+
+
+def attributed(runs: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
-    n = log(spark, folder).withColumn("k", F.row_number().over(Window.orderBy("ts")))
+    n = runs.withColumn("k", F.row_number().over(Window.orderBy("ts")))
     changes = n.filter("k % 4 = 0").select("ts", F.concat(F.lit("amend critique:c"), F.col("k") % 3).alias("message"))
     return rounded(S.attribute(changes, n), "mean_delta", digits=3)
 

@@ -44,3 +44,16 @@ def test_ewm_series_has_all_dates(spark, tmp_path):
     got = sorted(QUERIES["ewm_series_all"](spark, str(tmp_path)).collect())
     assert [r.date for r in got] == [d.date() for d in days]
     assert [r.ewm for r in got] == pytest.approx(brute_ewm([1000 + p / 1000 for p in prices], 12), abs=1e-6)
+
+
+def test_the_whole_log_has_all_days(spark, tmp_path):
+    import datetime
+
+    days = [datetime.datetime(1995, 5, 20) + datetime.timedelta(days=k) for k in range(40)]
+    spark.createDataFrame([(d, "FOP"[k % 3]) for k, d in enumerate(days)], "o_orderdate timestamp, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    folder = str(tmp_path)
+    assert QUERIES["platform_metrics_all"](spark, folder).first().latest_run == days[-1].date()
+    assert {r.ts for r in QUERIES["regression_alerts_all"](spark, folder).collect()} == {d.date() for d in days}
+    assert sum(r.fired for r in QUERIES["rule_attribution_all"](spark, folder).collect()) == sum(k % 4 == 0 and k < 40 for k in range(1, 41))
+    for name in ("platform_metrics_all", "regression_alerts_all", "rule_attribution_all"):
+        assert oracle.difference(QUERIES[name], SQL[name], spark, folder) == "", name
