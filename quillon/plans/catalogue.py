@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import ranking as K
 from quillon.plans.panels import rounded
-from quillon.plans.registry import query
+from quillon.plans.registry import query, without
 from quillon.sources import records as R
 from quillon.sources import views as V
 from quillon.sources.views import sql
@@ -80,8 +80,17 @@ def title_slug(spark, folder):
 
 @query("WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents WHERE n_chars < 2000) SELECT doc_id AS id, string_agg(word, ' ') AS abstract FROM (SELECT doc_id, text AS word FROM documents WHERE n_chars < 2000) GROUP BY 1")
 def abstract_rebuild(spark, folder):
-    """Text through an inverted index and back."""
-    d = V.table(spark, folder, "documents").filter("n_chars < 2000").select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("p", "word"))
+    """Text through an inverted index and back, of the documents that its SQL has."""
+    return rebuilt(V.table(spark, folder, "documents").filter("n_chars < 2000"))
+
+
+@query(without("abstract_rebuild", " WHERE n_chars < 2000"))
+def abstract_rebuild_all(spark, folder):
+    return rebuilt(V.table(spark, folder, "documents"))
+
+
+def rebuilt(documents: DataFrame) -> DataFrame:
+    d = documents.select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("p", "word"))
     index = d.groupBy("doc_id", "word").agg(F.sort_array(F.collect_list("p")).alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("index"))
     return index.select(F.col("doc_id").alias("id"), R.abstract_of(F.col("index")).alias("abstract"))
 
@@ -113,10 +122,20 @@ def catalogue_status(spark, folder):
 
 @query("WITH a AS (SELECT doc_id AS id, unnest([1, 2, 3]) AS place FROM documents), k AS (SELECT id, place, 'k' || ((id * place) % 97)::VARCHAR AS key FROM a), r AS (SELECT 'k' || p_partkey AS key, 'run ' || p_partkey AS run FROM part WHERE p_partkey < 40) SELECT id, arg_min(run, place) AS run FROM k JOIN r USING (key) GROUP BY id")
 def alias_join(spark, folder):
+    """The parts that its SQL has; ``alias_join_all`` takes all."""
+    return aliased(spark, folder, V.table(spark, folder, "part").filter("p_partkey < 40"))
+
+
+@query(without("alias_join", " WHERE p_partkey < 40"))
+def alias_join_all(spark, folder):
+    return aliased(spark, folder, V.table(spark, folder, "part"))
+
+
+def aliased(spark: SparkSession, folder: str, parts: DataFrame) -> DataFrame:
     i = F.col("id")
     d = V.table(spark, folder, "documents").select(F.col("doc_id").alias("id"))
     records = d.withColumn("aliases", F.array(*[F.concat(F.lit(" K"), (i * k) % 97, F.lit("v2")) for k in (1, 2, 3)]))
-    runs = V.table(spark, folder, "part").filter("p_partkey < 40").select(F.concat(F.lit("k"), "p_partkey").alias("key"), F.concat(F.lit("run "), "p_partkey").alias("run"))
+    runs = parts.select(F.concat(F.lit("k"), "p_partkey").alias("key"), F.concat(F.lit("run "), "p_partkey").alias("run"))
     return K.resolve_aliases(records, runs)
 
 

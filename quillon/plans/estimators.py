@@ -59,7 +59,16 @@ def exhibit_cells(spark, folder):
 
 @query("SELECT item_id AS paper, 1 AS page, 'Table ' || item_id AS label, left(regexp_replace(text, '\\s+', ' ', 'g'), 260) AS caption FROM benchmark WHERE NOT contains(text, chr(10))")
 def captions(spark, folder):
-    b = V.table(spark, folder, "benchmark").filter(~F.contains("text", F.lit("\n")))
+    """Texts of one line, as its SQL has them; ``captions_all`` takes all."""
+    return captioned(V.table(spark, folder, "benchmark").filter(~F.contains("text", F.lit("\n"))))
+
+
+@query("SELECT item_id AS paper, 1 AS page, 'Table ' || item_id AS label, left(regexp_replace(split_part(text, chr(10), 1), '\\s+', ' ', 'g'), 260) AS caption FROM benchmark")
+def captions_all(spark, folder):
+    return captioned(V.table(spark, folder, "benchmark"))
+
+
+def captioned(b):
     return X.captions(b.select(F.col("item_id").alias("paper"), F.lit(1).alias("page"), F.concat(F.lit("x\nTable "), "item_id", F.lit(": "), "text").alias("text")))
 
 

@@ -129,10 +129,19 @@ def offline_spec(spark, folder):
 
 @query("SELECT l_orderkey AS id, (5 + (l_returnflag = 'R')::INTEGER + (l_quantity = 5)::INTEGER) / 7.0::DOUBLE AS agreement FROM lineitem WHERE l_linenumber = 1")
 def spec_agreement(spark, folder):
-    li = V.table(spark, folder, "lineitem").filter("l_linenumber = 1")
+    """The first lines of orders, as its SQL has them; ``spec_agreement_all`` takes all."""
+    return agreements(V.table(spark, folder, "lineitem").filter("l_linenumber = 1")).select("id", "agreement")
+
+
+@query("SELECT l_orderkey AS id, l_linenumber AS line, (5 + (l_returnflag = 'R')::INTEGER + (l_quantity = 5)::INTEGER) / 7.0::DOUBLE AS agreement FROM lineitem")
+def spec_agreement_all(spark, folder):
+    return agreements(V.table(spark, folder, "lineitem"))
+
+
+def agreements(li):
     a = F.struct(F.col("l_returnflag").alias("universe"), F.col("l_quantity").alias("horizon_days"))
     b = F.struct(F.lit("r ").alias("universe"), F.lit(5.0).alias("horizon_days"))
-    return li.select("l_orderkey", a.alias("a"), b.alias("b")).select(F.col("l_orderkey").alias("id"), records.agreement("a", "b", {"universe": "string", "horizon_days": "double"}).alias("agreement"))
+    return li.select("l_orderkey", "l_linenumber", a.alias("a"), b.alias("b")).select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), records.agreement("a", "b", {"universe": "string", "horizon_days": "double"}).alias("agreement"))
 
 
 @query()

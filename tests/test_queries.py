@@ -57,3 +57,20 @@ def test_the_whole_log_has_all_days(spark, tmp_path):
     assert sum(r.fired for r in QUERIES["rule_attribution_all"](spark, folder).collect()) == sum(k % 4 == 0 and k < 40 for k in range(1, 41))
     for name in ("platform_metrics_all", "regression_alerts_all", "rule_attribution_all"):
         assert oracle.difference(QUERIES[name], SQL[name], spark, folder) == "", name
+
+
+def test_all_rows_where_the_other_form_has_some(spark, tmp_path):
+    folder = str(tmp_path)
+    texts = [(k, "word " * 50 * k, 250 * k) for k in range(1, 13)]
+    spark.createDataFrame(texts, "doc_id long, text string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(k,) for k in range(97)], "p_partkey long").write.parquet(f"{folder}/part.parquet")
+    spark.createDataFrame([(1, "one line"), (2, "first\nsecond")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    lines = [(k, line, "RN"[k % 2], float(line)) for k in range(4) for line in range(1, 8)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_returnflag string, l_quantity double").write.parquet(f"{folder}/lineitem.parquet")
+    got = {name: QUERIES[name](spark, folder).collect() for name in ("abstract_rebuild_all", "alias_join_all", "captions_all", "spec_agreement_all")}
+    assert {r.id: r.abstract for r in got["abstract_rebuild_all"]} == {k: t for k, t, _ in texts}
+    assert {r.id: r.run for r in got["alias_join_all"]} == {k: f"run {k}" for k, *_ in texts}
+    assert {(r.paper, r.caption) for r in got["captions_all"]} == {(1, "one line"), (2, "first")}
+    assert sorted((r.id, r.line) for r in got["spec_agreement_all"]) == [(k, line) for k, line, *_ in lines]
+    for name in got:
+        assert oracle.difference(QUERIES[name], SQL[name], spark, folder) == "", name
