@@ -45,7 +45,7 @@ def subset_selection(spark, folder):
 
 @query()
 def model_confidence_set(spark, folder):
-    return rounded(M.confidence_sets(M.forecast(frame(spark, folder), PREDICTORS, WINDOW, MODELS[:5])))
+    return rounded(M.confidence_sets(M.forecast(frame(spark, folder), PREDICTORS, WINDOW, MODELS)))
 
 
 TABLE = "Table 1. Performance\\n k = 1 k = 3\\nTW AV TW AV\\nBuy and hold 104.63 9.10* 104.63 9.10\\nMomentum\\nmom 12 100.21 (8.75) 98.10 12.5%\\nNotes: none"

@@ -74,3 +74,14 @@ def test_all_rows_where_the_other_form_has_some(spark, tmp_path):
     assert sorted((r.id, r.line) for r in got["spec_agreement_all"]) == [(k, line) for k, line, *_ in lines]
     for name in got:
         assert oracle.difference(QUERIES[name], SQL[name], spark, folder) == "", name
+
+
+def test_confidence_set_has_all_models_and_draws(spark):
+    import inspect
+
+    from quillon.operators import models
+    from quillon.plans.estimators import MODELS
+
+    rows = QUERIES["model_confidence_set"](spark, FOLDER).collect()
+    assert {r.model for r in rows} == {m for m, *_ in MODELS}
+    assert inspect.signature(models.confidence_sets).parameters["draws"].default == 5000
