@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.plans.shared import staged
+from quillon.plans.shared import discard, staged
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -20,7 +20,7 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if mark == before or not mark[0]:
             break
-        before = mark
+        before, last = mark, now
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -28,4 +28,7 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         now = staged(small.filter("a <> b").distinct(), "small-star")
+        discard(large, last)
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

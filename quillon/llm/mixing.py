@@ -4,14 +4,16 @@ Every source has a rate: the copies that its documents should have on average so
 proportion to their weights and the whole is of the wanted size.  A document's number of copies inverts the Poisson
 distribution of that mean at a uniform number hashed from (seed, document), so it does not depend on partitions, order
 or retries; a mean above PART is a sum of several such draws.  Documents are exploded by their counts and shuffled
-globally: the output is sorted by a hash of (seed, document, copy).
+globally: the output is sorted by a hash of (seed, document, copy).  The hash is uniform, so the ranges of a global sort are
+known beforehand (equal parts of it) and no pass over the documents is spent on finding them.
 
 Sources may be many.  Their sizes are map-side sums, written once and counted: up to ``BROADCAST_SOURCES`` rates are
 broadcast, more are joined by source, where a hot source's side may be split.  So documents are shuffled once, to sort.
 
 Defined results: a null text counts as any other; null is a source of its own; a source that ``weights`` does not name
 has weight ``other``; weight 0 drops a source; repeated rows get equal counts; an empty table gives no rows; all columns
-are kept and ``mix_copy`` (from 1) and ``mix_key`` (sort key) come last.
+are kept and ``mix_copy`` (from 1) and ``mix_key`` (sort key) come last, with underscores after their names if the input
+has columns of these names.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.plans.shared import staged
+from quillon.plans.shared import partitions, staged, unused
 
 SEED = 17
 #: largest mean of one inverted draw: exp(-PART) is far from underflow, and TERMS cover its tail beyond 2**-52
@@ -80,9 +82,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, other: float =
         rates = F.broadcast(rates)
     rated = docs.join(rates, source.eqNullSafe(F.col("__mix_source"))).drop("__mix_source")
     counted = rated.withColumn("__mix_count", copies(F.col(id_col), F.col("__mix_rate"), seed)).filter("__mix_count > 0").drop("__mix_rate")
-    many = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_count")))).drop("__mix_count")
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("mix_copy")))
-    return many.withColumn("mix_key", key).orderBy("mix_key")
+    copy_col, key_col = unused(docs.columns, "mix_copy"), unused(docs.columns, "mix_key")
+    many = counted.withColumn(copy_col, F.explode(F.sequence(F.lit(1), F.col("__mix_count")))).drop("__mix_count")
+    keyed = many.withColumn(key_col, F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(copy_col))))
+    # partition k gets the k-th of n equal ranges of the hash
+    n = partitions(spark)
+    part = F.floor(F.conv(F.substring(key_col, 1, 8), 16, 10).cast("long") * n / (1 << 32)).cast("int")
+    return keyed.repartitionById(n, part).sortWithinPartitions(key_col)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,13 @@
 Base statistics of the whole text come first; a text that fails them is not kept.  Otherwise each line with words is
 labelled content or boilerplate by Viterbi decoding, and the document is kept if enough of its words are in content lines.
 
-The field is fitted on the driver by gradient ascent on at most ``train_docs`` labelled documents (the smallest by a hash
-of their id), whose lines all bear their document's label; transitions are regularized, so that a line's own features
-count.  Weights are a few dozen numbers; scoring is one pass over the documents without a shuffle.
+The field is fitted on lines of at most ``train_docs`` labelled documents (the smallest by a hash of their id).  Their
+lines are measured in the executors and labelled one by one: stock are the lines which the sample has after ``contexts``
+different lines or more (a copied document repeats its lines in one context only), junk are the other lines of rejected
+documents, content those of accepted ones.  Junk and stock are both boilerplate; they are two labels as a stock line says
+little about its neighbours.  The driver gets the numbers of at most ``train_lines`` lines and
+climbs the penalized likelihood.  The field is a few dozen weights and the hashes of the stock lines; scoring is one pass
+over the documents without a shuffle.
 
 Defined results: a null text has no words; a text without words fails the base rules; a document appears as often as its
 row is repeated; without labelled lines of both kinds all lines count as content; an empty table gives no rows; other
@@ -14,7 +18,7 @@ columns are ignored (``quality_filter`` keeps them all, whatever their names).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,10 @@ from quillon.plans.shared import small_batches
 TRAIN_DOCS = 2000
 #: longest text in it
 TRAIN_CHARS = 50_000
+#: lines of it that come to the driver, about 120 bytes each
+TRAIN_LINES = 60_000
+#: different lines before a line from which it is a stock line
+CONTEXTS = 3
 MIN_WORDS = 50
 #: percent of words in repeated 3-word windows that a text may have
 MAX_REPEATED = 50
@@ -38,7 +46,7 @@ PENALTY = 1e-3
 #: bytes of texts worked on at a time
 SLICE = 1 << 20
 
-FEATURES = ("bias", "log_words", "symbols", "upper", "digits", "stops", "exclaim", "word_length", "ends_sentence", "repeated_words", "repeated_line", "one_word")
+FEATURES = ("bias", "log_words", "symbols", "upper", "digits", "stops", "exclaim", "word_length", "ends_sentence", "repeated_words", "repeated_line", "one_word", "stock_line")
 
 
 def _class(characters: bytes) -> np.ndarray:
@@ -73,11 +81,12 @@ class Measured:
     n_repeat_words: np.ndarray
     line_doc: np.ndarray  # of each line with words
     line_words: np.ndarray
+    line_hash: np.ndarray  # of the line's bytes
     features: np.ndarray  # (lines, FEATURES)
 
 
-def measure(raw: np.ndarray, offsets: np.ndarray) -> Measured:
-    """Base statistics of texts laid end to end, and features of their lines with words."""
+def measure(raw: np.ndarray, offsets: np.ndarray, stock: np.ndarray | None = None) -> Measured:
+    """Base statistics of texts laid end to end, and features of their lines with words; stock: sorted hashes of stock lines."""
     n = len(offsets) - 1
     starts, stops, counts = spans.word_bounds(raw, offsets)
     doc = np.repeat(np.arange(n), counts)
@@ -115,19 +124,19 @@ def measure(raw: np.ndarray, offsets: np.ndarray) -> Measured:
         sums = winnow.prefix_sums(raw)
         line_hash = winnow.span_hash(sums, line_starts, line_stops)
         with np.errstate(over="ignore"):
-            line_hash = winnow.finalize(line_hash + line_doc.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        by = np.argsort(line_hash, kind="stable")
+            within = winnow.finalize(line_hash + line_doc.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        by = np.argsort(within, kind="stable")
         again = np.zeros(len(by), dtype=bool)
-        again[by[1:]] = line_hash[by[1:]] == line_hash[by[:-1]]
+        again[by[1:]] = within[by[1:]] == within[by[:-1]]
     else:
-        again = np.zeros(0, dtype=bool)
+        line_hash, again = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
     length = np.maximum(_sums(leads, line_starts, line_stops), 1)
     line_chars = np.add.reduceat(np.append(chars, 0), np.stack([first_word, last_word], axis=1).ravel())[::2] if len(words) else np.zeros(0)
     line_repeated = np.add.reduceat(np.append(repeated, False).astype(np.int64), np.stack([first_word, last_word], axis=1).ravel())[::2] if len(words) else np.zeros(0)
     share = lambda table: _sums(table[raw], line_starts, line_stops) / length
     ends = np.isin(raw[stops[last_word - 1] - 1], list(b".?!:;")) if len(words) else np.zeros(0)
     features = np.stack(
-        [np.ones(len(words)), np.log1p(words), 5 * share(SYMBOLS), 3 * share(UPPER), 5 * share(DIGITS), 5 * share(STOPS), 10 * share(EXCLAIM), line_chars / np.maximum(words, 1) / 10, ends, line_repeated / np.maximum(words, 1), again, words == 1],
+        [np.ones(len(words)), np.log1p(words), 5 * share(SYMBOLS), 3 * share(UPPER), 5 * share(DIGITS), 5 * share(STOPS), 10 * share(EXCLAIM), line_chars / np.maximum(words, 1) / 10, ends, line_repeated / np.maximum(words, 1), again, words == 1, is_stock(line_hash, stock)],
         axis=1,
     ).astype(np.float64)
     per_doc = lambda values: np.bincount(line_doc, weights=values, minlength=n).astype(np.int64)
@@ -139,16 +148,31 @@ def measure(raw: np.ndarray, offsets: np.ndarray) -> Measured:
         np.bincount(doc, weights=repeated, minlength=n).astype(np.int64),
         line_doc,
         words,
+        line_hash,
         features,
     )
 
 
+def is_stock(line_hash: np.ndarray, stock: np.ndarray | None) -> np.ndarray:
+    if stock is None or not len(stock):
+        return np.zeros(len(line_hash), dtype=bool)
+    at = np.minimum(np.searchsorted(stock, line_hash), len(stock) - 1)
+    return stock[at] == line_hash
+
+
+JUNK, CONTENT, STOCK = range(3)
+
+
 @dataclass(frozen=True)
 class Field:
-    """Weights of the content label against boilerplate (0), and log potentials of neighbouring labels."""
+    """Weights of each label but the first, which has none, log potentials of neighbouring labels, hashes of stock lines."""
 
-    weights: tuple[float, ...]
-    moves: tuple[tuple[float, float], tuple[float, float]]
+    weights: tuple[tuple[float, ...], ...]
+    moves: tuple[tuple[float, ...], ...]
+    stock: tuple[int, ...] = ()
+
+    def scores(self, features: np.ndarray) -> np.ndarray:
+        return np.column_stack([np.zeros(len(features)), *(features @ np.array(w) for w in self.weights)])
 
 
 def _steps(line_doc: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -165,11 +189,10 @@ def _steps(line_doc: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def viterbi(field: Field, features: np.ndarray, line_doc: np.ndarray) -> np.ndarray:
-    """The best labels (1: content) of the lines of all documents at once."""
-    score = np.zeros((len(features), 2))
-    score[:, 1] = features @ np.array(field.weights)
+    """The best labels of the lines of all documents at once."""
+    best = field.scores(features)
     moves = np.array(field.moves)
-    best, came = score.copy(), np.zeros((len(features), 2), dtype=np.int8)
+    came = np.zeros(best.shape, dtype=np.int8)
     steps = _steps(line_doc)
     for here, before in steps[1:]:
         paths = best[before][:, :, None] + moves[None]
@@ -181,54 +204,84 @@ def viterbi(field: Field, features: np.ndarray, line_doc: np.ndarray) -> np.ndar
     return labels
 
 
-def fit(features: np.ndarray, line_doc: np.ndarray, labels: np.ndarray, steps: int = STEPS, penalty: float = PENALTY) -> Field:
+def fit(features: np.ndarray, line_doc: np.ndarray, labels: np.ndarray, kinds: int = 3, steps: int = STEPS, penalty: float = PENALTY) -> Field:
     """Penalized maximum likelihood by gradient ascent (Adam), forward-backward over all documents at once."""
-    if len(labels) == 0 or labels.min() == labels.max():
-        return Field((1.0, *[0.0] * (features.shape[1] - 1)), ((0.0, 0.0), (0.0, 0.0)))
+    n, f = features.shape
+    if CONTENT not in labels or JUNK not in labels:
+        # nothing to tell apart: all lines are content
+        return Field(tuple((float(k == CONTENT), *[0.0] * (f - 1)) for k in range(1, kinds)), ((0.0,) * kinds,) * kinds)
     chain = _steps(line_doc)
-    n = len(labels)
-    theta = np.zeros(features.shape[1] + 4)
+    truth = np.eye(kinds)[labels]
+    observed = sum((truth[before].T @ truth[here] for here, before in chain[1:]), np.zeros((kinds, kinds)))
+    theta = np.zeros((f + kinds, kinds))  # weights, then moves
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
-    # weights per document keep the classes level: its lines all have one label
-    observed_moves = np.zeros((2, 2))
-    for here, before in chain[1:]:
-        np.add.at(observed_moves, (labels[before], labels[here]), weight[here])
     for t in range(1, steps + 1):
-        w, moves = theta[:-4], theta[-4:].reshape(2, 2)
-        score = np.zeros((n, 2))
-        score[:, 1] = features @ w
-        alpha, beta = score.copy(), np.zeros((n, 2))
+        moves = theta[f:]
+        score = features @ theta[:f]
+        alpha, beta = score.copy(), np.zeros((n, kinds))
         for here, before in chain[1:]:
             alpha[here] += np.logaddexp.reduce(alpha[before][:, :, None] + moves[None], axis=1)
         for here, before in reversed(chain[1:]):
             beta[before] = np.logaddexp.reduce((score[here] + beta[here])[:, None, :] + moves[None], axis=2)
-        logz = np.logaddexp(alpha[:, 0] + beta[:, 0], alpha[:, 1] + beta[:, 1])
-        p = np.exp(alpha[:, 1] + beta[:, 1] - logz)
-        grad_w = features.T @ (weight * (labels - p))
-        expected = np.zeros((2, 2))
+        logz = np.logaddexp.reduce(alpha + beta, axis=1)
+        p = np.exp(alpha + beta - logz[:, None])
+        expected = np.zeros((kinds, kinds))
         for here, before in chain[1:]:
             joint = np.exp(alpha[before][:, :, None] + moves[None] + (score[here] + beta[here])[:, None, :] - logz[here][:, None, None])
-            expected += (weight[here][:, None, None] * joint).sum(axis=0)
-        grad = np.concatenate([grad_w, (observed_moves - expected).ravel()]) / n - penalty * theta
-        # labels of one document never change, so free transitions would glue lines together; they get a stronger pull to 0
-        grad[-4:] -= 0.05 * theta[-4:]
+            expected += joint.sum(axis=0)
+        grad = np.concatenate([features.T @ (truth - p), observed - expected]) / n - penalty * theta
+        grad[:f, 0] = 0  # the first label has no weights
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         theta += 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-9)
-    moves = theta[-4:].reshape(2, 2)
-    return Field(tuple(theta[:-4].tolist()), tuple(map(tuple, moves.tolist())))
+    return Field(tuple(map(tuple, theta[:f, 1:].T.tolist())), tuple(map(tuple, theta[f:].tolist())))
 
 
-def train(documents: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Field:
-    """Fit on at most ``train_docs`` labelled documents of at most ``train_chars``, chosen by a hash of the id."""
+def sample_lines(documents: DataFrame, labels: DataFrame, train_docs: int, train_chars: int, train_lines: int) -> DataFrame:
+    """(doc, at, quality, hash, f0, f1, ...): measured lines of the sample, in order; a document row is told apart by doc."""
     chosen = labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
     short = documents.select("doc_id", "text").filter(F.length("text") <= train_chars)
-    rows = short.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(train_docs).toPandas()
-    if not len(rows):
-        return fit(np.zeros((0, len(FEATURES))), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-    raw, offsets = spans.flat(pa.array(rows["text"].fillna(""), pa.string()))
-    m = measure(raw, offsets)
-    return fit(m.features, m.line_doc, rows["quality"].to_numpy()[m.line_doc].astype(np.int64))
+    rows = short.join(F.broadcast(chosen), "doc_id").select("quality", F.xxhash64("doc_id", "text").alias("doc"), "text").orderBy("doc", "text").limit(train_docs)
+    names = ["doc", "at", "quality", "hash", *(f"f{k}" for k in range(len(FEATURES)))]
+
+    def scan(batches):
+        for batch in spans.slices(batches, "text"):
+            raw, offsets = spans.flat(batch.column("text"))
+            m = measure(raw, offsets)
+            take = pa.array(m.line_doc)
+            columns = [batch.column("doc").take(take), pa.array(np.arange(len(m.line_doc))), batch.column("quality").take(take).cast(pa.int32()), pa.array(m.line_hash.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(np.ascontiguousarray(x)) for x in m.features.T], names=names)
+
+    lines = rows.mapInArrow(scan, "doc long, at long, quality int, hash long, " + ", ".join(f"f{k} double" for k in range(len(FEATURES))))
+    return lines.orderBy("doc", "at").limit(train_lines)
+
+
+def train(documents: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS, train_lines: int = TRAIN_LINES, contexts: int = CONTEXTS) -> Field:
+    """Fit on the lines of at most ``train_docs`` labelled documents of at most ``train_chars``, chosen by a hash of the id."""
+    table = sample_lines(documents, labels, train_docs, train_chars, train_lines).toArrow()
+    get = lambda name: np.asarray(table.column(name).combine_chunks())
+    features = np.stack([get(f"f{k}") for k in range(len(FEATURES))], axis=1).reshape(-1, len(FEATURES))
+    doc = get("doc")
+    line_doc = np.cumsum(np.append(False, doc[1:] != doc[:-1])[: len(doc)])
+    return fit_lines(features, line_doc, get("hash").view(np.uint64), get("quality"), contexts)
+
+
+def fit_lines(features: np.ndarray, line_doc: np.ndarray, line_hash: np.ndarray, quality: np.ndarray, contexts: int = CONTEXTS) -> Field:
+    """Derive the labels of the sample's lines and fit; quality: of each line's document."""
+    stock = stock_lines(line_hash, line_doc, contexts)
+    known = is_stock(line_hash, stock)
+    labels = np.where(known, STOCK, np.where(quality == 1, CONTENT, JUNK))
+    field = fit(np.column_stack([features[:, :-1], known]), line_doc, labels)
+    return replace(field, stock=tuple(stock.tolist()))
+
+
+def stock_lines(line_hash: np.ndarray, line_doc: np.ndarray, contexts: int = CONTEXTS) -> np.ndarray:
+    """Sorted hashes of the lines that stand after ``contexts`` different lines, or the start of a document, or more."""
+    before = np.zeros_like(line_hash)
+    if len(line_doc):
+        before[1:] = np.where(line_doc[1:] == line_doc[:-1], line_hash[:-1], np.uint64(0))
+    pairs = np.unique(np.stack([line_hash, before], axis=1), axis=0)
+    values, counts = np.unique(pairs[:, 0], return_counts=True)
+    return values[counts >= contexts]
 
 
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -238,12 +291,13 @@ VERDICT = ", ".join(f"{c} long" for c in COLUMNS) + ", content_words long, base_
 def verdicts(texts: pa.Array, field: Field, min_content: float = MIN_CONTENT) -> list[pa.Array]:
     """The columns of VERDICT for a column of texts."""
     raw, offsets = spans.flat(texts.fill_null(""))
+    stock = np.array(field.stock, dtype=np.uint64)
     out: list[list[np.ndarray]] = [[] for _ in range(len(COLUMNS) + 3)]
     k = 0
     while k < len(texts):
         end = max(k + 1, int(np.searchsorted(offsets, offsets[k] + SLICE, side="right")) - 1)
-        m = measure(raw[offsets[k] : offsets[end]], offsets[k : end + 1] - offsets[k])
-        content = np.bincount(m.line_doc, weights=m.line_words * viterbi(field, m.features, m.line_doc), minlength=end - k).astype(np.int64)
+        m = measure(raw[offsets[k] : offsets[end]], offsets[k : end + 1] - offsets[k], stock)
+        content = np.bincount(m.line_doc, weights=m.line_words * (viterbi(field, m.features, m.line_doc) == CONTENT), minlength=end - k).astype(np.int64)
         failed = (m.n_words < MIN_WORDS) | (100 * m.n_repeat_words > MAX_REPEATED * m.n_words)
         for column, value in zip(out, (*(getattr(m, c) for c in COLUMNS), content, failed, ~failed & (content >= min_content * m.n_words)), strict=True):
             column.append(value)

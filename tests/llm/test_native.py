@@ -69,6 +69,42 @@ def test_long_single_lines_are_runs(spark):
     assert again == dict(rows) | {6: "z"}
 
 
+def test_ranks_are_the_order_of_suffixes(spark):
+    """Places that share h lines have ranks in the order of their line ids, equal ones if and only if the lines are."""
+    r = random.Random(11)
+    rows = [(k, "\n".join(r.choice("abc") for _ in range(r.randint(0, 12)))) for k in range(40)]
+    docs = line_dedup._prepared(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    ids = {x.line: (x.a, x.b) for x in spark.createDataFrame([(c,) for c in "abc"], "line string").select("line", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), "line").alias("b")).collect()}
+    seen = []
+    for h, places in line_dedup.suffix_intervals(docs, "text"):
+        got = {(x[f"{line_dedup.P}id"], x["at"]): (x["rank"], x["copy"]) for x in places.collect()}
+        want = defaultdict(list)
+        for k, t in rows:
+            lines = t.split("\n") if t else []
+            for at in range(len(lines) - h + 1):
+                want[tuple(ids[x] for x in lines[at : at + h])].append((k, at))
+        want = {prefix: sorted(x) for prefix, x in want.items() if len(x) > 1}
+        assert set(got) == {p for x in want.values() for p in x}
+        order = sorted(want)
+        ranks = [{got[p][0] for p in want[prefix]} for prefix in order]
+        assert all(len(x) == 1 for x in ranks)
+        assert [x for (x,) in ranks] == sorted({x for (x,) in ranks})
+        assert all(got[p][1] == (k > 0) for x in want.values() for k, p in enumerate(x))
+        seen.append(h)
+    assert seen[:3] == [1, 2, 4]
+
+
+def test_a_clashing_column_is_kept(spark):
+    rows = [(1, "a\nb", 7, "x"), (2, "a\nb", 8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, removed_runs int, mix_key string")
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == [*docs.columns, "removed_runs_"] and {r.doc_id: (r.removed_runs, len(r.removed_runs_)) for r in out.collect()} == {1: (7, 0), 2: (8, 1)}
+    assert line_dedup.dedup_lines(docs, runs_col=None).columns == docs.columns
+    mixed = mixing.mix(docs.withColumns({"mix_copy": F.lit(5), "source": F.lit("s")}))
+    assert mixed.columns == [*docs.columns, "mix_copy", "source", "mix_copy_", "mix_key_"]
+    assert all(r.mix_copy == 5 and r.mix_key in ("x", None) for r in mixed.collect())
+
+
 def brute_url(url, rules):
     host, path = "", ""
     if url is not None and "://" in url:
