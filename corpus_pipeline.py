@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import decontaminate, jaccard_join, line_dedup, mixing, quality_rules
-from quillon.plans.shared import staged
+from quillon.plans.shared import discard, settled
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +18,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs go; so do documents of which nothing is left."""
-    return line_dedup.dedup_lines(docs).drop("removed_runs").filter(f"text rlike '{line_dedup.HAS_WORD}'")
+    return line_dedup.dedup_lines(docs, runs_col=None).filter(f"text rlike '{line_dedup.HAS_WORD}'")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,5 +45,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        # one stage's output replaces its input and what was staged on the way
+        done = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if name != STAGES[0][0]:
+            discard(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
