@@ -20,6 +20,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +43,14 @@ _escaped = re.compile(r"<\\(\\*)\|")
 
 @functools.lru_cache(maxsize=2)
 def load_tokenizer(vocabulary: str):
-    """One tokenizer for a worker process, with the template's markers as special tokens, on the task's own core."""
+    """One tokenizer for a worker process, with the template's markers as special tokens, on the task's own core.
+
+    vocabulary: the JSON text, which travels with the job, so that executors need no file.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(vocabulary)
+    tokenizer = Tokenizer.from_str(vocabulary)
     tokenizer.encode_special_tokens = False
     tokenizer.add_special_tokens([START, MIDDLE, STOP])
     return tokenizer
@@ -99,8 +103,10 @@ def format_conversations(conversations: DataFrame, vocabulary: str = f"{TOKENIZE
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = rows.repartition(partitions(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")
 
+    shipped = rows.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text(encoding="utf-8"))
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load_tokenizer(vocabulary)
+        tokenizer = load_tokenizer(shipped.value)
         for group in parts(batches):
             texts = [render(turns, loss_role) for _, _, turns in group]
             encoded = tokenizer.encode_batch([t for t, _ in texts], add_special_tokens=False)

@@ -1,13 +1,15 @@
 """Operator 2: benchmark decontamination by greedy string tiling.
 
 Texts are words: maximal runs of ASCII letters, digits and non-ASCII characters, lower-cased.  Documents and test items
-that share a seed (``min_match`` equal words in a row) are joined on hashes of it.  Each pair is then tiled: the longest
-common substrings of unmarked words are marked, longest first, with running Karp-Rabin hashes of falling length, until
-none of ``min_match`` words is left.  A document leaks an item if its tiles cover at least ``threshold`` of the item's
+that share a seed (``min_match`` equal words in a row) are joined on hashes of it.  Each pair is then tiled: again and again
+the longest common substring of unmarked words is marked (ties: first in the item, then in the document), until none of
+``min_match`` words is left.  Running Karp-Rabin hashes of falling length find the matches; one that others have marked in
+part goes back in order with what is left of it.  A document leaks an item if its tiles cover at least ``threshold`` of the item's
 words, in whatever order they stand.
 
 The test items go to the executors in blocks of bounded size, one pass over the documents for each block; the usual
-benchmark is one block.  Documents are not shuffled and no pair of rows is formed without a seed.
+benchmark is one block, and between blocks documents are written, so that a task holds one block at a time.  Equal items
+are one with their number.  Documents are not shuffled and no pair of rows is formed without a seed.
 
 Defined results: null texts have no words; items below ``min_match`` words never leak; items are told apart by row, so
 repeated items give repeated rows; documents too; an empty table gives no rows; other columns are ignored
@@ -16,7 +18,9 @@ repeated items give repeated rows; documents too; an empty table gives no rows;
 
 from __future__ import annotations
 
+import heapq
 import math
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import spans, winnow
-from quillon.plans.shared import small_batches
+from quillon.plans.shared import small_batches, staged
 
 MIN_MATCH = 5
 THRESHOLD = 0.8
@@ -67,31 +71,33 @@ def tile(pattern: list[int], text: list[int], minimum: int) -> list[tuple[int, i
 
     search = min(len(pattern), len(text))
     while search >= minimum:
-        # all maximal matches of at least the search length
         at: dict[int, list[int]] = {}
         for k, value in hashes(text, marked_t, search):
             at.setdefault(value, []).append(k)
+        # all matches of at least the search length that cannot be longer on either side
         matches = []
-        longest = 0
         for p, value in hashes(pattern, marked_p, search) if at else ():
             for t in at.get(value, ()):
+                if p and t and pattern[p - 1] == text[t - 1] and not marked_p[p - 1] and not marked_t[t - 1]:
+                    continue
                 n = 0
                 while p + n < len(pattern) and t + n < len(text) and pattern[p + n] == text[t + n] and not marked_p[p + n] and not marked_t[t + n]:
                     n += 1
                 if n >= search:
                     matches.append((-n, p, t))
-                    longest = max(longest, n)
-        again = False
-        for n, p, t in sorted(matches):
-            n = -n
-            if any(marked_p[p : p + n]) or any(marked_t[t : t + n]):
-                again = True  # what is left of it may still be as long as the search length
+        heapq.heapify(matches)
+        while matches:
+            n, p, t = heapq.heappop(matches)
+            left = [k for k in range(-n) if not marked_p[p + k] and not marked_t[t + k]]
+            if len(left) == -n:
+                tiles.append((p, t, -n))
+                marked_p[p : p - n] = [True] * -n
+                marked_t[t : t - n] = [True] * -n
                 continue
-            tiles.append((p, t, n))
-            marked_p[p : p + n] = [True] * n
-            marked_t[t : t + n] = [True] * n
-        if again:
-            continue  # the tiles marked make this end
+            for _, part in groupby(enumerate(left), lambda x: x[1] - x[0]):
+                part = [k for _, k in part]
+                if len(part) >= search:
+                    heapq.heappush(matches, (-len(part), p + part[0], t + part[0]))
         search = minimum if minimum < search <= 2 * minimum else search // 2 if search > minimum else 0
     return tiles
 
@@ -99,10 +105,10 @@ def tile(pattern: list[int], text: list[int], minimum: int) -> list[tuple[int, i
 class Block:
     """Test items with an index of their seeds."""
 
-    def __init__(self, ids: list[int], texts: list[str], min_match: int):
+    def __init__(self, ids: list[int], texts: list[str], times: list[int], min_match: int):
         words, counts = words_of(pa.array(texts, pa.string()))
         ends = np.cumsum(counts)
-        self.ids, self.min_match = ids, min_match
+        self.ids, self.times, self.min_match = ids, times, min_match
         self.words = [words[e - n : e] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
         seeds, items = seeds_of(words, counts, min_match)
         by = np.argsort(seeds, kind="stable")
@@ -155,14 +161,14 @@ def seeds_of(words: np.ndarray, counts: np.ndarray, length: int, places: bool =
 
 
 def blocks(benchmark: DataFrame, min_match: int, id_col: str, text_col: str, size: int):
-    """The test items as blocks of about ``size`` characters at most (one item may be more)."""
-    items = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("body")).filter("body is not null")
+    """The distinct test items as blocks of about ``size`` characters at most (one item may be more)."""
+    items = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("body")).filter("body is not null").groupBy("item", "body").agg(F.count(F.lit(1)).alias("times"))
     total = items.agg(F.sum(F.length("body"))).first()[0] or 0
     count = max(1, math.ceil(2 * total / size)) if total > size else 1
     for k in range(count):
         rows = (items if count == 1 else items.filter(F.pmod(F.xxhash64("item", "body"), F.lit(count)) == k)).orderBy("item", "body").collect()
         if rows:
-            yield Block([r["item"] for r in rows], [r["body"] for r in rows], min_match)
+            yield Block([r["item"] for r in rows], [r["body"] for r in rows], [r["times"] for r in rows], min_match)
 
 
 LEAK = "item_id long, covered_words long, item_words long, coverage double, tiles array<struct<item_start:int,doc_start:int,words:int>>"
@@ -179,7 +185,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = TH
 
         def scan(batches, shared=shared):
             for batch in spans.slices(batches, 1):
-                rows = shared.value.leaks(batch.column(1), threshold)
+                rows = [r for r in shared.value.leaks(batch.column(1), threshold) for _ in range(shared.value.times[r[1]])]
                 if rows:
                     n = [len(shared.value.words[k]) for _, k, _, _ in rows]
                     tiles = [[{"item_start": p, "doc_start": t, "words": m} for p, t, m in x] for *_, x in rows]
@@ -197,7 +203,9 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, threshold: float
     """The documents that leak no test item, with all their columns."""
     at, schema = documents.columns.index(text_col), documents.schema
     small_batches(documents.sparkSession)
-    for items in blocks(benchmark, min_match, item_col, item_text_col, block):
+    for k, items in enumerate(blocks(benchmark, min_match, item_col, item_text_col, block)):
+        if k:
+            documents = staged(documents, "block-clean")
         shared = documents.sparkSession.sparkContext.broadcast(items)
 
         def scan(batches, shared=shared):

@@ -1,18 +1,22 @@
-"""Operator 4 [native]: URL verdicts by a sort-merge range join of hosts with nested host rules.
-
-A host's canonical key is its labels in reverse order, each ended by a character below all others, so all subdomains of
-a rule's host are one interval of keys, and the intervals of two rules are nested or disjoint.  URLs and the starts and
-ends of the intervals are sorted together, and a sweep carries the stack of the rules that are open at each URL.  The
-stack after an event is known from the rules alone (the rules of a host's ancestors), so the sweep is a running ``last``.
-Of the open rules whose path is a prefix of the URL's path, the one with the longest host, then the longest path, decides;
-with equal host and path the first in the order of the rules.
-
-Sweeps run per bucket (the last label of the host); a bucket with more than its share of the URLs is dealt over several
-salts, to each of which the bucket's rules are copied.  There are at most as many such buckets as twice the shuffle
-partitions, so their list may be broadcast.
+"""Operator 4 [native]: URL verdicts by a sort-merge range join with nested rules of hosts and paths.
+
+A canonical key is the host's labels in reverse order, each ended by one character, then another character and the path.
+The keys that begin with a rule's key are one interval, and the intervals of two rules are nested or disjoint.  A rule
+holds for subdomains too, so a URL looks itself up once for each of its host's endings, as far as rules have labels.
+These keys and the starts and ends of the intervals are sorted together, and one sweep finds the open intervals of every
+key.  They are a stack, as they nest: a start pushes its rule, an end pops it, which uncovers the rule around it.  What is
+uncovered depends on the rules alone and is joined to each end beforehand, so the top of the stack is a running ``last`` and
+costs the same however many rules a host has.  The top has the longest path; of a URL's endings the longest decides.  With
+equal host and path the first in the order of the rules counts.
+
+Only distinct pairs of host and path (as far as rules can see) are swept, so repeated URLs cost one row.  Sweeps run per
+bucket (the last label of the host); a bucket with more than its share is dealt over several salts, to each of which the
+bucket's rules are copied.  There are at most as many such buckets as twice the shuffle partitions, so their list may be
+broadcast.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and gets the default verdict unless a rule
-of the empty host fits; repeated rows are judged each; an empty table gives no rows; other columns are ignored.
+of the empty host fits; repeated rows are judged each; an empty table gives no rows; without rules all get the default;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +32,6 @@ DEFAULT = "allow"
 RULE = "action string, host string, path string, rank int"
 #: pieces of an even share that a bucket is cut into
 FINER = 4
-END = "\U0010ffff"
 
 
 def host_of(url: Column) -> Column:
@@ -42,52 +45,62 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def key_of(host: Column) -> Column:
-    return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "\x01"), F.lit("\x01")))
+def key_of(host: Column, path: Column) -> Column:
+    """Bytes whose order keeps together what begins alike; characters that separate are escaped in labels."""
+    labels = F.split(host, r"\.", -1)
+    safe = F.transform(labels, lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "\x00", "\x000"), "\x01", "\x001"), "\x02", "\x002"))
+    return F.concat(F.array_join(F.reverse(safe), "\x01"), F.lit("\x01\x02"), path).cast("binary")
 
 
 def bucket_of(host: Column) -> Column:
     return F.substring_index(host, ".", -1)
 
 
-def stacks(rules: DataFrame) -> DataFrame:
-    """(key, bucket, stack, below): per host with rules the open rules inside its interval, and those after its end."""
-    by_host = rules.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("path", "rank", "action"))).alias("own"))
-    labels = F.split("host", r"\.", -1)
-    # the host itself and its ancestors, by equality
-    up = by_host.select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, -k, k), "."))).alias("ancestor"))
-    owned = by_host.select(F.col("host").alias("ancestor"), F.explode("own").alias("rule"))
-    rows = up.join(owned, "ancestor").select("host", F.col("ancestor"), "rule")
-    item = F.struct(F.length("ancestor").alias("host_length"), F.length("rule.path").alias("path_length"), (-F.col("rule.rank")).alias("order"), F.col("ancestor").alias("host"), F.col("rule.path").alias("path"), F.col("rule.action").alias("action"))
-    grouped = rows.withColumn("item", item).groupBy("host").agg(F.collect_list("item").alias("stack"))
-    own_length = F.length("host")
-    return grouped.select(key_of(F.col("host")).alias("key"), bucket_of(F.col("host")).alias("bucket"), "stack", F.filter("stack", lambda x: x["host_length"] < own_length).alias("below"))
+def ending(host: Column, labels: Column) -> Column:
+    """The host's last ``labels`` labels."""
+    parts = F.split(host, r"\.", -1)
+    return F.array_join(F.slice(parts, F.size(parts) - labels + 1, labels), ".")
+
+
+def rule_events(rules: DataFrame) -> DataFrame:
+    """(bucket, key, top): the starts and ends of the rules' intervals, with the rule that is on top of the stack then."""
+    own = rules.groupBy("host", "path").agg(F.min_by("action", "rank").alias("action"))
+    # the rule around another: its path is the longest proper beginning that is a rule of the same host
+    begins = own.filter("path <> ''").select("host", F.col("path").alias("inner"), F.explode(F.transform(F.sequence(F.lit(0), F.length("path") - 1), lambda n: F.substring("path", F.lit(1), n))).alias("path"))
+    around = begins.join(own, ["host", "path"]).groupBy("host", "inner").agg(F.max_by(F.struct("host", "path", "action"), F.length("path")).alias("top"))
+    nowhere = F.struct(*(F.lit(None).cast("string").alias(c) for c in ("host", "path", "action")))
+    key, bucket = key_of(F.col("host"), F.col("path")).alias("key"), bucket_of(F.col("host")).alias("bucket")
+    starts = own.select(bucket, key, F.struct("host", "path", "action").alias("top"))
+    ends = own.withColumnRenamed("path", "inner").join(around, ["host", "inner"], "left").select(bucket, F.concat(key_of(F.col("host"), F.col("inner")), F.unhex(F.lit("FF"))).alias("key"), F.coalesce("top", nowhere).alias("top"))
+    return starts.unionByName(ends)
 
 
 def judge_urls(urls: DataFrame, rules: DataFrame, default: str = DEFAULT, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict) for each URL; rules: action, host, path, rank."""
     n = partitions(urls.sparkSession)
-    points = urls.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    points = points.withColumn("key", key_of(F.col("host"))).withColumn("bucket", bucket_of(F.col("host")))
+    pages = urls.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    most = rules.agg(F.max(F.size(F.split("host", r"\.", -1))), F.max(F.length("path"))).first()  # one row
+    if most[0] is None:
+        return pages.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    pages = pages.withColumn("seen", F.substring("path", 1, most[1]))
+    points = pages.select("host", "seen").distinct().withColumn("bucket", bucket_of(F.col("host")))
     counts = points.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     # a bucket is salted only if it has more than 1 / (2 n) of all rows, so there are fewer than 2 n of them
     hot = counts.crossJoin(F.broadcast(total)).filter(F.col("n") * (2 * n) > F.col("total")).select("bucket", F.ceil(F.col("n") * FINER * n / F.col("total")).cast("int").alias("salts"))
     hot = F.broadcast(hot)
     salts = F.coalesce("salts", F.lit(1))
-    points = points.join(hot, "bucket", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "host", "path"), salts).cast("int")).drop("salts")
-    nodes = stacks(rules).join(hot, "bucket", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    none = {c: F.lit(None).cast("string") for c in ("page_id", "host", "path")}
-    opens = nodes.select("bucket", "salt", "key", F.lit(0).alias("kind"), "stack")
-    closes = nodes.select("bucket", "salt", F.concat("key", F.lit(END)).alias("key"), F.lit(0).alias("kind"), F.col("below").alias("stack"))
-    events = opens.unionByName(closes).withColumns({c: v.cast(points.schema[c].dataType) for c, v in none.items()})
-    rows = points.select("page_id", "host", "path", "bucket", "salt", "key", F.lit(1).alias("kind")).unionByName(events, allowMissingColumns=True)
+    points = points.join(hot, "bucket", "left").withColumn("salt", F.pmod(F.xxhash64("host", "seen"), salts).cast("int")).drop("salts")
+    labels = F.least(F.size(F.split("host", r"\.", -1)), F.lit(most[0]))
+    points = points.withColumn("labels", F.explode(F.sequence(F.lit(1), labels)))
+    points = points.withColumn("key", key_of(ending(F.col("host"), F.col("labels")), F.col("seen")))
+    events = rule_events(rules).join(hot, "bucket", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    rows = points.withColumn("kind", F.lit(1)).unionByName(events.withColumn("kind", F.lit(0)), allowMissingColumns=True)
     sweep = Window.partitionBy("bucket", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = rows.withColumn("open", F.last("stack", ignorenulls=True).over(sweep)).filter("kind = 1")
-    best = F.array_max(F.filter("open", lambda r: F.startswith(F.col("path"), r["path"])))
-    judged = swept.withColumn("best", best)
-    # a rule reads host and path, the path without what a missing one would be
-    return judged.select("page_id", "host", "path", F.concat("best.host", "best.path").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    swept = rows.withColumn("open", F.last("top", ignorenulls=True).over(sweep)).filter("kind = 1 and open.action is not null")
+    judged = swept.groupBy("host", "seen").agg(F.max_by("open", "labels").alias("best"))
+    out = pages.join(judged, ["host", "seen"], "left")
+    return out.select("page_id", "host", "path", F.concat("best.host", "best.path").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

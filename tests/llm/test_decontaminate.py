@@ -6,8 +6,8 @@ from quillon.llm import decontaminate as d
 
 
 def brute_tiles(a, b, minimum):
-    """Longest common substring of unmarked words, marked, until none is long enough: total length of the tiles."""
-    ma, mb, total = [False] * len(a), [False] * len(b), 0
+    """The longest common substring of unmarked words, marked, until none is long enough; ties: first in a, then in b."""
+    ma, mb, tiles = [False] * len(a), [False] * len(b), []
     while True:
         best = (0, 0, 0)
         for i in range(len(a)):
@@ -18,26 +18,27 @@ def brute_tiles(a, b, minimum):
                 best = max(best, (n, -i, -j))
         n, i, j = best[0], -best[1], -best[2]
         if n < minimum:
-            return total
-        total += n
+            return sorted(tiles)
+        tiles.append((i, j, n))
         ma[i : i + n] = [True] * n
         mb[j : j + n] = [True] * n
 
 
-def test_tiling_marks_what_brute_force_marks():
+def test_tiling_is_strictly_greedy():
     r = random.Random(3)
-    for _ in range(300):
-        a = [r.randint(0, 3) for _ in range(r.randint(0, 14))]
-        b = [r.randint(0, 3) for _ in range(r.randint(0, 20))]
-        tiles = d.tile(a, b, 3)
-        used = [x for p, _, n in tiles for x in range(p, p + n)]
-        assert len(used) == len(set(used))
-        assert all(a[p : p + n] == b[t : t + n] and n >= 3 for p, t, n in tiles)
-        # the search halves, so equal lengths are found, ties may be laid otherwise
-        if len(set(a)) == len(a):
-            assert sum(n for *_, n in tiles) == brute_tiles(a, b, 3)
-        if brute_tiles(a, b, 3):
-            assert tiles
+    total = 0
+    for k in range(4000):
+        m, kinds = r.randint(2, 5), r.randint(1, 5)
+        a = [r.randint(0, kinds) for _ in range(r.randint(0, 14))]
+        b = [r.randint(0, kinds) for _ in range(r.randint(0, 20))]
+        if k % 20 == 0:
+            # long, with shuffled and broken copies of parts
+            a = [r.randint(0, 30) for _ in range(40)]
+            b = sum((a[x : x + r.randint(3, 20)] + [99] * r.randint(0, 1) for x in r.sample(range(35), 4)), [])
+        want = brute_tiles(a, b, m)
+        assert sorted(d.tile(a, b, m)) == want, (a, b, m)
+        total += len(want)
+    assert total > 1500
 
 
 def test_leaks_and_clean_documents(spark):
@@ -69,3 +70,5 @@ def test_leaks_and_clean_documents(spark):
     assert tiles.coverage == 1.0 and len(tiles.tiles) == 2
     assert d.find_leaks(docs.limit(0), bench).count() == 0 and d.find_leaks(docs, bench.limit(0)).count() == 0
     assert d.clean_documents(docs, bench.limit(0)).count() == len(rows)
+    twice = bench.filter("item_id = 2").unionByName(bench.filter("item_id = 2"))
+    assert [(x.doc_id, x.item_id) for x in d.find_leaks(docs, twice).collect()] == [(102, 2)] * 2

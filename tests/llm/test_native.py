@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import license_scan, line_dedup, mixing, url_filter
+from quillon.llm import license_scan, license_texts, line_dedup, mixing, url_filter
 
 HAS_WORD = re.compile(r"[^\x20\x09-\x0D]")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, runs string, removed int, start int"
@@ -135,7 +135,7 @@ def test_licences_are_found_and_inherited(spark):
         (6, "z/v.txt", "text\n  This work is licensed under the GNU General Public License, version 3.\nmore"), (7, "LICENSE-old", "copyright of nobody in particular"), (8, None, ""), (9, "ab/x.txt", "near a, not below it"), (2, "a/b/x.txt", "prose\nno terms"), (None, "a/q", "x"),
     ]
     files = spark.createDataFrame([(*r, "n", 1) for r in rows], "doc_id long, path string, text string, name string, dir int").repartition(3)
-    templates = spark.createDataFrame(list(license_scan.TEMPLATES.items()), "name string, body string")
+    templates = spark.createDataFrame(license_texts.templates(), "name string, body string")
     out = license_scan.scan_licenses(files, templates)
     got = Counter((r.doc_id, r.own_license, r.license, r.license_dir) for r in out.collect())
     assert got == Counter(
@@ -144,6 +144,36 @@ def test_licences_are_found_and_inherited(spark):
     assert license_scan.scan_licenses(files.limit(0), templates).count() == 0
 
 
+def test_real_licence_files_and_headers(spark):
+    mit = license_texts.MIT.replace("Copyright (c)", "Copyright (c) 2021 Ada Example and contributors")
+    comment = lambda t, mark: "\n".join(f"{mark} {x}" if x else mark for x in t.split("\n"))
+    text = "\n\n".join(f"def f{k}(x):\n    return x + {k}" for k in range(40))
+    apache = "Copyright 2019 Some Company\n\n" + license_texts.APACHE_HEADER
+    rows = [
+        (1, "a/LICENSE", mit, "MIT"), (2, "b/LICENSE.txt", (license_texts.FOLDER / "Apache-2.0.txt").read_text(), "Apache-2.0"), (3, "c/COPYING", (license_texts.FOLDER / "GPL-3.0.txt").read_text(), "GPL-3.0"),
+        (4, "d/x.py", comment(apache, "#") + "\n\n" + text, "Apache-2.0"), (5, "d/y.c", "// SPDX-License-Identifier: MIT\n" + text, "MIT"), (6, "d/z.js", "/*\n" + comment(license_texts.MPL_HEADER, " *") + "\n */\n\n" + text, "MPL-2.0"),
+        (7, "e/LICENSE", license_texts.NOTICES["BSD-3-Clause"][0].replace("(c)", "(c) 2001 University of Somewhere"), "BSD-3-Clause"), (8, "f/LICENSE", license_texts.NOTICES["BSD-2-Clause"][0], "BSD-2-Clause"),
+        (9, "g/q.rs", "// SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"), (10, "g/r.rs", "// SPDX-License-Identifier: Nobody-1.0", None), (11, "g/s.py", text + "\nprint('the license plate of a car')", None),
+        (12, "h/m.go", comment(license_texts.gnu_header("GNU Lesser General Public License", "3"), "//"), "LGPL-3.0"), (13, "h/n.py", comment(mit, "#") + "\n" + text, "MIT"),
+        (None, None, "Released under the MIT License", "MIT"), (None, None, "nothing", None), (None, None, None, None),
+    ]
+    files = spark.createDataFrame([r[:3] for r in rows], "doc_id long, path string, text string").repartition(3)
+    out = license_scan.scan_licenses(files, spark.createDataFrame(license_texts.templates(), "name string, body string"))
+    assert Counter((r.doc_id, r.own_license) for r in out.collect()) == Counter((r[0], r[3]) for r in rows)
+
+
+def test_many_path_rules_of_a_host(spark):
+    r = random.Random(12)
+    paths = sorted({"/" + "/".join(r.choice("ab") for _ in range(r.randint(0, 9))) for _ in range(2000)})
+    rules = [(r.choice(["allow", "block"]), r.choice(["h.org", "h.org", "x.h.org", "org"]), p, k) for k, p in enumerate(paths)]
+    urls = [(k, f"http://{r.choice(['h.org', 'x.h.org', 'y.x.h.org', 'org'])}/" + "/".join(r.choice("ab") for _ in range(r.randint(0, 11)))) for k in range(300)]
+    # characters that separate keys, and the largest one
+    rules += [("block", "a\x01b", "/", 9000), ("allow", "b.a", "/\U0010ffff", 9001), ("block", "b.a", "/", 9002)]
+    urls += [(400, "http://b.a/\U0010ffffz"), (401, "http://a\x01b/q"), (402, "http://b.a/q")]
+    got = url_filter.judge_urls(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(rules, url_filter.RULE))
+    assert sorted(map(tuple, got.collect())) == sorted((i, *brute_url(u, [x[:3] for x in rules])) for i, u in urls)
+
+
 def test_poisson_inversion(spark):
     for mean in (0.0, 0.14, 1.0, 7.5, 16.0):
         rows = spark.range(4000).select(F.col("id"), mixing.uniform(F.lit(3), F.lit(0), F.col("id")).alias("u")).select("u", mixing.poisson(F.col("u"), F.lit(mean)).alias("k")).collect()
