@@ -79,6 +79,16 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str | int) -> Iterator[p
             yield batch.slice(a, b - a)
 
 
+def unrepeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches without rows of the same (doc_id, text_key) as the row before, as a sorted join leaves repeated rows."""
+    last = None
+    for batch in batches:
+        keys = list(zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), strict=True))
+        keep = [k != b for b, k in zip([last, *keys], keys)]  # noqa: B905  each with the one before
+        last = keys[-1] if keys else last
+        yield batch if all(keep) else batch.filter(pa.array(keep))
+
+
 def symbols(column: pa.Array, unit: str) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of all rows end to end and their counts; unit: byte or word."""
     raw, offsets = flat(column)

@@ -1,10 +1,13 @@
 """Operator 9: removal of every byte that a repeated 200-byte string covers, by suffix arrays.
 
-1.  Every window of ``width`` bytes has an anchor (``winnow``); windows can only be equal where anchors are.  Regions are
-    counted by (anchor, region) with map-side sums: a region seen twice is repeated throughout.
-2.  Where an anchor stands in several different regions, one copy of each region is fetched.  Regions of the same
+1.  Every window of ``width`` bytes has an anchor (``winnow``); windows can only be equal where anchors are.  Regions, the
+    bytes of consecutive windows of one anchor, are counted with map-side sums, so copies of a region are one string with
+    its number; a string with several places is repeated throughout.
+2.  Where an anchor stands in several different regions, one copy of each region is fetched, and regions of the same
     anchors meet in one task, in slabs of bounded size.  There a suffix array (``lyndon``: linear grouping by Lyndon
-    prefixes) over content-defined tokens puts equal windows side by side, and a window hash confirms each pair.
+    prefixes) over content-defined tokens orders what follows every window's first bytes, and the common prefixes of
+    neighbours in it, in bytes, say which windows are equal: those that begin alike up to the next token (compared byte
+    by byte) and whose rest is an interval of suffixes with a common prefix of the bytes that are missing.
     An anchor with more than ``hot`` different regions is left out of that and counted window by window instead, so no
     task gets an unbounded group; both ways are exact.
 3.  The runs of repeated windows are joined back to the documents, which drop what they cover.
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import spans, winnow
-from quillon.llm.lyndon import suffix_array
+from quillon.llm.lyndon import RangeMinimum, common_prefixes, suffix_array
 from quillon.plans.shared import partitions, staged
 
 WIDTH = 200
@@ -40,59 +43,84 @@ STARTS_TOKEN = (winnow.finalize(_pair + np.uint64(977)) % np.uint64(TOKEN)) == 0
 
 
 def equal_windows(raw: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray:
-    """Marks window starts whose ``width`` bytes also start elsewhere in the texts laid end to end in ``raw``."""
+    """Marks window starts whose ``width`` bytes also start elsewhere in the texts laid end to end in ``raw``.
+
+    Two equal windows have their tokens at the same places, as two bytes decide where a token starts.  So both consist of
+    the same bytes up to the first token that starts inside, and of the beginnings of two suffixes of the sequence of tokens.
+    """
     n = len(raw)
+    mark = np.zeros(n, dtype=bool)
     ends = np.cumsum(lengths)
     begins = ends - lengths
     row = np.repeat(np.arange(len(lengths)), lengths)
-    cut = np.zeros(n, dtype=bool)
-    if n > 1:
-        cut[1:] = STARTS_TOKEN[raw[:-1].astype(np.int64) * 256 + raw[1:]]
-    cut[begins[lengths > 0]] = False
-    tokens = np.flatnonzero(cut)
-    stops = np.append(tokens[1:], n)
-    stops = np.minimum(stops, ends[row[tokens]]) if len(tokens) else stops[:0]
+    starts = np.flatnonzero(np.arange(n) + width <= ends[row]) if n else np.zeros(0, dtype=np.int64)
+    if not len(starts):
+        return mark
+    # pieces: from a text's start or a token to the next token or the text's end
+    opens = np.zeros(n, dtype=bool)
+    opens[1:] = STARTS_TOKEN[raw[:-1].astype(np.int64) * 256 + raw[1:]]
+    opens[begins[lengths > 0]] = True
+    pieces = np.flatnonzero(opens)
+    stops = np.append(pieces[1:], n)
     data = raw.tobytes()
-    words = [data[a:b] for a, b in zip(tokens.tolist(), stops.tolist(), strict=True)]
-    order = {w: k + 1 for k, w in enumerate(sorted(set(words)))}
-    # one sequence: the tokens of each text, then 0
-    last = np.searchsorted(tokens, ends)
-    seq = np.zeros(len(tokens) + len(lengths), dtype=np.int64)
-    where = np.arange(len(tokens)) + (row[tokens] if len(tokens) else np.zeros(0, dtype=np.int64))
-    assert len(last) == len(lengths)
-    seq[where] = [order[w] for w in words]
-    sorted_suffixes = np.array(suffix_array(seq.tolist()), dtype=np.int64)
+    strings = [data[a:b] for a, b in zip(pieces.tolist(), stops.tolist(), strict=True)]
+    names = {w: k for k, w in enumerate(sorted(set(strings)))}
+    which = np.array([names[w] for w in strings], dtype=np.int64)
+    # the sequence of names from 1, and a 0 after each text
+    seq = np.zeros(len(pieces) + len(lengths), dtype=np.int64)
+    where = np.arange(len(pieces)) + row[pieces]
+    seq[where] = which + 1
+    text = seq.tolist()
+    order = suffix_array(text)
     rank = np.empty(len(seq), dtype=np.int64)
-    rank[sorted_suffixes] = np.arange(len(seq))
-    token_rank = rank[where]
-    # windows by (bytes up to the next token, order of what follows): equal ones are neighbours
-    starts = np.flatnonzero(np.arange(n) + width <= ends[row]) if n else np.zeros(0, dtype=np.int64)
-    nxt = np.searchsorted(tokens, starts + 1)
-    have = nxt < len(tokens)
-    at = np.full(len(starts), np.iinfo(np.int64).max)
-    at[have] = tokens[nxt[have]]
-    inside = at < starts + width
-    sums = winnow.prefix_sums(raw)
-    head = winnow.span_hash(sums, starts, np.where(inside, at, starts + width))
-    follow = np.full(len(starts), -1, dtype=np.int64)
-    follow[inside] = token_rank[nxt[inside]]
+    rank[order] = np.arange(len(seq))
+    alike = RangeMinimum(_common_bytes(text, order, list(names)))
+    # what a window has before the next piece, named by its bytes
+    tails = {}
+    firsts = np.cumsum([0, *(len(w) for w in names)])[:-1]
+    tail_names = np.array([tails.setdefault(w[k : k + width], len(tails)) for w in names for k in range(len(w))], dtype=np.int64)
+    piece = np.searchsorted(pieces, starts, side="right") - 1
+    head = tail_names[firsts[which[piece]] + starts - pieces[piece]]
+    missing = width - np.minimum(stops[piece] - starts, width)
+    follow = np.where(missing > 0, rank[where[np.minimum(piece + 1, len(pieces) - 1)]], -1)
     by = np.lexsort((follow, head))
-    whole = winnow.span_hash(sums, starts, starts + width)[by]
-    same = whole[1:] == whole[:-1]
-    mark = np.zeros(n, dtype=bool)
-    mark[starts[by[1:][same]]] = True
-    mark[starts[by[:-1][same]]] = True
+    a, b = by[:-1], by[1:]
+    same = head[a] == head[b]
+    rest = np.flatnonzero(same & (missing[a] > 0))
+    same[rest] = alike(follow[a[rest]] + 1, follow[b[rest]]) >= missing[a[rest]]
+    mark[starts[a[same]]] = True
+    mark[starts[b[same]]] = True
     return mark
 
 
+def _common_bytes(text: list[int], order: list[int], strings: list[bytes]) -> np.ndarray:
+    """For each place of the suffix array the bytes that its suffix shares with the one before, within one text."""
+    shared = common_prefixes(text, order, 0)
+    size = np.concatenate([[0], np.cumsum([len(strings[x - 1]) if x else 0 for x in text])])
+    at = np.array(order, dtype=np.int64)
+    out = size[at + shared] - size[at]
+    # the first names that differ may begin alike
+    for k in range(1, len(order)):
+        i, j = order[k - 1] + int(shared[k]), order[k] + int(shared[k])
+        if i < len(text) and j < len(text) and text[i] and text[j]:
+            out[k] += _begin_alike(strings[text[i] - 1], strings[text[j] - 1])
+    return out
+
+
+def _begin_alike(x: bytes, y: bytes) -> int:
+    n = min(len(x), len(y))
+    if x[:n] == y[:n]:
+        return n
+    return next(k for k in range(n) if x[k] != y[k])
+
+
 def _fetched(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """One row with its bytes for each wanted region (anchor, n, doc_id, text_key, first, last)."""
     lists = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "n", "first", "last")).alias("wanted"))
-    # of repeated rows one is enough
     both = docs.join(lists, docs["doc_id"].eqNullSafe(lists["doc_id"]) & (docs["text_key"] == lists["text_key"])).select(docs["doc_id"], docs["text_key"], "text", "wanted")
 
     def cut(batches):
-        for batch in spans.slices(batches, "text"):
+        for batch in spans.slices(spans.unrepeated(batches), "text"):
             raw, offsets = spans.flat(batch.column("text"))
             data = raw.tobytes()
             wants = batch.column("wanted")
@@ -115,6 +143,11 @@ def _by_suffix_arrays(regions: DataFrame, width: int) -> DataFrame:
     """Runs of repeated windows of the regions that occur once, from suffix arrays over all regions of their anchors."""
 
     def solve(table: pa.Table) -> pa.RecordBatch:
+        # repeated rows fetch a region again
+        places = np.stack([np.asarray(pc.fill_null(table.column(c).combine_chunks(), 0)).astype(np.int64) for c in ("anchor", "doc_id", "text_key", "first")] + [np.asarray(pc.is_null(table.column("doc_id")).combine_chunks()).astype(np.int64)])
+        own = np.unique(places, axis=1, return_index=True)[1]
+        if len(own) < len(table):
+            table = table.take(pa.array(np.sort(own)))
         raw, offsets = spans.flat(table.column("bytes").combine_chunks())
         lengths = np.diff(offsets)
         mark = equal_windows(raw, lengths, width)

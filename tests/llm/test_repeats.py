@@ -5,10 +5,11 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from quillon.llm import fingerprint_index, suffix_dedup
-from quillon.llm.lyndon import suffix_array
+from quillon.llm.lyndon import RangeMinimum, common_prefixes, suffix_array
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, kept string, anchor int"  # clashing names are ignored
@@ -85,6 +86,77 @@ def test_suffix_array_against_sorting():
         assert suffix_array(text) == sorted(range(len(text)), key=lambda k: text[k:]), text
 
 
+def test_common_prefixes_and_minima():
+    r = random.Random(2)
+    for _ in range(300):
+        text = [r.randint(0, r.choice([1, 3])) for _ in range(r.randint(1, 40))]
+        order = suffix_array(text)
+        got = common_prefixes(text, order, 0)
+        for k in range(1, len(order)):
+            a, b = text[order[k - 1] :], text[order[k] :]
+            n = 0
+            while n < min(len(a), len(b)) and a[n] == b[n] != 0:
+                n += 1
+            assert got[k] == n
+        low = RangeMinimum(got)
+        pairs = [sorted((r.randrange(len(got)), r.randrange(len(got)))) for _ in range(20)]
+        a, b = np.array(pairs).T
+        assert low(a, b).tolist() == [got[x : y + 1].min() for x, y in pairs]
+
+
+def test_the_construction_is_linear():
+    """The work for a sequence eight times as long is about eight times as much, on sequences that are hard for sorting."""
+    import time
+
+    def cost(text):
+        best = 1e9
+        for _ in range(3):
+            began = time.perf_counter()
+            suffix_array(text)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    fibonacci = [[1], [0]]
+    while len(fibonacci[-1]) < 60_000:
+        fibonacci.append(fibonacci[-1] + fibonacci[-2])
+    for make in (lambda n: [0] * n, lambda n: list(range(n, 0, -1)), lambda n: fibonacci[-1][:n], lambda n: [k % 7 for k in range(n)]):
+        assert cost(make(40_000)) < 8 * 3 * max(cost(make(5_000)), 0.001)
+
+
+def windows_by_brute_force(texts, width):
+    seen = Counter(t[k : k + width] for t in texts for k in range(len(t) - width + 1))
+    out = []
+    for t in texts:
+        out += [k + width <= len(t) and seen[t[k : k + width]] > 1 for k in range(len(t))]
+    return out
+
+
+def odd_texts(r):
+    base = bytes(r.choice(b"abc .") for _ in range(r.randint(0, 120)))
+    texts = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 60))) for _ in range(3)] + [b"", base, b"a" * r.randint(0, 50)]
+    for _ in range(3):
+        a = r.randint(0, len(base))
+        texts.append(bytes(r.choice(b"xyz") for _ in range(r.randint(0, 9))) + base[a : a + r.randint(0, 60)] + bytes(r.choice(b"xyz") for _ in range(r.randint(0, 9))))
+    return texts
+
+
+def test_equal_windows_come_from_the_order_of_suffixes(monkeypatch):
+    r = random.Random(9)
+    for _ in range(400):
+        texts, width = odd_texts(r), r.choice([1, 2, 5, 20])
+        raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        got = suffix_dedup.equal_windows(raw, np.array([len(t) for t in texts]), width)
+        assert got.tolist() == windows_by_brute_force(texts, width)
+    # with suffixes out of order the result is wrong: nothing else decides it
+    real, wrong = suffix_dedup.suffix_array, 0
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda text: real(text)[::2] + real(text)[1::2])
+    for _ in range(100):
+        texts = odd_texts(r)
+        raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        wrong += suffix_dedup.equal_windows(raw, np.array([len(t) for t in texts]), 20).tolist() != windows_by_brute_force(texts, 20)
+    assert wrong > 10
+
+
 @pytest.mark.parametrize("seed,n", [(1, 60), (2, 120)])
 def test_bytes_against_brute_force(spark, saved, seed, n):
     rows = texts(seed, n)
