@@ -192,6 +192,38 @@ def test_words_against_brute_force(spark, saved, seed, n, batches):
     assert Counter(map(tuple, got.collect())) == brute_words(rows)
 
 
+def test_runs_are_compacted_and_history_is_not_shuffled(spark, saved, monkeypatch):
+    rows = texts(7, 120)
+    docs = spark.read.parquet(f"{saved(rows)}/documents.parquet")
+    levels, plans = [], []
+    real = fingerprint_index.FingerprintIndex.append
+
+    def append(self, name):
+        if self.runs:
+            semi = self.read(self.runs[0][1]).join(self.read(name).hint("merge"), "anchor", "left_semi")
+            plans.append(semi._jdf.queryExecution().executedPlan().toString())
+        real(self, name)
+        levels.append(sorted(k for k, _ in self.runs))
+
+    monkeypatch.setattr(fingerprint_index.FingerprintIndex, "append", append)
+    got = fingerprint_index.remove_repeats(docs).selectExpr("doc_id", "n_words", "n_removed", "sha2(cast(kept as binary), 256)")
+    assert Counter(map(tuple, got.collect())) == brute_words(rows)
+    assert levels == [[0], [0, 0], [1], [0, 1]]
+    assert plans and all("SortMergeJoin" in x and "Exchange" not in x for x in plans)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("fingerprints_")]
+
+
+def test_words_are_compared_and_not_only_hashes(spark, saved, monkeypatch):
+    """Windows that only share a hash are no copies."""
+    rows = texts(6, 60)
+    docs = spark.read.parquet(f"{saved(rows)}/documents.parquet")
+    real = fingerprint_index._windows
+    monkeypatch.setattr(fingerprint_index, "_windows", lambda bodies, width: real(bodies, width).selectExpr("anchor", "region", "least", "at", "window % 2 AS window"))
+    out = fingerprint_index.remove_repeats(docs).collect()
+    want = {(i, n): k for i, n, k, _ in brute_words(rows)}
+    assert all(r.n_removed <= want[(r.doc_id, r.n_words)] for r in out)
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None, None)], [(None, "", "", 0)]])
 def test_empty(spark, saved, rows):
     folder = saved(rows) if rows else None
