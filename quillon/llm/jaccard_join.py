@@ -1,17 +1,19 @@
 """Operator 6: n-gram Jaccard self-join by a MinHash LSH forest with exact verification.
 
 1.  A text is its set of ``gram``-word shingles (a shorter one is one shingle).  Documents of one set form a node.
-2.  Each of ``trees`` prefix tries holds the node's MinHashes in a fixed order.  Starting at ``max_depth``, the prefix
-    that two nodes must share is shortened until 1 - (1 - threshold ** depth) ** trees reaches the target recall.
-    The tries are rows sorted by (tree, prefix), whose stretches of equal prefixes are the trie nodes of that depth.
-3.  Within a stretch, pairs are compared on whole signatures; a pair counts in the first tree that holds both.  Only
-    nodes that have a likely partner there go on, and get their shingle sets from the texts.
-4.  Sets of one stretch meet and every likely pair is verified exactly.  A stretch sends on counts of links and a
-    spanning forest, never its pairs.  Stretches above ``block`` nodes are dealt over pairs of blocks.
+2.  Each of ``trees`` prefix tries holds ``max_depth`` MinHashes of every node in a fixed order.  Rows sorted by prefix are
+    the trie: a stretch of equal prefixes is one of its nodes.  No pair has to meet above ``depth_for``, the depth at which
+    a pair at the threshold shares a prefix with the target recall, so nodes alone in all their stretches there are done.
+3.  The others meet from ``max_depth`` upwards: prefixes are shortened by one, and only stretches that this merges from
+    different deeper ones are looked at.  A pair is compared on whole signatures where its longest common prefix ends, in
+    the first tree that has it; nodes with a likely partner go on to verification.  After each round the pairs found so far, by
+    their similarity, tell how many are still missing (as if there were one more at the threshold), and the rounds end when
+    the found ones reach the target recall, at the depth of 2. at the latest.
+4.  Shingle sets of the nodes that go on are made from the texts, and every likely pair is verified exactly.  A stretch sends
+    on counts of links and a spanning forest, never its pairs.  Stretches above ``block`` nodes are dealt over pairs of blocks.
 5.  Classes are connected components of links (``components``).
 
-The signature comparison passes pairs at the threshold but for 6 standard deviations; with the defaults a link at the
-threshold is missed with a probability below 1e-5, one at 0.85 below 1e-7.
+The signature comparison passes pairs at the threshold but for 6 standard deviations.
 
 Defined results: null texts and texts without words are alone and have no links; equal shingle sets are copies: one class,
 no link; repeated rows are copies; null ids come last in a class; an empty table gives no rows; other columns are ignored
@@ -22,15 +24,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import spans, winnow
 from quillon.llm.components import components
-from quillon.plans.shared import partitions, staged
+from quillon.plans.shared import discard, partitions, staged
 
 GRAM = 5
 THRESHOLD = 0.8
@@ -50,6 +54,20 @@ def depth_for(threshold: float, trees: int = TREES, max_depth: int = MAX_DEPTH,
     return depth
 
 
+def found_at(depth: int, similarity, trees: int = TREES):
+    """The probability that a pair shares a prefix of this depth in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def expected_recall(agreements: np.ndarray, depth: int, threshold: float, trees: int) -> float:
+    """The share of links found down to ``depth``; agreements: how many likely pairs found agree in 0, 1, ... MinHashes."""
+    similarity = np.arange(len(agreements)) / (len(agreements) - 1)
+    at = similarity >= threshold
+    n, p, least = agreements[at], found_at(depth, similarity[at], trees), found_at(depth, threshold, trees)
+    missing = (n * (1 - p) / p).sum() + (1 - least) / least
+    return float(n.sum() / (n.sum() + missing))
+
+
 def least_agreement(threshold: float, size: int) -> int:
     """Equal MinHashes of ``size`` that a pair at the threshold has but for 6 standard deviations."""
     return max(0, math.floor(size * threshold - 6 * math.sqrt(size * threshold * (1 - threshold))))
@@ -77,13 +95,13 @@ def _multipliers(size: int) -> np.ndarray:
 
 
 def signatures(hashes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
-    """(texts, size) MinHashes of 32 bits; texts without shingles get zeros."""
-    out = np.zeros((len(counts), size), dtype=np.uint32)
+    """(texts, size) MinHashes, of which 16 bits are kept; texts without shingles get zeros."""
+    out = np.zeros((len(counts), size), dtype=np.uint16)
     some = np.flatnonzero(counts)
     if len(some):
         begin = (np.cumsum(counts) - counts)[some]
         for k, a in enumerate(_multipliers(size)):
-            out[some, k] = np.minimum.reduceat(((hashes * a) >> np.uint64(32)).astype(np.uint32), begin)
+            out[some, k] = np.minimum.reduceat(((hashes * a) >> np.uint64(32)).astype(np.uint32), begin).astype(np.uint16)
     return out
 
 
@@ -108,37 +126,39 @@ def signed(docs: DataFrame, gram: int, size: int) -> DataFrame:
     return docs.mapInArrow(scan, f"{spans.KEYS}, node long, check long, n int, signature binary")
 
 
-def _likely(n: np.ndarray, sig: np.ndarray, tree: np.ndarray, groups: np.ndarray, side: np.ndarray, depth: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of rows, sorted by group, that may be links and have their first common prefix in this tree.
+STRETCH = ["depth", "tree", "prefix", "left", "right"]
 
-    side: 0, or 1 and 2 for the two blocks of a split stretch, whose pairs are those across.
-    """
-    least = least_agreement(threshold, sig.shape[1])
+
+def _likely(t: Stretches, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, rows, agreements): pairs of rows of a stretch that may be links and belong to this depth and tree."""
+    trees, depths = t.signature.shape[1:]
+    least = least_agreement(threshold, trees * depths)
     k = 1
-    at = np.arange(len(groups))
+    at = np.arange(len(t.group))
     while True:
-        at = at[at + k < len(groups)]
-        at = at[groups[at] == groups[at + k]]
+        at = at[at + k < len(t.group)]
+        at = at[t.group[at] == t.group[at + k]]
         if not len(at):
             return
         for part in range(0, len(at), 65536):
             a = at[part : part + 65536]
             b = a + k
-            ok = (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])) & ((side[a] == 0) | (side[a] != side[b]))
+            ok = (np.minimum(t.n[a], t.n[b]) >= threshold * np.maximum(t.n[a], t.n[b])) & ((t.side[a] == 0) | (t.side[a] != t.side[b]))
             a, b = a[ok], b[ok]
-            same = sig[a] == sig[b]
-            ok = same.sum(axis=1) >= least
-            a, b, same = a[ok], b[ok], same[ok]
-            first = same.reshape(len(a), -1, depth).all(axis=2).argmax(axis=1) if len(a) else a
-            ok = first == tree[a]
+            same = t.signature[a] == t.signature[b]
+            agree = same.sum(axis=(1, 2))
+            ok = agree >= least
+            a, b, same, agree = a[ok], b[ok], same[ok], agree[ok]
+            if not len(a):
+                continue
+            # the longest common prefix over all trees, and the first tree that has it
+            common = np.logical_and.accumulate(same, axis=2).sum(axis=2)
+            ok = (common.max(axis=1) == t.depth[a]) & (common.argmax(axis=1) == t.tree[a])
             if ok.any():
-                yield a[ok], b[ok]
+                yield a[ok], b[ok], agree[ok]
         k += 1
 
 
-STRETCH = ["tree", "prefix", "left", "right"]
-
-
 def _slabs(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
     """Tables of whole stretches from batches sorted by STRETCH."""
     held, size, last = [], 0, None
@@ -164,12 +184,24 @@ def _slabs(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _columns(table: pa.Table, size: int):
-    get = lambda c: np.asarray(table.column(c).combine_chunks())
-    keys = np.stack([get(c).astype(np.int64) for c in STRETCH])
-    groups = np.append(0, np.cumsum((keys[:, 1:] != keys[:, :-1]).any(axis=0))) if keys.shape[1] else np.zeros(0, dtype=np.int64)
-    raw, _ = spans.flat(table.column("signature").combine_chunks())
-    return get("n"), raw.view(np.uint32).reshape(-1, size), get("tree"), groups, get("side")
+@dataclass
+class Stretches:
+    """Rows of whole stretches; side: 0, or 1 and 2 for the two blocks of a split stretch, whose pairs are those across."""
+
+    n: np.ndarray
+    signature: np.ndarray  # (rows, trees, depths)
+    depth: np.ndarray
+    tree: np.ndarray
+    group: np.ndarray
+    side: np.ndarray
+
+    @staticmethod
+    def of(table: pa.Table, trees: int, depths: int) -> Stretches:
+        get = lambda c: np.asarray(table.column(c).combine_chunks())
+        keys = np.stack([get(c).astype(np.int64) for c in STRETCH])
+        group = np.append(0, np.cumsum((keys[:, 1:] != keys[:, :-1]).any(axis=0))) if keys.shape[1] else np.zeros(0, dtype=np.int64)
+        raw, _ = spans.flat(table.column("signature").combine_chunks())
+        return Stretches(get("n"), raw.view(np.uint16).reshape(-1, trees, depths), get("depth"), get("tree"), group, get("side"))
 
 
 def _dealt(df: DataFrame) -> DataFrame:
@@ -206,30 +238,70 @@ def _meet(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
-def links(docs: DataFrame, nodes: DataFrame, threshold: float, gram: int, trees: int, depth: int, block: int) -> DataFrame:
-    """(node, root, degree) from every stretch: what each node counts of its links there, and its tree in a spanning forest."""
-    size = trees * depth
-    width = 4 * depth
-    keys = nodes.filter("n > 0").select("node", "n", "signature", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.substring("signature", t * width + 1, F.lit(width))))).alias("tree", "prefix"))
-    shared = keys.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    rows = keys.select("tree", "prefix", "node").join(staged(shared, "stretches"), ["tree", "prefix"])
+def trie_rows(nodes: DataFrame, trees: int, max_depth: int, floor: int) -> DataFrame:
+    """(node, n, signature, tree, p<floor>, ..., p<max_depth>): nodes by tree, with hashes of their prefixes.
+
+    Rows that share no prefix of ``floor`` MinHashes are left out.
+    """
+    width = 2 * max_depth
+
+    def prefix(depth: int) -> Column:
+        return F.xxhash64("tree", F.substring("signature", F.col("tree") * width + 1, F.lit(2 * depth)))
+
+    rows = nodes.filter("n > 0").select("node", "signature", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    keys = rows.select("node", "tree", prefix(floor).alias("prefix"))
+    shared = staged(keys.groupBy("prefix").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("prefix"), "stretches")
+    met = keys.join(shared, "prefix").select("node", "tree")
+    full = met.join(nodes.select("node", "n", "signature"), "node")
+    return staged(full.select("node", "n", "signature", "tree", *(prefix(d).alias(f"p{d}") for d in range(floor, max_depth + 1))), "trie")
+
+
+def likely_rows(trie: DataFrame, depth: int, trees: int, max_depth: int, threshold: float, block: int) -> DataFrame:
+    """(node, n, signature, STRETCH, side, agreements): rows with a likely partner whose common prefix ends at ``depth``.
+
+    agreements: on one row of a batch, the numbers of its pairs that agree in 0, 1, ... MinHashes.
+    """
+    here = f"p{depth}"
+    deeper = "node" if depth == max_depth else f"p{depth + 1}"
+    stretches = trie.groupBy(here).agg(F.count(F.lit(1)).alias("members"), F.min(deeper).alias("a"), F.max(deeper).alias("b")).filter("a < b").select(here, "members")
+    rows = trie.join(staged(stretches, "merged-stretches"), here)
     # a stretch of more than ``block`` nodes: blocks by hash, and a task for each pair of blocks
-    blocks = F.ceil(F.col("members") / block).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", "tree"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node", "tree"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("tree", "prefix", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), F.expr("CASE WHEN own = other THEN 0 WHEN own < other THEN 1 ELSE 2 END").alias("side"), "node")
-    rows = rows.join(nodes.select("node", "n", "signature"), "node")
+    side = F.expr("CASE WHEN own = other THEN 0 WHEN own < other THEN 1 ELSE 2 END")
+    rows = rows.select("node", "n", "signature", F.lit(depth).alias("depth"), "tree", F.col(here).alias("prefix"), F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), side.alias("side"))
 
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _slabs(batches, 8192):
-            n, sig, tree, groups, side = _columns(table, size)
-            keep = np.zeros(len(n), dtype=bool)
-            for a, b in _likely(n, sig, tree, groups, side, depth, threshold):
+            t = Stretches.of(table, trees, max_depth)
+            keep = np.zeros(len(table), dtype=bool)
+            agreements = np.zeros(trees * max_depth + 1, dtype=np.int64)
+            for a, b, agree in _likely(t, threshold):
                 keep[a] = keep[b] = True
-            yield from table.filter(pa.array(keep)).to_batches()
+                agreements += np.bincount(agree, minlength=len(agreements))
+            if keep.any():
+                out = table.filter(pa.array(keep)).combine_chunks()
+                out = out.append_column("agreements", pa.array([agreements] + [None] * (len(out) - 1), pa.list_(pa.int64())))
+                yield from out.to_batches()
+
+    schema = "node long, n int, signature binary, depth int, tree int, prefix long, left int, right int, side int, agreements array<long>"
+    return staged(_dealt(rows).mapInArrow(survivors, schema), "likely")
 
-    schema = "node long, tree int, prefix long, left int, right int, side int, n int, signature binary"
-    likely = staged(_dealt(rows.select("node", *STRETCH, "side", "n", "signature")).mapInArrow(survivors, schema), "likely")
+
+def links(docs: DataFrame, nodes: DataFrame, threshold: float, gram: int, trees: int, max_depth: int, recall: float, block: int) -> DataFrame:
+    """(node, root, degree) from every stretch: what each node counts of its links there, and its tree in a spanning forest."""
+    floor = depth_for(threshold, trees, max_depth, recall)
+    trie = trie_rows(nodes, trees, max_depth, floor)
+    agreements = np.zeros(trees * max_depth + 1, dtype=np.int64)
+    rounds = []
+    for depth in range(max_depth, floor - 1, -1):
+        rounds.append(likely_rows(trie, depth, trees, max_depth, threshold, block))
+        for r in rounds[-1].select(F.posexplode("agreements").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():  # a row for each k
+            agreements[r["k"]] += r["n"]
+        if expected_recall(agreements, depth, threshold, trees) >= recall:
+            break
+    discard(trie)
+    likely = reduce(DataFrame.unionByName, rounds).drop("agreements")
     # shingle sets of the nodes that go on, each from one of its documents
     holders = nodes.join(likely.select("node").distinct(), "node").select("node", "doc_id", "text_key")
     texts = docs.join(holders, ["doc_id", "text_key"]).dropDuplicates(["node"]).select("node", "text")
@@ -244,7 +316,8 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float, gram: int, trees:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _slabs(batches, 2048):
-            n, sig, tree, groups, side = _columns(table, size)
+            t = Stretches.of(table, trees, max_depth)
+            n, groups = t.n, t.group
             raw, offsets = spans.flat(table.column("shingles").combine_chunks())
             values, offsets = np.frombuffer(raw.tobytes(), dtype=np.uint64), offsets // 8
             degree = np.zeros(len(n), dtype=np.int64)
@@ -256,10 +329,10 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float, gram: int, trees:
                     x = root[x]
                 return x
 
-            pairs = list(_likely(n, sig, tree, groups, side, depth, threshold))
+            pairs = list(_likely(t, threshold))
             if not pairs:
                 continue
-            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            a, b, _ = (np.concatenate(x) for x in zip(*pairs, strict=True))
             # by group, so that the pairs of a large stretch are counted together
             by = np.argsort(groups[a], kind="stable")
             a, b = a[by], b[by]
@@ -280,45 +353,47 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float, gram: int, trees:
                 node = np.asarray(table.column("node").combine_chunks())
                 yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[[find(int(k)) for k in some]]), pa.array(degree[some])], names=["node", "root", "degree"])
 
-    return staged(_dealt(full.select("node", *STRETCH, "side", "n", "signature", "shingles")).mapInArrow(verify, "node long, root long, degree long"), "links")
+    return staged(_dealt(full).mapInArrow(verify, "node long, root long, degree long"), "links")
 
 
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, trees: int = TREES, recall: float = RECALL, max_depth: int = MAX_DEPTH, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_key, class_id, n_copies, n_links) for each document row.
+    """(doc_id, text_key, class_key, class_id, n_copies, n_links) for each document row.
 
-    class_id: smallest id of the documents it is linked with, directly or not, and of their copies; n_copies: documents
-    with its shingle set, itself included; n_links: other sets at or above the threshold.
+    class_id: smallest id of the documents it is linked with, directly or not, and of their copies; class_key tells classes
+    apart that have this in common; n_copies: documents with its shingle set, itself included; n_links: other sets at or
+    above the threshold.
     """
-    depth = depth_for(threshold, trees, max_depth, recall)
     docs = spans.keyed(documents.withColumn(id_col, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))), id_col, text_col)
-    rows = staged(signed(docs, gram, trees * depth), "signed")
+    rows = staged(signed(docs, gram, trees * max_depth), "signed")
     # node and check are 128 bits of one set; a text without words is a node of its own
     rows = rows.withColumn("node", F.when(F.col("n") > 0, F.xxhash64("node", "check")).otherwise(F.xxhash64("doc_id", "text_key", F.lit(0)))).drop("check")
     nodes = staged(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"), *(F.first(c).alias(c) for c in ("doc_id", "text_key", "n", "signature"))), "nodes")
-    found = links(docs, nodes, threshold, gram, trees, depth, block)
+    found = links(docs, nodes, threshold, gram, trees, max_depth, recall, block)
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     degrees = found.groupBy("node").agg(F.sum("degree").alias("n_links"))
     linked = staged(nodes.select("node", "least").join(roots, "node").join(degrees, "node", "left"), "linked")
     classes = linked.groupBy("root").agg(F.min("least").alias("class_id"))
-    linked = linked.join(classes, "root").select("node", "class_id", "n_links")
-    whole = staged(nodes.select("node", "least", "n_copies").join(linked, "node", "left").select("node", F.coalesce("class_id", "least").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes")
+    linked = linked.join(classes, "root").select("node", "root", "class_id", "n_links")
+    whole = nodes.select("node", "least", "n_copies").join(linked, "node", "left")
+    whole = staged(whole.select("node", F.coalesce("root", "node").alias("class_key"), F.coalesce("class_id", "least").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes")
     out = rows.select("doc_id", "text_key", "node", "n").join(whole, "node")
     alone = F.col("n") == 0
-    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "text_key", F.nullif(F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")), F.lit(NO_ID)).alias("class_id"), F.when(alone, 1).otherwise(F.col("n_copies")).alias("n_copies"), "n_links")
+    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "text_key", "class_key", F.nullif(F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")), F.lit(NO_ID)).alias("class_id"), F.when(alone, 1).otherwise(F.col("n_copies")).alias("n_copies"), "n_links")
 
 
 def distinct_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each class, that with the smallest id, with all its columns; documents without words all stay.
+    """One document of each class, that with the smallest id (ties: smallest hash of the text), with all its columns.
 
-    Of repeated rows (one id and one text) one stays.
+    A document without words is a class of its own; of repeated rows (one id and one text) one stays.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    place = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     classes = near_duplicates(documents, id_col=id_col, text_col=text_col, **options)
-    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__near_id"), F.col("text_key").alias("__near_key")).distinct()
-    out = documents.withColumn("__near_text", F.xxhash64(text)).join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__near_id")) & (F.col("__near_text") == F.col("__near_key")), "left_semi")
-    return out.dropDuplicates([id_col, "__near_text"]).drop("__near_text")
+    classes = classes.select("class_key", F.coalesce("doc_id", F.lit(NO_ID)).alias("__near_id"), F.col("text_key").alias("__near_text"))
+    kept = classes.groupBy("class_key").agg(F.min(F.struct("__near_id", "__near_text")).alias("kept")).select("kept.*")
+    out = documents.withColumn("__near_id", place).withColumn("__near_text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    return out.join(kept, ["__near_id", "__near_text"], "left_semi").dropDuplicates(["__near_id", "__near_text"]).select(*documents.columns)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class, copies and links of every document."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key", "class_key")

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from quillon.llm import jaccard_join as j
@@ -93,6 +94,38 @@ def test_one_document_of_each_class_stays(spark):
     assert j.distinct_documents(docs.limit(0)).count() == 0
 
 
+def test_documents_of_one_id(spark):
+    """Two texts of one id and one class: one stays; two classes with one smallest id: one of each stays."""
+    words = [f"w{k}" for k in range(60)]
+    near, other = [*words[:59], "x"], [f"v{k}" for k in range(60)]
+    rows = [(1, " ".join(words)), (1, " ".join(near)), (1, " ".join(other)), (2, " ".join(other)), (3, ""), (4, None)]
+    kept = j.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((r.doc_id, r.text or "") for r in kept.collect())
+    assert len(got) == 4 and got[2:] == [(3, ""), (4, "")] and (1, " ".join(other)) in got
+
+
 def test_depth_reaches_the_recall():
     d = j.depth_for(0.8)
     assert 1 - (1 - 0.8**d) ** j.TREES >= j.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** j.TREES
+
+
+def test_prefixes_are_shortened_as_far_as_the_pairs_need(spark, monkeypatch):
+    """Close copies are all found at great depth; pairs at the threshold make the tries go up to the least depth."""
+    r = random.Random(4)
+    depths = []
+    real = j.likely_rows
+    monkeypatch.setattr(j, "likely_rows", lambda trie, depth, *a: depths.append(depth) or real(trie, depth, *a))
+    close, far = [], []
+    for k in range(300):
+        w = [f"{k}.{i}" for i in range(400)]
+        close += [" ".join(w), " ".join([*w[:399], "y"])]
+        far += [" ".join(w), " ".join([*w[:358], *(f"z{i}" for i in range(42))])]
+    for texts_, last, links in ((close, 5, 600), (far, 4, 600)):
+        depths.clear()
+        docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+        out = j.near_duplicates(docs, recall=0.99999).collect()
+        assert depths == list(range(8, depths[-1] - 1, -1)) and depths[-1] >= last
+        assert depths[-1] == 4 or links == sum(x.n_links for x in out)
+        assert sum(x.n_links for x in out) == links
+    assert depths[-1] == 4
+    assert j.expected_recall(np.bincount([190] * 5000, minlength=193), 8, 0.8, 24) > 0.99999 > j.expected_recall(np.bincount([160] * 5000, minlength=193), 8, 0.8, 24)
