@@ -77,11 +77,11 @@ def scan_licenses(files: DataFrame, templates: DataFrame, threshold: float = THR
     path = F.coalesce(F.col(path_col), F.lit(""))
     files = files.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # files of one id and one path may be different: the text tells them apart
-    files = files.withColumn("dir", directory(F.col("path"))).withColumn("is_license", F.substring_index("path", "/", -1).rlike(LICENSE_FILE)).withColumn("file", F.md5(F.concat_ws("|", F.md5("path"), F.md5("text"))))
+    files = files.withColumn("dir", directory(F.col("path"))).withColumn("is_license", F.substring_index("path", "/", -1).rlike(LICENSE_FILE)).withColumn("file", F.unhex(F.md5(F.concat_ws("|", F.md5("path"), F.md5("text")))))
     parts = F.concat(F.split("text", "\n", -1), F.split("text", BLANK, -1))
     parts = F.when(F.col("text").rlike(TERMS), F.filter(parts, lambda x: x.rlike(TERMS))).otherwise(F.array().cast("array<string>"))
     units = F.array_distinct(F.when(F.col("is_license"), F.concat(parts, F.array("text"))).otherwise(parts))
-    named = files.select("doc_id", "file", "dir", "is_license", F.explode(units).alias("body")).withColumn("unit", F.md5("body"))
+    named = files.select("doc_id", "file", "dir", "is_license", F.explode(units).alias("body")).withColumn("unit", F.unhex(F.md5("body")))
     distinct = staged(named.groupBy("unit").agg(F.first("body").alias("body"), F.count(F.lit(1)).alias("times")), "license-units")
     scores = staged(score_units(distinct, templates, threshold), "license-scores")
     files = files.select("doc_id", "path", "file", "dir")
