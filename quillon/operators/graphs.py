@@ -67,22 +67,46 @@ def holdout_recovery(edges: DataFrame, seeds: DataFrame, hidden: DataFrame, nega
     return share(hidden).withColumnRenamed("x", "recall").crossJoin(F.broadcast(share(negatives).withColumnRenamed("x", "leak"))).withColumn("objective", F.round(F.col("recall") - F.col("leak"), 6))
 
 
-def sweep(edges: DataFrame, seeds: DataFrame, negatives: DataFrame, folds: int, grid: dict[str, list]) -> DataFrame:
-    """Mean objective over folds for each setting of the grid (a few dozen rows; each is a distributed expansion)."""
+def sweep(edges: DataFrame, seeds: DataFrame, negatives: DataFrame, folds: int, grid: dict[str, list], rounds: int = ROUNDS, least_fresh: int = LEAST_FRESH) -> DataFrame:
+    """Mean recall, leak and objective over folds for each setting of the grid.
+
+    grid: values of any of least_hits, least_score, promote and decay.  Settings and folds are parameter rows: all their
+    expansions go through the same joins, round by round, and those that have ended drop out.
+    """
     spark = edges.sparkSession
+    values = {"least_hits": [LEAST_HITS], "least_score": [LEAST_SCORE], "promote": [PROMOTE], "decay": [DECAY]} | grid
+    settings = [(k, *map(float, v)) for k, v in enumerate(itertools.product(*values.values()))]
+    if not settings:
+        return spark.createDataFrame([], ", ".join(f"{c} double" for c in (*values, "recall", "leak", "objective")))
+    table = spark.createDataFrame(settings, "setting int, " + ", ".join(f"{c} double" for c in values))
+    runs = F.broadcast(table.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumn("run", F.col("setting") * folds + F.col("fold")))
     edges = staged(edges, "edges")
-    out = None
-    for values in itertools.product(*grid.values()):
-        setting = dict(zip(grid, values, strict=True))
-        rows = None
-        for fold in range(folds):
-            hidden = seeds.filter(F.pmod(F.xxhash64("id"), F.lit(folds)) == fold).select("id")
-            one = holdout_recovery(edges, seeds, hidden, negatives, **setting)
-            rows = one if rows is None else rows.unionByName(one)
-        row = rows.agg(*[F.round(F.avg(c), 6).alias(c) for c in ("recall", "leak", "objective")])
-        row = row.select(*[F.lit(v).alias(k) for k, v in setting.items()], "recall", "leak", "objective")
-        out = row if out is None else out.unionByName(row)
-    return out if out is not None else spark.createDataFrame([], "objective double")
+    degrees = staged(edges.groupBy("dst").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(edges.agg(F.countDistinct("src").alias("sources")))).select("dst", F.log(F.col("sources") / F.col("df")).alias("idf")), "degrees")
+    dealt = seeds.select("id").distinct().withColumn("hidden", F.pmod(F.xxhash64("id"), F.lit(folds)).cast("int"))
+    pool = staged(dealt.join(runs, F.col("hidden") != F.col("fold")).select("run", "id", F.lit(1.0).alias("weight")), "pools")
+    found = None
+    for k in range(rounds):
+        weights = pool.join(degrees, pool["id"] == degrees["dst"]).select("run", "dst", (F.col("idf") * F.col("weight")).alias("idf"))
+        mean = weights.groupBy("run").agg(F.avg("idf").alias("mean")).join(runs, "run")  # a row for each run
+        hits = edges.join(weights, "dst").groupBy("run", F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("hits"), F.sum("idf").alias("total"))
+        scored = hits.join(F.broadcast(mean), "run").withColumn("signal", F.try_divide("total", "mean")).filter("hits >= least_hits and signal >= least_score")
+        fresh = scored.select("run", "id", "signal", (F.col("signal") >= F.col("promote")).alias("up"), "decay").join(pool.select("run", "id"), ["run", "id"], "left_anti")
+        if found is not None:
+            fresh = fresh.join(found, ["run", "id"], "left_anti")
+        fresh = staged(fresh, "fresh")
+        found = fresh.select("run", "id") if found is None else found.unionByName(fresh.select("run", "id"))
+        go = staged(fresh.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.count_if("up").alias("ups")).filter(F.col("n") >= least_fresh).filter("ups > 0").select("run"), "going-on")
+        if go.isEmpty():
+            break
+        up = fresh.filter("up").select("run", "id", F.pow("decay", F.lit(k + 1)).alias("weight"))
+        pool = staged(pool.unionByName(up).join(F.broadcast(go), "run"), "pools")
+    recalled = found.join(dealt, "id").join(runs, "run").filter("hidden = fold").groupBy("run").agg(F.count(F.lit(1)).alias("recalled"))
+    leaked = found.join(negatives.select("id").distinct(), "id").groupBy("run").agg(F.count(F.lit(1)).alias("leaked"))
+    wanted = dealt.groupBy(F.col("hidden").alias("fold")).agg(F.count(F.lit(1)).alias("wanted"))
+    share = lambda part, whole: F.round(F.try_divide(F.coalesce(part, F.lit(0)), whole), 6)
+    rated = runs.join(F.broadcast(wanted), "fold", "left").join(recalled, "run", "left").join(leaked, "run", "left").crossJoin(F.broadcast(negatives.agg(F.countDistinct("id").alias("bad"))))
+    rated = rated.withColumns({"recall": share("recalled", "wanted"), "leak": share("leaked", "bad")}).withColumn("objective", F.round(F.col("recall") - F.col("leak"), 6))
+    return rated.groupBy(*values).agg(*[F.round(F.avg(c), 6).alias(c) for c in ("recall", "leak", "objective")])
 
 
 def resolve_seeds(wanted: DataFrame, works: DataFrame) -> DataFrame:

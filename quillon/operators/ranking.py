@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.plans.shared import staged
+from quillon.plans.shared import partitions, staged
 
 LEAST_CITATIONS = 10
 
@@ -14,12 +14,13 @@ def momentum_ratio(recent: Column, prior: Column) -> Column:
     return F.when(prior + recent == 0, 0.0).otherwise(recent.cast("double") / F.greatest(prior, F.lit(3)))
 
 
-def percent_ranks(df: DataFrame, columns: dict[str, str], pieces: int = 32) -> DataFrame:
+def percent_ranks(df: DataFrame, columns: dict[str, str], pieces: int | None = None) -> DataFrame:
     """Percent rank of each column (double) over the whole table, nulls first, without a window over all rows.
 
     Values of all columns are counted in one pass, cut into ``pieces`` of about equal numbers of values by column, summed up
-    in order inside each piece and over the pieces (a handful of rows), and joined back by value.
+    in order inside each piece and over the pieces (a handful of rows), and joined back by value.  pieces: as many as tasks.
     """
+    pieces = pieces or max(2, partitions(df.sparkSession))
     df = staged(df, "ranked")
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])))
     counts = long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
@@ -62,11 +63,15 @@ def per_month(citations: Column, published: Column, as_of: str) -> Column:
 
 
 def quota(works: DataFrame, windows: list[tuple[str, int, int]]) -> DataFrame:
-    """Top works by citations of each (window, days, rows), age in days in ``age``; a work may be in several windows."""
-    spark = works.sparkSession
-    table = spark.createDataFrame(windows, "window string, days int, quota int")
-    both = works.join(F.broadcast(table), F.col("age") <= F.col("days"))
-    return both.withColumn("place", F.row_number().over(Window.partitionBy("window").orderBy(F.desc("citations"), "id"))).filter("place <= quota").drop("days", "quota")
+    """Top works by citations of each (window, days, rows), age in days in ``age``; a work may be in several windows.
+
+    Each window is a top-k of its own: every task keeps its best rows, and only these meet.
+    """
+    out = None
+    for name, days, rows in windows:
+        best = works.filter(F.col("age") <= days).orderBy(F.desc("citations"), "id").limit(rows).withColumn("window", F.lit(name))
+        out = best if out is None else out.unionByName(best)
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("window").orderBy(F.desc("citations"), "id")))
 
 
 def trending(tagged: DataFrame, least: int = 4, least_prior: int = 20, top: int = 8) -> DataFrame:
@@ -108,9 +113,24 @@ def status(runs: DataFrame) -> DataFrame:
     return runs.withColumn("status", s)
 
 
+#: an alias may be written as a name, as a slug or with an archive's number in it; the first two always exist
+NAME, SLUG, NUMBER = "name", "slug", "number"
+ARCHIVE_NUMBER = r"([0-9]{4}\.[0-9]{4,5})"
+
+
+def alias_keys(alias: Column) -> Column:
+    """The keys of an alias, best first: its name without version, its slug, and the archive number it holds."""
+    name = F.regexp_replace(F.lower(F.trim(alias)), r"v[0-9]+$", "")
+    slug = F.regexp_replace(F.regexp_replace(F.lower(F.trim(alias)), "[^a-z0-9]+", "-"), "^-|-$", "")
+    number = F.nullif(F.regexp_extract(alias, ARCHIVE_NUMBER, 1), F.lit(""))
+    return F.filter(F.array_distinct(F.array(name, slug, number)), lambda k: k.isNotNull() & (k != ""))
+
+
 def resolve_aliases(records: DataFrame, runs: DataFrame) -> DataFrame:
-    """(id, run): the run of the first alias of a record that has one; records: id, aliases; runs: key, run."""
-    norm = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"v[0-9]+$", "")
-    a = records.select("id", F.posexplode("aliases").alias("place", "alias")).withColumn("key", norm(F.col("alias")))
-    r = runs.select(norm(F.col("key")).alias("key"), "run").groupBy("key").agg(F.min("run").alias("run"))
-    return a.join(r, "key").groupBy("id").agg(F.min_by("run", "place").alias("run"))
+    """(id, run): the run of the first alias of a record that has one; records: id, aliases; runs: key, run.
+
+    Both sides answer to all three forms of their aliases; of several runs of a key the smallest counts.
+    """
+    a = records.select("id", F.posexplode("aliases").alias("place", "alias")).select("id", "place", F.posexplode(alias_keys(F.col("alias"))).alias("form", "key"))
+    r = runs.select(F.explode(alias_keys(F.col("key"))).alias("key"), "run").groupBy("key").agg(F.min("run").alias("run"))
+    return a.join(r, "key").groupBy("id").agg(F.min_by("run", F.struct("place", "form")).alias("run"))

@@ -154,6 +154,15 @@ def ingest(new: DataFrame, known: DataFrame, keys: list[str], order: str) -> Dat
     return dedupe(new.join(known.select(*keys).distinct(), keys, "left_anti"), F.struct(*keys), F.col(order))
 
 
+def ingest_counts(new: DataFrame, known: DataFrame, keys: list[str], order: str, by: str = "source") -> DataFrame:
+    """(by, new, dup, total): what ``ingest`` takes of each source and what it passes over."""
+    taken = ingest(new, known, keys, order).groupBy(by).agg(F.count(F.lit(1)).alias("new"))
+    total = new.groupBy(by).agg(F.count(F.lit(1)).alias("total"))
+    fresh = F.coalesce(F.col("new"), F.lit(0).cast("long"))
+    both = total.join(taken.withColumnRenamed(by, "__by"), F.col(by).eqNullSafe(F.col("__by")), "left")
+    return both.select(by, fresh.alias("new"), (F.col("total") - fresh).alias("dup"), "total")
+
+
 def idea(abstract: Column, limit: int = 200) -> Column:
     """Leading sentences up to a length, without a boilerplate opener, cut at a word."""
     body = F.regexp_replace(F.coalesce(abstract, F.lit("")), r"(?i)^\s*(abstract|this (paper|study|article)|in this (paper|study|article),?( we)?)[:.]?\s*", "")

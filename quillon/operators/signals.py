@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillon.operators.panel import by_asset, trailing
+from quillon.plans.shared import partitions
 
 MIN_DAYS = 15
 
@@ -115,20 +118,29 @@ def share_turnover(panel: DataFrame, shares: DataFrame) -> DataFrame:
 def ewm(values: DataFrame, span: int, column: str = "ret", name: str = "ewm") -> DataFrame:
     """Exponentially weighted mean with the recursive rule, null until the first value, nulls passed over.
 
-    The fold is over the asset's own ordered past; weights of passed-over rows still decay.
+    Weights of passed-over rows still decay.  Rows are dealt by asset and sorted; one pass carries each asset's mean and
+    weight from row to row, so the work is linear and the state two numbers.
     """
     alpha = 2.0 / (span + 1)
-    past = F.collect_list(F.struct(F.col(column).alias("x"))).over(by_asset().rowsBetween(Window.unboundedPreceding, 0))
-    start = F.struct(F.lit(None).cast("double").alias("m"), F.lit(1.0).alias("w"))
-
-    def step(s: Column, v: Column) -> Column:
-        x = v["x"]
-        known = s["m"].isNotNull()
-        old = s["w"] * (1 - alpha)
-        mean = (old * s["m"] + F.lit(alpha) * x) / (old + alpha)
-        return F.when(~known, F.struct(x.alias("m"), F.lit(1.0).alias("w"))).when(x.isNull(), F.struct(s["m"].alias("m"), old.alias("w"))).otherwise(F.struct(mean.alias("m"), F.lit(1.0).alias("w")))
-
-    return values.withColumn(name, F.aggregate(past, start, step, lambda s: s["m"]))
+    dealt = values.repartition(partitions(values.sparkSession), "asset").sortWithinPartitions("asset", "date")
+
+    def run(batches):
+        asset, mean, weight = object(), None, 1.0
+        for batch in batches:
+            out = []
+            for a, x in zip(batch.column("asset").to_pylist(), batch.column(column).to_pylist(), strict=True):
+                if a != asset:
+                    asset, mean, weight = a, None, 1.0
+                if mean is None:
+                    mean = None if x is None else float(x)
+                else:
+                    weight *= 1 - alpha
+                    if x is not None:
+                        mean, weight = (weight * mean + alpha * x) / (weight + alpha), 1.0
+                out.append(mean)
+            yield batch.append_column(name, pa.array(out, pa.float64()))
+
+    return dealt.mapInArrow(run, StructType([*dealt.schema.fields, StructField(name, DoubleType())]))
 
 
 def macd(panel: DataFrame, n: int = 20, sensitivity: float = 0.9) -> DataFrame:
@@ -172,11 +184,40 @@ def average_cross(fast: int = 50, slow: int = 200, value: str = "level") -> Call
     return rule
 
 
-#: registry by name: a function of the dense panel and the published direction
+def rolling_product(series: DataFrame, months: int, ret: str = "ret") -> DataFrame:
+    """Compound return of the last ``months`` rows, null before there are as many; series: (date, ret)."""
+    w = Window.orderBy("date").rowsBetween(-(months - 1), 0)
+    return series.withColumn("compound", F.when(F.count(ret).over(w) == months, F.exp(F.sum(F.log1p(ret)).over(w)) - 1))
+
+
+def momentum_switch(series: DataFrame, months: int, cost: float = 0.0) -> DataFrame:
+    """(date, position, ret) of holding the market when the last ``months`` rows before were up, else cash; series: (date, mkt, rf)."""
+    w = Window.orderBy("date")
+    held = rolling_product(series, months, "mkt").withColumn("before", F.lag("compound").over(w)).filter("before is not null").withColumn("position", (F.col("before") > 0).cast("double"))
+    switched = F.coalesce(F.abs(F.col("position") - F.lag("position").over(w)), F.lit(0.0))
+    gross = F.col("position") * F.col("mkt") + (1 - F.col("position")) * F.col("rf")
+    return held.withColumn("switched", switched).select("date", "position", ((1 + gross) * (1 - cost * F.col("switched")) - 1).alias("ret"))
+
+
+def _of_returns(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """A signal of the panel from a function of its returns."""
+
+    def run(panel: DataFrame) -> DataFrame:
+        rets = panel.select("asset", "date", (F.col("close") / F.lag("close").over(by_asset()) - 1).alias("ret"))
+        return f(rets).select("asset", "date", "score")
+
+    return run
+
+
+#: registry by name: a function of the dense panel and the published direction; windows are counted in the panel's rows
 SIGNALS: dict[str, tuple[Callable[[DataFrame], DataFrame], int]] = {
     "mom12m": (lambda p: momentum(p, 1, 12), 1),
     "mom6m": (lambda p: momentum(p, 1, 6), 1),
     "strev": (lambda p: reversal(p, 1), -1),
+    "maxret": (_of_returns(lambda r: max_return(r, 12)), -1),
+    "retvol": (_of_returns(lambda r: return_vol(r, 12)), -1),
+    "idiovol": (_of_returns(lambda r: idio_vol(r, 24)), -1),
+    "beta": (_of_returns(lambda r: beta(r, 24)), 1),
 }
 
 

@@ -162,14 +162,14 @@ def switching_rule(spark, folder):
 @query(
     sql(
         "brand_returns",
-        """WITH w AS (SELECT asset, 1.0::DOUBLE / count(*) OVER () AS w FROM (SELECT DISTINCT asset FROM brand_returns WHERE asset < 'Brand#2')),
+        """WITH w AS (SELECT asset, 1.0::DOUBLE / count(*) OVER () AS w FROM (SELECT DISTINCT asset FROM brand_returns)),
 d AS (SELECT date, sum(w * coalesce(ret, 0)) AS ret FROM brand_returns JOIN w USING (asset) GROUP BY date)
 SELECT date, round(ret, 6) + 0.0::DOUBLE AS ret, round(exp(sum(ln(1 + ret)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)), 6) AS wealth FROM d""",
     )
 )
 def fixed_hold(spark, folder):
     r = P.returns(P.dense(V.brand_month(spark, folder)))
-    names = r.filter("asset < 'Brand#2'").select("asset").distinct()
+    names = r.select("asset").distinct()
     weights = names.crossJoin(F.broadcast(names.agg(F.count(F.lit(1)).alias("n")))).select("asset", (1.0 / F.col("n")).alias("w"))
     return rounded(B.fixed_hold(r, weights))
 

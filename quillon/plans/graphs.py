@@ -56,9 +56,13 @@ def signal_expand(spark, folder):
 @query()
 def holdout_recovery(spark, folder):
     s = seeds(spark, folder)
-    return G.holdout_recovery(V.edges(spark, folder), s, s.filter("id % 5 = 0").select("id"), negatives(spark, folder), rounds=2, promote=2.5, least_hits=2)
+    return G.holdout_recovery(V.edges(spark, folder), s, s.filter("id % 5 = 0").select("id"), negatives(spark, folder), promote=2.5, least_hits=2)
+
+
+# fixed values: the grid of settings
+GRID = {"least_hits": [2, 3, 4], "least_score": [1.0, 1.5, 2.5, 4.0], "promote": [2.5, 3.0, 4.5, 99.0], "decay": [0.4, 0.6, 0.8]}
 
 
 @query()
 def signal_sweep(spark, folder):
-    return G.sweep(V.edges(spark, folder), seeds(spark, folder), negatives(spark, folder), 2, {"least_hits": [1, 2], "decay": [0.6], "rounds": [1]})
+    return G.sweep(V.edges(spark, folder), seeds(spark, folder), negatives(spark, folder), 4, GRID)

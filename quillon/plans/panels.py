@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import panel as P
 from quillon.operators import signals as S
-from quillon.plans.registry import query, without
+from quillon.plans.registry import query
 from quillon.sources import views as V
 from quillon.sources.views import sql
 
@@ -171,19 +171,12 @@ def share_turnover(spark, folder):
     sql(
         "market_day",
         """WITH w12 AS (SELECT *, row_number() OVER (ORDER BY date) AS k FROM market_day),
-fold AS (SELECT date, k, list_reduce((SELECT list(g.level ORDER BY g.k) FROM w12 g WHERE g.k <= f.k AND g.k > f.k - 400), lambda a, x: a * (11.0::DOUBLE / 13) + x * (2.0::DOUBLE / 13)) AS e FROM w12 f WHERE k <= 400)
+fold AS (SELECT date, k, list_reduce((SELECT list(g.level ORDER BY g.k) FROM w12 g WHERE g.k <= f.k AND g.k > f.k - 400), lambda a, x: a * (11.0::DOUBLE / 13) + x * (2.0::DOUBLE / 13)) AS e FROM w12 f)
 SELECT date, round(e, 6) AS ewm FROM fold""",
     )
 )
 def ewm_series(spark, folder):
-    """The first 400 dates, as its SQL has it; ``ewm_series_all`` has all."""
-    s = V.market_day(spark, folder).withColumn("asset", F.lit("market")).withColumn("k", F.row_number().over(Window.orderBy("date"))).filter("k <= 400")
-    return rounded(S.ewm(s, 12, "level").select("date", "ewm"))
-
-
-# what lies 400 rows back weighs (11 / 13) ** 400 < 1e-28, so the SQL's look-back is no cut
-@query(without("ewm_series", " WHERE k <= 400"))
-def ewm_series_all(spark, folder):
+    """What lies 400 rows back weighs (11 / 13) ** 400 < 1e-28, so the look-back of the SQL is no cut."""
     return rounded(S.ewm(V.market_day(spark, folder).withColumn("asset", F.lit("market")), 12, "level").select("date", "ewm"))
 
 

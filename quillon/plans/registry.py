@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-MODULES = ("panels", "books", "statistics", "screens", "graphs", "scores", "catalogue", "estimators", "streams", "reports")
+MODULES = ("panels", "books", "statistics", "screens", "graphs", "scores", "catalogue", "estimators", "streams", "reports", "studies")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -23,15 +23,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def without(name: str, *cuts: str) -> str:
-    """The SQL of a registered query without the given row filters, for its form over all rows."""
-    text = SQL[name]
-    for cut in cuts:
-        assert cut in text, (name, cut)
-        text = text.replace(cut, "")
-    return text
-
-
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     for m in MODULES:
         importlib.import_module(f"quillon.plans.{m}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import scoring as S
 from quillon.plans.panels import rounded
-from quillon.plans.registry import query, without
+from quillon.plans.registry import query
 from quillon.sources import views as V
 from quillon.sources.views import sql
 
@@ -77,13 +77,13 @@ def verification(spark, folder):
     return cells(spark, folder).select("item_id", S.judge_criterion(observed, F.lit(30.0), i % 4 != 0).alias("criterion"), S.judge_target(observed, F.lit(33.0), F.lit(5.0)).alias("target"))
 
 
-@query("WITH t AS (SELECT doc_id, unnest(string_split(text, ' ')) AS token FROM documents), c AS (SELECT doc_id, trim(translate(token, '−–', '--')) AS raw FROM t), m AS (SELECT *, regexp_extract(raw, '^\\(?(-?)\\$?(\\d[\\d,]*(\\.\\d+)?)\\)?(%?)([*†‡]{0,3})$', ['sign', 'body', 'frac', 'pct', 'stars']) AS g FROM c WHERE regexp_matches(raw, '^\\(?(-?)\\$?(\\d[\\d,]*(\\.\\d+)?)\\)?(%?)([*†‡]{0,3})$')) SELECT raw, round(CASE WHEN g.sign = '-' THEN -1 ELSE 1 END * replace(g.body, ',', '')::DOUBLE, 6) AS value, g.pct = '%' AS percent, length(g.stars)::INTEGER AS stars, starts_with(raw, '(') AS parenthesised, count(*) AS n FROM m WHERE contains(g.body, '.') OR g.pct = '%' GROUP BY ALL")
+@query("WITH t AS (SELECT doc_id, unnest(string_split(concat_ws(' ', text, '(−' || (n_chars / 4)::VARCHAR || ')**'), ' ')) AS token FROM documents), c AS (SELECT doc_id, trim(translate(token, '−–', '--')) AS raw FROM t), m AS (SELECT *, regexp_extract(raw, '^\\(?(-?)\\$?(\\d[\\d,]*(\\.\\d+)?)\\)?(%?)([*†‡]{0,3})$', ['sign', 'body', 'frac', 'pct', 'stars']) AS g FROM c WHERE regexp_matches(raw, '^\\(?(-?)\\$?(\\d[\\d,]*(\\.\\d+)?)\\)?(%?)([*†‡]{0,3})$')) SELECT raw, round(CASE WHEN g.sign = '-' THEN -1 ELSE 1 END * replace(g.body, ',', '')::DOUBLE, 6) AS value, g.pct = '%' AS percent, length(g.stars)::INTEGER AS stars, starts_with(raw, '(') AS parenthesised, count(*) AS n FROM m WHERE contains(g.body, '.') OR g.pct = '%' GROUP BY ALL")
 def parse_cells(spark, folder):
-    d = V.table(spark, folder, "documents").select(F.explode(F.split("text", " ")).alias("token"))
+    d = V.table(spark, folder, "documents").select(F.explode(F.split(F.concat_ws(" ", "text", F.concat(F.lit("(−"), F.col("n_chars") / 4, F.lit(")**"))), " ")).alias("token"))
     return rounded(d.select(S.parse_cell(F.col("token")).alias("c")).filter("c is not null").select("c.*").groupBy("raw", "value", "percent", "stars", "parenthesised").agg(F.count(F.lit(1)).alias("n")), "value")
 
 
-@query()
+@query("SELECT item_id, 'Buy and hold ' || item_id AS label, ['1.25*', '(0.31)', '12%', '−3.4'] AS numbers FROM benchmark")
 def split_rows(spark, folder):
     d = V.table(spark, folder, "benchmark").select("item_id", F.concat(F.lit("Buy and hold  "), "item_id", F.lit(" 1.25* (0.31) 12% −3.4")).alias("line"))
     return d.select("item_id", S.split_row(F.col("line")).alias("r")).select("item_id", "r.*")
@@ -112,18 +112,13 @@ def reputation_fold(spark, folder):
     return S.reputation(e, "user_id")
 
 
-LOG = "log AS (SELECT date AS ts, avg_ok AS verdict_accuracy, loss AS asymmetric_loss, fn AS n_false_negatives FROM (SELECT o_orderdate::DATE AS date, avg((o_orderstatus = 'F')::INTEGER)::DOUBLE AS avg_ok, sum((o_orderstatus = 'P')::INTEGER)::DOUBLE AS loss, count(*) FILTER (o_orderstatus = 'O') AS fn FROM orders WHERE o_orderdate < TIMESTAMP '1995-06-01' GROUP BY 1))"
+LOG = "log AS (SELECT date AS ts, avg_ok AS verdict_accuracy, loss AS asymmetric_loss, fn AS n_false_negatives FROM (SELECT o_orderdate::DATE AS date, avg((o_orderstatus = 'F')::INTEGER)::DOUBLE AS avg_ok, sum((o_orderstatus = 'P')::INTEGER)::DOUBLE AS loss, count(*) FILTER (o_orderstatus = 'O') AS fn FROM orders GROUP BY 1))"
 
 
-BEFORE = " WHERE o_orderdate < TIMESTAMP '1995-06-01'"
-
-
-def log(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
-    """Runs by day; the queries named ``_all`` read the whole log, the others what LOG has."""
-    o = V.table(spark, folder, "orders")
-    o = o if whole else o.filter("o_orderdate < '1995-06-01'")
+def log(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs by day."""
     s = F.col("o_orderstatus")
-    return o.groupBy(F.to_date("o_orderdate").alias("ts")).agg(F.avg((s == "F").cast("double")).alias("verdict_accuracy"), F.sum((s == "P").cast("double")).alias("asymmetric_loss"), F.count_if(s == "O").alias("n_false_negatives"))
+    return V.table(spark, folder, "orders").groupBy(F.to_date("o_orderdate").alias("ts")).agg(F.avg((s == "F").cast("double")).alias("verdict_accuracy"), F.sum((s == "P").cast("double")).alias("asymmetric_loss"), F.count_if(s == "O").alias("n_false_negatives"))
 
 
 @query(f"WITH {LOG}, l AS (SELECT * FROM log ORDER BY ts DESC LIMIT 10) SELECT count(*) AS runs, round(avg(verdict_accuracy), 6) AS mean_verdict_accuracy, round(avg(asymmetric_loss), 6) AS mean_asymmetric_loss, arg_max(asymmetric_loss, ts) - arg_min(asymmetric_loss, ts) AS trend, max(ts) AS latest_run FROM l")
@@ -131,31 +126,16 @@ def platform_metrics(spark, folder):
     return rounded(S.platform_metrics(log(spark, folder)), "mean_verdict_accuracy", "mean_asymmetric_loss")
 
 
-@query(without("platform_metrics", BEFORE))
-def platform_metrics_all(spark, folder):
-    return rounded(S.platform_metrics(log(spark, folder, whole=True)), "mean_verdict_accuracy", "mean_asymmetric_loss")
-
-
 @query(f"WITH {LOG} SELECT ts, CASE WHEN lag(ts) OVER w IS NULL THEN [] ELSE list_filter([CASE WHEN verdict_accuracy < lag(verdict_accuracy) OVER w - 0.05::DOUBLE THEN 'verdict_accuracy dropped' END, CASE WHEN n_false_negatives > lag(n_false_negatives) OVER w THEN 'false_negatives rose' END, CASE WHEN asymmetric_loss > lag(asymmetric_loss) OVER w * 1.2::DOUBLE THEN 'asymmetric_loss jumped' END], lambda x: x IS NOT NULL) END AS alerts FROM log WINDOW w AS (ORDER BY ts)")
 def regression_alerts(spark, folder):
     return S.regression_alerts(log(spark, folder))
 
 
-@query(without("regression_alerts", BEFORE))
-def regression_alerts_all(spark, folder):
-    return S.regression_alerts(log(spark, folder, whole=True))
-
-
 @query(f"WITH {LOG}, n AS (SELECT *, row_number() OVER (ORDER BY ts) AS k FROM log), c AS (SELECT ts, k, 'c' || (k % 3)::VARCHAR AS ref FROM n WHERE k % 4 = 0), d AS (SELECT ref, (SELECT avg(p.asymmetric_loss) FROM n p WHERE p.k BETWEEN c.k + 1 AND c.k + 3) - (SELECT p.asymmetric_loss FROM n p WHERE p.k = c.k) AS delta FROM c) SELECT ref, count(delta) AS fired, round(avg(delta), 3) + 0.0::DOUBLE AS mean_delta, CASE WHEN count(delta) >= 5 THEN CASE WHEN avg(delta) < -2 THEN 'promote' WHEN avg(delta) > 2 THEN 'demote' ELSE 'low_signal' END ELSE 'needs_more_data' END AS verdict FROM d GROUP BY ref")
 def rule_attribution(spark, folder):
     return attributed(log(spark, folder))
 
 
-@query(without("rule_attribution", BEFORE))
-def rule_attribution_all(spark, folder):
-    return attributed(log(spark, folder, whole=True))
-
-
 def attributed(runs: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 

@@ -17,26 +17,36 @@ def stream(spark, folder, name):
     return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
 
 
-@query()
+BARS = "SELECT date_trunc('day', ts)::DATE AS day, event_type, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, round(sum(value), 4) AS volume, count(*) AS n FROM events GROUP BY 1, 2"
+
+
+def events(spark, folder):
+    return V.table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query(BARS)
 def event_bars_stream(spark, folder):
     e = stream(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return rounded(feeds.drained(feeds.bars(e), "bars"))
+    bars = feeds.drained(feeds.bars(feeds.closed(e, events(spark, folder), "ts", "4 DAYS")), "bars")
+    return rounded(bars.withColumn("day", F.to_date("start")).drop("start"), "volume", digits=4)
 
 
-@query("SELECT event_type, user_id, min(event_id) > 0 OR true AS seen FROM events GROUP BY 1, 2")
+@query("SELECT event_type, count(DISTINCT user_id) AS new, count(*) - count(DISTINCT user_id) AS dup, count(*) AS total FROM events GROUP BY 1")
 def ingest_stream(spark, folder):
-    """Keys of a feed, each once."""
+    """Users of each type of event that the feed lets through, each once, and the rows it drops."""
     e = stream(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return feeds.drained(feeds.ingest_stream(e.select("event_type", "user_id", "ts"), ["event_type", "user_id"], "ts", "3650 days"), "ingest").select("event_type", "user_id", F.lit(True).alias("seen"))
+    taken = feeds.drained(feeds.ingest_stream(e.select("event_type", "user_id", "ts"), ["event_type", "user_id"], "ts", "3650 days"), "ingest")
+    total = events(spark, folder).groupBy("event_type").agg(F.count(F.lit(1)).alias("total"))
+    new = taken.groupBy("event_type").agg(F.count(F.lit(1)).alias("new"))
+    return total.join(new, "event_type").select("event_type", "new", (F.col("total") - F.col("new")).alias("dup"), "total")
 
 
-@query("SELECT date_trunc('day', ts)::DATE AS day, event_type, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, round(sum(value), 4) AS volume, count(*) AS n FROM events GROUP BY 1, 2")
+@query(BARS)
 def event_bars(spark, folder):
     e = V.table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return rounded(feeds.bars(e).withColumn("day", F.to_date("start")).drop("start"), "volume", digits=4)
 
 
-@query()
+@query("WITH g AS (SELECT user_id, ts, value, (ts > lag(ts) OVER w + INTERVAL 6 HOURS OR lag(ts) OVER w IS NULL)::INTEGER AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts)::TIMESTAMP AS start, max(ts)::TIMESTAMP + INTERVAL 6 HOURS AS stop, count(*) AS n, round(sum(value), 6) + 0.0::DOUBLE AS value FROM s GROUP BY user_id, k")
 def user_sessions(spark, folder):
-    e = V.table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return rounded(feeds.sessions(e, "6 hours"))
+    return rounded(feeds.sessions(events(spark, folder), "6 hours"))

@@ -72,6 +72,17 @@ def paper_record(works: DataFrame) -> DataFrame:
     return works.select("id", "title", short.alias("authors"), link.alias("url"), F.coalesce(F.nullif("date", F.lit("")), F.concat("year", F.lit("-01-01"))).alias("published"), "abstract", "citations", "venue")
 
 
+def load_universe(spark, path: str, other: list[str]) -> DataFrame:
+    """(symbol) of a JSON list of names, or of the names of ``other`` where there is none."""
+    try:
+        text = spark.read.text(path, wholetext=True)
+    except Exception as e:  # noqa: BLE001  only a missing file stands for the others
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([(x,) for x in other], "symbol string")
+    return text.select(F.explode(F.from_json("value", "array<string>")).alias("symbol")).filter("symbol is not null").distinct()
+
+
 def abstract_of(index: Column) -> Column:
     """Text from a map of words to their positions."""
     places = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))

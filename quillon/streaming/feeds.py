@@ -28,6 +28,19 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 days") -
     return w.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("stop"), "n", "value")
 
 
+def closed(stream: DataFrame, rows: DataFrame, time: str, after: str) -> DataFrame:
+    """The stream and one row without values, ``after`` later than all ``rows``, which passes the watermark over them.
+
+    Windows of a drained stream are whole then; the row's own window stays open and is never emitted.
+    """
+    spark = rows.sparkSession
+    end = rows.agg((F.max(time) + F.expr(f"INTERVAL {after}")).alias(time))
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema if f.name != time]
+    folder = f"{scratch_dir(spark)}/end-{uuid.uuid4().hex}"
+    end.select(F.col(time).cast(stream.schema[time].dataType), *none).select(*stream.columns).write.parquet(folder)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder))
+
+
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over what is there, to the end, into Parquet in the shared folder, and read that."""
     spark: SparkSession = stream.sparkSession

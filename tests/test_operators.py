@@ -119,12 +119,20 @@ def test_printed_numbers_and_tables(spark):
     df = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", scoring.parse_cell(F.col("t")).alias("c"))
     for r in df.collect():
         assert (r.c.value if r.c else None) == tokens[r.t]
-        assert (exhibits.number(r.t) or (None,))[0] == tokens[r.t]
     row = spark.range(1).select(scoring.split_row(F.lit("Buy and hold 104.63 9.1%")).alias("r")).first().r
     assert row.label == "Buy and hold" and row.numbers == ["104.63", "9.1%"]
     text = "Table 6. Out\nk = 1 k = 3\nTW AV TW AV\nBuy and hold 104.63 9.10 104.63 9.10\nMomentum\nmom 12 100.21 8.75* 98.10 8.50\nNotes: x 1.5"
-    cells = {c[0]: c[9] for c in exhibits.page_cells(text, 3)}
+    again = "Table 7. Panels\nTW AV SD\nPanel A: early\nx 1.1 2.2 3.3\nMSE R2 Hit\ny 4.4 5.5 6.6\nPanel B: late\nx 7.7 8.8 9.9\nragged 1.0 2.0\nFigure 1. Axis\n1.5 2.5"
+    pages = spark.createDataFrame([("p", 3, text), ("p", 4, "Table 6. Out\nA B\nx 1.0 2.0"), ("p", 5, again), ("p", 6, None), ("q", 1, "no exhibit 1.5")], "paper string, page int, text string")
+    got = exhibits.harvest(pages).collect()
+    cells = {c.cell: c.value for c in got if c.exhibit == "Table 6"}
     assert cells["T6/Buy and hold/k = 1/TW"] == 104.63 and cells["T6/Momentum/mom 12/k = 3/AV"] == 8.5 and len(cells) == 8
+    # a header after data begins a block; a panel without headers has those above the panels
+    assert {c.cell: c.value for c in got if c.exhibit == "Table 7"} == {
+        "T7/Panel A/x/TW": 1.1, "T7/Panel A/x/AV": 2.2, "T7/Panel A/x/SD": 3.3, "T7/Panel A/y/MSE": 4.4, "T7/Panel A/y/R2": 5.5, "T7/Panel A/y/Hit": 6.6,
+        "T7/Panel B/x/TW": 7.7, "T7/Panel B/x/AV": 8.8, "T7/Panel B/x/SD": 9.9,
+    }
+    assert {c.paper for c in got} == {"p"} and exhibits.collisions(exhibits.harvest(pages)).count() == 0
 
 
 def test_signal_code_is_checked(spark):

@@ -16,8 +16,11 @@ def test_against_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
+    """Rows with values; what they are is tested in test_operators and test_brute."""
     df = QUERIES[name](spark, FOLDER)
-    assert df.columns and len(df.collect()) >= 0
+    rows = df.collect()
+    assert rows
+    assert all(any(r[c] is not None for r in rows) for c in df.columns if c not in ("change", "claim"))
 
 
 def test_entry(spark):
@@ -41,7 +44,7 @@ def test_ewm_series_has_all_dates(spark, tmp_path):
     days = [datetime.datetime(1995, 1, 1) + datetime.timedelta(days=k) for k in range(450)]
     prices = [1000.0 * (k * k % 97) for k in range(450)]
     spark.createDataFrame(list(zip(days, prices, strict=True)), "o_orderdate timestamp, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
-    got = sorted(QUERIES["ewm_series_all"](spark, str(tmp_path)).collect())
+    got = sorted(QUERIES["ewm_series"](spark, str(tmp_path)).collect())
     assert [r.date for r in got] == [d.date() for d in days]
     assert [r.ewm for r in got] == pytest.approx(brute_ewm([1000 + p / 1000 for p in prices], 12), abs=1e-6)
 
@@ -52,14 +55,14 @@ def test_the_whole_log_has_all_days(spark, tmp_path):
     days = [datetime.datetime(1995, 5, 20) + datetime.timedelta(days=k) for k in range(40)]
     spark.createDataFrame([(d, "FOP"[k % 3]) for k, d in enumerate(days)], "o_orderdate timestamp, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
     folder = str(tmp_path)
-    assert QUERIES["platform_metrics_all"](spark, folder).first().latest_run == days[-1].date()
-    assert {r.ts for r in QUERIES["regression_alerts_all"](spark, folder).collect()} == {d.date() for d in days}
-    assert sum(r.fired for r in QUERIES["rule_attribution_all"](spark, folder).collect()) == sum(k % 4 == 0 and k < 40 for k in range(1, 41))
-    for name in ("platform_metrics_all", "regression_alerts_all", "rule_attribution_all"):
+    assert QUERIES["platform_metrics"](spark, folder).first().latest_run == days[-1].date()
+    assert {r.ts for r in QUERIES["regression_alerts"](spark, folder).collect()} == {d.date() for d in days}
+    assert sum(r.fired for r in QUERIES["rule_attribution"](spark, folder).collect()) == sum(k % 4 == 0 and k < 40 for k in range(1, 41))
+    for name in ("platform_metrics", "regression_alerts", "rule_attribution"):
         assert oracle.difference(QUERIES[name], SQL[name], spark, folder) == "", name
 
 
-def test_all_rows_where_the_other_form_has_some(spark, tmp_path):
+def test_queries_take_all_rows(spark, tmp_path):
     folder = str(tmp_path)
     texts = [(k, "word " * 50 * k, 250 * k) for k in range(1, 13)]
     spark.createDataFrame(texts, "doc_id long, text string, n_chars long").write.parquet(f"{folder}/documents.parquet")
@@ -67,11 +70,11 @@ def test_all_rows_where_the_other_form_has_some(spark, tmp_path):
     spark.createDataFrame([(1, "one line"), (2, "first\nsecond")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     lines = [(k, line, "RN"[k % 2], float(line)) for k in range(4) for line in range(1, 8)]
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_returnflag string, l_quantity double").write.parquet(f"{folder}/lineitem.parquet")
-    got = {name: QUERIES[name](spark, folder).collect() for name in ("abstract_rebuild_all", "alias_join_all", "captions_all", "spec_agreement_all")}
-    assert {r.id: r.abstract for r in got["abstract_rebuild_all"]} == {k: t for k, t, _ in texts}
-    assert {r.id: r.run for r in got["alias_join_all"]} == {k: f"run {k}" for k, *_ in texts}
-    assert {(r.paper, r.caption) for r in got["captions_all"]} == {(1, "one line"), (2, "first")}
-    assert sorted((r.id, r.line) for r in got["spec_agreement_all"]) == [(k, line) for k, line, *_ in lines]
+    got = {name: QUERIES[name](spark, folder).collect() for name in ("abstract_rebuild", "alias_join", "captions", "spec_agreement")}
+    assert {r.id: r.abstract for r in got["abstract_rebuild"]} == {k: t for k, t, _ in texts}
+    assert {r.id: r.run for r in got["alias_join"]} == {k: f"run {k}" for k, *_ in texts}
+    assert {(r.paper, r.caption) for r in got["captions"]} == {(1, "one line"), (2, "first")}
+    assert sorted((r.id, r.line) for r in got["spec_agreement"]) == [(k, line) for k, line, *_ in lines]
     for name in got:
         assert oracle.difference(QUERIES[name], SQL[name], spark, folder) == "", name
 
