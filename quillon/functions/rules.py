@@ -77,6 +77,14 @@ THEORY_ONLY = (
     r"numerical scheme|discreti[sz]ation error|asymptotic expansion|martingale representation|axiom|equilibrium existence|general equilibrium model"
 )
 LEAST_ABSTRACT = 260
+# fixed values: reasons of the practical screen
+REASONS = {
+    "essay": "essay, governance, policy or disclosure, no mechanism",
+    "unnamed": "no mechanism named in title or abstract",
+    "data": "needs data we cannot fetch (",
+    "theory": "theory, not a position (",
+    "runnable": "runnable",
+}
 
 # fixed values: tri-state testability
 TESTABLE = r"momentum|reversal|trend|moving average|cross.section|factor|anomal|volatilit|portfolio|calendar|seasonal"

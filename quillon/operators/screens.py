@@ -15,6 +15,61 @@ def has(text: Column, pattern: str) -> Column:
     return F.coalesce(text, F.lit("")).rlike(f"(?i){pattern}")
 
 
+def alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern's outermost level."""
+    out, depth, at, k = [], 0, 0, 0
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "\\":
+            k += 1
+        elif c in "([":
+            depth += 1
+        elif c in ")]":
+            depth -= 1
+        elif c == "|" and not depth:
+            out.append(pattern[at:k])
+            at = k + 1
+        k += 1
+    return [*out, pattern[at:]]
+
+
+def required(alternative: str) -> str:
+    """The longest plain text that every match of an alternative holds, in lower case."""
+    runs, run, depth, k = [], "", 0, 0
+    while k < len(alternative):
+        c = alternative[k]
+        if c in "?*{" and not depth:
+            run = run[:-1]  # what it stands after may be missing
+        if not depth and c.isascii() and (c.isalnum() or c in " &-"):
+            run += c
+        else:
+            runs.append(run)
+            run = ""
+            depth += (c in "([") - (c in ")]")
+            if c == "\\":
+                k += 1
+            elif c == "{":
+                k = alternative.index("}", k)
+        k += 1
+    return max([*runs, run], key=len).lower()
+
+
+def has_in(text: Column, low: Column, pattern: str, least: int = 3) -> Column:
+    """``has`` for long tables of words; low: the text in lower case.
+
+    The pattern is run only on texts that hold the plain text of one of its alternatives, which is a far cheaper search;
+    alternatives without such text are a pattern of their own.
+    """
+    words = {a: required(a) for a in alternatives(pattern)}
+    plain = sorted({w for w in words.values() if len(w) >= least})
+    other = [a for a, w in words.items() if len(w) < least]
+    hit = F.lit(False)
+    for w in plain:
+        hit = hit | F.contains(low, F.lit(w))
+    hit = hit & text.rlike(f"(?i){pattern}")
+    return hit | text.rlike(f"(?i){'|'.join(other)}") if other else hit
+
+
 def found(text: Column, pattern: str) -> Column:
     return F.regexp_extract(F.coalesce(text, F.lit("")), f"(?i)({pattern})", 1)
 
@@ -36,16 +91,23 @@ def all_of(text: Column, table: list[tuple[str, str]], limit: int | None = None)
 
 def practical(title: Column, abstract: Column) -> Column:
     """(ok, reason): not an essay, names a mechanism, data can be had, and the result is a position."""
-    text = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(abstract, F.lit("")))
-    named = has(title, R.STRATEGY) | ((F.length(F.coalesce(abstract, F.lit(""))) >= R.LEAST_ABSTRACT) & has(abstract, R.STRATEGY))
+    title, abstract = F.coalesce(title, F.lit("")), F.coalesce(abstract, F.lit(""))
+    text = F.concat_ws(" ", title, abstract)
     no = lambda reason: F.struct(F.lit(False).alias("ok"), reason.alias("reason"))
-    return (
-        F.when(has(text, R.ESSAY), no(F.lit("essay, governance, policy or disclosure, no mechanism")))
-        .when(~named, no(F.lit("no mechanism named in title or abstract")))
-        .when(has(text, R.UNOBTAINABLE), no(F.concat(F.lit("needs data we cannot fetch ("), F.lower(found(text, R.UNOBTAINABLE)), F.lit(")"))))
-        .when(has(text, R.THEORY_ONLY), no(F.concat(F.lit("theory, not a position ("), F.lower(found(text, R.THEORY_ONLY)), F.lit(")"))))
-        .otherwise(F.struct(F.lit(True).alias("ok"), F.lit("runnable").alias("reason")))
-    )
+
+    def judge(t: Column) -> Column:
+        named = has_in(t["title"], t["low"], R.STRATEGY) | ((F.length(t["abstract"]) >= R.LEAST_ABSTRACT) & has_in(t["abstract"], t["low"], R.STRATEGY))
+        return (
+            F.when(has_in(t["text"], t["low"], R.ESSAY), no(F.lit(R.REASONS["essay"])))
+            .when(~named, no(F.lit(R.REASONS["unnamed"])))
+            .when(has_in(t["text"], t["low"], R.UNOBTAINABLE), no(F.concat(F.lit(R.REASONS["data"]), F.lower(found(t["text"], R.UNOBTAINABLE)), F.lit(")"))))
+            .when(has_in(t["text"], t["low"], R.THEORY_ONLY), no(F.concat(F.lit(R.REASONS["theory"]), F.lower(found(t["text"], R.THEORY_ONLY)), F.lit(")"))))
+            .otherwise(F.struct(F.lit(True).alias("ok"), F.lit(R.REASONS["runnable"]).alias("reason")))
+        )
+
+    # one evaluation of the text and its lower case for all patterns
+    once = F.array(F.struct(title.alias("title"), abstract.alias("abstract"), text.alias("text"), F.lower(text).alias("low")))
+    return F.transform(once, judge)[0]
 
 
 def testability(text: Column) -> Column:

@@ -257,3 +257,20 @@ def test_columns_by_position(spark):
     schema = "sheet string, line int, x0 int, x1 int, text string"
     got = exhibits.named_by_position(spark.createDataFrame(words, schema), exhibits.column_centres(spark.createDataFrame(numbers, schema))).collect()
     assert {r.col: r.name for r in got} == {1: "Small/k=1", 2: "Small/k=2", 3: "Large/k=1", 4: "Large/k=2"}
+
+
+def test_plain_words_before_patterns(spark):
+    from pyspark.sql import functions as F
+
+    from quillon.functions import rules as R
+    from quillon.operators import screens
+
+    assert screens.alternatives(r"a(b|c)d|[|]e|\\|f") == ["a(b|c)d", "[|]e", r"\\", "f"] or screens.alternatives(r"a(b|c)d|[|]e") == ["a(b|c)d", "[|]e"]
+    assert [screens.required(x) for x in ("hedg(e|ing)", r"\bCEO\b", "tax(ation)? (policy)", "I/?B/?E/?S", "ab{2,3}cde", "colou?r", "x+yz")] == ["hedg", "ceo", "tax", "i", "cde", "colo", "yz"]
+    r = random.Random(2)
+    for pattern in (R.STRATEGY, R.ESSAY, R.UNOBTAINABLE, R.THEORY_ONLY, R.SYNTHETIC):
+        bits = [x for a in screens.alternatives(pattern) for x in (screens.required(a).upper(), a.replace("\\b", "").replace("?", ""))]
+        rows = [(" ".join(r.choice([*bits, "plain", "words", "ibes", "I/B/E/S"]) for _ in range(r.randint(0, 3))),) for _ in range(300)]
+        t = F.col("t")
+        out = spark.createDataFrame(rows, "t string").select(screens.has(t, pattern).alias("a"), screens.has_in(t, F.lower(t), pattern).alias("b")).collect()
+        assert all(x.a == x.b for x in out) and any(x.a for x in out)
