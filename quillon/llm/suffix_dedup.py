@@ -36,7 +36,7 @@ HOT = 20_000
 #: bytes of regions in one suffix array, unless one anchor's regions alone are more
 SLAB = 1 << 20
 #: a token starts where the two bytes around its start hash to 0 modulo this
-TOKEN = 16
+TOKEN = 40
 
 _pair = np.arange(65536, dtype=np.uint64)
 STARTS_TOKEN = (winnow.finalize(_pair + np.uint64(977)) % np.uint64(TOKEN)) == 0
