@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-MODULES = ("panels", "books", "statistics", "screens", "graphs", "scores", "catalogue", "estimators", "streams", "reports", "studies")
+MODULES = ("panels", "books", "statistics", "screens", "graphs", "scores", "catalogue", "estimators", "streams", "reports", "studies", "notes")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

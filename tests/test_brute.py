@@ -274,3 +274,14 @@ def test_plain_words_before_patterns(spark):
         t = F.col("t")
         out = spark.createDataFrame(rows, "t string").select(screens.has(t, pattern).alias("a"), screens.has_in(t, F.lower(t), pattern).alias("b")).collect()
         assert all(x.a == x.b for x in out) and any(x.a for x in out)
+
+
+def test_balanced_objects_and_newest(spark):
+    from quillon.operators import notes
+
+    cases = {'x {"a": {"b": "}"}} {"c": 1}': '{"a": {"b": "}"}}', "none": None, '{"q": "\\" {"} rest': '{"q": "\\" {"}', "{open": None, "": None}
+    assert {t: notes.balanced(t) for t in cases} == cases
+    df = spark.createDataFrame([(t,) for t in cases] + [(None,)], "t string").select("t", notes.first_object("t").alias("o"))
+    assert {r.t: r.o for r in df.collect()} == {t: notes.balanced(t) for t in [*cases, None]}
+    rows = spark.createDataFrame([("a", 1), ("a", 3), ("a", 2), ("b", 1)], "k string, at int")
+    assert sorted(map(tuple, notes.newest(rows, "k", "at", 2).collect())) == [("a", 2), ("a", 3), ("b", 1)]
