@@ -28,7 +28,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.plans.shared import partitions, staged, unused
+from quillon.plans.shared import staged, unused
 
 MIN_LINES = 2
 MIN_WORDS = 50
@@ -61,7 +61,7 @@ def _place() -> Column:
 def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by, first, order): the values of ``by`` that stand in several places, in order, and the first of these places."""
     groups = rows.groupBy(*by).agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first < last").drop("last")
-    ordered = groups.repartitionByRange(partitions(rows.sparkSession), *by).sortWithinPartitions(*by)
+    ordered = groups.repartitionByRange(*by).sortWithinPartitions(*by)
     return staged(ordered.withColumn("order", F.monotonically_increasing_id()), "line-ranks")
 
 
