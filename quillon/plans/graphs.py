@@ -39,18 +39,21 @@ def signal_round(spark, folder):
     return rounded(G.score_round(V.edges(spark, folder), s, 2).join(s.select("id"), "id", "left_anti"))
 
 
-@query(
-    sql(
-        "edges",
-        IDF
-        + ", " + one_round(0, "seeds", "")
-        + ", p1 AS (SELECT * FROM seeds UNION ALL SELECT id, 0.6::DOUBLE FROM f0 WHERE signal >= 2.5), "
-        + one_round(1, "p1", "AND id NOT IN (SELECT id FROM f0)")
-        + " SELECT id, hits, round(signal, 6) AS signal, round FROM f0 UNION ALL SELECT id, hits, round(signal, 6), round FROM f1 WHERE EXISTS (SELECT 1 FROM f0 WHERE signal >= 2.5) AND (SELECT count(*) FROM f0) >= 5",
-    )
-)
+def all_rounds(rounds: int, promote: float = 2.5, least_fresh: int = 5, decay: float = 0.6) -> str:
+    """The rounds one after the other; a round that is not reached is empty, and so are those after it."""
+    parts = [one_round(0, "seeds", "")]
+    for k in range(1, rounds):
+        known = " ".join(f"AND id NOT IN (SELECT id FROM f{j})" for j in range(k))
+        reached = f"AND (SELECT count(*) >= {least_fresh} AND coalesce(bool_or(signal >= {promote}), false) FROM f{k - 1})"
+        before = "seeds" if k == 1 else f"p{k - 1}"
+        parts.append(f"p{k} AS (SELECT * FROM {before} UNION ALL SELECT id, {decay**k!r}::DOUBLE FROM f{k - 1} WHERE signal >= {promote})")
+        parts.append(one_round(k, f"p{k}", f"{known} {reached}"))
+    return ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT id, hits, round(signal, 6) AS signal, round FROM f{k}" for k in range(rounds))
+
+
+@query(sql("edges", IDF + ", " + all_rounds(G.ROUNDS)))
 def signal_expand(spark, folder):
-    return rounded(G.expand(V.edges(spark, folder), seeds(spark, folder), rounds=2, promote=2.5, least_hits=2, least_fresh=5))
+    return rounded(G.expand(V.edges(spark, folder), seeds(spark, folder), promote=2.5, least_hits=2, least_fresh=5))
 
 
 @query()

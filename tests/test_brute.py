@@ -285,3 +285,22 @@ def test_balanced_objects_and_newest(spark):
     assert {r.t: r.o for r in df.collect()} == {t: notes.balanced(t) for t in [*cases, None]}
     rows = spark.createDataFrame([("a", 1), ("a", 3), ("a", 2), ("b", 1)], "k string, at int")
     assert sorted(map(tuple, notes.newest(rows, "k", "at", 2).collect())) == [("a", 2), ("a", 3), ("b", 1)]
+
+
+def test_leading_idea_by_sentences(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from quillon.operators import screens
+
+    texts = ["This paper: We test momentum. It holds! Does it last? " + "Long tail " * 40, "Abstract. One.", "", None, "no stop at all " * 30, "In this study, we find x. y. z."]
+    got = [r.i for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(screens.idea(F.col("t")).alias("i")).collect()]
+    assert all(len(g or "") <= 200 for g in got)
+    for t, g in zip(texts, got, strict=True):
+        # what stays is a beginning of the text without its opener, whole sentences or cut at a word
+        if g:
+            body = re.sub(r"(?i)^\s*(abstract|this (paper|study|article)|in this (paper|study|article),?( we)?)[:.]?\s*", "", t)
+            plain = " ".join(g.rstrip(".…").split())
+            assert " ".join(body.split()).startswith(plain)
+    assert got[1].startswith("One") and not got[0].lower().startswith("this paper")
