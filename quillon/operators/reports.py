@@ -14,6 +14,7 @@ from quillon.operators import statistics as T
 MIN_T = 1.5
 T_TOLERANCE = 0.6
 MIN_YEARS = 5.0
+LEAST_TEXT = 500
 
 
 def seeded_sample(symbols: DataFrame, n: int, seed: int, column: str = "symbol") -> DataFrame:
@@ -160,17 +161,11 @@ class Report:
         return asdict(self)
 
 
-def replicate(paper: str, text: str, spec: dict, code: str, panel: DataFrame, backtest: Callable[[DataFrame], DataFrame], claimed_t: float | None = None, trials: int = 1) -> Report:
-    """Text to verdict: spec_failed, code_failed, backtest_failed or done; the series stays on the executors.
-
-    backtest: scores to a daily (date, ret) series.
-    """
+def _run_code(code: str, panel: DataFrame, backtest: Callable[[DataFrame], DataFrame], claimed_t: float | None, trials: int) -> Report:
+    """What a signal's code comes to, whatever paper it is of; the series stays on the executors."""
     from quillon.operators import exhibits
 
-    out = Report(paper, spec=spec)
-    if len(text or "") < 500:
-        out.status, out.errors = "spec_failed", ["text is too short"]
-        return out
+    out = Report("", "done")
     errors, _ = exhibits.check_code(code)
     if errors:
         out.status, out.errors = "code_failed", errors
@@ -182,5 +177,28 @@ def replicate(paper: str, text: str, spec: dict, code: str, panel: DataFrame, ba
         return out
     out.result = {k: v if v is None or isinstance(v, int) or math.isfinite(v) else None for k, v in row.asDict().items()}
     out.claim = T.check_claim(net, claimed_t, trials)
-    out.status = "done"
     return out
+
+
+def replicate(paper: str, text: str, spec: dict, code: str, panel: DataFrame, backtest: Callable[[DataFrame], DataFrame], claimed_t: float | None = None, trials: int = 1) -> Report:
+    """Text to verdict: spec_failed, code_failed, backtest_failed or done.
+
+    backtest: scores to a daily (date, ret) series.
+    """
+    if len(text or "") < LEAST_TEXT:
+        return Report(paper, "spec_failed", ["text is too short"], spec)
+    out = _run_code(code, panel, backtest, claimed_t, trials)
+    out.paper, out.spec = paper, spec
+    return out
+
+
+def replicate_all(papers: DataFrame, code: str, panel: DataFrame, backtest: Callable[[DataFrame], DataFrame], claimed_t: float | None = None, trials: int = 1) -> DataFrame:
+    """``replicate`` for every (paper, text) that shares one code: (paper, status, claim, sharpe).
+
+    The code is run once and its outcome, one row, meets the papers as literals; texts never leave the executors.
+    """
+    out = _run_code(code, panel, backtest, claimed_t, trials)
+    enough = F.length(F.coalesce("text", F.lit(""))) >= LEAST_TEXT
+    value = lambda v, kind: F.when(enough, F.lit(v)).cast(kind)
+    status = F.when(enough, F.lit(out.status)).otherwise("spec_failed")
+    return papers.select("paper", status.alias("status"), value(out.claim.get("status"), "string").alias("claim"), value(out.result.get("sharpe"), "double").alias("sharpe"))

@@ -140,20 +140,14 @@ def agreements(li):
 
 @query()
 def replication(spark, folder):
-    """The whole way of papers: the documents' fields as far as their text names any, checked code, book, performance, claim."""
+    """The whole way of every document as a paper: text, checked code, book, performance, claim."""
     panel = P.dense(V.supplier_month(spark, folder))
 
     def backtest(scores):
         return B.net_returns(panel, B.quintile_long_short(P.normalized(scores).filter("score is not null")), 5.0)
 
-    # the three longest documents and the shortest; their texts are the papers
-    texts = V.table(spark, folder, "documents").filter("text is not null")
-    ends = texts.orderBy(F.desc("n_chars"), "doc_id").limit(3).unionByName(texts.orderBy("n_chars", "doc_id").limit(1))
-    rows = []
-    for r in ends.select("doc_id", "text", records.offline_spec(F.col("text")).alias("spec")).collect():  # four rows
-        out = R.replicate(str(r["doc_id"]), r["text"], r["spec"].asDict(), CODE, panel, backtest, 2.0, 3)
-        rows.append((out.paper, out.status, out.claim.get("status"), out.result.get("sharpe")))
-    return spark.createDataFrame(rows, "paper string, status string, claim string, sharpe double")
+    papers = V.table(spark, folder, "documents").select(F.col("doc_id").alias("paper"), "text")
+    return rounded(R.replicate_all(papers, CODE, panel, backtest, 2.0, 3))
 
 
 @query()

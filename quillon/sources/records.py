@@ -72,15 +72,20 @@ def paper_record(works: DataFrame) -> DataFrame:
     return works.select("id", "title", short.alias("authors"), link.alias("url"), F.coalesce(F.nullif("date", F.lit("")), F.concat("year", F.lit("-01-01"))).alias("published"), "abstract", "citations", "venue")
 
 
-def load_universe(spark, path: str, other: list[str]) -> DataFrame:
-    """(symbol) of a JSON list of names, or of the names of ``other`` where there is none."""
+def load_universe(spark, path: str, other: list[str], name: str | None = None) -> DataFrame:
+    """(symbol) of a JSON list, or of the list ``name`` of a map of them, or of ``other`` where there is no file."""
     try:
         text = spark.read.text(path, wholetext=True)
     except Exception as e:  # noqa: BLE001  only a missing file stands for the others
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([(x,) for x in other], "symbol string")
-    return text.select(F.explode(F.from_json("value", "array<string>")).alias("symbol")).filter("symbol is not null").distinct()
+    lists = F.from_json("value", "array<string>")
+    if name is not None:
+        some = lambda c: F.try_element_at(c, F.lit(name))
+        flat = F.from_json("value", "map<string,string>")
+        lists = F.from_json(F.coalesce(some(F.from_json(F.try_element_at(flat, F.lit("universes")), "map<string,string>")), some(flat)), "array<string>")
+    return text.select(F.explode(lists).alias("symbol")).filter("symbol is not null").distinct()
 
 
 def abstract_of(index: Column) -> Column:

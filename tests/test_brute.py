@@ -304,3 +304,70 @@ def test_leading_idea_by_sentences(spark):
             plain = " ".join(g.rstrip(".…").split())
             assert " ".join(body.split()).startswith(plain)
     assert got[1].startswith("One") and not got[0].lower().startswith("this paper")
+
+
+def test_paged_source_reads_every_chain(spark, tmp_path):
+    from quillon.sources import external
+
+    root = str(tmp_path)
+    pages = {("a", "*"): (["1", "2"], "p2"), ("a", "p2"): (["3"], None), ("b", "*"): (["4"], "p9"), ("b", "p9"): ([], "p9"), ("c", "*"): ([], None)}
+    for (q, cursor), (results, after) in pages.items():
+        (tmp_path / f"{q}_{cursor.replace('*', 'first')}.txt").write_text("\n".join([after or "", *results]))
+
+    def fetch(query, cursor):
+        with open(f"{root}/{query}_{cursor.replace('*', 'first')}.txt") as f:
+            after, *results = f.read().split("\n")
+        return {"results": results, "next_cursor": after or None}
+
+    spark.dataSource.register(external.paged_source(fetch))
+    got = spark.read.format("paged").option("queries", "a\nb\nc").load()
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "1"), ("a", "2"), ("a", "3"), ("b", "4")]
+    assert got.rdd.getNumPartitions() == 3
+    assert spark.read.format("paged").option("queries", "c").load().count() == 0
+
+
+def test_feeds_with_nothing_to_read(spark):
+    from pyspark.sql import functions as F
+
+    from quillon.sources import external
+
+    logs = spark.createDataFrame([(None,), ("",), ("a\tb\x1e",), ("s\tt\tu\x1e\n\x1e v\tw\tx\ty\tz",)], "log string").select(external.commits(F.col("log")).alias("c"))
+    assert [[tuple(c) for c in r.c] for r in logs.collect()] == [[], [], [], [("s", "t", "u", ""), ("v", "w", "x", "y\tz")]]
+    lists = spark.createDataFrame([(None,), ("broken",), ("[]",), ('[{"title": "t", "url": "u", "body": null}]',)], "json string")
+    assert [tuple(r) for r in external.mentions(lists).collect()] == [("github_issue", "u", "t\n\n")]
+    rows = spark.createDataFrame([], "symbol string, date date, field string, value double")
+    assert external.price_panel(rows).count() == 0 and external.named_panel(rows.withColumnRenamed("value", "close"), ["a"]).count() == 0
+    assert [r.symbol for r in external.dead_symbols(rows, spark.createDataFrame([("x",), ("x",)], "symbol string")).collect()] == ["x"]
+
+
+def test_named_universes(spark, tmp_path):
+    (tmp_path / "u.json").write_text('{"universes": {"big": ["A", "B"], "small": ["C"]}}')
+    (tmp_path / "v.json").write_text('{"big": ["D"]}')
+    names = lambda f, name: sorted(r.symbol for r in records.load_universe(spark, str(tmp_path / f), ["X"], name).collect())
+    assert names("u.json", "big") == ["A", "B"] and names("v.json", "big") == ["D"] and names("u.json", "none") == [] and names("no.json", "big") == ["X"]
+
+
+def test_exhibit_labels(spark):
+    from pyspark.sql import functions as F
+
+    labels = {"T6": "Table 6", "TB1": "Table B1", "F12": "Figure 12", "X3": "X 3", "Tab": "Tab", "": "", None: None}
+    df = spark.createDataFrame([(k,) for k in labels], "k string").select("k", exhibits.exhibit_label(F.col("k")).alias("v"))
+    assert {r.k: r.v for r in df.collect()} == labels
+
+
+def test_all_papers_end_as_each_alone(spark):
+    from quillon.operators import books, panel
+    from quillon.plans.estimators import CODE
+    from quillon.sources import views
+
+    prices = panel.dense(views.supplier_month(spark, FOLDER))
+
+    def backtest(scores):
+        return books.net_returns(prices, books.quintile_long_short(panel.normalized(scores).filter("score is not null")), 5.0)
+
+    texts = [("a", None), ("b", ""), ("c", "x" * 499), ("d", "x" * 500)]
+    papers = spark.createDataFrame(texts, "paper string, text string")
+    for code in (CODE, "import os"):
+        alone = [reports.replicate(p, t, {}, code, prices, backtest, 2.0, 3) for p, t in texts]
+        want = {(r.paper, r.status, r.claim.get("status"), r.result.get("sharpe")) for r in alone}
+        assert {tuple(r) for r in reports.replicate_all(papers, code, prices, backtest, 2.0, 3).collect()} == want
