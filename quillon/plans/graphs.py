@@ -48,15 +48,17 @@ def all_rounds(rounds: int, promote: float = 2.5, least_fresh: int = 5, decay: f
         before = "seeds" if k == 1 else f"p{k - 1}"
         parts.append(f"p{k} AS (SELECT * FROM {before} UNION ALL SELECT id, {decay**k!r}::DOUBLE FROM f{k - 1} WHERE signal >= {promote})")
         parts.append(one_round(k, f"p{k}", f"{known} {reached}"))
-    return ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT id, hits, round(signal, 6) AS signal, round FROM f{k}" for k in range(rounds))
+    return ", ".join(parts) + ", found AS (" + " UNION ALL ".join(f"SELECT id, hits, signal, round FROM f{k}" for k in range(rounds)) + ")"
 
 
-@query(sql("edges", IDF + ", " + all_rounds(G.ROUNDS)))
+@query(sql("edges", IDF + ", " + all_rounds(G.ROUNDS) + " SELECT id, hits, round(signal, 6) AS signal, round FROM found"))
 def signal_expand(spark, folder):
     return rounded(G.expand(V.edges(spark, folder), seeds(spark, folder), promote=2.5, least_hits=2, least_fresh=5))
 
 
-@query()
+SHARED = """, shares AS (SELECT (SELECT round(avg((id IN (SELECT id FROM found))::INTEGER), 6) FROM (SELECT p_partkey AS id FROM part WHERE p_size <= 3 AND p_partkey % 5 = 0)) AS recall,
+(SELECT round(avg((id IN (SELECT id FROM found))::INTEGER), 6) FROM (SELECT p_partkey AS id FROM part WHERE p_brand = 'Brand#1')) AS leak)"""
+@query(sql("edges", IDF.replace("p_size <= 3", "p_size <= 3 AND p_partkey % 5 <> 0") + ", " + all_rounds(G.ROUNDS, least_fresh=G.LEAST_FRESH) + SHARED + " SELECT recall, leak, round(recall - leak, 6) AS objective FROM shares"))
 def holdout_recovery(spark, folder):
     s = seeds(spark, folder)
     return G.holdout_recovery(V.edges(spark, folder), s, s.filter("id % 5 = 0").select("id"), negatives(spark, folder), promote=2.5, least_hits=2)

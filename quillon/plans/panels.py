@@ -167,20 +167,35 @@ def share_turnover(spark, folder):
     return rounded(rounded(t.join(S.coefficient_of_variation(t, 36), ["asset", "date"]), "score"), "ret", digits=9)
 
 
-@query(
-    sql(
-        "market_day",
-        """WITH w12 AS (SELECT *, row_number() OVER (ORDER BY date) AS k FROM market_day),
-fold AS (SELECT date, k, list_reduce((SELECT list(g.level ORDER BY g.k) FROM w12 g WHERE g.k <= f.k AND g.k > f.k - 400), lambda a, x: a * (11.0::DOUBLE / 13) + x * (2.0::DOUBLE / 13)) AS e FROM w12 f)
-SELECT date, round(e, 6) AS ewm FROM fold""",
-    )
-)
+def ewm_sql(name: str, source: str, column: str, span: int) -> str:
+    """CTEs that carry an exponentially weighted mean from row to row: (asset, date, k, m, w)."""
+    a = f"{2 / (span + 1)!r}::DOUBLE"
+    kept = f"r.w * (1 - {a})"
+    return f"""{name}_rows AS (SELECT asset, date, {column}::DOUBLE AS x, row_number() OVER (PARTITION BY asset ORDER BY date) AS k FROM {source}),
+{name} AS (SELECT asset, date, k, x AS m, 1.0::DOUBLE AS w FROM {name}_rows WHERE k = 1 UNION ALL
+SELECT n.asset, n.date, n.k, CASE WHEN r.m IS NULL THEN n.x WHEN n.x IS NULL THEN r.m ELSE ({kept} * r.m + {a} * n.x) / ({kept} + {a}) END, CASE WHEN r.m IS NULL OR n.x IS NOT NULL THEN 1.0::DOUBLE ELSE {kept} END
+FROM {name} r JOIN {name}_rows n ON n.asset = r.asset AND n.k = r.k + 1)"""
+
+
+def recursive(names: str, body: str) -> str:
+    return sql(names, body).replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query(recursive("market_day", f"WITH one AS (SELECT 'market' AS asset, date, level FROM market_day), {ewm_sql('e', 'one', 'level', 12)} SELECT date, round(m, 6) AS ewm FROM e"))
 def ewm_series(spark, folder):
-    """What lies 400 rows back weighs (11 / 13) ** 400 < 1e-28, so the look-back of the SQL is no cut."""
     return rounded(S.ewm(V.market_day(spark, folder).withColumn("asset", F.lit("market")), 12, "level").select("date", "ewm"))
 
 
-@query()
+@query(
+    recursive(
+        "dense_brand",
+        f"""WITH d AS (SELECT asset, date, close, close - lag(close) OVER (PARTITION BY asset ORDER BY date) AS d FROM dense_brand),
+t AS (SELECT asset, date, close * CASE WHEN count(d) OVER n >= 2 THEN stddev_samp(abs(d)) OVER n END / nullif(close, 0) * sign(d) AS t FROM d WINDOW n AS (PARTITION BY asset ORDER BY date ROWS 11 PRECEDING)),
+star AS (SELECT asset, date, CASE WHEN count(t) OVER n >= 6 THEN sum(t) OVER n / 12 END AS x FROM t WINDOW n AS (PARTITION BY asset ORDER BY date ROWS 11 PRECEDING)),
+{ewm_sql('fast', 'star', 'x', 12)}, {ewm_sql('slow', 'star', 'x', 26)}, line AS (SELECT asset, date, f.m - s.m AS x FROM fast f JOIN slow s USING (asset, date)), {ewm_sql('mean', 'line', 'x', 9)}
+SELECT asset, date, round(l.x - 0.9::DOUBLE * a.m, 6) + 0.0::DOUBLE AS score FROM line l JOIN mean a USING (asset, date)""",
+    )
+)
 def macd_score(spark, folder):
     return rounded(S.macd(brands(spark, folder), 12))
 

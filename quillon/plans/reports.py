@@ -65,16 +65,33 @@ def scored_window(spark, folder):
     return R.scored_window(market_returns(spark, folder), "1997-01-01", "1998-12-31")
 
 
-@query()
+LADDER = """WITH u AS (SELECT asset, part FROM (SELECT DISTINCT asset FROM dense_supplier), (SELECT unnest([1, 2, 4]) AS part) WHERE ('0x' || substr(md5(asset::VARCHAR), 1, 8))::BIGINT % part = 0),
+k AS (SELECT part, date, asset, row_number() OVER (PARTITION BY part, date ORDER BY score DESC, asset) AS high, row_number() OVER (PARTITION BY part, date ORDER BY score, asset) AS low, count(*) OVER (PARTITION BY part, date) AS n FROM momentum JOIN u USING (asset)),
+ls AS (SELECT part, date, asset, CASE WHEN n < 10 THEN 0.0::DOUBLE WHEN low <= greatest(5, floor(n * 0.2::DOUBLE)) THEN -0.5::DOUBLE / greatest(5, floor(n * 0.2::DOUBLE)) WHEN high <= greatest(5, floor(n * 0.2::DOUBLE)) THEN 0.5::DOUBLE / greatest(5, floor(n * 0.2::DOUBLE)) ELSE 0.0::DOUBLE END AS w FROM k),
+g AS (SELECT u.part, p.asset, p.date, p.close / lag(p.close) OVER o - 1 AS r, last_value(CASE WHEN r.date IS NOT NULL THEN coalesce(ls.w, 0.0::DOUBLE) END IGNORE NULLS) OVER (PARTITION BY u.part, p.asset ORDER BY p.date ROWS UNBOUNDED PRECEDING) AS target
+    FROM dense_supplier p JOIN u ON u.asset = p.asset LEFT JOIN (SELECT DISTINCT part, date FROM ls) r ON r.part = u.part AND r.date = p.date LEFT JOIN ls ON ls.part = u.part AND ls.date = p.date AND ls.asset = p.asset WINDOW o AS (PARTITION BY u.part, p.asset ORDER BY p.date)),
+h AS (SELECT part, asset, date, coalesce(r, 0) AS r, coalesce(lag(coalesce(target, 0)) OVER (PARTITION BY part, asset ORDER BY date), 0) AS held FROM g),
+c AS (SELECT *, abs(held - coalesce(lag(held) OVER (PARTITION BY part, asset ORDER BY date), held)) AS change FROM h),
+net AS (SELECT part, date, sum(held * r) - sum(change) * 0.001::DOUBLE AS ret FROM c GROUP BY ALL),
+x AS (SELECT n.part, covar_samp(n.ret, a.ret) / nullif(stddev_samp(n.ret) * stddev_samp(a.ret), 0) AS corr FROM net n JOIN net a ON a.date = n.date AND a.part = 1 GROUP BY n.part),
+l AS (SELECT names, corr FROM x JOIN (SELECT part, count(*) AS names FROM u GROUP BY part) USING (part)), v AS (SELECT (list(corr ORDER BY names DESC))[1] - (list(corr ORDER BY names))[1] AS change FROM l)
+SELECT round(change, 6) AS change, CASE WHEN change >= 0.08::DOUBLE THEN 'universe size was the limit' WHEN change <= -0.03::DOUBLE THEN 'more names made it worse' ELSE 'universe size is not the limit' END AS verdict FROM v"""
+
+
+@query(sql("momentum", LADDER))
 def universe_ladder(spark, folder):
     """Correlation of the book's returns on nested universes with those on all names."""
     panel = P.dense(V.supplier_month(spark, folder))
-    full = B.net_returns(panel, B.quintile_long_short(S.momentum(panel, 1, 12)), 10.0).withColumnRenamed("ret", "all")
+
+    def book(some):
+        return B.net_returns(some, B.quintile_long_short(S.momentum(some, 1, 12).filter("score is not null")), 10.0)
+
+    full = book(panel).withColumnRenamed("ret", "all")
+    dealt = F.conv(F.substring(F.md5(F.col("asset").cast("string")), 1, 8), 16, 10).cast("long")
     out = None
     for parts in (4, 2, 1):
-        some = panel.filter(F.pmod(F.xxhash64("asset"), F.lit(parts)) == 0)
-        book = B.net_returns(some, B.quintile_long_short(S.momentum(some, 1, 12)), 10.0)
-        row = book.join(full, "date").agg(T.correlation("ret", "all").alias("corr")).select("corr").crossJoin(F.broadcast(some.agg(F.countDistinct("asset").cast("int").alias("names")))).select("names", "corr")
+        some = panel.filter(dealt % parts == 0)
+        row = book(some).join(full, "date").agg(T.correlation("ret", "all").alias("corr")).select("corr").crossJoin(F.broadcast(some.agg(F.countDistinct("asset").cast("int").alias("names")))).select("names", "corr")
         out = row if out is None else out.unionByName(row)
     return R.lift_verdict(out)
 

@@ -150,7 +150,14 @@ def ingest_antijoin(spark, folder):
     return S.ingest(d.filter("doc_id % 3 <> 0"), d.filter("doc_id % 3 = 0"), ["source", "text"], "doc_id")
 
 
-@query()
+@query(
+    p(
+        r"""WITH b AS (SELECT id, trim(regexp_replace(coalesce(abstract, ''), '(?i)^[ \t\n\x0B\f\r]*(abstract|this (paper|study|article)|in this (paper|study|article),?( we)?)[:.]?[ \t\n\x0B\f\r]*', '')) AS body FROM papers),
+s AS (SELECT id, list_prepend('', string_split(regexp_replace(body, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1))) AS parts FROM b),
+t AS (SELECT id, list_reduce(parts, lambda a, x: CASE WHEN a = '' OR length(a) + 1 + length(x) <= 200 THEN trim(a || ' ' || x) ELSE a END) AS taken FROM s)
+SELECT id, CASE WHEN length(taken) <= 200 THEN taken ELSE regexp_extract(taken, '(?s)^(.{0,200})([ \t\n\x0B\f\r]|$)', 1) || chr(8230) END AS idea FROM t"""
+    )
+)
 def leading_idea(spark, folder):
     return papers(spark, folder).select("id", S.idea(F.col("abstract")).alias("idea"))
 

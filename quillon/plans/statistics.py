@@ -120,21 +120,19 @@ def newey_west(spark, folder):
     return rounded(T.newey_west(market_returns(spark, folder)), digits=5)
 
 
-@query(
-    sql(
-        "market_returns",
-        """WITH s AS (SELECT ret, floor((row_number() OVER (ORDER BY date) - 1) * 6 / count(*) OVER ())::INTEGER AS b FROM market_returns WHERE ret IS NOT NULL),
-p AS (SELECT (row_number() OVER (ORDER BY x, y) - 1)::INTEGER AS path, x, y FROM (SELECT unnest(range(6)) AS x), (SELECT unnest(range(6)) AS y) WHERE x < y)
-SELECT path, round(avg(ret) / stddev_samp(ret) * sqrt(252), 5) + 0.0::DOUBLE AS sharpe, count(*) AS n FROM p JOIN s ON b IN (x, y) GROUP BY path""",
-    )
-)
+PATHS = """WITH s AS (SELECT ret, floor((row_number() OVER (ORDER BY date) - 1) * 6 / count(*) OVER ())::INTEGER AS b FROM market_returns WHERE ret IS NOT NULL),
+p AS (SELECT (row_number() OVER (ORDER BY x, y) - 1)::INTEGER AS path, x, y FROM (SELECT unnest(range(6)) AS x), (SELECT unnest(range(6)) AS y) WHERE x < y),
+paths AS (SELECT path, avg(ret) / stddev_samp(ret) * sqrt(252) AS sharpe, count(*) AS n FROM p JOIN s ON b IN (x, y) GROUP BY path)"""
+
+
+@query(sql("market_returns", PATHS + " SELECT path, round(sharpe, 5) + 0.0::DOUBLE AS sharpe, n FROM paths"))
 def cpcv_paths(spark, folder):
     return rounded(T.path_sharpes(market_returns(spark, folder)), digits=5)
 
 
-@query()
+@query(sql("market_returns", PATHS + ", l AS (SELECT list(sharpe ORDER BY sharpe) AS s, count(*) AS paths, avg((sharpe > 0)::INTEGER) AS share FROM paths) SELECT paths, round(s[1], 3) + 0.0::DOUBLE AS worst, round(s[paths // 2 + 1], 3) + 0.0::DOUBLE AS median, round(s[-1], 3) + 0.0::DOUBLE AS best, round(share, 3) AS share_positive FROM l"))
 def cpcv_summary(spark, folder):
-    return T.path_summary(T.path_sharpes(market_returns(spark, folder)))
+    return rounded(T.path_summary(T.path_sharpes(market_returns(spark, folder))))
 
 
 def rules(spark: SparkSession, folder: str) -> DataFrame:
