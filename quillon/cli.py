@@ -4,11 +4,14 @@
     python -m quillon.cli run momentum_backtest --tables /data --out /results/momentum
     python -m quillon.cli stats --tables /data
     python -m quillon.cli search "momentum reversal" --tables /data --status attempted
+    python -m quillon.cli spec "some title" --tables /data
+    python -m quillon.cli code momentum_backtest
 """
 
 from __future__ import annotations
 
 import argparse
+import inspect
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,7 +43,10 @@ def main(argv: list[str] | None = None) -> int:
     find.add_argument("--status", default="")
     find.add_argument("--kind", default="")
     find.add_argument("--limit", type=int, default=20)
-    for p in (one, stats, find):
+    spec = sub.add_parser("spec")
+    spec.add_argument("idea")
+    sub.add_parser("code").add_argument("name")
+    for p in (one, stats, find, spec):
         p.add_argument("--tables", required=True, help="folder of Parquet tables")
     args = parser.parse_args(argv)
     if args.verb == "list":
@@ -48,6 +54,13 @@ def main(argv: list[str] | None = None) -> int:
         for name in sorted(queries):
             print(f"{name}{'' if name in sql else '  (no SQL form)'}")
         return 0
+    if args.verb == "code":
+        queries, _ = registry.load()
+        if args.name not in queries:
+            print(f"no implementation of {args.name}; try search")
+            return 1
+        print(inspect.getsource(queries[args.name]))
+        return 0
     spark = session()
     if args.verb == "run":
         df = run(spark, args.name, args.tables)
@@ -61,7 +74,11 @@ def main(argv: list[str] | None = None) -> int:
         from quillon.operators import ranking
         from quillon.plans.catalogue import catalogue
 
-        ranking.search(catalogue(spark, args.tables.rstrip("/")), args.words, args.status, args.kind, args.limit).show(args.limit, truncate=80)
+        items = catalogue(spark, args.tables.rstrip("/"))
+        if args.verb == "spec":
+            ranking.described(items, args.idea).show(1, truncate=False, vertical=True)
+            return 0
+        ranking.search(items, args.words, args.status, args.kind, args.limit).show(args.limit, truncate=80)
     return 0
 
 

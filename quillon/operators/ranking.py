@@ -105,6 +105,26 @@ def search(catalogue: DataFrame, words: str = "", status: str = "", kind: str =
     return out.orderBy("id").limit(limit)
 
 
+def described(catalogue: DataFrame, idea: str) -> DataFrame:
+    """The one item that an idea names: by id or title, else the first whose title holds it; no row if there is none."""
+    key = F.lit(idea.strip().lower())
+    title, id_ = F.lower("title"), F.lower(F.col("id").cast("string"))
+    place = F.when(id_ == key, 0).when(title == key, 1).when(F.contains(title, key), 2)
+    return catalogue.withColumn("__place", place).filter("__place is not null").orderBy("__place", "id").limit(1).drop("__place")
+
+
+def implementations(items: DataFrame, modules: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, module): the module of an item's slug, else of its archive number without dots, if its file exists.
+
+    items: (id, name); modules: (key, module), a declared table; files: (module).
+    """
+    slug = F.regexp_replace(F.regexp_replace(F.lower(F.trim("name")), "[^a-z0-9]+", "-"), "^-|-$", "")
+    number = F.replace(F.regexp_extract("name", ARCHIVE_NUMBER, 1), F.lit("."), F.lit(""))
+    keys = items.select("id", F.posexplode(F.array(slug, number)).alias("place", "key")).filter("key <> ''")
+    found = keys.join(modules.join(files.select("module").distinct(), "module", "left_semi"), "key")
+    return found.groupBy("id").agg(F.min_by("module", F.struct("place", "module")).alias("module"))
+
+
 def status(runs: DataFrame) -> DataFrame:
     """VERIFIED, ATTEMPTED or CATALOGUED of (id, has_run, verification, families ARRAY<STRUCT<got, want>>)."""
     ok = F.forall("families", lambda f: f["got"] == f["want"])

@@ -225,6 +225,18 @@ def ingest_counts(new: DataFrame, known: DataFrame, keys: list[str], order: str,
     return both.select(by, fresh.alias("new"), (F.col("total") - fresh).alias("dup"), "total")
 
 
+def gated(listing: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(base, title, abstract, state) of what a listing (id, title, abstract, published) has to offer.
+
+    Of the versions of a paper the newest counts; papers dropped in the ledger (base, verdict) are not read again; the
+    practical gate decides, and testability names the state.
+    """
+    newest = Window.partitionBy("base").orderBy(F.desc("published"), F.desc("id"))
+    rows = listing.withColumn("base", F.regexp_replace("id", "v[0-9]+$", "")).join(ledger.filter("verdict = 'drop'").select("base"), "base", "left_anti")
+    rows = rows.withColumn("__r", F.row_number().over(newest)).filter("__r = 1").filter(practical(F.col("title"), F.col("abstract"))["ok"])
+    return rows.select("base", "title", "abstract", testability(F.concat_ws(" ", "title", "abstract")).alias("state"))
+
+
 def idea(abstract: Column, limit: int = 200) -> Column:
     """Leading sentences up to a length, without a boilerplate opener, cut at a word."""
     body = F.regexp_replace(F.coalesce(abstract, F.lit("")), r"(?i)^\s*(abstract|this (paper|study|article)|in this (paper|study|article),?( we)?)[:.]?\s*", "")

@@ -6,16 +6,21 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from quillon.functions import rules
 from quillon.operators import exhibits as X
 from quillon.operators import graphs as G
+from quillon.operators import ranking as K
 from quillon.operators import reports as R
+from quillon.operators import screens as S
 from quillon.plans.panels import rounded
 from quillon.plans.registry import query
+from quillon.plans.screens import TEXT, p, papers, rx
 from quillon.plans.shared import scratch_dir, staged
 from quillon.sources import external as E
 from quillon.sources import records
 from quillon.sources import views as V
 from quillon.sources.views import sql
+from quillon.streaming import loop
 
 
 def mod(column: str, k: int):
@@ -286,3 +291,35 @@ def cached_panel(spark, folder):
     build = lambda: V.table(spark, folder, "lineitem").groupBy("l_suppkey").agg(F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).alias("n"))
     R.cached_panel(spark, path, ["l_suppkey"], build)
     return R.cached_panel(spark, path, ["l_suppkey", "quantity"], build)
+
+
+@query("WITH n AS (SELECT o_orderkey AS id, o_custkey AS ext, o_orderdate AS inserted, o_totalprice AS price FROM orders WHERE o_orderkey % 3 <> 0), k AS (SELECT o_custkey AS ext FROM orders WHERE o_orderkey % 3 = 0), f AS (SELECT ext, min(id) AS id, arg_min(inserted, id) AS inserted, arg_min(price, id) AS price FROM n WHERE ext NOT IN (SELECT ext FROM k) GROUP BY ext), t AS (SELECT * FROM f ORDER BY inserted, id LIMIT 20), d AS (SELECT * FROM t WHERE price > 150000 ORDER BY id DESC LIMIT 5) SELECT (SELECT count(*) FROM f) AS polled, (SELECT count(*) FROM t) AS triaged, (SELECT count(*) FROM t WHERE price > 150000) AS tradable, (SELECT count(*) FROM d) AS replicated, 0::BIGINT AS errors")
+def loop_round(spark, folder):
+    """One round of the loop over a feed of orders, one paper a customer, of whom some are known."""
+    o = V.table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("external_id"), F.col("o_orderdate").alias("inserted"), F.col("o_totalprice").alias("price"))
+    known = o.filter("id % 3 = 0").withColumn("status", F.lit("done"))
+    run = loop.Loop(F.when(F.col("price") > 150000, "tradable").otherwise("rejected"), lambda due: due.select("external_id", F.lit("done").alias("status")))
+    state = run.round(loop.State(known, None), o.filter("id % 3 <> 0"))
+    return spark.createDataFrame([state.counts()], "polled long, triaged long, tradable long, replicated long, errors long")
+
+
+@query(p(f"SELECT id // 2 AS base, title, CASE WHEN {rx(TEXT, rules.NEEDS_MORE)} THEN 'blocked' WHEN {rx(TEXT, rules.TESTABLE)} THEN 'queued' ELSE 'triage' END AS state FROM papers WHERE id % 2 = 1 AND id // 2 % 5 <> 0 AND NOT {rx(TEXT, rules.ESSAY)} AND ({rx('title', rules.STRATEGY)} OR (length(abstract) >= 260 AND {rx('abstract', rules.STRATEGY)})) AND NOT {rx(TEXT, rules.UNOBTAINABLE)} AND NOT {rx(TEXT, rules.THEORY_ONLY)}"))
+def gated_listing(spark, folder):
+    """Every two documents are versions of one paper; every fifth paper was dropped before."""
+    rows = papers(spark, folder)
+    base = F.floor(F.col("id") / 2)
+    listing = rows.select(F.concat(base, F.lit("v"), F.col("id") % 2 + 1).alias("id"), "title", "abstract", F.col("id").alias("published"))
+    # a pair whose second document is missing has only its first version
+    ledger = rows.select(base.cast("string").alias("base"), F.when(base % 5 == 0, "drop").otherwise("keep").alias("verdict")).distinct()
+    return S.gated(listing, ledger).select(F.col("base").cast("long").alias("base"), "title", "state")
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'm' || p_partkey || '.py' ELSE 'n' || p_partkey || '.py' END AS module FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 3 <> 2")
+def implementations(spark, folder):
+    """Slugs of even parts and archive numbers of others; some have no declared module, some no file."""
+    part, k = V.table(spark, folder, "part"), F.col("p_partkey")
+    number = F.lpad(k.cast("string"), 5, "0")
+    items = part.select(k.alias("id"), F.when(k % 2 == 0, F.concat(F.lit(" Part "), k)).otherwise(F.concat(F.lit("arXiv 2401."), number, F.lit("v2"))).alias("name"))
+    module = F.concat(F.when(k % 2 == 0, "m").otherwise("n"), k, F.lit(".py"))
+    modules = part.filter(k % 5 != 0).select(F.when(k % 2 == 0, F.concat(F.lit("part-"), k)).otherwise(F.concat(F.lit("2401"), number)).alias("key"), module.alias("module"))
+    return K.implementations(items, modules, part.filter(k % 3 != 2).select(module.alias("module")))

@@ -371,3 +371,62 @@ def test_all_papers_end_as_each_alone(spark):
         alone = [reports.replicate(p, t, {}, code, prices, backtest, 2.0, 3) for p, t in texts]
         want = {(r.paper, r.status, r.claim.get("status"), r.result.get("sharpe")) for r in alone}
         assert {tuple(r) for r in reports.replicate_all(papers, code, prices, backtest, 2.0, 3).collect()} == want
+
+
+def test_rounds_of_the_loop(spark):
+    from pyspark.sql import functions as F
+
+    from quillon.streaming import loop
+
+    schema = "id long, external_id string, inserted long, status string"
+    known = spark.createDataFrame([(1, "a", 1, "tradable")], schema)
+    feed = spark.createDataFrame([(2, "a", 2), (3, "b", 3), (4, "b", 4), (5, "c", 5), (6, "d", 6)], "id long, external_id string, inserted long")
+    run = loop.Loop(F.when(F.col("id") % 2 == 1, "tradable").otherwise("rejected"), lambda due: due.select("external_id", F.lit("done").alias("outcome")), triage_limit=2)
+    first = run.round(loop.State(known, None), feed)
+    assert first.counts() == (3, 2, 2, 3, 0)
+    assert {r.external_id: r.status for r in first.papers.collect()} == {"a": "tradable", "b": "tradable", "c": "tradable", "d": "pending"}
+    second = run.round(first, feed)
+    assert second.counts() == (0, 1, 0, 0, 0) and sorted(r.external_id for r in second.results.collect()) == ["a", "b", "c"]
+
+    def broken(due):
+        raise ValueError("no machine")
+
+    third = loop.Loop(F.lit("tradable"), broken).round(loop.State(known, None))
+    assert third.counts() == (0, 0, 0, 0, 1) and third.errors == ["replicate: ValueError: no machine"]
+
+
+def test_an_idea_is_described(spark):
+    rows = spark.createDataFrame([(1, "Momentum and more"), (2, "momentum"), (3, "Value"), (4, None)], "id long, title string")
+    name = lambda idea: [r.id for r in ranking.described(rows, idea).collect()]
+    assert name(" Momentum ") == [2] and name("more") == [1] and name("3") == [3] and name("carry") == []
+
+
+def test_versions_and_dropped_papers_of_a_listing(spark):
+    from quillon.operators import screens
+
+    good = "momentum in the cross-section of stock returns, a long-short portfolio strategy on CRSP data from 1990 to 2015"
+    listing = spark.createDataFrame([("1v1", "old " + good, good, 1), ("1v2", "new " + good, good, 2), ("2v1", good, good, 1), ("3", "corporate governance essay", "", 1)], "id string, title string, abstract string, published long")
+    ledger = spark.createDataFrame([("2", "drop"), ("1", "keep")], "base string, verdict string")
+    assert [(r.base, r.title[:3]) for r in screens.gated(listing, ledger).collect()] == [("1", "new")]
+
+
+def test_queued_signals_against_pandas(spark):
+    from quillon.operators import published
+
+    r = random.Random(4)
+    level = 100.0
+    rows = []
+    for d in days(90):
+        level *= 1 + r.gauss(0, 0.05)
+        rows.append(("a", d, level, r.uniform(1, 9)))
+    got = published.by_history(spark.createDataFrame(rows, "asset string, date date, close double, volume double")).orderBy("date").toPandas()
+    p = pd.DataFrame(rows, columns=["asset", "date", "close", "volume"])
+    ret, value = p.close.pct_change(), p.close * p.volume
+    lags = [ret.shift(k) for k in (23, 35, 47, 59)]
+    want = {
+        "intermediate": p.close.shift(6) / p.close.shift(12) - 1, "long_reversal": 1 - p.close.shift(13) / p.close.shift(60), "season": sum(lags) / 4,
+        "off_season": -pd.Series([np.nan if k < 60 else np.mean([ret[k - j] for j in range(12, 60) if j not in (23, 35, 47, 59)]) for k in range(90)]),
+        "high": p.close / p.close.rolling(12).max(), "illiquid": (ret.abs() / value).rolling(12).mean(), "quiet": -np.log(value.shift(2)), "managed": ret / ret.shift(1).rolling(12).var(), "cheap": -np.log(p.close),
+    }
+    for name, series in want.items():
+        assert np.allclose(got[name].astype(float), series.astype(float), equal_nan=True), name
