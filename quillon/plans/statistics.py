@@ -144,7 +144,20 @@ def rules(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-@query()
+CROSS = """SELECT 'cross {0}/{1}' AS name, date, level, CASE WHEN count(*) OVER f = {0} AND count(*) OVER s = {1} AND avg(level) OVER f > avg(level) OVER s THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS position FROM market_day WINDOW f AS (ORDER BY date ROWS {0} - 1 PRECEDING), s AS (ORDER BY date ROWS {1} - 1 PRECEDING)"""
+RULES = f"""WITH pos AS (SELECT 'calendar' AS name, date, level, CASE WHEN month(date) >= 11 OR month(date) <= 4 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS position FROM market_day UNION ALL {" UNION ALL ".join(f"({CROSS.format(*c)})" for c in ((5, 20), (10, 50), (50, 200)))}),
+hd AS (SELECT name, date, level / lag(level) OVER w - 1 AS r, coalesce(lag(position) OVER w, 0) AS held FROM pos WINDOW w AS (PARTITION BY name ORDER BY date)),
+rules AS (SELECT name, date, held * r - coalesce(abs(held - lag(held) OVER (PARTITION BY name ORDER BY date)), abs(held)) * 0.0005::DOUBLE AS ret FROM hd)"""
+SPLITS = """, c AS (SELECT date FROM rules WHERE ret IS NOT NULL GROUP BY date HAVING count(*) = (SELECT count(DISTINCT name) FROM rules)), b AS (SELECT date, floor((row_number() OVER (ORDER BY date) - 1) * 8 / count(*) OVER ())::INTEGER AS block FROM c),
+sums AS (SELECT name, block, count(*) AS n, sum(ret) AS s, sum(ret * ret) AS q FROM rules JOIN b USING (date) GROUP BY ALL),
+halves AS (SELECT m AS half, k AS block, (m >> k) & 1 = 1 AS inside FROM (SELECT unnest(range(256)) AS m), (SELECT unnest(range(8)) AS k) WHERE bit_count(m::INTEGER) = 4),
+t AS (SELECT half, name, inside, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM halves JOIN sums USING (block) GROUP BY ALL), v AS (SELECT *, (q - s * s / n) / (n - 1) AS var FROM t),
+x AS (SELECT half, name, inside, CASE WHEN var > 0 THEN s / n / sqrt(var) ELSE 0 END AS sharpe FROM v), y AS (SELECT half, name, max(sharpe) FILTER (inside) AS seen, max(sharpe) FILTER (NOT inside) AS unseen FROM x GROUP BY ALL),
+z AS (SELECT half, rank() OVER (PARTITION BY half ORDER BY unseen) + (count(*) OVER (PARTITION BY half, unseen) - 1) / 2 AS place, row_number() OVER (PARTITION BY half ORDER BY seen DESC, name) AS best, count(*) OVER (PARTITION BY half) AS names FROM y)
+SELECT round(avg((place / (names + 1) <= 0.5::DOUBLE)::INTEGER), 4) AS pbo, any_value(names)::INTEGER AS configurations, count(*) AS halves FROM z WHERE best = 1"""
+
+
+@query(sql("market_day", RULES + SPLITS))
 def overfitting(spark, folder):
     return T.overfitting(rules(spark, folder))
 
