@@ -16,6 +16,25 @@ from quillon.plans.registry import query
 from quillon.sources import views as V
 from quillon.sources.views import sql
 
+def integral(density: str, end: str, panels: int = 2000) -> str:
+    """Simpson's rule for a density, a format string of its argument, from zero to ``end``."""
+    at = lambda k: density.format(f"(({end}) * (i + {k}) / {panels})")
+    return f"(({end}) / {6 * panels} * list_sum(list_transform(range({panels}), lambda i: {at('0')} + 4 * {at('0.5::DOUBLE')} + {at('1')})))"
+
+
+#: the normal distribution function of a column z, and the T's two-sided tail of (t, df)
+PHI = "(0.5::DOUBLE + {})".format(integral("exp(-0.5::DOUBLE * {0} * {0})", "z")).replace("list_sum", "1 / sqrt(2 * pi()) * list_sum")
+TAIL = "(1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * {})".format(integral("pow(1 + {0} * {0} / df, -(df + 1) / 2)", "abs(t)"))
+#: (trials, best): the expected maximum of so many Sharpe ratios without skill; quantiles by bisection
+BEST = """p AS (SELECT n AS trials, unnest([1 - 1 / n, 1 - 1 / (n * exp(1))]) AS p, unnest([1 - 0.5772156649::DOUBLE, 0.5772156649::DOUBLE]) AS share FROM (SELECT unnest([{trials}])::DOUBLE AS n)),
+cut AS (SELECT trials, p, share, -9.0::DOUBLE AS low, 9.0::DOUBLE AS high, 0 AS k FROM p UNION ALL SELECT trials, p, share, CASE WHEN phi < p THEN z ELSE low END, CASE WHEN phi < p THEN high ELSE z END, k + 1 FROM (SELECT *, {phi} AS phi FROM (SELECT *, (low + high) / 2 AS z FROM cut WHERE k < 56))),
+best AS (SELECT trials::INTEGER AS trials, sum(share * (low + high) / 2) AS best FROM cut WHERE k = 56 GROUP BY 1)"""
+
+
+def recursive(names: str, body: str) -> str:
+    return (sql(names, body) if names else body).replace("WITH", "WITH RECURSIVE", 1)
+
+
 PATH = "WITH i AS (SELECT date, ret FROM market_returns WHERE ret IS NOT NULL), x AS (SELECT *, exp(sum(ln(1 + ret)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)) AS wealth FROM i), d AS (SELECT *, wealth / max(wealth) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM x)"
 FLAGSHIP = RANKED + NET + """, x AS (SELECT *, exp(sum(ln(1 + ret)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)) AS wealth FROM net), d AS (SELECT *, wealth / max(wealth) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM x)
 SELECT count(*) AS n, round(avg(ret) / stddev_samp(ret) * sqrt(252), 6) AS sharpe, round(pow(1 + avg(ret), 252) - 1, 6) AS ann_return, round(stddev_samp(ret) * sqrt(252), 6) AS ann_vol, round(min(dd), 6) AS max_drawdown, round((pow(1 + avg(ret), 252) - 1) / -min(dd), 6) AS calmar FROM d"""
@@ -68,7 +87,7 @@ def ic_summary(spark, folder):
     return rounded(rounded(row, "ic_mean", "ic_std"), "icir", digits=5)
 
 
-@query()
+@query(sql("momentum forward", IC.format(by="date", join="") + f", moments AS (SELECT count(ic) AS n, avg(ic) AS mean, stddev_samp(ic) AS sd FROM ics), tested AS (SELECT *, mean / sd * sqrt(n) AS t, (n - 1)::DOUBLE AS df FROM moments), f AS (SELECT *, {TAIL} AS p FROM tested) SELECT n AS n_periods, round(mean, 6) + 0.0::DOUBLE AS ic_mean, round(sd, 6) AS ic_std, round(t, 6) + 0.0::DOUBLE AS icir, round(p, 6) AS p_value, t > 2 AND p < 0.05::DOUBLE AS significant, CASE WHEN abs(mean) > 0.1 THEN 'suspicious (overfit?)' WHEN abs(mean) > 0.05 THEN 'strong' WHEN abs(mean) > 0.02 THEN 'decent' WHEN abs(mean) > 0 THEN 'marginal' ELSE 'negative or noise' END AS grade FROM f"))
 def ic_p_value(spark, folder):
     return rounded(T.ic_summary(T.rank_ic(scores(spark, folder), forward(spark, folder))))
 
@@ -95,14 +114,22 @@ def ic_decay(spark, folder):
     return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
-@query()
+@query(
+    recursive(
+        "market_returns",
+        f"""WITH {BEST.format(trials=12, phi=PHI)}, i AS (SELECT ret, avg(ret) OVER () AS mean FROM market_returns WHERE ret IS NOT NULL),
+m AS (SELECT count(*) AS n, avg(ret) / stddev_samp(ret) AS raw, avg(pow(ret - mean, 2)) AS m2, avg(pow(ret - mean, 3)) AS m3, avg(pow(ret - mean, 4)) AS m4 FROM i), k AS (SELECT n, raw, m3 / pow(m2, 1.5::DOUBLE) AS skew, m4 / (m2 * m2) AS kurtosis FROM m),
+d AS (SELECT *, sqrt((1 - skew * raw + (kurtosis - 1) / 4 * raw * raw) / (n - 1)) AS sd FROM k), f AS (SELECT *, (raw - best * sd) / sd AS z FROM d, best)
+SELECT n, round(raw * sqrt(252), 6) AS sr_observed, round(best * sd * sqrt(252), 6) AS expected_max_sr, round(sd * sqrt(252), 6) AS sr_std, round(skew, 6) + 0.0::DOUBLE AS skew, round(kurtosis, 6) AS kurtosis, round(z, 6) + 0.0::DOUBLE AS z_score, round({PHI}, 6) + 0.0::DOUBLE AS dsr FROM f""",
+    )
+)
 def deflated_sharpe(spark, folder):
     return rounded(T.deflated_sharpe(market_returns(spark, folder), 12))
 
 
-@query()
+@query(recursive("", f"WITH {BEST.format(trials='2, 5, 12, 45, 1000', phi=PHI)} SELECT trials, round(best, 6) AS expected_max, round(best * best, 6) AS years_at_sharpe_1 FROM best UNION ALL SELECT 1, 0, 0"))
 def expected_max_sharpe(spark, folder):
-    rows = [(n, round(mathx.expected_max_sharpe(n), 9), mathx.min_backtest_years(n, 1.0)) for n in (1, 2, 5, 12, 45, 1000)]
+    rows = [(n, round(mathx.expected_max_sharpe(n), 6), round(mathx.min_backtest_years(n, 1.0), 6)) for n in (1, 2, 5, 12, 45, 1000)]
     return spark.createDataFrame(rows, "trials int, expected_max double, years_at_sharpe_1 double")
 
 
