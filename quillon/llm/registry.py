@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import chat_format, decontaminate, fingerprint_index, jaccard_join, license_scan, line_dedup, mixing, quality_rules, suffix_dedup, url_filter
+from quillon.llm import byte_bpe, chat_format, decontaminate, fingerprint_index, jaccard_join, license_scan, line_dedup, mixing, quality_rules, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_fingerprint_index": fingerprint_index.op10_fingerprint_index,
+    "op13_byte_bpe": byte_bpe.op13_byte_bpe,
 }
 SQL: dict[str, str] = {
     "op1_chat_format": chat_format.SQL,
