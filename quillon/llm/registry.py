@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import byte_bpe, chat_format, decontaminate, fingerprint_index, jaccard_join, license_scan, line_dedup, mixing, quality_rules, suffix_dedup, url_filter
+from quillon.llm import byte_bpe, centroids, chat_format, decontaminate, fingerprint_index, jaccard_join, license_scan, line_dedup, mixing, quality_rules, resampling, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_fingerprint_index": fingerprint_index.op10_fingerprint_index,
+    "op11_centroids": centroids.op11_centroids,
+    "op12_resampling": resampling.op12_resampling,
     "op13_byte_bpe": byte_bpe.op13_byte_bpe,
 }
 SQL: dict[str, str] = {
@@ -23,4 +25,6 @@ SQL: dict[str, str] = {
     "op4_url_filter": url_filter.SQL,
     "op5_mixing": mixing.SQL,
     "op7_line_dedup": line_dedup.SQL,
+    "op11_centroids": centroids.SQL,
+    "op12_resampling": resampling.SQL,
 }
