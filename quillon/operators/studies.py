@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.operators import books, signals, statistics
+from quillon.operators import books, resamples, signals, statistics
 
 Rule = Callable[[DataFrame], DataFrame]
 
@@ -29,7 +29,7 @@ def gaps(pairs: DataFrame) -> DataFrame:
 def evaluate(series: DataFrame, rule: Rule, delta: float, draws: int = 2000) -> DataFrame:
     """(obs, exposure, sharpe_gap, cagr_gap, lo, hi, gate): the gaps, and the interval of the Sharpe gap with its gate."""
     pairs, exposure = paired(series, rule)
-    interval = statistics.interval(statistics.bootstrap_gaps(pairs, draws), "sharpe_gap")
+    interval = statistics.interval(resamples.bootstrap_gaps(pairs, draws), "sharpe_gap")
     row = gaps(pairs).crossJoin(F.broadcast(exposure)).crossJoin(F.broadcast(interval))
     return row.withColumn("gate", statistics.gate(F.col("lo"), F.col("hi"), delta)).select("obs", "exposure", "sharpe_gap", "cagr_gap", "lo", "hi", "gate")
 

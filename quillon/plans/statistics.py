@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import mathx
 from quillon.operators import books as B
 from quillon.operators import panel as P
+from quillon.operators import resamples as R
 from quillon.operators import signals as S
 from quillon.operators import statistics as T
 from quillon.plans.books import NET, RANKED, RULE, forward, market_returns, scores
@@ -200,7 +201,7 @@ def bootstrap_ci(spark, folder):
     m = V.market_day(spark, folder)
     ours = B.rule_returns(S.sell_in_may(m))
     hold = B.exposure_matched(m, ours.agg(F.avg("held").alias("exposure")))
-    gaps = T.bootstrap_gaps(ours.select("date", F.col("ret").alias("a")).join(hold.select("date", F.col("ret").alias("b")), "date"))
+    gaps = R.bootstrap_gaps(ours.select("date", F.col("ret").alias("a")).join(hold.select("date", F.col("ret").alias("b")), "date"))
     ci = T.interval(gaps, "sharpe_gap")
     return ci.withColumn("gate", T.gate(F.col("lo"), F.col("hi"), 0.05)).withColumn("overlaps_zero", T.overlaps(F.col("lo"), F.col("hi"), F.lit(0.0), F.lit(0.0)))
 

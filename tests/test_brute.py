@@ -87,29 +87,6 @@ def test_overfitting_and_paths_by_brute_force(spark):
     assert got.paths == 15 and (got.worst, got.best) == pytest.approx((want[0], want[-1]), abs=1e-3)
 
 
-def test_bootstrap_blocks_are_geometric_and_uniform():
-    idx = statistics.bootstrap_indices(500, 400, 20, np.random.default_rng(2))
-    assert idx.shape == (400, 500) and idx.min() == 0 and idx.max() == 499
-    breaks = (np.diff(idx, axis=1) % 500 != 1).mean()
-    assert breaks == pytest.approx(1 / 20 * 499 / 500, rel=0.05)
-    assert np.bincount(idx.ravel(), minlength=500).std() / 400 < 0.3
-    assert (statistics.bootstrap_indices(3, 5, 50, np.random.default_rng(1)) < 3).all()
-
-
-def test_confidence_set_eliminates_step_by_step():
-    r = np.random.default_rng(8)
-    base = r.normal(size=300) ** 2
-    losses = {"good": base, "same": base + r.normal(0, 0.01, 300), "bad": base + 0.5 + r.normal(0, 0.3, 300)}
-    p = models.confidence_set(losses, draws=800)
-    table = np.column_stack(list(losses.values()))
-    idx = statistics.bootstrap_indices(300, 800, 2, np.random.default_rng(11))
-    d = table - table.mean(axis=1, keepdims=True)
-    centre, drawn = d.mean(axis=0), d[idx].mean(axis=1)
-    sd = drawn.std(axis=0, ddof=1)
-    assert p["bad"] == pytest.approx(float((((drawn - centre) / sd).max(axis=1) >= (centre / sd).max()).mean()))
-    assert p["bad"] < 0.01 and max(p.values()) == 1.0 and p["same"] >= p["bad"]
-
-
 def test_auc_by_pairs(spark):
     r = random.Random(4)
     rows = [(None if r.random() < 0.05 else float(r.randint(0, 30)), r.random() < 0.4) for _ in range(400)]
@@ -160,12 +137,6 @@ def test_forecast_sweep_by_least_squares(spark):
     assert got["mean"].r2 == 0 and got["log decomposed 2"].n == len(bench)
 
 
-def test_expanding_windows_hold_all_before(spark):
-    rows = spark.createDataFrame([(d, float(k), float(k * k)) for k, d in enumerate(days(12))], "date date, xs double, p double")
-    sizes = {r.date: len(r.past) for r in models.windows(rows, ["p"], 5, expanding=True).collect()}
-    assert sizes == {d: k for k, d in enumerate(days(12)) if k >= 5}
-
-
 GOOD = "def signal(prices: 'F') -> 'F':\n    return prices.rolling(3).mean()\n"
 
 

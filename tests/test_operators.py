@@ -86,13 +86,6 @@ def test_estimators_recover_what_made_the_data():
     assert abs(models.auc(s, up) - np.mean(pairs)) < 1e-12
 
 
-def test_confidence_set_keeps_the_best():
-    rng = np.random.default_rng(1)
-    base = rng.normal(size=300) ** 2
-    p = models.confidence_set({"good": base, "bad": base + 1 + rng.normal(size=300) * 0.1}, 500)
-    assert p["good"] == 1.0 and p["bad"] < 0.05
-
-
 def test_forward_fill_and_no_look_ahead(spark):
     rows = [("a", date(2020, 1, k), float(k) if k in (1, 20) else None) for k in range(1, 25)] + [("b", date(2020, 1, 1), None)]
     got = {(r.asset, r.date.day): r.close for r in panel.filled(panel.dense(spark.createDataFrame(rows, "asset string, date date, close double"))).collect()}
