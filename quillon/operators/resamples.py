@@ -120,8 +120,7 @@ def confidence_sets(losses: DataFrame, by: Sequence[str] = (), draws: int = 5000
     """
     by = list(by)
     models = losses.filter("loss is not null").groupBy(*by, "date").agg(F.array_sort(F.collect_list(F.struct("model", "loss"))).alias("cells"))  # as many as models
-    size = models.groupBy(*by).agg(F.max(F.size("cells")).alias("m"))
-    rows = (models.join(size, by) if by else models.crossJoin(F.broadcast(size))).filter(F.size("cells") == F.col("m"))
+    rows = models.withColumn("m", F.max(F.size("cells")).over(Window.partitionBy(*by))).filter(F.size("cells") == F.col("m"))
     lined = staged(numbered(rows.select(*by, "date", "m", F.transform("cells", lambda c: c["model"]).alias("models"), F.transform("cells", lambda c: c["loss"]).alias("losses")), by), "losses")
     most = lined.agg(F.max("m").alias("m")).first()["m"] or 0
     if not most:
@@ -137,7 +136,8 @@ def confidence_sets(losses: DataFrame, by: Sequence[str] = (), draws: int = 5000
     spread = noise.groupBy(*by).agg(*[F.covar_samp(f"d{i}", f"d{j}").alias(f"c{i}_{j}") for i, j in pairs])
     matrix = F.array(*[F.array(*[F.col(f"c{min(i, j)}_{max(i, j)}") for j in range(most)]) for i in range(most)])
     spread = spread.select(*by, matrix.alias("cov"))
-    paths = (about.join(spread, by) if by else about.crossJoin(F.broadcast(spread))).withColumn("steps", _eliminations())
+    # one row a set, read by three parts of the result
+    paths = staged((about.join(spread, by) if by else about.crossJoin(F.broadcast(spread))).withColumn("steps", _eliminations()), "eliminations")
     noise = noise.withColumn("noise", F.array(*[F.col(f"d{j}") for j in range(most)])).select(*by, "noise")
     met = noise.join(paths.select(*by, "steps"), by) if by else noise.crossJoin(F.broadcast(paths.select("steps")))
     reached = met.select(*by, F.posexplode(F.transform("steps", lambda s: _reaches(F.col("noise"), s)))).groupBy(*by, "pos").agg(F.avg(F.col("col").cast("double")).alias("p"))

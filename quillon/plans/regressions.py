@@ -12,6 +12,7 @@ from quillon.operators import resamples as R
 from quillon.plans.estimators import PREDICTORS, WINDOW, frame
 from quillon.plans.panels import rounded
 from quillon.plans.registry import query
+from quillon.plans.statistics import bootstrap_sql, sharpe_sql
 from quillon.sources import views as V
 from quillon.sources.views import sql
 
@@ -89,21 +90,6 @@ def event_stream_regression(spark, folder):
     return rounded(out[0].unionByName(out[1]))
 
 
-def _positions(lengths: str, draws: int, block: float, seed: int) -> str:
-    """The stationary bootstrap of each of some lengths as SQL: tables ``positions`` and ``weights``."""
-    return f"""
-places AS (SELECT n, draw, pos, md5(concat_ws('|', '{seed}', n::VARCHAR, draw::VARCHAR, pos::VARCHAR)) AS h FROM (SELECT n, draw, unnest(range(n)) AS pos FROM (SELECT DISTINCT n FROM {lengths}), (SELECT unnest(range({draws})) AS draw))),
-jumps AS (SELECT n, draw, pos, CASE WHEN pos = 0 OR (('0x' || substr(h, 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE < 1.0::DOUBLE / {block}
-    THEN floor((('0x' || substr(h, 14, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE * n)::BIGINT - pos END AS jump FROM places),
-shifts AS (SELECT n, draw, pos, last_value(jump IGNORE NULLS) OVER (PARTITION BY n, draw ORDER BY pos ROWS UNBOUNDED PRECEDING) + pos AS k FROM jumps),
-positions AS (SELECT n, draw, pos, (k % n + n) % n AS spot FROM shifts),
-weights AS (SELECT n, draw, spot, count(*) AS w FROM positions GROUP BY n, draw, spot)"""
-
-
-def _sharpe(x: str, periods: int) -> str:
-    return f"sum(w * {x}) / sum(w) / sqrt((sum(w * {x} * {x}) - sum(w * {x}) * sum(w * {x}) / sum(w)) / (sum(w) - 1)) * sqrt({periods}.0::DOUBLE)"
-
-
 DRAWN = 300
 
 
@@ -111,8 +97,8 @@ DRAWN = 300
     sql(
         "dense_brand macro_month",
         f"""WITH r AS (SELECT asset, date, close / lag(close) OVER (PARTITION BY asset ORDER BY date) - 1 AS a FROM dense_brand), p AS (SELECT asset, r.date, a, mkt AS b, lag(mkt) OVER (PARTITION BY asset ORDER BY r.date) AS c FROM r JOIN macro_month m ON m.date = r.date WHERE a IS NOT NULL),
-s AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY date) - 1 AS spot, count(*) OVER (PARTITION BY asset) AS n FROM p WHERE c IS NOT NULL), {_positions("s", DRAWN, 6, 7)},
-g AS (SELECT asset, draw, {_sharpe("a", 12)} - ({_sharpe("b", 12)}) AS sharpe_gap, exp(sum(w * ln(1 + a)) * 12 / sum(w)) - 1 AS growth, 100 * (1 - sum(w * (a - b) * (a - b)) / sum(w * (a - c) * (a - c))) AS r2 FROM s JOIN weights USING (n, spot) GROUP BY asset, draw),
+s AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY date) - 1 AS spot, count(*) OVER (PARTITION BY asset) AS n FROM p WHERE c IS NOT NULL), {bootstrap_sql("s", DRAWN, 6, 7)},
+g AS (SELECT asset, draw, {sharpe_sql("a", 12)} - ({sharpe_sql("b", 12)}) AS sharpe_gap, exp(sum(w * ln(1 + a)) * 12 / sum(w)) - 1 AS growth, 100 * (1 - sum(w * (a - b) * (a - b)) / sum(w * (a - c) * (a - c))) AS r2 FROM s JOIN weights USING (n, spot) GROUP BY asset, draw),
 l AS (SELECT asset, draw, pos, sum(ln(1 + a)) OVER (PARTITION BY asset, draw ORDER BY pos ROWS UNBOUNDED PRECEDING) AS x FROM s JOIN positions USING (n, spot)),
 d AS (SELECT asset, draw, min(exp(x - peak) - 1) AS drawdown FROM (SELECT *, greatest(max(x) OVER (PARTITION BY asset, draw ORDER BY pos ROWS UNBOUNDED PRECEDING), 0) AS peak FROM l) GROUP BY asset, draw),
 u AS (SELECT asset, 'sharpe_gap' AS statistic, sharpe_gap AS v FROM g UNION ALL SELECT asset, 'growth', growth FROM g UNION ALL SELECT asset, 'r2', r2 FROM g UNION ALL SELECT asset, 'drawdown', drawdown FROM d)
@@ -154,7 +140,7 @@ d{next} AS (SELECT d.* FROM d{k} d JOIN o{k} o USING (asset) WHERE model <> leav
         f"""WITH r AS (SELECT asset, date, close / lag(close) OVER (PARTITION BY asset ORDER BY date) - 1 AS y FROM dense_brand), k AS (SELECT * FROM r WHERE y IS NOT NULL),
 f AS (SELECT asset, date, y, {", ".join(f"CASE WHEN count(*) OVER w{h} = {h} THEN avg(y) OVER w{h} END AS f{h}" for h in HORIZONS)} FROM k WINDOW {", ".join(f"w{h} AS (PARTITION BY asset ORDER BY date ROWS BETWEEN {h} PRECEDING AND 1 PRECEDING)" for h in HORIZONS)}),
 s AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY date) - 1 AS spot, count(*) OVER (PARTITION BY asset) AS n FROM f WHERE f{max(HORIZONS)} IS NOT NULL),
-l AS ({" UNION ALL ".join(f"SELECT asset, date, n, spot, '{m}' AS model, (y - {f'f{h}' if h else '0'}) * (y - {f'f{h}' if h else '0'}) AS loss FROM s" for m, h in zip(_MODELS, (*HORIZONS, 0), strict=True))}), {_positions("s", 1000, 2, 11)},
+l AS ({" UNION ALL ".join(f"SELECT asset, date, n, spot, '{m}' AS model, (y - {f'f{h}' if h else '0'}) * (y - {f'f{h}' if h else '0'}) AS loss FROM s" for m, h in zip(_MODELS, (*HORIZONS, 0), strict=True))}), {bootstrap_sql("s", 1000, 2, 11)},
 means AS (SELECT asset, model, avg(loss) AS mse FROM l GROUP BY asset, model),
 d0 AS MATERIALIZED (SELECT asset, model, draw, mse, sum(w * loss) / sum(w) - mse AS d FROM l JOIN weights USING (n, spot) JOIN means USING (asset, model) GROUP BY asset, model, draw, mse),{",".join(_STEP.format(k=k, next=k + 1) for k in range(len(_MODELS) - 1))},
 steps AS ({" UNION ALL ".join(f"SELECT asset, {k} AS k, leaves AS model, p FROM o{k} JOIN p{k} USING (asset)" for k in range(len(_MODELS) - 1))} UNION ALL SELECT DISTINCT asset, {len(_MODELS)}, model, 1.0::DOUBLE FROM d{len(_MODELS) - 1})

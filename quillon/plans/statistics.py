@@ -17,6 +17,21 @@ from quillon.plans.registry import query
 from quillon.sources import views as V
 from quillon.sources.views import sql
 
+def bootstrap_sql(lengths: str, draws: int, block: float, seed: int) -> str:
+    """The stationary bootstrap of each of some lengths as SQL: tables ``positions`` and ``weights``."""
+    return f"""
+places AS (SELECT n, draw, pos, md5(concat_ws('|', '{seed}', n::VARCHAR, draw::VARCHAR, pos::VARCHAR)) AS h FROM (SELECT n, draw, unnest(range(n)) AS pos FROM (SELECT DISTINCT n FROM {lengths}), (SELECT unnest(range({draws})) AS draw))),
+jumps AS (SELECT n, draw, pos, CASE WHEN pos = 0 OR (('0x' || substr(h, 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE < 1.0::DOUBLE / {block}
+    THEN floor((('0x' || substr(h, 14, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE * n)::BIGINT - pos END AS jump FROM places),
+shifts AS (SELECT n, draw, pos, last_value(jump IGNORE NULLS) OVER (PARTITION BY n, draw ORDER BY pos ROWS UNBOUNDED PRECEDING) + pos AS k FROM jumps),
+positions AS (SELECT n, draw, pos, (k % n + n) % n AS spot FROM shifts),
+weights AS (SELECT n, draw, spot, count(*) AS w FROM positions GROUP BY n, draw, spot)"""
+
+
+def sharpe_sql(x: str, periods: int) -> str:
+    return f"sum(w * {x}) / sum(w) / sqrt((sum(w * {x} * {x}) - sum(w * {x}) * sum(w * {x}) / sum(w)) / (sum(w) - 1)) * sqrt({periods}.0::DOUBLE)"
+
+
 def integral(density: str, end: str, panels: int = 2000) -> str:
     """Simpson's rule for a density, a format string of its argument, from zero to ``end``."""
     at = lambda k: density.format(f"(({end}) * (i + {k}) / {panels})")
@@ -196,14 +211,24 @@ def claim_check(spark, folder):
     return spark.createDataFrame([(got["status"], got["reasons"], got["years"], got["newey_west_t"])], "status string, reasons array<string>, years double, newey_west_t double")
 
 
-@query()
+@query(
+    sql(
+        "market_day",
+        RULE
+        + f""", x AS (SELECT date, ret AS a FROM s WHERE ret IS NOT NULL), y AS (SELECT date, r * (SELECT avg(held) FROM s WHERE ret IS NOT NULL) AS b FROM p WHERE r IS NOT NULL),
+series AS (SELECT a, b, row_number() OVER (ORDER BY date) - 1 AS spot, count(*) OVER () AS n FROM x JOIN y USING (date)), {bootstrap_sql("series", 2000, 20, 7)},
+g AS (SELECT draw, {sharpe_sql("a", 252)} - ({sharpe_sql("b", 252)}) AS gap FROM series JOIN weights USING (n, spot) GROUP BY draw),
+ci AS (SELECT quantile_cont(gap, 0.025) AS lo, quantile_cont(gap, 0.975) AS hi FROM g)
+SELECT round(lo, 6) + 0.0::DOUBLE AS lo, round(hi, 6) + 0.0::DOUBLE AS hi, CASE WHEN hi < 0 OR hi <= 0.05 THEN 'REFUTED' WHEN lo > 0.05 THEN 'SUPPORTED' ELSE 'INCONCLUSIVE' END AS gate, NOT (hi < 0 OR 0 < lo) AS overlaps_zero FROM ci""",
+    )
+)
 def bootstrap_ci(spark, folder):
     m = V.market_day(spark, folder)
     ours = B.rule_returns(S.sell_in_may(m))
     hold = B.exposure_matched(m, ours.agg(F.avg("held").alias("exposure")))
     gaps = R.bootstrap_gaps(ours.select("date", F.col("ret").alias("a")).join(hold.select("date", F.col("ret").alias("b")), "date"))
     ci = T.interval(gaps, "sharpe_gap")
-    return ci.withColumn("gate", T.gate(F.col("lo"), F.col("hi"), 0.05)).withColumn("overlaps_zero", T.overlaps(F.col("lo"), F.col("hi"), F.lit(0.0), F.lit(0.0)))
+    return rounded(ci.withColumn("gate", T.gate(F.col("lo"), F.col("hi"), 0.05)).withColumn("overlaps_zero", T.overlaps(F.col("lo"), F.col("hi"), F.lit(0.0), F.lit(0.0))))
 
 
 @query(sql("market_day", "WITH d AS (SELECT date, lag(date) OVER (ORDER BY date) AS b, level / lag(level) OVER (ORDER BY date) - 1 AS r FROM market_day), p AS (SELECT run, date, CASE WHEN (('0x' || substr(md5(run::VARCHAR || '|' || b::VARCHAR), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE < 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS held, r FROM d, (SELECT unnest(range(1, 13)) AS run) WHERE r IS NOT NULL) SELECT run, round(avg(held * r), 8) + 0.0::DOUBLE AS mean_ret, round(avg(held), 6) AS exposure FROM p GROUP BY run"))
