@@ -167,7 +167,12 @@ def attribute(changes: DataFrame, log: DataFrame) -> DataFrame:
     after = F.collect_list(F.struct("ts", "loss")).over(w.rowsBetween(1, 64))
     rows = rows.withColumn("post", F.slice(F.filter(F.transform(F.filter(after, lambda x: x["loss"].isNotNull()), lambda x: x["loss"]), lambda x: x.isNotNull()), 1, 3)).filter("kind = 1 and pre is not null and size(post) > 0")
     rows = rows.withColumn("delta", F.aggregate("post", F.lit(0.0), lambda a, x: a + x) / F.size("post") - F.col("pre"))
-    out = refs.join(rows.select("ts", "delta"), "ts").groupBy("ref").agg(F.count(F.lit(1)).alias("fired"), F.round(F.avg("delta"), 3).alias("mean_delta"), F.avg("delta").alias("m"))
+    return judged(refs.join(rows.select("ts", "delta"), "ts"))
+
+
+def judged(deltas: DataFrame) -> DataFrame:
+    """(ref, fired, mean_delta, verdict) of (ref, delta): the change of loss at each time a rule fired."""
+    out = deltas.groupBy("ref").agg(F.count(F.lit(1)).alias("fired"), F.round(F.avg("delta"), 3).alias("mean_delta"), F.avg("delta").alias("m"))
     some, m = F.col("fired") >= 5, F.col("m")
     return out.select("ref", "fired", "mean_delta", F.when(some & (m < -2), "promote").when(some & (m > 2), "demote").when(some, "low_signal").otherwise("needs_more_data").alias("verdict"))
 

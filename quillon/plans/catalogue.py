@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType
 
+from quillon.operators import postings as I
 from quillon.operators import ranking as K
+from quillon.plans import shared
 from quillon.plans.panels import rounded
 from quillon.plans.registry import query
+from quillon.sources import paged
 from quillon.sources import records as R
 from quillon.sources import views as V
 from quillon.sources.views import sql
@@ -152,3 +157,39 @@ def set_operations(spark, folder):
     """Union of one set with what another has beyond it."""
     w = V.works(spark, folder).select("id", F.concat(F.lit("y"), "year").alias("key"))
     return w.filter("id % 2 = 0").unionByName(w.filter("id % 3 = 0").exceptAll(w.filter("id % 2 = 0")))
+
+
+#: searches that the index answers, as (words, status, kind)
+SEARCHES = [("the src", "attempted", "paper"), ("a", "", ""), ("ing", "catalogued", ""), ("the", "", "spec"), ("on re", "", ""), ("zzzzqqq", "", ""), ("", "verified", "")]
+
+
+def _scan(k: int, words: str, status: str, kind: str) -> str:
+    parts = [f"contains(hay, '{t}')" for t in words.split()] + ([f"status = '{status.upper()}'"] if status else []) + ([f"kind = '{kind}'"] if kind else [])
+    return f"(SELECT {k} AS search, id, title, status FROM c WHERE {' AND '.join(parts)} ORDER BY id LIMIT 50)"
+
+
+@query(sql("works ledger", "WITH c AS (SELECT w.id, title, lower(concat_ws(' ', title, abstract, venue)) AS hay, CASE WHEN l.verdict IS NULL THEN 'CATALOGUED' WHEN l.verdict = 'keep' AND confidence = 1 THEN 'VERIFIED' ELSE 'ATTEMPTED' END AS status, CASE WHEN w.id % 2 = 0 THEN 'paper' ELSE 'spec' END AS kind FROM works w LEFT JOIN ledger l USING (id)) " + " UNION ALL ".join(_scan(k, *s) for k, s in enumerate(SEARCHES))))
+def search_index(spark, folder):
+    """Searches of several kinds by one inverted index over the whole texts."""
+    index = I.build(catalogue(spark, folder), f"{shared.scratch_dir(spark)}/index-{uuid.uuid4().hex}")
+    out = None
+    for k, (words, status, kind) in enumerate(SEARCHES):
+        part = I.search(spark, index, words, status, kind, 50).select(F.lit(k).alias("search"), "id", "title", "status")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT split_part(split_part(url, '://', 1), ':', 1) AS query, strftime(DATE '2024-01-01' + (page_id % 90)::INTEGER, '%Y-%m-%d') AS day, page_id AS key, url FROM pages WHERE url LIKE '%://%'")
+def paged_feed(spark, folder):
+    """All pages through a streaming source of cursor-paged listings, in two runs of one stream."""
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 90).cast("int")), "yyyy-MM-dd")
+    pages = V.table(spark, folder, "pages").filter("url like '%://%'").select(F.split("url", "://")[0].alias("query"), day.alias("day"), F.col("page_id").alias("key"), F.to_json(F.struct(day.alias("day"), F.col("page_id").alias("key"), "url")).alias("record"))
+    kept = shared.staged(pages.withColumn("query", F.split("query", ":")[0]), "listing")
+    queries = "\n".join(r["query"] for r in kept.select("query").distinct().collect() if r["query"])  # protocols
+    base = f"{shared.scratch_dir(spark)}/feed-{uuid.uuid4().hex}"
+    for until in ("2024-02-10", "2024-04-10"):
+        spark.dataSource.register(paged.feed(paged.listing(kept.staged_in), lambda until=until: until, name="pages_feed"))
+        stream = spark.readStream.format("pages_feed").option("queries", queries).option("since", "2024-01-01").load()
+        stream.writeStream.format("parquet").option("path", f"{base}/data").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema("query string, record string").parquet(f"{base}/data")
+    return rows.select("query", F.from_json("record", "day string, key long, url string").alias("r")).select("query", "r.day", "r.key", "r.url")
