@@ -17,7 +17,7 @@ from quillon.sources import views as V
 from quillon.sources.views import sql
 
 
-def _pair_forecast(a: str, b: str, y: str) -> str:
+def pair_forecast(a: str, b: str, y: str) -> str:
     """Normal equations of two predictors over window w, as SQL."""
     det = f"(var_pop({a}) OVER w * var_pop({b}) OVER w - covar_pop({a}, {b}) OVER w * covar_pop({a}, {b}) OVER w)"
     one = f"(covar_pop({y}, {a}) OVER w * var_pop({b}) OVER w - covar_pop({y}, {b}) OVER w * covar_pop({a}, {b}) OVER w) / {det}"
@@ -25,15 +25,19 @@ def _pair_forecast(a: str, b: str, y: str) -> str:
     return f"avg({y}) OVER w + {one} * ({a} - avg({a}) OVER w) + {two} * ({b} - avg({b}) OVER w)"
 
 
-_SINGLE = " + ".join(f"regr_intercept(y, {c}) OVER w + regr_slope(y, {c}) OVER w * {c}" for c in PREDICTORS)
-_PAIRS = " + ".join(_pair_forecast(a, b, "y") for a, b in itertools.combinations(PREDICTORS, 2))
+def single_forecasts(y: str) -> str:
+    """Sum of the forecasts of the regressions on one predictor, as SQL."""
+    return " + ".join(f"regr_intercept({y}, {c}) OVER w + regr_slope({y}, {c}) OVER w * {c}" for c in PREDICTORS)
+
+
+_PAIRS = " + ".join(pair_forecast(a, b, "y") for a, b in itertools.combinations(PREDICTORS, 2))
 
 
 @query(
     sql(
         "macro_month",
         f"""WITH f AS (SELECT *, mkt - rf AS y FROM macro_month),
-g AS (SELECT date, y, count(*) OVER w AS n, avg(y) OVER w AS m0, ({_SINGLE}) / {len(PREDICTORS)} AS m1, ({_PAIRS}) / {len(PREDICTORS) * (len(PREDICTORS) - 1) // 2} AS m2 FROM f WINDOW w AS (ORDER BY date ROWS BETWEEN {WINDOW} PRECEDING AND 1 PRECEDING))
+g AS (SELECT date, y, count(*) OVER w AS n, avg(y) OVER w AS m0, ({single_forecasts('y')}) / {len(PREDICTORS)} AS m1, ({_PAIRS}) / {len(PREDICTORS) * (len(PREDICTORS) - 1) // 2} AS m2 FROM f WINDOW w AS (ORDER BY date ROWS BETWEEN {WINDOW} PRECEDING AND 1 PRECEDING))
 SELECT date, model, round(y, 6) + 0.0::DOUBLE AS actual, round(forecast, 6) + 0.0::DOUBLE AS forecast FROM (
     SELECT date, y, n, 'mean' AS model, m0 AS forecast FROM g UNION ALL SELECT date, y, n, 'subsets 1', m1 FROM g UNION ALL SELECT date, y, n, 'subsets 2', m2 FROM g) WHERE n = {WINDOW}""",
     )
