@@ -48,15 +48,6 @@ def model_confidence_set(spark, folder):
     return rounded(M.confidence_sets(M.forecast(frame(spark, folder), PREDICTORS, WINDOW, MODELS)))
 
 
-TABLE = "Table 1. Performance\\n k = 1 k = 3\\nTW AV TW AV\\nBuy and hold 104.63 9.10* 104.63 9.10\\nMomentum\\nmom 12 100.21 (8.75) 98.10 12.5%\\nNotes: none"
-
-
-@query()
-def exhibit_cells(spark, folder):
-    pages = V.table(spark, folder, "benchmark").select(F.col("item_id").alias("paper"), F.lit(1).alias("page"), F.concat(F.lit(TABLE.replace("\\n", "\n")), F.lit("\nTable 2. Other\nA "), F.round(F.length("text") / 7, 2), F.lit("\n"), "text").alias("text"))
-    return X.harvest(pages).select("paper", "cell", "value", "percent", "stars", "parenthesised")
-
-
 @query("SELECT item_id AS paper, 1 AS page, 'Table ' || item_id AS label, left(regexp_replace(split_part(text, chr(10), 1), '\\s+', ' ', 'g'), 260) AS caption FROM benchmark")
 def captions(spark, folder):
     return captioned(V.table(spark, folder, "benchmark"))
