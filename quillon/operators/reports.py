@@ -58,6 +58,18 @@ def targets(windows: list[tuple[str, dict[str, float]]], tolerances: dict[str, f
     return [(w, s, v, tolerances[s]) for w, stats in windows for s, v in stats.items()]
 
 
+def target_checks(frozen: DataFrame, spans: DataFrame, returns: DataFrame) -> DataFrame:
+    """(span, statistic, published, tolerance, measured, lands) of frozen targets in periods (span, first, last) of one series (date, ret)."""
+    inside = returns.filter("ret is not null").join(F.broadcast(spans), F.col("date").between(F.col("first").cast("date"), F.col("last").cast("date")))
+    up_to = Window.partitionBy("span").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    path = inside.withColumn("__x", F.sum(F.log1p("ret")).over(up_to))
+    fallen = path.withColumn("__fall", F.exp(F.col("__x") - F.max("__x").over(up_to)) - 1)
+    row = fallen.groupBy("span").agg(T.cagr().alias("cagr"), T.sharpe().alias("sharpe"), F.min("__fall").alias("max_drawdown"))
+    long = row.select("span", F.inline(F.array(*[F.struct(F.lit(c).alias("statistic"), F.col(c).alias("measured")) for c in ("cagr", "sharpe", "max_drawdown")])))
+    both = frozen.join(long, ["span", "statistic"], "left")
+    return both.select("span", "statistic", "published", "tolerance", "measured", F.coalesce(F.abs(F.col("measured") - F.col("published")) <= F.col("tolerance"), F.lit(False)).alias("lands"))
+
+
 def fixture_flags(rows: DataFrame) -> DataFrame:
     """Flags of (sharpe, lo, hi, ic_mean, expected_sign, least_ic, verdict, expected_verdict)."""
     sign_ok = F.when(F.col("expected_sign") == "+", F.col("ic_mean") > 0).when(F.col("expected_sign") == "-", F.col("ic_mean") < 0).otherwise(True)

@@ -87,6 +87,24 @@ def coverage(scored: DataFrame) -> DataFrame:
     return row.withColumn("verdict", coverage_verdict(F.col("lands"), F.col("differs"), F.col("blocked"), F.col("checks")))
 
 
+def failures(scored: DataFrame) -> DataFrame:
+    """(exhibit, checks, lands, rate, failures) of each exhibit: its share of checked cells that land, and those that do not.
+
+    failures: (cell, published, observed, gap), the widest gap first; an exhibit has as many cells as are printed in it.
+    """
+    missed = F.when(F.col("state") == "MISSED", F.struct((-F.col("gap")).alias("order"), F.col("cell"), F.col("published"), F.col("observed"), F.col("gap")))
+    row = scored.groupBy(F.split("cell", "/")[0].alias("exhibit")).agg(F.count_if(F.col("state").isin("REPRODUCED", "MISSED")).alias("checks"), F.count_if(F.col("state") == "REPRODUCED").alias("lands"), F.array_sort(F.collect_list(missed)).alias("f"))
+    return row.select("exhibit", "checks", "lands", F.try_divide("lands", "checks").alias("rate"), F.transform("f", lambda x: F.struct(x["cell"].alias("cell"), x["published"].alias("published"), x["observed"].alias("observed"), x["gap"].alias("gap"))).alias("failures"))
+
+
+def artifact_status(scored: DataFrame, by: str = "paper") -> DataFrame:
+    """(by, status, headline) of scored cells: VERIFIED if all printed numbers are reproduced, ATTEMPTED if some are, else CATALOGUED."""
+    s = F.col("state")
+    row = scored.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(s == "REPRODUCED").alias("r"))
+    status = F.when(F.col("r") == F.col("n"), "VERIFIED").when(F.col("r") > 0, "ATTEMPTED").otherwise("CATALOGUED")
+    return row.select(by, status.alias("status"), F.concat("r", F.lit(" of "), "n", F.lit(" published numbers reproduced")).alias("headline"))
+
+
 def headline(scored: DataFrame) -> DataFrame:
     s = F.col("state")
     row = scored.agg(F.count(F.lit(1)).alias("n"), F.count_if(s == "REPRODUCED").alias("r"), F.count_if(s == "MISSED").alias("m"), F.count_if(s == "UNOBTAINABLE").alias("u"), F.count_if(s == "NOT_ATTEMPTED").alias("a"))

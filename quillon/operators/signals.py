@@ -108,6 +108,11 @@ def residual_momentum(rets: DataFrame, form: int = 36, skip: int = 1, span: int
     return fitted.select("asset", "date", F.try_divide("m", F.when(F.col("sd") > 0, F.col("sd"))).alias("score"))
 
 
+def dollar_volume_variance(panel: DataFrame, n: int = 36, least: int | None = None) -> DataFrame:
+    """Sample variance of the traded value (price times volume) over n rows; null below ``least`` values (default: all)."""
+    return rolling(panel.select("asset", "date", (F.col("close") * F.col("volume")).alias("ret")), n, "var", least)
+
+
 def share_turnover(panel: DataFrame, shares: DataFrame) -> DataFrame:
     """Volume over the share count known at the time: the last one on or before the date, without limit."""
     known = F.last("shares", ignorenulls=True).over(by_asset().rowsBetween(Window.unboundedPreceding, 0))

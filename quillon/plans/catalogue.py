@@ -159,6 +159,21 @@ def set_operations(spark, folder):
     return w.filter("id % 2 = 0").unionByName(w.filter("id % 3 = 0").exceptAll(w.filter("id % 2 = 0")))
 
 
+@query(sql("works", "SELECT id, 'y' || year AS key FROM works WHERE id % 2 = 0 INTERSECT SELECT id, 'y' || year FROM works WHERE id % 3 = 0"))
+def common_keys(spark, folder):
+    """What two sets have in common."""
+    w = V.works(spark, folder).select("id", F.concat(F.lit("y"), "year").alias("key"))
+    return w.filter("id % 2 = 0").intersect(w.filter("id % 3 = 0"))
+
+
+@query("SELECT doc_id, CASE WHEN y <> 0 AND y < 2023 THEN make_date(y + 1, 1, 1) END AS start, CASE WHEN y <> 0 AND y < 2023 THEN DATE '2024-01-01' END AS stop FROM (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 0 WHEN doc_id % 13 = 0 THEN NULL ELSE 1990 + (doc_id % 37)::INTEGER END AS y FROM documents)")
+def post_sample_windows(spark, folder):
+    """The years after each paper's sample, none where the sample ends too late or is not known."""
+    i = F.col("doc_id")
+    year = F.when(i % 11 == 0, 0).when(i % 13 == 0, None).otherwise((1990 + i % 37).cast("int"))
+    return V.table(spark, folder, "documents").select("doc_id", R.post_sample(year, F.lit("2024-01-01").cast("date")).alias("w")).select("doc_id", "w.start", F.col("w.end").alias("stop"))
+
+
 #: searches that the index answers, as (words, status, kind)
 SEARCHES = [("the src", "attempted", "paper"), ("a", "", ""), ("ing", "catalogued", ""), ("the", "", "spec"), ("on re", "", ""), ("zzzzqqq", "", ""), ("", "verified", "")]
 

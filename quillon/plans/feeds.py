@@ -12,6 +12,7 @@ from quillon.operators import graphs as G
 from quillon.operators import ranking as K
 from quillon.operators import reports as R
 from quillon.operators import screens as S
+from quillon.plans.books import market_returns
 from quillon.plans.panels import rounded
 from quillon.plans.registry import query
 from quillon.plans.screens import TEXT, p, papers, rx
@@ -173,10 +174,27 @@ def log_file(spark, folder):
     return records.read_log(spark, path).select("ts", "verdict_accuracy")
 
 
-@query("WITH t AS (SELECT 'early' AS span, 0.08::DOUBLE AS cagr, 0.5::DOUBLE AS sharpe UNION ALL SELECT 'late', 0.04, 0.3) SELECT span, 'cagr' AS statistic, cagr AS published, 0.01::DOUBLE AS tolerance FROM t UNION ALL SELECT span, 'sharpe', sharpe, 0.05 FROM t")
+_TARGETS = [("early", "1992-01-01", "1996-12-31", {"cagr": 0.08, "sharpe": 0.5}), ("late", "1997-01-01", "2002-12-31", {"cagr": 0.04, "sharpe": 0.3}), ("hold", "1990-01-01", "2010-12-31", {"cagr": 0.0, "max_drawdown": -0.5})]
+_TOLERANCES = {"cagr": 0.5, "sharpe": 0.4, "max_drawdown": 0.25}
+
+
+@query(
+    sql(
+        "market_returns",
+        "WITH t(span, a, b, statistic, published, tolerance) AS (VALUES " + ", ".join(f"('{n}', DATE '{a}', DATE '{b}', '{k}', {v}::DOUBLE, {_TOLERANCES[k]}::DOUBLE)" for n, a, b, stats in _TARGETS for k, v in stats.items()) + """),
+i AS (SELECT span, date, ret FROM market_returns, (SELECT DISTINCT span, a, b FROM t) WHERE date BETWEEN a AND b AND ret IS NOT NULL), w AS (SELECT *, sum(ln(1 + ret)) OVER (PARTITION BY span ORDER BY date ROWS UNBOUNDED PRECEDING) AS x FROM i),
+d AS (SELECT *, exp(x - max(x) OVER (PARTITION BY span ORDER BY date ROWS UNBOUNDED PRECEDING)) - 1 AS fall FROM w),
+m AS (SELECT span, exp(sum(ln(1 + ret)) * 252 / count(*)) - 1 AS cagr, avg(ret) / stddev_samp(ret) * sqrt(252) AS sharpe, min(fall) AS max_drawdown FROM d GROUP BY span),
+u AS (SELECT span, 'cagr' AS statistic, cagr AS v FROM m UNION ALL SELECT span, 'sharpe', sharpe FROM m UNION ALL SELECT span, 'max_drawdown', max_drawdown FROM m)
+SELECT span, statistic, published, tolerance, round(v, 5) + 0.0::DOUBLE AS measured, coalesce(abs(v - published) <= tolerance, false) AS lands FROM t LEFT JOIN u USING (span, statistic)""",
+    )
+)
 def frozen_targets(spark, folder):
-    rows = R.targets([("early", {"cagr": 0.08, "sharpe": 0.5}), ("late", {"cagr": 0.04, "sharpe": 0.3})], {"cagr": 0.01, "sharpe": 0.05})
-    return spark.createDataFrame(rows, "span string, statistic string, published double, tolerance double")
+    """Published figures of periods, and of holding the market over all of them, against what the market did."""
+    rows = R.targets([(n, stats) for n, _, _, stats in _TARGETS], _TOLERANCES)
+    frozen = spark.createDataFrame(rows, "span string, statistic string, published double, tolerance double")
+    spans = spark.createDataFrame([(n, a, b) for n, a, b, _ in _TARGETS], "span string, first string, last string")
+    return rounded(R.target_checks(frozen, spans, market_returns(spark, folder)), "measured", digits=5)
 
 
 def flat(spark, folder):

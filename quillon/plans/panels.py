@@ -167,6 +167,11 @@ def share_turnover(spark, folder):
     return rounded(rounded(t.join(S.coefficient_of_variation(t, 36), ["asset", "date"]), "score"), "ret", digits=9)
 
 
+@query(sql("dense_supplier", "WITH t AS (SELECT asset, date, close * volume AS v FROM dense_supplier) SELECT asset, date, round(CASE WHEN count(v) OVER w >= 6 THEN var_samp(v) OVER w END, 3) + 0.0::DOUBLE AS score FROM t WINDOW w AS (PARTITION BY asset ORDER BY date ROWS 11 PRECEDING)"))
+def dollar_volume_variance(spark, folder):
+    return rounded(S.dollar_volume_variance(suppliers(spark, folder), 12, 6), digits=3)
+
+
 def ewm_sql(name: str, source: str, column: str, span: int) -> str:
     """CTEs that carry an exponentially weighted mean from row to row: (asset, date, k, m, w)."""
     a = f"{2 / (span + 1)!r}::DOUBLE"

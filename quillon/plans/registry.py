@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-MODULES = ("panels", "books", "statistics", "screens", "graphs", "scores", "catalogue", "estimators", "printed", "regressions", "strategies", "streams", "reports", "studies", "notes", "feeds", "published")
+MODULES = ("panels", "books", "statistics", "screens", "graphs", "scores", "catalogue", "estimators", "printed", "papers", "regressions", "strategies", "streams", "reports", "studies", "notes", "feeds", "published")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

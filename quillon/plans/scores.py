@@ -83,10 +83,30 @@ def parse_cells(spark, folder):
     return rounded(d.select(S.parse_cell(F.col("token")).alias("c")).filter("c is not null").select("c.*").groupBy("raw", "value", "percent", "stars", "parenthesised").agg(F.count(F.lit(1)).alias("n")), "value")
 
 
-@query("SELECT item_id, 'Buy and hold ' || item_id AS label, ['1.25*', '(0.31)', '12%', '−3.4'] AS numbers FROM benchmark")
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_returnflag WHEN 'R' THEN 'Returned' WHEN 'A' THEN 'Taken as ordered' ELSE 'New' END || CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE ' part-' || l_partkey END || CASE WHEN l_linenumber % 2 = 0 THEN ' ' || l_linenumber ELSE '' END AS label,
+[CASE WHEN l_returnflag = 'R' THEN '-' ELSE '' END || printf('%.2f', l_quantity) || CASE l_orderkey % 3 WHEN 0 THEN '*' WHEN 1 THEN '**' ELSE '' END, '(' || printf('%.2f', l_extendedprice) || ')', printf('%.0f', l_discount * 100) || '%', l_partkey::VARCHAR] AS numbers FROM lineitem)
+SELECT l_orderkey AS id, label, CASE WHEN l_orderkey % 4 = 0 THEN []::VARCHAR[] ELSE numbers END AS numbers FROM t""")
 def split_rows(spark, folder):
-    d = V.table(spark, folder, "benchmark").select("item_id", F.concat(F.lit("Buy and hold  "), "item_id", F.lit(" 1.25* (0.31) 12% −3.4")).alias("line"))
-    return d.select("item_id", S.split_row(F.col("line")).alias("r")).select("item_id", "r.*")
+    """Lines made of every order line's own values, with labels of several words and signs, stars, brackets and percentages; some have no numbers."""
+    key, line = F.col("l_orderkey"), F.col("l_linenumber")
+    kind = F.when(F.col("l_returnflag") == "R", "Returned").when(F.col("l_returnflag") == "A", "Taken  as ordered").otherwise("New")
+    label = F.concat(kind, F.when(line % 3 == 0, "").otherwise(F.concat(F.lit("  part-"), "l_partkey")), F.when(line % 2 == 0, F.concat(F.lit("  "), line)).otherwise(""))
+    two = lambda c: F.format_string("%.2f", c)
+    numbers = [F.concat(F.when(F.col("l_returnflag") == "R", "-").otherwise(""), two("l_quantity"), F.when(key % 3 == 0, "*").when(key % 3 == 1, "**").otherwise("")), F.concat(F.lit("("), two("l_extendedprice"), F.lit(")")), F.concat(F.format_string("%.0f", F.col("l_discount") * 100), F.lit("%")), F.col("l_partkey").cast("string")]
+    text = F.concat(F.lit(" "), label, F.when(key % 4 == 0, "").otherwise(F.concat(F.lit("   "), F.concat_ws(" ", *numbers))))
+    return V.table(spark, folder, "lineitem").select(key.alias("id"), S.split_row(text).alias("r")).select("id", F.regexp_replace("r.label", r"\s+", " ").alias("label"), "r.numbers")
+
+
+@query(f"WITH {SCORED} SELECT exhibit, checks, lands, round(lands / nullif(checks, 0), 6) AS rate, coalesce(f, []) AS failed FROM (SELECT string_split(cell, '/')[1] AS exhibit, count(*) FILTER (state IN ('REPRODUCED', 'MISSED')) AS checks, count(*) FILTER (state = 'REPRODUCED') AS lands, list(cell ORDER BY gap DESC, cell) FILTER (state = 'MISSED') AS f FROM scored GROUP BY 1)")
+def coverage_failures(spark, folder):
+    """Cells of each exhibit that do not land, the widest gap first."""
+    rows = S.failures(scored(spark, folder))
+    return rounded(rows.select("exhibit", "checks", "lands", "rate", F.transform("failures", lambda x: x["cell"]).alias("failed")), "rate")
+
+
+@query(f"WITH {SCORED} SELECT exhibit, CASE WHEN r = n THEN 'VERIFIED' WHEN r > 0 THEN 'ATTEMPTED' ELSE 'CATALOGUED' END AS status, r || ' of ' || n || ' published numbers reproduced' AS headline FROM (SELECT string_split(cell, '/')[1] AS exhibit, count(*) AS n, count(*) FILTER (state = 'REPRODUCED') AS r FROM scored GROUP BY 1)")
+def artifact_status(spark, folder):
+    return S.artifact_status(scored(spark, folder).withColumn("exhibit", F.split("cell", "/")[0]), "exhibit")
 
 
 @query(sql("votes", "WITH s AS (SELECT submission, faction, sum(weight) AS w FROM votes WHERE vote = 'agree' AND faction <> 'unknown' GROUP BY ALL), t AS (SELECT submission, count(*) AS factions, sum(w) AS weight FROM s GROUP BY 1) SELECT submission, coalesce(factions, 0) AS factions, round(coalesce(weight, 0), 6) AS weight, coalesce(factions, 0) >= 2 AS passed FROM (SELECT DISTINCT submission FROM votes) LEFT JOIN t USING (submission)"))

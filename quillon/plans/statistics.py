@@ -143,10 +143,17 @@ def deflated_sharpe(spark, folder):
     return rounded(T.deflated_sharpe(market_returns(spark, folder), 12))
 
 
-@query(recursive("", f"WITH {BEST.format(trials='2, 5, 12, 45, 1000', phi=PHI)} SELECT trials, round(best, 6) AS expected_max, round(best * best, 6) AS years_at_sharpe_1 FROM best UNION ALL SELECT 1, 0, 0"))
+_COUNTED = "b AS (SELECT asset, avg(ret) / stddev_samp(ret) * sqrt(12) AS sharpe FROM brand_returns WHERE ret IS NOT NULL GROUP BY asset), c AS (SELECT p_brand AS asset, count(DISTINCT p_type) AS trials FROM part GROUP BY 1), counted AS (SELECT asset, trials, sharpe FROM c JOIN b USING (asset))"
+_BEST = BEST.replace("(SELECT unnest([{trials}])::DOUBLE AS n)", "(SELECT DISTINCT trials::DOUBLE AS n FROM counted WHERE trials > 1)").format(phi=PHI)
+
+
+@query(recursive("brand_returns", f"WITH {_COUNTED}, {_BEST} SELECT asset, trials, round(sharpe, 6) + 0.0::DOUBLE AS sharpe, round(coalesce(best, 0), 6) + 0.0::DOUBLE AS expected_max, CASE WHEN sharpe > 0 THEN round(pow(coalesce(best, 0) / sharpe, 2), 4) + 0.0::DOUBLE END AS years_needed FROM counted LEFT JOIN best USING (trials)"))
 def expected_max_sharpe(spark, folder):
-    rows = [(n, round(mathx.expected_max_sharpe(n), 6), round(mathx.min_backtest_years(n, 1.0), 6)) for n in (1, 2, 5, 12, 45, 1000)]
-    return spark.createDataFrame(rows, "trials int, expected_max double, years_at_sharpe_1 double")
+    """For each brand the Sharpe ratio that as many tries as it has types of parts would reach by luck, and the years its own needs."""
+    ret = P.returns(P.dense(V.brand_month(spark, folder))).filter("ret is not null").groupBy("asset").agg((F.avg("ret") / F.stddev_samp("ret") * F.sqrt(F.lit(12))).alias("sharpe"))
+    tries = V.table(spark, folder, "part").groupBy(F.col("p_brand").alias("asset")).agg(F.countDistinct("p_type").alias("trials"))
+    out = T.luck(tries.join(ret, "asset")).select("asset", "trials", "sharpe", "expected_max", "years_needed")
+    return rounded(rounded(out, "sharpe", "expected_max"), "years_needed", digits=4)
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import exhibits as X
 from quillon.operators import models as M
+from quillon.operators import panel as P
 from quillon.operators import screens as C
 from quillon.operators import signals as S
 from quillon.operators import statistics as T
@@ -69,9 +70,13 @@ def catalogue_claims(spark, folder):
     return rounded(T.catalogue_claims(rows), "claimed_annual_return", digits=9)
 
 
-@query("SELECT * FROM (VALUES ('newey_west_t', 2.0::DOUBLE), ('t_erosion_fraction', 0.3::DOUBLE), ('pbo_ceiling', 0.5::DOUBLE), ('worst_path_sharpe', 0.0::DOUBLE), ('min_years_multiple', 1.0::DOUBLE), ('least_rows', 60.0::DOUBLE), ('least_split', 120.0::DOUBLE)) AS g(gate, threshold)")
+@query(sql("brand_returns", "WITH n AS (SELECT asset, count(*)::DOUBLE AS n, 1 - count(*) FILTER (ret > 0) / count(*) AS lost FROM brand_returns WHERE ret IS NOT NULL GROUP BY asset), g(gate, threshold) AS (VALUES ('least_rows', 60.0::DOUBLE), ('least_split', 120.0::DOUBLE), ('pbo_ceiling', 0.5::DOUBLE)) SELECT asset, gate, threshold, round(CASE WHEN gate = 'pbo_ceiling' THEN lost ELSE n END, 6) AS value, CASE WHEN gate = 'pbo_ceiling' THEN lost <= threshold ELSE n >= threshold END AS passes FROM n, g"))
 def frozen_gates(spark, folder):
-    return spark.createDataFrame([(k, float(v)) for k, v in T.gates_table()], "gate string, threshold double")
+    """The frozen gates on the length of each brand's history and on its share of months that do not rise."""
+    ret = P.returns(P.dense(V.brand_month(spark, folder))).filter("ret is not null")
+    n = ret.groupBy("asset").agg(F.count(F.lit(1)).cast("double").alias("n"), (1 - F.count_if(F.col("ret") > 0) / F.count(F.lit(1))).alias("lost"))
+    each = F.array(*[F.struct(F.lit(g).alias("gate"), F.col(c).alias("value")) for g, c in (("least_rows", "n"), ("least_split", "n"), ("pbo_ceiling", "lost"))])
+    return rounded(T.gate_checks(n.select("asset", F.inline(each))), "value")
 
 
 @query()

@@ -171,6 +171,12 @@ def openap_fixture(rows: DataFrame) -> DataFrame:
     )
 
 
+def post_sample(end_year: Column, as_of: Column) -> Column:
+    """(start, end) of the years a paper never saw: from the January after its sample to ``as_of``; null if there are none yet."""
+    start = F.make_date(end_year.cast("int") + 1, F.lit(1), F.lit(1))
+    return F.when((end_year != 0) & (start < as_of), F.struct(start.alias("start"), as_of.alias("end")))
+
+
 def offline_spec(text: Column) -> Column:
     """What patterns alone say about a signal: Sharpe, universe, rebalancing and shape."""
     monthly = text.rlike(r"(?i)\bmonthly\b.*\brebalanc")
