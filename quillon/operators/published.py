@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators import moments
 from quillon.operators.panel import by_asset, trailing
 
 YEAR = 12
@@ -77,3 +78,60 @@ def coskewness(rets: DataFrame, n: int = 36) -> DataFrame:
     var_r, var_m = mean(r * r) - mean(r) * mean(r), mean(m * m) - mean(m) * mean(m)
     score = F.when((var_r > 0) & (var_m > 0), -third / (F.sqrt(var_r) * var_m))
     return both.select("asset", "date", F.when(F.count("r").over(w) == n, score).alias("score"))
+
+
+def market_states(panel: DataFrame, rets: DataFrame) -> DataFrame:
+    """(date, m, m1 .. m4, liquidity, volatility, tail): the market's return and its lags, and what betas are taken to.
+
+    liquidity: change of the log of the mean of absolute return over traded value; volatility: change of the year's deviation of the market;
+    tail: mean log of how far the lowest twentieth of the returns of the row before lay beyond their edge.
+    """
+    value = F.col("close") * F.col("volume")
+    traded = rets.join(panel.select("asset", "date", value.alias("value")), ["asset", "date"]).filter("ret is not null")
+    edges = traded.groupBy("date").agg(F.percentile("ret", F.lit(0.05)).alias("edge"))
+    beyond = F.when((F.col("ret") < F.col("edge")) & (F.col("edge") < 0), F.ln(F.col("ret") / F.col("edge")))
+    dates = traded.join(edges, "date").groupBy("date").agg(F.avg("ret").alias("m"), F.avg(F.try_divide(F.abs("ret"), "value")).alias("impact"), F.avg(beyond).alias("tail"))
+    w = Window.orderBy("date")  # one row a date
+    year = w.rowsBetween(-(YEAR - 1), 0)
+    rows = dates.withColumn("deviation", F.when(F.count("m").over(year) == YEAR, F.stddev_samp("m").over(year)))
+    change = lambda x: x - F.lag(x).over(w)
+    return rows.select("date", "m", *[F.lag("m", k).over(w).alias(f"m{k}") for k in range(1, 5)], change(_logarithm(F.col("impact"))).alias("liquidity"), change(F.col("deviation")).alias("volatility"), F.lag("tail").over(w).alias("tail"))
+
+
+def exposures(rets: DataFrame, states: DataFrame, n: int = 36) -> DataFrame:
+    """(asset, date, delay, liquidity, volatility, tail) from regressions over the n rows before each date.
+
+    delay: less the part of what the market and its four lags explain that the market alone does; the others are the slopes beside the market's, those of volatility
+    with the opposite sign.
+    """
+    rows = rets.join(states, "date")
+    keys = ["asset", "date"]
+
+    def fitted(columns: list[str], *out: Column) -> DataFrame:
+        sums = moments.running(rows, columns, n, "ret", by=["asset"])
+        return moments.regressions(sums, len(columns), keys).select(*keys, *out)
+
+    lagged = fitted(["m", "m1", "m2", "m3", "m4"], F.col("r2").alias("all_r2")).join(fitted(["m"], F.col("r2").alias("one_r2")), keys)
+    out = lagged.select(*keys, (1 - F.try_divide("one_r2", "all_r2")).alias("delay"))
+    for name, sign in (("liquidity", 1), ("volatility", -1), ("tail", 1)):
+        out = out.join(fitted(["m", name], (sign * F.get("slopes", F.lit(1))).alias(name)), keys, "left")
+    return out
+
+
+def conditional_momentum(panel: DataFrame, sectors: DataFrame) -> DataFrame:
+    """(asset, date, busy, young, leaders, unseasonal): momentum among some assets only, of others, or without a month.
+
+    busy: the six-row return where traded value is in the date's top third; young: the twelve-row one where the asset has no more rows than the
+    date's median; leaders: the last return of the largest third of the asset's sector by traded value, for assets outside it; unseasonal: mean return of the last eleven
+    rows, which leaves out the month a year before the next.
+    """
+    w, date = by_asset(), Window.partitionBy("date")
+    rows = panel.select("asset", "date", "close", (F.col("close") * F.col("volume")).alias("value"), _moved(0, 6).alias("six"), _moved(0, YEAR).alias("twelve"), (F.try_divide(F.col("close"), F.lag("close").over(w)) - 1).alias("ret"))
+    rows = rows.withColumn("age", F.count("close").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    eleven = by_asset().rowsBetween(-(YEAR - 2), 0)
+    rows = rows.withColumn("unseasonal", F.when(F.count("ret").over(eleven) == YEAR - 1, F.avg("ret").over(eleven))).filter("value is not null").join(sectors, "asset")
+    place = lambda over: F.row_number().over(over.orderBy(F.desc("value"), "asset")) * 3 <= F.count(F.lit(1)).over(over)
+    sector = Window.partitionBy("sector", "date")
+    rows = rows.withColumn("top", place(date)).withColumn("big", place(sector)).withColumn("median_age", F.percentile("age", F.lit(0.5)).over(date))
+    leaders = F.avg(F.when(F.col("big"), F.col("ret"))).over(sector)
+    return rows.select("asset", "date", F.when(F.col("top"), F.col("six")).alias("busy"), F.when(F.col("age") <= F.col("median_age"), F.col("twelve")).alias("young"), F.when(~F.col("big"), leaders).alias("leaders"), "unseasonal")

@@ -100,19 +100,20 @@ def cohort_book(spark, folder):
     return rounded(B.cohort_book(scores(spark, folder), forward(spark, folder), V.supplier_month(spark, folder), 120.0))
 
 
-@query(
-    sql(
-        "momentum",
-        """WITH dm AS (SELECT d.asset, d.date, m.score FROM dense_supplier d LEFT JOIN momentum m USING (asset, date)),
+#: the book of the row before's scores as SQL, of {scores}; its returns are ``res``
+PRIOR = (
+    """WITH sc AS ({scores}), dm AS (SELECT d.asset, d.date, m.score FROM dense_supplier d LEFT JOIN sc m USING (asset, date)),
 l AS (SELECT date, asset, lag(score) OVER (PARTITION BY asset ORDER BY date) AS score FROM dm),
 q AS (SELECT date, asset, row_number() OVER (PARTITION BY date ORDER BY score DESC, asset) AS high, count(*) OVER (PARTITION BY date) AS n FROM l WHERE score IS NOT NULL),
 ls AS (SELECT date, asset, CASE WHEN high > n - greatest(2, floor(n * 0.2::DOUBLE)) THEN -0.5::DOUBLE / greatest(2, floor(n * 0.2::DOUBLE)) WHEN high <= greatest(2, floor(n * 0.2::DOUBLE)) THEN 0.5::DOUBLE / greatest(2, floor(n * 0.2::DOUBLE)) ELSE 0 END AS w FROM q WHERE n >= 10)"""
-        + TURNOVER
-        + NET.replace("sum(change) * 0.0005::DOUBLE", "0")
-        + """, s AS (SELECT date, sum(abs(w)) AS size FROM ls GROUP BY date), ft AS (SELECT t.date, CASE WHEN t.date = (SELECT min(date) FROM ls) THEN size ELSE turnover END AS turnover FROM t JOIN s USING (date))
-SELECT net.date, round(ret - coalesce(turnover, 0) * 0.001::DOUBLE, 6) + 0.0::DOUBLE AS ret FROM net LEFT JOIN ft ON ft.date = net.date""",
-    )
+    + TURNOVER
+    + NET.replace("sum(change) * 0.0005::DOUBLE", "0")
+    + """, s AS (SELECT date, sum(abs(w)) AS size FROM ls GROUP BY date), ft AS (SELECT t.date, CASE WHEN t.date = (SELECT min(date) FROM ls) THEN size ELSE turnover END AS turnover FROM t JOIN s USING (date)),
+res AS (SELECT net.date, ret - coalesce(turnover, 0) * 0.001::DOUBLE AS ret FROM net LEFT JOIN ft ON ft.date = net.date)"""
 )
+
+
+@query(sql("momentum", PRIOR.format(scores="SELECT asset, date, score FROM momentum") + " SELECT date, round(ret, 6) + 0.0::DOUBLE AS ret FROM res"))
 def prior_score_book(spark, folder):
     p = suppliers(spark, folder)
     return rounded(B.prior_score_book(S.momentum(p, 1, 12), p))

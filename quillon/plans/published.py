@@ -6,6 +6,7 @@ from quillon.operators import panel as P
 from quillon.operators import published as S
 from quillon.plans.panels import rounded, suppliers
 from quillon.plans.registry import query
+from quillon.plans.regressions import determinant
 from quillon.sources import views as V
 from quillon.sources.views import sql
 
@@ -54,3 +55,49 @@ SELECT asset, date, round(CASE WHEN n = 36 THEN -(rmm - r1 * m2 - 2 * m1 * rm +
 )
 def coskewness(spark, folder):
     return rounded(S.coskewness(P.returns(suppliers(spark, folder))), digits=5)
+
+
+_STATES = """v AS (SELECT r.asset, r.date, ret, close * volume AS value FROM returns r JOIN dense_supplier USING (asset, date) WHERE ret IS NOT NULL), q AS (SELECT date, quantile_cont(ret, 0.05) AS edge FROM v GROUP BY date),
+dt AS (SELECT date, avg(ret) AS m, avg(abs(ret) / nullif(value, 0)) AS impact, avg(CASE WHEN ret < edge AND edge < 0 THEN ln(ret / edge) END) AS tail FROM v JOIN q USING (date) GROUP BY date),
+dv AS (SELECT *, CASE WHEN count(m) OVER y = 12 THEN stddev_samp(m) OVER y END AS deviation FROM dt WINDOW y AS (ORDER BY date ROWS 11 PRECEDING)),
+st AS (SELECT date, m, lag(m, 1) OVER w AS m1, lag(m, 2) OVER w AS m2, lag(m, 3) OVER w AS m3, lag(m, 4) OVER w AS m4, ln(impact) - lag(ln(impact)) OVER w AS liquidity, deviation - lag(deviation) OVER w AS volatility, lag(tail) OVER w AS tail FROM dv WINDOW w AS (ORDER BY date)),
+f AS (SELECT returns.asset, returns.date, ret AS y, st.* EXCLUDE (date) FROM returns JOIN st ON st.date = returns.date)"""
+
+
+def _beside(name: str) -> str:
+    """The slope beside the market's over the 36 rows before, as SQL."""
+    c = lambda a, b: f"covar_pop({a}, {b}) OVER w"
+    return f"CASE WHEN count(y + m + {name}) OVER w = 36 THEN ({c('y', name)} * {c('m', 'm')} - {c('y', 'm')} * {c('m', name)}) / ({c('m', 'm')} * {c(name, name)} - {c('m', name)} * {c('m', name)}) END"
+
+
+_LAGS = ["m", "m1", "m2", "m3", "m4"]
+
+
+@query(
+    sql(
+        "dense_supplier returns",
+        f"""WITH {_STATES}, c AS (SELECT asset, date, count(y + m) OVER w AS n1, count(y + m4) OVER w AS n4, {", ".join(f"covar_pop({a}, {b}) OVER w AS v_{a}_{b}" for a in _LAGS for b in [*_LAGS, "y"])}, var_pop(y) OVER w AS vy, {_beside("liquidity")} AS liquidity, -{_beside("volatility")} AS volatility, {_beside("tail")} AS tail
+FROM f WINDOW w AS (PARTITION BY asset ORDER BY date ROWS BETWEEN 36 PRECEDING AND 1 PRECEDING))
+SELECT asset, date, round(1 - (v_m_y * v_m_y / v_m_m / vy) / (({" + ".join(f"{determinant(_LAGS, _LAGS, x, 'y')} / {determinant(_LAGS, _LAGS, None, 'y')} * v_{x}_y" for x in _LAGS)}) / vy), 4) + 0.0::DOUBLE AS delay,
+    round(liquidity, 4) + 0.0::DOUBLE AS liquidity, round(volatility, 4) + 0.0::DOUBLE AS volatility, round(tail, 4) + 0.0::DOUBLE AS tail FROM c WHERE n1 = 36 AND n4 = 36""",
+    )
+)
+def market_exposures(spark, folder):
+    """Price delay, and betas to liquidity, volatility and tail risk, from running moments."""
+    p = suppliers(spark, folder)
+    rets = P.returns(p)
+    return rounded(S.exposures(rets, S.market_states(p, rets)), digits=4)
+
+
+@query(
+    sql(
+        "dense_supplier sector_map",
+        """WITH r AS (SELECT asset, date, close, close * volume AS value, close / lag(close, 6) OVER w - 1 AS six, close / lag(close, 12) OVER w - 1 AS twelve, close / lag(close) OVER w - 1 AS ret, count(close) OVER (PARTITION BY asset ORDER BY date ROWS UNBOUNDED PRECEDING) AS age FROM dense_supplier WINDOW w AS (PARTITION BY asset ORDER BY date)),
+u AS (SELECT *, CASE WHEN count(ret) OVER e = 11 THEN avg(ret) OVER e END AS unseasonal FROM r WINDOW e AS (PARTITION BY asset ORDER BY date ROWS 10 PRECEDING)),
+t AS (SELECT u.*, sector, 3 * row_number() OVER (PARTITION BY date ORDER BY value DESC, asset) <= count(*) OVER (PARTITION BY date) AS top, 3 * row_number() OVER (PARTITION BY sector, date ORDER BY value DESC, asset) <= count(*) OVER (PARTITION BY sector, date) AS big, quantile_cont(age, 0.5) OVER (PARTITION BY date) AS middle FROM u JOIN sector_map USING (asset) WHERE value IS NOT NULL)
+SELECT asset, date, round(CASE WHEN top THEN six END, 6) + 0.0::DOUBLE AS busy, round(CASE WHEN age <= middle THEN twelve END, 6) + 0.0::DOUBLE AS young, round(CASE WHEN NOT big THEN avg(ret) FILTER (big) OVER (PARTITION BY sector, date) END, 6) + 0.0::DOUBLE AS leaders, round(unseasonal, 6) + 0.0::DOUBLE AS unseasonal FROM t""",
+    )
+)
+def conditional_momentum(spark, folder):
+    """Momentum of busy and of young assets, of a sector's leaders, and without the season."""
+    return rounded(S.conditional_momentum(suppliers(spark, folder), V.sector_map(spark, folder)))

@@ -17,6 +17,15 @@ from quillon.sources import views as V
 from quillon.sources.views import sql
 
 
+def determinant(rows: list[str], columns: list[str], swap: str | None, y: str) -> str:
+    """Of the matrix of columns v_<row>_<column>, with the covariances with y in place of one column, as SQL."""
+    n, terms = len(rows), []
+    for order in itertools.permutations(range(n)):
+        sign = "-" if sum(order[i] > order[j] for i in range(n) for j in range(i + 1, n)) % 2 else "+"
+        terms.append(sign + " * ".join(f"v_{rows[i]}_{y if columns[j] == swap else columns[j]}" for i, j in enumerate(order)))
+    return f"({' '.join(terms)})"
+
+
 def pair_forecast(a: str, b: str, y: str) -> str:
     """Normal equations of two predictors over window w, as SQL."""
     det = f"(var_pop({a}) OVER w * var_pop({b}) OVER w - covar_pop({a}, {b}) OVER w * covar_pop({a}, {b}) OVER w)"

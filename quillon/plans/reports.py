@@ -9,7 +9,8 @@ from quillon.operators import panel as P
 from quillon.operators import reports as R
 from quillon.operators import signals as S
 from quillon.operators import statistics as T
-from quillon.plans.books import market_returns
+from quillon.plans import shared
+from quillon.plans.books import PRIOR, market_returns
 from quillon.plans.estimators import CODE
 from quillon.plans.panels import rounded
 from quillon.plans.registry import query
@@ -167,10 +168,23 @@ def replication(spark, folder):
     return rounded(R.replicate_all(papers, CODE, panel, backtest, 2.0, 3))
 
 
-@query()
+_RET = "b AS (SELECT asset, date, ret, avg(ret) OVER (PARTITION BY date) AS mkt FROM returns), z AS (SELECT *, CASE WHEN count(ret) OVER w = 24 THEN covar_samp(ret, mkt) OVER w / CASE WHEN count(mkt) OVER w = 24 THEN var_samp(mkt) OVER w END END AS beta FROM b WINDOW w AS (PARTITION BY asset ORDER BY date ROWS 23 PRECEDING))"
+_LAGGED = "SELECT asset, date, {} AS score FROM dense_supplier WINDOW w AS (PARTITION BY asset ORDER BY date)"
+_TRAILING = "SELECT asset, date, -CASE WHEN count(ret) OVER w = 12 THEN {}(ret) OVER w END AS score FROM returns WINDOW w AS (PARTITION BY asset ORDER BY date ROWS 11 PRECEDING)"
+#: the registered signals in their published direction, as SQL
+_SCORES = {
+    "mom12m": _LAGGED.format("lag(close, 1) OVER w / lag(close, 12) OVER w - 1"), "mom6m": _LAGGED.format("lag(close, 1) OVER w / lag(close, 6) OVER w - 1"), "strev": _LAGGED.format("-(close / lag(close, 1) OVER w - 1)"),
+    "maxret": _TRAILING.format("max"), "retvol": _TRAILING.format("stddev_samp"),
+    "idiovol": f"WITH {_RET}, x AS (SELECT asset, date, ret - beta * mkt AS x FROM z) SELECT asset, date, -CASE WHEN count(x) OVER w = 24 THEN stddev_samp(x) OVER w END AS score FROM x WINDOW w AS (PARTITION BY asset ORDER BY date ROWS 23 PRECEDING)",
+    "beta": f"WITH {_RET} SELECT asset, date, beta AS score FROM z",
+}
+_BOOK = PRIOR + ", wealth AS (SELECT date, ret, exp(sum(ln(1 + ret)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)) AS w FROM res WHERE ret IS NOT NULL), falls AS (SELECT *, w / max(w) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM wealth) SELECT count(*) AS n, avg(ret) / stddev_samp(ret) * sqrt(252) AS sharpe, min(dd) AS max_drawdown FROM falls"
+
+
+@query(sql("dense_supplier returns", " UNION ALL ".join(f"SELECT '{name}' AS signal, n, round(sharpe, 6) + 0.0::DOUBLE AS sharpe, round(max_drawdown, 6) + 0.0::DOUBLE AS max_drawdown FROM ({_BOOK.format(scores=scores)})" for name, scores in _SCORES.items())))
 def predictors_postsample(spark, folder):
     """Every registered signal in its published direction, with its performance."""
-    panel = P.dense(V.supplier_month(spark, folder))
+    panel = shared.staged(P.dense(V.supplier_month(spark, folder)), "panel")
     out = None
     for name in S.SIGNALS:
         net = B.prior_score_book(S.directed(name, panel), panel)

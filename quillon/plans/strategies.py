@@ -11,7 +11,7 @@ from quillon.operators import strategy_tables as T
 from quillon.plans.estimators import PREDICTORS, WINDOW, frame
 from quillon.plans.panels import rounded
 from quillon.plans.registry import query
-from quillon.plans.regressions import pair_forecast, single_forecasts
+from quillon.plans.regressions import determinant, pair_forecast, single_forecasts
 from quillon.sources.views import sql
 
 KS = (1, 2)
@@ -40,20 +40,10 @@ def strategy_figures(spark, folder):
 
 
 def _linear(names: list[str], y: str) -> str:
-    """All four predictors at once, by Cramer's rule on covariances over window w, as SQL."""
-    cov = lambda a, b: f"covar_pop({a}, {b}) OVER w"
-
-    def det(rows: list[str], cols: list[str], swap: str | None) -> str:
-        n = len(rows)
-        terms = []
-        for order in itertools.permutations(range(n)):
-            sign = "-" if sum(order[i] > order[j] for i in range(n) for j in range(i + 1, n)) % 2 else "+"
-            terms.append(sign + " * ".join(f"v_{rows[i]}_{cols[j] if cols[j] != swap else y}" for i, j in enumerate(order)))
-        return f"({' '.join(terms)})"
-
-    values = [f"{cov(a, b)} AS v_{a}_{b}" for a in names for b in [*names, y]]
+    """All predictors at once, by Cramer's rule on covariances over window w, as SQL."""
+    values = [f"covar_pop({a}, {b}) OVER w AS v_{a}_{b}" for a in names for b in [*names, y]]
     means = [f"avg({c}) OVER w AS m_{c}" for c in [*names, y]]
-    slopes = [f"{det(names, names, c)} / {det(names, names, None)} * ({c} - m_{c})" for c in names]
+    slopes = [f"{determinant(names, names, c, y)} / {determinant(names, names, None, y)} * ({c} - m_{c})" for c in names]
     return f"SELECT date, m_{y} + {' + '.join(slopes)} AS forecast FROM (SELECT date, {', '.join(names)}, {', '.join([*values, *means])} FROM f WINDOW w AS (ORDER BY date ROWS BETWEEN {WINDOW} PRECEDING AND 1 PRECEDING))"
 
 

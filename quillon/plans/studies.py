@@ -14,6 +14,7 @@ from quillon.operators import studies as Y
 from quillon.plans.estimators import PREDICTORS, WINDOW, frame
 from quillon.plans.panels import rounded
 from quillon.plans.registry import query
+from quillon.plans.statistics import bootstrap_sql, sharpe_sql
 from quillon.sources import views as V
 from quillon.sources.views import sql
 
@@ -79,18 +80,54 @@ def frozen_gates(spark, folder):
     return rounded(T.gate_checks(n.select("asset", F.inline(each))), "value")
 
 
-@query()
+def family_sql(rules: dict[str, str], lo: float, hi: float, gate: str, delta: float = 0.05) -> str:
+    """A family of rules as SQL: positions by name (the rule itself is ``rule``), and the published interval and gate."""
+    positions = " UNION ALL ".join(f"SELECT '{name}' AS label, date, level, {position} AS position FROM market_day" for name, position in rules.items())
+    return sql(
+        "market_day",
+        f"""WITH pos AS ({positions} UNION ALL SELECT run::VARCHAR, date, level, CASE WHEN (('0x' || substr(md5(run::VARCHAR || '|' || date::VARCHAR), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE < 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FROM market_day, (SELECT unnest(range(1, 13)) AS run)),
+h AS (SELECT label, date, level / lag(level) OVER w - 1 AS r, coalesce(lag(position) OVER w, 0) AS held FROM pos WINDOW w AS (PARTITION BY label ORDER BY date)),
+net AS (SELECT label, date, r, held, held * r - coalesce(abs(held - lag(held) OVER (PARTITION BY label ORDER BY date)), abs(held)) * 0.0005::DOUBLE AS a FROM h),
+ex AS (SELECT label, avg(held) AS exposure FROM net WHERE a IS NOT NULL GROUP BY label),
+pair AS (SELECT label, date, a, r * exposure AS b FROM net JOIN ex USING (label) WHERE a IS NOT NULL AND r IS NOT NULL),
+gap AS (SELECT label, count(*) AS obs, {plain_sharpe("a")} - {plain_sharpe("b")} AS sharpe_gap FROM pair GROUP BY label),
+series AS (SELECT label, a, b, row_number() OVER (PARTITION BY label ORDER BY date) - 1 AS spot, count(*) OVER (PARTITION BY label) AS n FROM pair WHERE try_cast(label AS INTEGER) IS NULL), {bootstrap_sql("series", 2000, 20, 7)},
+g AS (SELECT label, draw, {sharpe_sql("a", 252)} - ({sharpe_sql("b", 252)}) AS gap FROM series JOIN weights USING (n, spot) GROUP BY label, draw),
+ci AS (SELECT label, quantile_cont(gap, 0.025) AS lo, quantile_cont(gap, 0.975) AS hi FROM g GROUP BY label),
+f AS (SELECT gap.*, lo, hi, CASE WHEN lo IS NULL THEN NULL WHEN hi < 0 OR hi <= {delta} THEN 'REFUTED' WHEN lo > {delta} THEN 'SUPPORTED' ELSE 'INCONCLUSIVE' END AS gate FROM gap LEFT JOIN ci USING (label))
+SELECT CASE WHEN label = 'rule' THEN 'rule' WHEN lo IS NULL THEN 'coin' ELSE 'neighbour' END AS kind, label, obs, round(sharpe_gap, 6) + 0.0::DOUBLE AS sharpe_gap, round(lo, 6) + 0.0::DOUBLE AS lo, round(hi, 6) + 0.0::DOUBLE AS hi, gate,
+    CASE WHEN label = 'rule' THEN CASE WHEN gate <> '{gate}' THEN 'DIVERGES' WHEN hi < {lo} OR {hi} < lo THEN 'GATE ONLY' ELSE 'REPLICATED' END END AS verdict FROM f""",
+    )
+
+
+def plain_sharpe(x: str) -> str:
+    return f"avg({x}) / stddev_samp({x}) * sqrt(252)"
+
+
+def _months(first: int, last: int) -> str:
+    return f"CASE WHEN month(date) >= {first} OR month(date) <= {last} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+
+
+def _cross(fast: int, slow: int) -> str:
+    over = lambda n: f"OVER (ORDER BY date ROWS {n - 1} PRECEDING)"
+    return f"CASE WHEN count(*) {over(fast)} = {fast} AND count(*) {over(slow)} = {slow} AND avg(level) {over(fast)} > avg(level) {over(slow)} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+
+
+PUBLISHED = (-0.4, 0.2, "INCONCLUSIVE")
+CALENDAR = {"Oct-Apr": (10, 4), "Nov-May": (11, 5), "Dec-Mar": (12, 3)}
+TREND = {"20/100": (20, 100), "100/300": (100, 300), "10/50": (10, 50)}
+
+
+@query(family_sql({"rule": _months(11, 4), **{n: _months(*m) for n, m in CALENDAR.items()}}, *PUBLISHED))
 def family_calendar(spark, folder):
     """The calendar rule, its neighbours and coin flips."""
-    neighbours = {"Oct-Apr": Y.months_rule(10, 4), "Nov-May": Y.months_rule(11, 5), "Dec-Mar": Y.months_rule(12, 3)}
-    return rounded(Y.family(V.market_day(spark, folder), Y.months_rule(11, 4), neighbours, (-0.4, 0.2, "INCONCLUSIVE")))
+    return rounded(Y.family(V.market_day(spark, folder), Y.months_rule(11, 4), {n: Y.months_rule(*m) for n, m in CALENDAR.items()}, PUBLISHED))
 
 
-@query()
+@query(family_sql({"rule": _cross(50, 200), **{n: _cross(*m) for n, m in TREND.items()}}, *PUBLISHED))
 def family_trend(spark, folder):
     """The moving average rule, its neighbours and coin flips."""
-    neighbours = {f"{a}/{b}": S.average_cross(a, b) for a, b in ((20, 100), (100, 300), (10, 50))}
-    return rounded(Y.family(V.market_day(spark, folder), S.average_cross(50, 200), neighbours, (-0.4, 0.2, "INCONCLUSIVE")))
+    return rounded(Y.family(V.market_day(spark, folder), S.average_cross(50, 200), {n: S.average_cross(*m) for n, m in TREND.items()}, PUBLISHED))
 
 
 @query("SELECT source, count(*) FILTER (r = 1 AND NOT known) AS new, count(*) - count(*) FILTER (r = 1 AND NOT known) AS dup, count(*) AS total FROM (SELECT source, md5(coalesce(text, '')) IN (SELECT md5(coalesce(text, '')) FROM documents WHERE doc_id % 10 = 0) AS known, row_number() OVER (PARTITION BY md5(coalesce(text, '')) ORDER BY doc_id) AS r FROM documents WHERE doc_id % 10 <> 0) GROUP BY source")
