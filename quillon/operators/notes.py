@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: fields without which a specification cannot be run
 REQUIRED = ("formula", "data_required", "universe", "horizon_days", "expected_sign")
@@ -86,24 +84,64 @@ def newest(rows: DataFrame, by: str, time: str, n: int) -> DataFrame:
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(time)))).filter(F.col("__r") <= n).drop("__r")
 
 
-def balanced(text: str | None) -> str | None:
-    """The first JSON object in a text, by its braces outside of strings."""
-    depth, start, quoted, skip = 0, -1, False, False
-    for k, c in enumerate(text or ""):
-        if quoted:
-            skip, quoted = c == "\\" and not skip, c != '"' or skip
-        elif c == "{":
-            start = k if not depth else start
-            depth += 1
-        elif depth and c == '"':
-            quoted, skip = True, False
-        elif depth and c == "}":
-            depth -= 1
-            if not depth:
-                return text[start : k + 1]
-    return None
-
-
-@F.pandas_udf(StringType())
-def first_object(text: pd.Series) -> pd.Series:
-    return text.map(balanced)
+def first_object(text: Column) -> Column:
+    """The first JSON object in a text, by its braces outside of strings; null if none is closed.
+
+    One pass over the characters in the JVM: depth of braces, whether inside a string, and whether the last character was an escape.
+    """
+    # state: 0 looking, 1 inside braces, 2 inside a string, 3 after an escape in a string, 4 found
+    kind = "struct<at:int,state:int,depth:int,start:int,stop:int>"
+
+    def step(s: Column, c: Column) -> Column:
+        state, depth = s["state"], s["depth"]
+        opens, closes = c == "{", (c == "}") & (state == 1)
+        after = (
+            F.when(state == 4, 4).when(state == 3, 2).when((state == 2) & (c == "\\"), 3).when((state == 2) & (c == '"'), 1).when(state == 2, 2)
+            .when(opens, 1).when(closes & (depth == 1), 4).when((state == 1) & (c == '"'), 2).otherwise(state)
+        )
+        outside = state < 2
+        return F.struct(
+            (s["at"] + 1).alias("at"), after.alias("state"), (depth + F.when(outside & opens, 1).when(closes, -1).otherwise(0)).alias("depth"),
+            F.when((state == 0) & opens, s["at"]).otherwise(s["start"]).alias("start"), F.when(closes & (depth == 1), s["at"]).otherwise(s["stop"]).alias("stop"),
+        ).cast(kind)
+
+    start = F.struct(F.lit(1).alias("at"), F.lit(0).alias("state"), F.lit(0).alias("depth"), F.lit(0).alias("start"), F.lit(0).alias("stop")).cast(kind)
+    done = F.aggregate(F.split(text, ""), start, step)
+    return F.when(done["stop"] > 0, F.substr(text, done["start"], done["stop"] - done["start"] + 1))
+
+
+def sanity(observed: DataFrame, checks: DataFrame) -> DataFrame:
+    """(paper, name, against, observed, description, verifies) of weaker comparisons, which inform and never verify.
+
+    observed: (paper, value); checks: (paper, name, against, statistic, note).  Papers without a check have no row.
+    """
+    value = F.coalesce(F.format_string("%.4f", "value"), F.lit("not computed"))
+    said = F.concat(F.col("statistic"), F.lit(" vs "), F.col("against"), F.lit(": "), F.when(F.col("value").isNull(), "not computed").otherwise(value), F.lit(". "), F.col("note"))
+    return observed.join(checks, "paper").select("paper", "name", "against", F.col("value").alias("observed"), said.alias("description"), F.lit(False).alias("verifies"))
+
+
+def applied(config: DataFrame, proposals: DataFrame) -> DataFrame:
+    """(name, path, value, state) of a configuration (name, path, value) with proposals (name, path, value, at) set at their dotted paths.
+
+    Of several proposals for a path the latest counts (ties: the larger value).  One whose path lies below a value, or above one, of the same name is refused, as a
+    value can't have parts.  state: kept, set, added or refused.
+    """
+    last = proposals.groupBy("name", "path").agg(F.max_by("value", F.struct("at", "value")).alias("new"))
+    above = lambda df, c: df.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", r"\."))), lambda k: F.array_join(F.slice(F.split("path", r"\."), F.lit(1), k), "."))).alias(c), "path").filter(F.col(c) != F.col("path"))
+    below_value = above(last, "leaf").join(config.select("name", F.col("path").alias("leaf")), ["name", "leaf"], "left_semi").select("name", "path")
+    over_value = above(config, "top").select("name", F.col("top").alias("path")).join(last.select("name", "path"), ["name", "path"], "left_semi")
+    refused = below_value.unionByName(over_value).distinct().withColumn("refused", F.lit(True))
+    both = config.select("name", "path", "value").join(last, ["name", "path"], "full").join(refused, ["name", "path"], "left")
+    state = F.when(F.col("refused"), "refused").when(F.col("new").isNull(), "kept").when(F.col("value").isNull(), "added").otherwise("set")
+    return both.select("name", "path", F.coalesce("new", "value").alias("value"), state.alias("state"))
+
+
+def nested(config: DataFrame, depth: int = 4) -> DataFrame:
+    """(name, json) of configuration rows: objects built from the deepest level of paths, at most ``depth``, upwards; keys in order."""
+    rows = config.select("name", F.split("path", r"\.").alias("parts"), F.to_json(F.struct(F.col("value").alias("v"))).alias("j")).select("name", "parts", F.expr("substring(j, 6, length(j) - 6)").alias("json"))
+    for level in range(depth, 0, -1):
+        deep = F.size("parts") == level
+        key = F.element_at("parts", -1)
+        made = rows.filter(deep).groupBy("name", F.slice("parts", 1, level - 1).alias("parts")).agg(F.array_sort(F.collect_list(F.struct(key.alias("k"), "json"))).alias("x"))  # as many as an object has keys
+        rows = rows.filter(~deep).unionByName(made.select("name", "parts", F.concat(F.lit("{"), F.array_join(F.transform("x", lambda x: F.concat(F.lit('"'), x["k"], F.lit('":'), x["json"])), ","), F.lit("}")).alias("json")))
+    return rows.filter(F.size("parts") == 0).select("name", "json")

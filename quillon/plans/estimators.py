@@ -78,3 +78,19 @@ def user_signal(spark, folder):
     """Checked pandas source run for each asset."""
     out = X.apply_signal(P.dense(V.brand_month(spark, folder)), CODE)
     return rounded(P.normalized(out))
+
+
+_MONTHS = "m AS (SELECT last_day(o_orderdate) AS date, avg(o_totalprice) AS p, count(*) AS n, avg((o_orderstatus = 'F')::INTEGER) AS f, avg(o_shippriority_) AS s FROM (SELECT *, o_custkey % 7 AS o_shippriority_ FROM orders) GROUP BY 1)"
+
+
+@query(f"""WITH {_MONTHS}, x AS (SELECT date, p / 1e7::DOUBLE AS mkt, f / 100 AS rf, ln(n::DOUBLE) - ln(p) AS dp, s / 10 - f / 5 AS dfy, s / 7 - f / 9 AS tms, f - s / 3 AS dfr, f / 9 AS tbl, s / 3 AS ltr, CASE WHEN month(date) <> 6 THEN n / 1000.0::DOUBLE END AS ntis, s / 50 AS infl FROM m), k AS (SELECT * FROM x WHERE ntis IS NOT NULL),
+l AS (SELECT date, mkt, rf, mkt - rf AS xs, {", ".join(f"lag({c}) OVER (ORDER BY date) AS {c}" for c in ("dp", "dfy", "tms", "dfr", "tbl", "ltr", "ntis", "infl"))} FROM k)
+SELECT date, {", ".join(f"round({c}, 7) + 0.0::DOUBLE AS {c}" for c in ("mkt", "rf", "xs", "dp", "dfy", "tms", "dfr", "tbl", "ltr", "ntis", "infl"))} FROM l WHERE dp IS NOT NULL""")
+def ratio_predictors(spark, folder):
+    """Ratio predictors of a monthly table of text, in which every June lacks a value."""
+    o = V.table(spark, folder, "orders").groupBy(F.last_day("o_orderdate").alias("date"))
+    m = o.agg(F.avg("o_totalprice").alias("p"), F.count(F.lit(1)).alias("n"), F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("f"), F.avg(F.col("o_custkey") % 7).alias("s"))
+    p, n, f, s = (F.col(c) for c in "pnfs")
+    columns = {"CRSP_SPvw": p / 1e7, "Rfree": f / 100, "D12": n, "Index": p, "BAA": s / 10, "AAA": f / 5, "lty": s / 7, "tbl": f / 9, "corpr": f, "ltr": s / 3, "ntis": F.when(F.month("date") != 6, n / 1000), "infl": s / 50}
+    text = m.select(F.date_format("date", "yyyyMM").alias("yyyymm"), *[F.coalesce(c.cast("string"), F.lit("NaN ?")).alias(name) for name, c in columns.items()])
+    return rounded(V.ratio_predictors(text), digits=7)

@@ -83,3 +83,26 @@ def pending_queue(spark, folder):
     """Fifty papers of the queue are judged, the oldest first."""
     o = V.table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("inserted"), F.when(F.col("o_orderstatus") == "O", "pending").otherwise("done").alias("status"), "o_totalprice")
     return N.drained(o, 50, F.when(F.col("o_totalprice") > 150000, "keep").otherwise("drop")).select("id", "inserted", "status")
+
+
+@query("SELECT s_suppkey AS paper, 'curve of balances' AS name, 'nation ' || s_nationkey AS against, round(CASE WHEN s_suppkey % 5 <> 0 THEN s_acctbal END, 4) AS observed, 'correlation vs nation ' || s_nationkey || ': ' || CASE WHEN s_suppkey % 5 <> 0 THEN printf('%.4f', s_acctbal) ELSE 'not computed' END || '. weaker than a fixture' AS description, false AS verifies FROM supplier WHERE s_suppkey % 3 <> 0")
+def sanity_checks(spark, folder):
+    """Weaker comparisons of some papers, which inform and never verify."""
+    s = V.table(spark, folder, "supplier")
+    k = F.col("s_suppkey")
+    checks = s.filter(k % 3 != 0).select(k.alias("paper"), F.lit("curve of balances").alias("name"), F.concat(F.lit("nation "), "s_nationkey").alias("against"), F.lit("correlation").alias("statistic"), F.lit("weaker than a fixture").alias("note"))
+    return N.sanity(s.select(k.alias("paper"), F.when(k % 5 != 0, F.round("s_acctbal", 4)).alias("value")), checks)
+
+
+@query("""WITH c AS (SELECT c_nationkey::VARCHAR AS name, 'group.' || c_mktsegment || '.' || c_custkey AS path, c_acctbal AS value FROM customer), p AS (SELECT c_nationkey::VARCHAR AS name, CASE o_orderkey % 3 WHEN 0 THEN 'group.' || c_mktsegment || '.' || c_custkey WHEN 1 THEN 'orders.k' || c_custkey ELSE 'group.' || c_mktsegment || '.' || c_custkey || '.deep' END AS path, o_totalprice AS value, o_orderkey AS moment, o_orderkey % 3 AS kind FROM orders JOIN customer ON c_custkey = o_custkey),
+l AS (SELECT name, path, arg_max(value, moment) AS new, max(kind) AS kind FROM p GROUP BY name, path)
+SELECT name, path, coalesce(new, value) AS value, CASE WHEN kind = 2 THEN 'refused' WHEN new IS NULL THEN 'kept' WHEN value IS NULL THEN 'added' ELSE 'set' END AS state FROM c FULL JOIN l USING (name, path)""")
+def configuration_applied(spark, folder):
+    """Customers' balances as a configuration by nation, with orders as proposals for its paths, some of which can't be."""
+    c = V.table(spark, folder, "customer")
+    own = F.concat_ws(".", F.lit("group"), "c_mktsegment", F.col("c_custkey").cast("string"))
+    name = F.col("c_nationkey").cast("string").alias("name")
+    kind = F.col("o_orderkey") % 3
+    path = F.when(kind == 0, own).when(kind == 1, F.concat(F.lit("orders.k"), "c_custkey")).otherwise(F.concat(own, F.lit(".deep")))
+    proposals = V.table(spark, folder, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select(name, path.alias("path"), F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("at"))
+    return N.applied(c.select(name, own.alias("path"), F.col("c_acctbal").alias("value")), proposals)

@@ -70,6 +70,23 @@ def macro_month(spark: SparkSession, folder: str) -> DataFrame:
     return both.select("date", (F.col("level") / F.lag("level").over(w) - 1).alias("mkt"), F.lit(0.002).alias("rf"), *(F.lag(c).over(w).alias(c) for c in ("discount", "tax", "quantity", "urgent"))).dropna()
 
 
+def ratio_predictors(rows: DataFrame) -> DataFrame:
+    """(date, mkt, rf, xs, dp, dfy, tms, dfr, tbl, ltr, ntis, infl) of a published monthly table, all of whose columns may be text.
+
+    rows: yyyymm, CRSP_SPvw, Rfree, D12, Index, BAA, AAA, lty, tbl, corpr, ltr, ntis, infl.  Predictors are those of the month before; months without one of
+    the values are left out first, so the month before is the one that is left.
+    """
+    from pyspark.sql import Window
+
+    x = lambda c: F.col(c).try_cast("double")
+    log = lambda c: F.ln(F.when(x(c) > 0, x(c)))
+    date = F.last_day(F.to_date(F.concat(F.col("yyyymm").cast("string"), F.lit("01")), "yyyyMMdd"))
+    predictors = {"dp": log("D12") - log("Index"), "dfy": x("BAA") - x("AAA"), "tms": x("lty") - x("tbl"), "dfr": x("corpr") - x("ltr"), **{c: x(c) for c in ("tbl", "ltr", "ntis", "infl")}}
+    full = rows.select(date.alias("date"), x("CRSP_SPvw").alias("mkt"), x("Rfree").alias("rf"), *[c.alias(n) for n, c in predictors.items()]).dropna()
+    w = Window.orderBy("date")  # one row a month
+    return full.select("date", "mkt", "rf", (F.col("mkt") - F.col("rf")).alias("xs"), *[F.lag(n).over(w).alias(n) for n in predictors]).dropna()
+
+
 def works(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as works (id, title, abstract, venue, topic, citations, year, fwci)."""
     from pyspark.sql import Window

@@ -8,9 +8,10 @@ import statistics as st
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.functions import mathx
-from quillon.operators import exhibits, graphs, models, ranking, reports, signals, statistics
+from quillon.operators import exhibits, graphs, notes, ranking, reports, signals, statistics
 from quillon.plans import registry, shared
 from quillon.sources import records
 
@@ -247,13 +248,50 @@ def test_plain_words_before_patterns(spark):
         assert all(x.a == x.b for x in out) and any(x.a for x in out)
 
 
+def balanced(text):
+    """The first JSON object in a text, by its braces outside of strings."""
+    depth, start, quoted, skip = 0, -1, False, False
+    for k, c in enumerate(text or ""):
+        if quoted:
+            skip, quoted = c == "\\" and not skip, c != '"' or skip
+        elif c == "{":
+            start = k if not depth else start
+            depth += 1
+        elif depth and c == '"':
+            quoted, skip = True, False
+        elif depth and c == "}":
+            depth -= 1
+            if not depth:
+                return text[start : k + 1]
+    return None
+
+
+def test_first_objects_of_random_texts(spark):
+    r = random.Random(12)
+    texts = ["".join(r.choice('{}{}"\\ab:é😀\n') for _ in range(r.randint(0, 30))) for _ in range(600)] + ["", "x" * 50_000 + '{"a": "}"}']
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select("t", notes.first_object(F.col("t")).alias("o"))
+    assert {x.t: x.o for x in df.collect()} == {t: balanced(t) for t in [*texts, None]}
+
+
+def test_proposals_are_set_at_their_paths(spark):
+    config = spark.createDataFrame([("m", "a.b", "1"), ("m", "a.c.d", "2"), ("m", "e", "3"), ("n", "a", "4")], "name string, path string, value string")
+    new = [("m", "a.b", "old", 1), ("m", "a.b", "new", 2), ("m", "a.x.y", "5", 1), ("m", "e.f", "6", 1), ("m", "a.c", "7", 1), ("n", "a.b", "8", 1), ("k", "z", "9", 1)]
+    got = notes.applied(config, spark.createDataFrame(new, "name string, path string, value string, at int"))
+    assert {(x.name, x.path): (x.value, x.state) for x in got.collect()} == {
+        ("m", "a.b"): ("new", "set"), ("m", "a.c.d"): ("2", "kept"), ("m", "e"): ("3", "kept"), ("n", "a"): ("4", "kept"), ("m", "a.x.y"): ("5", "added"),
+        ("m", "e.f"): ("6", "refused"), ("m", "a.c"): ("7", "refused"), ("n", "a.b"): ("8", "refused"), ("k", "z"): ("9", "added"),
+    }
+    whole = {x.name: x.json for x in notes.nested(got.filter("state <> 'refused'")).collect()}
+    assert whole == {"m": '{"a":{"b":"new","c":{"d":"2"},"x":{"y":"5"}},"e":"3"}', "n": '{"a":"4"}', "k": '{"z":"9"}'}
+
+
 def test_balanced_objects_and_newest(spark):
     from quillon.operators import notes
 
     cases = {'x {"a": {"b": "}"}} {"c": 1}': '{"a": {"b": "}"}}', "none": None, '{"q": "\\" {"} rest': '{"q": "\\" {"}', "{open": None, "": None}
-    assert {t: notes.balanced(t) for t in cases} == cases
-    df = spark.createDataFrame([(t,) for t in cases] + [(None,)], "t string").select("t", notes.first_object("t").alias("o"))
-    assert {r.t: r.o for r in df.collect()} == {t: notes.balanced(t) for t in [*cases, None]}
+    assert {t: balanced(t) for t in cases} == cases
+    df = spark.createDataFrame([(t,) for t in cases] + [(None,)], "t string").select("t", notes.first_object(F.col("t")).alias("o"))
+    assert {r.t: r.o for r in df.collect()} == {t: balanced(t) for t in [*cases, None]}
     rows = spark.createDataFrame([("a", 1), ("a", 3), ("a", 2), ("b", 1)], "k string, at int")
     assert sorted(map(tuple, notes.newest(rows, "k", "at", 2).collect())) == [("a", 2), ("a", 3), ("b", 1)]
 
