@@ -57,7 +57,7 @@ def paths(forecasts: DataFrame, market: DataFrame, spans: Sequence[tuple[str, st
 
 def table(wealth_paths: DataFrame, months: int = MONTHS) -> DataFrame:
     """(model, k, span, n, TW, AV, SD, SR, MDD, switches): terminal wealth of 1, mean and deviation in percent a year, mean excess
-    over deviation a row, deepest fall as a fraction."""
+    over deviation a row (null where nothing varies, as when only cash is held), deepest fall as a fraction."""
     deviation = F.stddev_samp("ret")
     return wealth_paths.groupBy("model", "k", "span").agg(
         F.count(F.lit(1)).alias("n"), F.max_by("wealth", "date").alias("TW"), (F.avg("ret") * months * 100).alias("AV"), (deviation * F.sqrt(F.lit(months)) * 100).alias("SD"),

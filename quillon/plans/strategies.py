@@ -67,7 +67,7 @@ p AS (SELECT model, k, span, date, mkt, rf, forecast > 0 AS equity FROM fc JOIN
 q AS (SELECT *, coalesce(equity <> lag(equity) OVER (PARTITION BY model, k, span ORDER BY date), false) AS switched, CASE WHEN equity THEN mkt ELSE rf END AS ret FROM p),
 h AS (SELECT *, exp(sum(ln(1 + ret) + CASE WHEN switched THEN ln(1 - 0.001::DOUBLE) ELSE 0 END) OVER (PARTITION BY model, k, span ORDER BY date ROWS UNBOUNDED PRECEDING)) AS wealth FROM q),
 d AS (SELECT *, 1 - wealth / max(wealth) OVER (PARTITION BY model, k, span ORDER BY date ROWS UNBOUNDED PRECEDING) AS fall FROM h),
-t AS (SELECT model, k, span, count(*) AS n, arg_max(wealth, date) AS "TW", 1200 * avg(ret) AS "AV", 100 * sqrt(12) * stddev_samp(ret) AS "SD", avg(ret - rf) / stddev_samp(ret) AS "SR", max(fall) AS "MDD", count(*) FILTER (switched) AS switches FROM d GROUP BY model, k, span)"""
+t AS (SELECT model, k, span, count(*) AS n, arg_max(wealth, date) AS "TW", 1200 * avg(ret) AS "AV", 100 * sqrt(12) * stddev_samp(ret) AS "SD", CASE WHEN stddev_samp(ret) > 0 THEN avg(ret - rf) / stddev_samp(ret) END AS "SR", max(fall) AS "MDD", count(*) FILTER (switched) AS switches FROM d GROUP BY model, k, span)"""
 )
 _ROUNDED = ", ".join(f'round("{c}", 5) + 0.0::DOUBLE AS "{c}"' for c in T.COLUMNS)
 

@@ -73,3 +73,10 @@ def test_errors_and_sets(made, spark):
             assert sorted(r.model for r in own) == ["a", "b", "mean"] and max(r.p_value for r in own) == 1.0
             loss = {m: (np.square if kind == "squared" else np.abs)(y - series[m, k]).mean() for m in ("a", "b", "mean")}
             assert {r.model: r.mse for r in own} == pytest.approx(loss)
+
+
+def test_a_path_of_cash_has_no_sharpe_ratio(spark):
+    market = spark.createDataFrame([(d, 0.01 * k, 0.002, 0.0) for k, d in enumerate(DATES[:12])], "date date, mkt double, rf double, xs double")
+    forecasts = market.selectExpr("'never' as model", "1 as k", "date", "-1.0D as forecast")
+    row = T.table(T.paths(forecasts, market)).first()
+    assert row.SR is None and row.SD == pytest.approx(0) and row.switches == 0 and row.MDD == pytest.approx(0) and row.TW == pytest.approx(1.002**12)
