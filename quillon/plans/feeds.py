@@ -336,8 +336,9 @@ def gated_listing(spark, folder):
 def implementations(spark, folder):
     """Slugs of even parts and archive numbers of others; some have no declared module, some no file."""
     part, k = V.table(spark, folder, "part"), F.col("p_partkey")
-    number = F.lpad(k.cast("string"), 5, "0")
-    items = part.select(k.alias("id"), F.when(k % 2 == 0, F.concat(F.lit(" Part "), k)).otherwise(F.concat(F.lit("arXiv 2401."), number, F.lit("v2"))).alias("name"))
+    # an archive number has five digits after its point, so what is beyond them goes before it
+    before, after = F.expr("2401 + p_partkey div 100000").cast("string"), F.lpad((k % 100000).cast("string"), 5, "0")
+    items = part.select(k.alias("id"), F.when(k % 2 == 0, F.concat(F.lit(" Part "), k)).otherwise(F.concat(F.lit("arXiv "), before, F.lit("."), after, F.lit("v2"))).alias("name"))
     module = F.concat(F.when(k % 2 == 0, "m").otherwise("n"), k, F.lit(".py"))
-    modules = part.filter(k % 5 != 0).select(F.when(k % 2 == 0, F.concat(F.lit("part-"), k)).otherwise(F.concat(F.lit("2401"), number)).alias("key"), module.alias("module"))
+    modules = part.filter(k % 5 != 0).select(F.when(k % 2 == 0, F.concat(F.lit("part-"), k)).otherwise(F.concat(before, after)).alias("key"), module.alias("module"))
     return K.implementations(items, modules, part.filter(k % 3 != 2).select(module.alias("module")))

@@ -88,3 +88,9 @@ def test_confidence_set_has_all_models_and_draws(spark):
     rows = QUERIES["model_confidence_set"](spark, FOLDER).collect()
     assert {r.model for r in rows} == {m for m, *_ in MODELS}
     assert inspect.signature(models.confidence_sets).parameters["draws"].default == 5000
+
+
+def test_archive_numbers_of_more_than_five_digits(spark, tmp_path):
+    keys = [*range(12), 99999, 100001, 100003, 123457, 1000001, 1234567]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    assert oracle.difference(QUERIES["implementations"], SQL["implementations"], spark, str(tmp_path)) == ""
