@@ -81,27 +81,44 @@ def sweep(edges: DataFrame, seeds: DataFrame, negatives: DataFrame, folds: int,
     table = spark.createDataFrame(settings, "setting int, " + ", ".join(f"{c} double" for c in values))
     runs = F.broadcast(table.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumn("run", F.col("setting") * folds + F.col("fold")))
     edges = staged(edges, "edges")
+    apart = lambda df: df.hint("merge")  # noqa: E731  a run's rows are small on disk only, so nothing of a run's is broadcast
     degrees = staged(edges.groupBy("dst").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(edges.agg(F.countDistinct("src").alias("sources")))).select("dst", F.log(F.col("sources") / F.col("df")).alias("idf")), "degrees")
-    dealt = seeds.select("id").distinct().withColumn("hidden", F.pmod(F.xxhash64("id"), F.lit(folds)).cast("int"))
-    pool = staged(dealt.join(runs, F.col("hidden") != F.col("fold")).select("run", "id", F.lit(1.0).alias("weight")), "pools")
-    found = None
+    dealt = staged(seeds.select("id").distinct().withColumn("hidden", F.pmod(F.xxhash64("id"), F.lit(folds)).cast("int")), "dealt")
+    others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("hidden"))).alias("fold")
+    weights = dealt.join(apart(degrees), dealt["id"] == degrees["dst"]).select("dst", "hidden", "idf")
+    # what seeds give depends on the fold only, and is kept once for all settings; a run adds what it has promoted
+    hits = edges.join(apart(weights), "dst").select(F.col("src").alias("id"), "idf", others).groupBy("fold", "id").agg(F.count(F.lit(1)).alias("hits"), F.sum("idf").alias("total"))
+    known = dealt.select("id", others)
+    base = staged(hits.join(apart(known), ["fold", "id"], "left_anti"), "from-seeds")
+    sums = weights.select("idf", others).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("idf").alias("idfs"))  # a row for each fold
+    going = staged(runs.join(F.broadcast(sums), "fold").withColumns({"mean": F.col("idfs") / F.col("n"), "least": F.lit(None).cast("double")}), "runs")
+    signal = F.try_divide("total", "mean")
+    passed = (F.col("hits") >= F.col("least_hits")) & (signal >= F.col("least_score"))
+    columns = ["run", "fold", "id", (signal >= F.col("promote")).alias("up"), "decay"]
+    found = promoted = None
     for k in range(rounds):
-        weights = pool.join(degrees, pool["id"] == degrees["dst"]).select("run", "dst", (F.col("idf") * F.col("weight")).alias("idf"))
-        mean = weights.groupBy("run").agg(F.avg("idf").alias("mean")).join(runs, "run")  # a row for each run
-        hits = edges.join(weights, "dst").groupBy("run", F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("hits"), F.sum("idf").alias("total"))
-        scored = hits.join(F.broadcast(mean), "run").withColumn("signal", F.try_divide("total", "mean")).filter("hits >= least_hits and signal >= least_score")
-        fresh = scored.select("run", "id", "signal", (F.col("signal") >= F.col("promote")).alias("up"), "decay").join(pool.select("run", "id"), ["run", "id"], "left_anti")
-        if found is not None:
-            fresh = fresh.join(found, ["run", "id"], "left_anti")
+        # sources that only cite seeds have the same total in all rounds, so the least mean so far tells whether they were found
+        before = F.coalesce(F.try_divide("total", "least") >= F.col("least_score"), F.lit(False))
+        fresh = base.join(F.broadcast(going), "fold").filter(passed & ~before).select(*columns)
+        if promoted is not None:
+            added = staged(edges.join(apart(promoted), "dst").groupBy("run", "fold", F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("more"), F.sum("idf").alias("rest")), "from-promoted")
+            both = added.join(apart(base), ["fold", "id"], "left").withColumns({"hits": F.col("more") + F.coalesce("hits", F.lit(0)), "total": F.col("rest") + F.coalesce("total", F.lit(0.0))})
+            both = both.join(F.broadcast(going.drop("fold")), "run").filter(passed).select(*columns)
+            both = both.join(apart(known), ["fold", "id"], "left_anti").join(apart(found), ["run", "id"], "left_anti")
+            fresh = fresh.join(apart(added.select("run", "id")), ["run", "id"], "left_anti").unionByName(both)
         fresh = staged(fresh, "fresh")
         found = fresh.select("run", "id") if found is None else found.unionByName(fresh.select("run", "id"))
-        go = staged(fresh.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.count_if("up").alias("ups")).filter(F.col("n") >= least_fresh).filter("ups > 0").select("run"), "going-on")
-        if go.isEmpty():
+        go = fresh.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.count_if("up").alias("ups")).filter(F.col("n") >= least_fresh).filter("ups > 0").select("run")
+        going = staged(going.join(F.broadcast(go), "run"), "runs")  # a row for each run
+        if k == rounds - 1 or going.isEmpty():
             break
-        up = fresh.filter("up").select("run", "id", F.pow("decay", F.lit(k + 1)).alias("weight"))
-        pool = staged(pool.unionByName(up).join(F.broadcast(go), "run"), "pools")
-    recalled = found.join(dealt, "id").join(runs, "run").filter("hidden = fold").groupBy("run").agg(F.count(F.lit(1)).alias("recalled"))
-    leaked = found.join(negatives.select("id").distinct(), "id").groupBy("run").agg(F.count(F.lit(1)).alias("leaked"))
+        up = fresh.filter("up").join(apart(degrees), fresh["id"] == degrees["dst"]).select("run", "fold", "dst", (F.col("idf") * F.pow("decay", F.lit(k + 1))).alias("idf"))
+        promoted = staged((up if promoted is None else promoted.unionByName(up)).join(F.broadcast(going.select("run")), "run"), "promoted")
+        extra = promoted.groupBy("run").agg(F.count(F.lit(1)).alias("m"), F.sum("idf").alias("extra"))
+        going = going.join(F.broadcast(extra), "run", "left").withColumn("least", F.least("least", "mean"))
+        going = staged(going.withColumn("mean", (F.col("idfs") + F.coalesce("extra", F.lit(0.0))) / (F.col("n") + F.coalesce("m", F.lit(0)))).drop("m", "extra"), "runs")
+    recalled = found.join(apart(dealt), "id").join(runs, "run").filter("hidden = fold").groupBy("run").agg(F.count(F.lit(1)).alias("recalled"))
+    leaked = found.join(apart(negatives.select("id").distinct()), "id").groupBy("run").agg(F.count(F.lit(1)).alias("leaked"))
     wanted = dealt.groupBy(F.col("hidden").alias("fold")).agg(F.count(F.lit(1)).alias("wanted"))
     share = lambda part, whole: F.round(F.try_divide(F.coalesce(part, F.lit(0)), whole), 6)
     rated = runs.join(F.broadcast(wanted), "fold", "left").join(recalled, "run", "left").join(leaked, "run", "left").crossJoin(F.broadcast(negatives.agg(F.countDistinct("id").alias("bad"))))

@@ -439,3 +439,22 @@ def test_queued_signals_against_pandas(spark):
     }
     for name, series in want.items():
         assert np.allclose(got[name].astype(float), series.astype(float), equal_nan=True), name
+
+
+def test_sweep_keeps_seeds_once_for_all_settings(spark, monkeypatch):
+    edges = spark.createDataFrame([(1000 + k, k * j % 50) for k in range(200) for j in (1, 3, 7)], "src long, dst long").distinct()
+    seeds, bad = spark.range(40).select("id"), spark.range(40, 45).select("id")
+    rows, write = [], graphs.staged
+
+    def counted(df, name):
+        out = write(df, name)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(graphs, "staged", counted)
+    totals = []
+    for promote in ([50.0], [50.0 + k for k in range(30)]):
+        rows.clear()
+        assert graphs.sweep(edges, seeds, bad, 2, {"least_hits": [99], "promote": promote}).count() == len(promote)
+        totals.append(sum(rows))
+    assert totals[1] - totals[0] <= 4 * 2 * 30  # rows of runs, not of their seeds
