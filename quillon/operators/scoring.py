@@ -13,6 +13,9 @@ TRANSCRIPTION = 0.005
 EVENTS = {"submission_accepted_t1": 5, "submission_accepted_t2": 20, "submission_accepted_t3": 100, "submission_rejected_spam": -10, "submission_rejected_vote": 0, "vote_with_majority": 1, "vote_against_majority": -1, "comment_helpful": 3, "comment_spam": -5}
 CELL = r"^\(?(-?)\$?(\d[\d,]*(\.\d+)?)\)?(%?)([*†‡]{0,3})$"
 
+#: a line from its first token that ``parse_cell`` takes on
+PRINTED = r"(?s)(?<!\S)\(?[-−–]?\$?\d[\d,]*(?:\.\d+\)?%?|\)?%)[*†‡]{0,3}[\x{85}\x{2028}\x{2029}]?(?!\S).*"
+
 
 def clean(token: Column) -> Column:
     """Typographic minus signs to ASCII."""
@@ -31,10 +34,12 @@ def parse_cell(token: Column) -> Column:
 
 def split_row(line: Column) -> Column:
     """(label, numbers): all before the first token that is a printed number, and the tokens from it on."""
-    tokens = F.filter(F.split(line, r"\s+"), lambda x: x != "")
-    first = F.array_position(F.transform(tokens, lambda t: parse_cell(t).isNotNull()), True).cast("int")
-    label = F.when(first > 0, F.array_join(F.slice(tokens, F.lit(1), F.greatest(first - 1, F.lit(0))), " ")).otherwise(F.trim(line))
-    return F.struct(label.alias("label"), F.when(first > 0, F.slice(tokens, F.greatest(first, F.lit(1)), F.size(tokens))).otherwise(F.array().cast("array<string>")).alias("numbers"))
+    # one search finds where the numbers begin; what is before and after it is cut there, token by token only in regular expressions
+    rest = F.regexp_extract(line, PRINTED, 0)
+    before = F.substring(line, F.lit(1), F.length(line) - F.length(rest))
+    label = F.when(rest != "", F.trim(F.regexp_replace(before, r"\s+", " "))).otherwise(F.trim(line))
+    tokens = F.split(F.regexp_replace(rest, r"\s+\z", ""), r"\s+")
+    return F.struct(label.alias("label"), F.when(rest != "", tokens).otherwise(F.array().cast("array<string>")).alias("numbers"))
 
 
 def tolerance(cell: Column) -> Column:
