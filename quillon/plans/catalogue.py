@@ -37,7 +37,7 @@ def works(spark: SparkSession, folder: str) -> DataFrame:
     )
 )
 def percent_rank_corpus(spark, folder):
-    return rounded(K.rank_works(works(spark, folder), WEIGHTS, dropped=("xx",)).select("id", "s_standing", "s_momentum", "score"))
+    return rounded(K.rank_works(works(spark, folder).drop("title", "abstract", "venue"), WEIGHTS, dropped=("xx",)).select("id", "s_standing", "s_momentum", "score"))
 
 
 @query(sql("works", "SELECT id, year, CASE WHEN count(*) OVER (PARTITION BY year) = 1 THEN 0.5::DOUBLE ELSE 1 - (row_number() OVER (PARTITION BY year ORDER BY citations DESC, id) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY year) END AS percentile FROM works"))

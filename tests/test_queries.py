@@ -103,3 +103,25 @@ def test_windows_keep_their_digits_after_large_values(spark, tmp_path):
     rows = [(k, start + datetime.timedelta(minutes=7 * k), "ab"[k % 2], 1e9 + k * 37 % 101 if k < 40 else k * k % 97 + k % 7 / 100, f'{{"k": {k * 31 % 89}}}') for k in range(13000)]
     spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     assert oracle.difference(QUERIES["event_regressions"], SQL["event_regressions"], spark, str(tmp_path)) == ""
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_works_do_not_go_through_a_window(spark):
+    from quillon.sources import views
+
+    assert "Window" not in plan_of(views.works(spark, FOLDER))
+
+
+def test_rows_are_split_without_a_function_for_each_token(spark):
+    from pyspark.sql import functions as F
+
+    from quillon.operators import scoring
+
+    lines = [" a  b 1.50* (2.25) x ", "7 12 none ", "", None, "−3.0%", "t\t(1,234.5)†\n", "x 7%\x85"]
+    df = spark.createDataFrame([(x,) for x in lines], "t string").select(scoring.split_row(F.col("t")).alias("r"))
+    assert "lambda" not in plan_of(df)
+    want = [("a b", ["1.50*", "(2.25)", "x"]), ("7 12 none", []), ("", []), (None, []), ("", ["−3.0%"]), ("t", ["(1,234.5)†"]), ("x", ["7%\x85"])]
+    assert [tuple(r.r) for r in df.collect()] == want
