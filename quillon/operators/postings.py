@@ -45,13 +45,13 @@ def bucket_of(word, buckets: int):
     return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
 
 
-def build(items: DataFrame, folder: str, texts: tuple[str, ...] = ("title", "method", "finding"), shown: tuple[str, ...] = ("id", "title", "status", "kind"), buckets: int = BUCKETS) -> Index:
-    """Write the index of items with a whole-number ``id``; null texts are empty."""
+def build(items: DataFrame, folder: str, texts: tuple[str, ...] = ("title", "method", "finding"), shown: tuple[str, ...] = ("id", "title", "status", "kind"), buckets: int = BUCKETS, source: DataFrame | None = None) -> Index:
+    """Write the index of items with a whole-number ``id``; null texts are empty.  source: (id, texts), where items should not be read for them."""
     index = Index(folder.rstrip("/"), buckets)
     words = F.explode(F.array_distinct(F.split(F.lower(F.concat_ws(" ", *texts)), r"\s+")))
-    pairs = items.select(F.col("id").cast("long").alias("id"), words.alias("word")).filter("word <> ''").distinct()
+    pairs = (items if source is None else source).select(F.col("id").cast("long").alias("id"), words.alias("word")).filter("word <> ''")
     shard = F.floor(F.col("id") / SHARD)
-    grouped = pairs.groupBy("word", shard.alias("shard")).agg(F.array_sort(F.collect_list((F.col("id") - shard * SHARD).cast("int"))).alias("ids"))  # SHARD at most
+    grouped = pairs.groupBy("word", shard.alias("shard")).agg(F.array_sort(F.collect_set((F.col("id") - shard * SHARD).cast("int"))).alias("ids"))  # SHARD at most
     dealt = grouped.withColumn("bucket", bucket_of(F.col("word"), buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", "word", "shard")
     dealt.write.partitionBy("bucket").parquet(f"{index.folder}/postings")
     spark = items.sparkSession

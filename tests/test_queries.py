@@ -125,3 +125,12 @@ def test_rows_are_split_without_a_function_for_each_token(spark):
     assert "lambda" not in plan_of(df)
     want = [("a b", ["1.50*", "(2.25)", "x"]), ("7 12 none", []), ("", []), (None, []), ("", ["−3.0%"]), ("t", ["(1,234.5)†"]), ("x", ["7%\x85"])]
     assert [tuple(r.r) for r in df.collect()] == want
+
+
+def test_index_takes_its_words_from_their_source(spark, tmp_path):
+    from quillon.operators import postings
+
+    items = spark.createDataFrame([(1, "one", "A", "paper"), (2, "two", "B", "spec")], "id long, title string, status string, kind string")
+    texts = spark.createDataFrame([(1, "one", "red fox", None), (1, "one", "red", None), (2, "two", "blue", "fox")], "id long, title string, method string, finding string")
+    index = postings.build(items, f"file://{tmp_path}/index", source=texts)
+    assert {r.word: list(r.ids) for r in index.postings(spark).collect()} == {"one": [1], "two": [2], "red": [1], "blue": [2], "fox": [1, 2]}
