@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType
 
 from quillon.operators import postings as I
 from quillon.operators import ranking as K
@@ -91,22 +90,28 @@ def abstract_rebuild(spark, folder):
     return rebuilt(V.table(spark, folder, "documents"))
 
 
-@F.pandas_udf(MapType(StringType(), ArrayType(IntegerType())))
-def inverted(text: pd.Series) -> pd.Series:
-    """A map of the words between single spaces to their places."""
+#: texts whose indexes are held at a time
+TEXTS = 50
 
-    def index(t: str) -> dict:
-        out: dict[str, list[int]] = {}
-        for k, w in enumerate(t.split(" ")):
-            out.setdefault(w, []).append(k)
-        return out
 
-    return text.map(index)
+def inverted(batches):
+    """(id, index): maps of the words between single spaces to their places, for a few texts at a time however large a batch is."""
+    kind = pa.map_(pa.string(), pa.list_(pa.int32()))
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            part, maps = batch.slice(at, TEXTS), []
+            for text in part.column(1):
+                places: dict[str, list[int]] = {}
+                for k, w in enumerate(text.as_py().split(" ")):
+                    places.setdefault(w, []).append(k)
+                maps.append(list(places.items()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(maps, kind)], ["id", "index"])
 
 
 def rebuilt(documents: DataFrame) -> DataFrame:
     """Each document's words as an inverted index and then as text again; a row stays one row, unshuffled."""
-    return documents.filter("text is not null").select(F.col("doc_id").alias("id"), R.abstract_of(inverted("text")).alias("abstract"))
+    texts = documents.filter("text is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
+    return texts.mapInArrow(inverted, "id long, index map<string, array<int>>").select("id", R.abstract_of(F.col("index")).alias("abstract"))
 
 
 @query("SELECT event_id, try_cast(props->>'$.k' AS BIGINT) AS k, event_type FROM events WHERE try_cast(props->>'$.k' AS BIGINT) IS NOT NULL")

@@ -134,3 +134,13 @@ def test_index_takes_its_words_from_their_source(spark, tmp_path):
     texts = spark.createDataFrame([(1, "one", "red fox", None), (1, "one", "red", None), (2, "two", "blue", "fox")], "id long, title string, method string, finding string")
     index = postings.build(items, f"file://{tmp_path}/index", source=texts)
     assert {r.word: list(r.ids) for r in index.postings(spark).collect()} == {"one": [1], "two": [2], "red": [1], "blue": [2], "fox": [1, 2]}
+
+
+def test_indexes_of_texts_are_made_a_few_at_a_time():
+    import pyarrow as pa
+
+    from quillon.plans import catalogue
+
+    got = list(catalogue.inverted([pa.record_batch({"id": pa.array(range(120), pa.int64()), "text": ["a b a"] * 120})]))
+    assert [b.num_rows for b in got] == [50, 50, 20]
+    assert got[0].column(1)[0].as_py() == [("a", [0, 2]), ("b", [1])]
