@@ -5,26 +5,25 @@ against each other; captions, panels, blocks and rows are found in the lines as
 
 * columns: the spans of a block's numbers, swept from left to right; a column begins where a number starts right of all spans before;
 * names: header words with small gaps between them are one name, and each column takes, from each header line, the name over its
-  middle, else the nearest one.  Names and middles are swept together in order of x, so a middle sees the names on both sides of it;
+  middle, else the nearest one on either side;
 * sections: a line without numbers heads the rows that are indented more than it is.
 
-Everything is windows over a line, a block or an exhibit.  A row with fewer numbers than there are columns keeps them under their columns.
+Lines are found by windows over a page; then a block is one row of arrays, as few as are printed on a page, and is not shuffled again: all windows and groups
+begin with the paper, so pages that are dealt by paper stay where they are.  A row with fewer numbers than there are columns keeps them under their columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators import scoring
-from quillon.operators.exhibits import EXHIBIT, captioned_lines, richest, table_rows
-from quillon.plans.shared import staged
+from quillon.operators.exhibits import ALL, BLOCK, EXHIBIT, captioned_lines, richest, table_rows
 
 #: fixed value: widest gap within a name
 GAP = 4.0
 #: how far a middle may lie outside a name that is still over it, and how much more an indented line is indented
 SLACK = 1.0
-BLOCK = [*EXHIBIT, "panel", "block"]
 
 
 def lines_of(words: DataFrame) -> DataFrame:
@@ -36,57 +35,69 @@ def lines_of(words: DataFrame) -> DataFrame:
     return lines.select("paper", "page", number.alias("line"), F.array_join(F.transform("boxes", lambda b: b["text"]), " ").alias("text"), "boxes")
 
 
-def numbers_of(rows: DataFrame) -> DataFrame:
-    """One row for each number of data lines, with its parsed cell ``c`` and its box."""
+def blocks_of(rows: DataFrame) -> DataFrame:
+    """One row for each block with data: ``numbers`` (line, row, section, x0, x1, token) and ``heads`` (line, boxes).
+
+    heads are the lines above the block's data; lines above the panels serve all of them.
+    """
     # the label's words come first; the numbers are the last boxes of their line
     boxes = F.slice("boxes", F.size("boxes") - F.size("numbers") + 1, F.size("numbers"))
-    each = rows.filter("is_data").select(*BLOCK, "kind", "label", "title", "section", "row", "line", F.get("boxes", F.lit(0))["x0"].alias("indent"), F.explode(boxes).alias("b"))
-    return each.withColumn("c", scoring.parse_cell(F.col("b.text"))).filter("c is not null").withColumn("x0", F.col("b.x0")).withColumn("x1", F.col("b.x1"))
+    place = F.transform(boxes, lambda b: F.struct(F.col("line"), F.col("row"), F.col("section"), b["x0"].alias("x0"), b["x1"].alias("x1"), scoring.clean(b["text"]).alias("token")))
+    cells = F.filter(place, lambda x: scoring.is_cell(x["token"]))
+    block = Window.partitionBy(*BLOCK).orderBy("line")
+    every = lambda x: F.collect_list(x).over(block.rowsBetween(*ALL))
+    rows = rows.select(*BLOCK, "kind", "label", "title", "line", "top", F.when(F.col("is_data"), cells).alias("cells"), F.when(~F.col("is_data"), F.struct("line", "boxes")).alias("plain"))
+    # lines are in the order of their block already, and its first one stands for it
+    whole = rows.withColumn("at", F.row_number().over(block)).withColumn("numbers", every("cells")).withColumn("plains", every("plain")).filter("at = 1")
+    shared = F.collect_list(F.when(F.col("panel") == "", F.col("plains"))).over(Window.partitionBy(*EXHIBIT))
+    whole = whole.withColumn("shared", shared).filter("top is not null").withColumn("numbers", F.flatten("numbers"))
+    above = lambda lines: F.filter(lines, lambda h: h["line"] < F.col("top"))
+    heads = above(F.when(F.col("panel") == "", F.col("plains")).otherwise(F.concat("plains", F.flatten("shared"))))
+    return whole.select(*BLOCK, "kind", "label", "title", "numbers", F.array_sort(heads).alias("heads"))
+
+
+def spans_of(numbers: Column) -> Column:
+    """Columns (x0, x1) of a block, by a sweep over the spans of its numbers: one begins where a number starts right of all before."""
+    sweep = F.array_sort(F.transform(numbers, lambda b: F.struct(b["x0"].cast("double").alias("x0"), b["x1"].cast("double").alias("x1"))))
+
+    def step(found: Column, b: Column) -> Column:
+        last = F.try_element_at(found, F.lit(-1))
+        wider = F.concat(F.slice(found, F.lit(1), F.size(found) - 1), F.array(F.struct(last["x0"].alias("x0"), b["x1"].alias("x1"))))
+        return F.when((F.size(found) == 0) | (b["x0"] > last["x1"]), F.concat(found, F.array(b))).when(b["x1"] > last["x1"], wider).otherwise(found)
+
+    return F.aggregate(sweep, F.array().cast("array<struct<x0:double,x1:double>>"), step)
+
+
+def names_of(boxes: Column, gap: float = GAP) -> Column:
+    """Names (x, x0, x1, name) on a header line, by their middles: words with small gaps between them are one name."""
+    words = F.transform(boxes, lambda b: F.struct(b["x0"].cast("double").alias("x0"), b["x1"].cast("double").alias("x1"), b["x1"].cast("double").alias("end"), b["text"].alias("name")))
 
+    def step(found: Column, b: Column) -> Column:
+        last = F.try_element_at(found, F.lit(-1))
+        longer = F.struct(F.least(last["x0"], b["x0"]).alias("x0"), F.greatest(last["x1"], b["x1"]).alias("x1"), b["x1"].alias("end"), F.concat(last["name"], F.lit(" "), b["name"]).alias("name"))
+        return F.when((F.size(found) == 0) | (b["x0"] - last["end"] > gap), F.concat(found, F.array(b))).otherwise(F.concat(F.slice(found, F.lit(1), F.size(found) - 1), F.array(longer)))
 
-def columned(numbers: DataFrame) -> DataFrame:
-    """Numbers with ``j`` (their column from 0) and ``middle`` (of the column's span), by a sweep over a block's spans."""
-    sweep = Window.partitionBy(*BLOCK).orderBy("x0", "x1", "line")
-    reach = F.max("x1").over(sweep.rowsBetween(Window.unboundedPreceding, -1))
-    starts = (F.col("x0") > F.coalesce(reach, F.col("x0") - 1)).cast("int")
-    placed = numbers.withColumn("starts", starts).withColumn("j", F.sum("starts").over(sweep) - 1)
-    column = Window.partitionBy(*BLOCK, "j")
-    return placed.withColumn("middle", (F.min("x0").over(column) + F.max("x1").over(column)) / 2).drop("starts")
+    groups = F.aggregate(words, F.array().cast("array<struct<x0:double,x1:double,end:double,name:string>>"), step)
+    return F.array_sort(F.transform(groups, lambda g: F.struct(((g["x0"] + g["x1"]) / 2).alias("x"), g["x0"].alias("x0"), g["x1"].alias("x1"), g["name"].alias("name"))))
 
 
-def header_groups(rows: DataFrame, gap: float = GAP) -> DataFrame:
-    """(BLOCK, line, x0, x1, name): names on the header lines above a block's data; lines above the panels serve all of them."""
-    own = rows.filter("not is_data and line < top").select(*BLOCK, "line", "boxes")
-    shared = rows.filter("panel = '' and not is_data").select(*EXHIBIT, "line", "boxes")
-    blocks = rows.filter("is_data and panel <> ''").groupBy(*BLOCK).agg(F.min("line").alias("first"))
-    above = shared.join(blocks, EXHIBIT).filter("line < first").select(*BLOCK, "line", "boxes")
-    words = own.unionByName(above).dropDuplicates([*BLOCK, "line"]).select(*BLOCK, "line", F.posexplode("boxes").alias("at", "b"))
-    line = Window.partitionBy(*BLOCK, "line").orderBy("at")
-    begins = (F.col("b.x0") - F.lag("b.x1").over(line) > gap).cast("int")
-    groups = words.withColumn("group", F.sum(F.coalesce(begins, F.lit(0))).over(line)).groupBy(*BLOCK, "line", "group")
-    named = groups.agg(F.min("b.x0").alias("x0"), F.max("b.x1").alias("x1"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "b"))), lambda x: x["b"]["text"]), " ").alias("name"))
-    return named.select(*BLOCK, "line", "x0", "x1", "name")
+def picked(names: Column, x: Column) -> Column:
+    """The name over a middle, else the nearest one."""
+    a, b = F.try_element_at(F.filter(names, lambda g: g["x"] <= x), F.lit(-1)), F.get(F.filter(names, lambda g: g["x"] > x), F.lit(0))
+    over = lambda g: F.coalesce((g["x0"] - SLACK <= x) & (x <= g["x1"] + SLACK), F.lit(False))
+    return F.when(over(a), a["name"]).when(over(b), b["name"]).when(b.isNull() | (x - a["x"] <= b["x"] - x), a["name"]).otherwise(b["name"])
 
 
-def column_names(columns: DataFrame, groups: DataFrame) -> DataFrame:
-    """(BLOCK, j, col): for each column the names from all header lines, top line first; equal ones once.
+def with_columns(blocks: DataFrame) -> DataFrame:
+    """Blocks with ``spans`` and ``cols``: each column's names from all header lines, top line first, equal ones once.
 
     A header line of one name says nothing about several columns and is passed over.
     """
-    width = columns.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("width"))
-    counted = groups.withColumn("names", F.count(F.lit(1)).over(Window.partitionBy(*BLOCK, "line"))).join(width, BLOCK).filter("names > 1 or width = 1")
-    lines = counted.select(*BLOCK, "line").distinct()
-    middles = columns.join(lines, BLOCK).select(*BLOCK, "line", F.col("middle").alias("x"), "j", F.lit(None).cast("struct<x0:double,x1:double,name:string>").alias("g"))
-    names = counted.select(*BLOCK, "line", ((F.col("x0") + F.col("x1")) / 2).alias("x"), F.lit(None).cast("bigint").alias("j"), F.struct(F.col("x0").cast("double").alias("x0"), F.col("x1").cast("double").alias("x1"), "name").alias("g"))
-    sweep = Window.partitionBy(*BLOCK, "line").orderBy("x", F.col("j").isNotNull())
-    both = middles.withColumn("j", F.col("j").cast("bigint")).unionByName(names)
-    seen = both.withColumn("left", F.last("g", ignorenulls=True).over(sweep.rowsBetween(Window.unboundedPreceding, 0))).withColumn("right", F.first("g", ignorenulls=True).over(sweep.rowsBetween(0, Window.unboundedFollowing))).filter("j is not null")
-    over = lambda g: F.coalesce((g["x0"] - SLACK <= F.col("x")) & (F.col("x") <= g["x1"] + SLACK), F.lit(False))
-    away = lambda g: F.abs((g["x0"] + g["x1"]) / 2 - F.col("x"))
-    a, b = F.col("left"), F.col("right")
-    best = F.when(over(a), a["name"]).when(over(b), b["name"]).when(b.isNull() | (away(a) <= away(b)), a["name"]).otherwise(b["name"])
-    picked = seen.select(*BLOCK, "j", "line", best.alias("name")).groupBy(*BLOCK, "j")
-    return picked.agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("line", "name"))), lambda x: x["name"])), "/").alias("col"))
+    found = blocks.withColumn("spans", spans_of(F.col("numbers"))).withColumn("heads", F.transform("heads", lambda h: names_of(h["boxes"])))
+    found = found.withColumn("heads", F.filter("heads", lambda h: (F.size(h) > 1) | ((F.size("spans") == 1) & (F.size(h) == 1))))
+    name = lambda s: F.array_join(F.array_distinct(F.transform("heads", lambda h: picked(h, (s["x0"] + s["x1"]) / 2))), "/")
+    cols = F.transform("spans", lambda s, j: F.when(F.size("heads") > 0, name(s)).otherwise(F.concat(F.lit("c"), j + 1)))
+    return found.withColumn("cols", cols).drop("heads")
 
 
 def indented_sections(rows: DataFrame) -> DataFrame:
@@ -104,12 +115,10 @@ def indented_sections(rows: DataFrame) -> DataFrame:
 
 def harvest(words: DataFrame) -> DataFrame:
     """(paper, CELLS of ``exhibits``) of word boxes."""
-    rows = staged(indented_sections(table_rows(captioned_lines(lines_of(words)))), "table-lines")
-    numbers = staged(columned(numbers_of(rows)), "table-numbers")
-    columns = numbers.select(*BLOCK, "j", "middle").distinct()
-    named = column_names(columns, header_groups(rows))
-    each = numbers.join(named, [*BLOCK, "j"], "left").withColumn("col", F.coalesce("col", F.concat(F.lit("c"), F.col("j") + 1)))
+    blocks = richest(blocks_of(indented_sections(table_rows(captioned_lines(lines_of(words))))))
+    each = with_columns(blocks).select("*", F.explode("numbers").alias("b")).select("*", "b.row", "b.section", scoring.parse_cell(F.col("b.token")).alias("c"))
+    # columns begin at their first number, from left to right
+    each = each.withColumn("col", F.get("cols", F.size(F.filter("spans", lambda s: s["x0"] <= F.col("b.x0"))) - 1))
     some = lambda c: F.nullif(c, F.lit(""))
     cell = F.concat_ws("/", F.concat(F.substring("kind", 1, 1), "label"), some("panel"), some("section"), some("row"), "col")
-    cells = each.select("paper", cell.alias("cell"), F.concat_ws(" ", "kind", "label").alias("exhibit"), F.lower("kind").alias("kind"), "title", F.col("page").cast("int").alias("page"), "panel", "section", "row", "col", "c.value", "c.raw", "c.percent", "c.stars", "c.parenthesised")
-    return richest(cells)
+    return each.select("paper", cell.alias("cell"), "exhibit", F.lower("kind").alias("kind"), "title", F.col("page").cast("int").alias("page"), "panel", "section", "row", "col", "c.value", "c.raw", "c.percent", "c.stars", "c.parenthesised")

@@ -22,14 +22,19 @@ def clean(token: Column) -> Column:
     return F.trim(F.translate(token, "−–", "--"))
 
 
+def is_cell(raw: Column) -> Column:
+    """Whether a cleaned token is a printed number; a bare integer is a count, not a result."""
+    return raw.rlike(CELL) & (F.contains(raw, F.lit(".")) | F.contains(raw, F.lit("%")))
+
+
 def parse_cell(token: Column) -> Column:
-    """(value, raw, percent, stars, parenthesised) of a printed number, or null; a bare integer is a count, not a result."""
+    """(value, raw, percent, stars, parenthesised) of a printed number, or null."""
     raw = clean(token)
-    part = lambda k: F.regexp_extract(raw, CELL, k)
-    body = F.regexp_replace(part(2), ",", "")
-    value = F.when(part(1) == "-", -body.try_cast("double")).otherwise(body.try_cast("double"))
-    ok = raw.rlike(CELL) & (F.contains(part(2), F.lit(".")) | (part(4) == "%"))
-    return F.when(ok, F.struct(value.alias("value"), raw.alias("raw"), (part(4) == "%").alias("percent"), F.length(part(5)).alias("stars"), F.startswith(raw, F.lit("(")).alias("parenthesised")))
+    # what a number of this form is made of can be told by its characters, so one regular expression is enough
+    without = lambda marks: F.translate(raw, marks, "")
+    value = without("()$,%*†‡\n\r\x85\u2028\u2029").try_cast("double")
+    stars = F.length(raw) - F.length(without("*†‡"))
+    return F.when(is_cell(raw), F.struct(value.alias("value"), raw.alias("raw"), F.contains(raw, F.lit("%")).alias("percent"), stars.alias("stars"), F.startswith(raw, F.lit("(")).alias("parenthesised")))
 
 
 def split_row(line: Column) -> Column:

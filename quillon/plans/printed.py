@@ -8,17 +8,21 @@ from pyspark.sql import functions as F
 from quillon.operators import boxes as B
 from quillon.operators import exhibits as X
 from quillon.plans.registry import query
+from quillon.plans.shared import spread
 from quillon.sources import views as V
 
 ROWS = ("quantity", "price", "total")
+#: lines of orders in a task: pages are made and read where the one shuffle puts them
+LINES = 250_000
 
 
 def cells(spark, folder) -> DataFrame:
     """(paper, j, n, line, q, p, t, late): the lines of each order, as columns of its table."""
-    w = Window.partitionBy("l_orderkey")
-    li = V.table(spark, folder, "lineitem")
+    w = Window.partitionBy("paper")
+    # named before they are dealt: what is read from a page then stays where its paper is
+    li = spread(V.table(spark, folder, "lineitem").withColumnRenamed("l_orderkey", "paper"), LINES, "paper")
     j = F.row_number().over(w.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")) - 1
-    return li.select(F.col("l_orderkey").alias("paper"), j.alias("j"), F.count(F.lit(1)).over(w).alias("n"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("p"), (F.col("l_tax") * 100).alias("t"), (F.col("l_returnflag") == "R").alias("late"), (F.col("l_discount") > 0.05).alias("star"))
+    return li.select("paper", j.alias("j"), F.count(F.lit(1)).over(w).alias("n"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("p"), (F.col("l_tax") * 100).alias("t"), (F.col("l_returnflag") == "R").alias("late"), (F.col("l_discount") > 0.05).alias("star"))
 
 
 _CELLS = "t AS (SELECT l_orderkey AS paper, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS j, count(*) OVER (PARTITION BY l_orderkey) AS n, l_linenumber AS line, l_quantity AS q, l_extendedprice AS p, l_tax * 100 AS t, l_returnflag = 'R' AS late, l_discount > 0.05 AS star FROM lineitem)"

@@ -87,6 +87,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Deal a stored table by key to tasks of about ``rows`` rows where the session's partitions would have more; its rows are counted from metadata."""
+    n = -(-df.count() // rows)
+    return df.repartition(n, *keys) if n > partitions(df.sparkSession) else df
+
+
 def unused(columns: list[str], name: str) -> str:
     """``name``, with as many underscores after it as it takes to be none of ``columns`` (whose case does not count)."""
     taken = {c.lower() for c in columns}

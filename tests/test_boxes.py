@@ -68,3 +68,15 @@ def test_nothing_and_odd_words(spark):
     assert cells(odd) == {"T1/only/c1": 5.5}
     twice = page(spark, [(10, [(0, "Table"), (30, "1.")]), (20, [(0, "a"), (90, "1.5")])], number=1).unionByName(page(spark, [(10, [(0, "Table"), (30, "1.")]), (20, [(0, "a"), (90, "1.5")]), (30, [(0, "b"), (90, "2.5")])], number=2))
     assert {(r.cell, r.page) for r in boxes.harvest(twice).collect()} == {("T1/a/c1", 2), ("T1/b/c1", 2)}  # the fuller copy
+
+
+def plan_of(spark, name):
+    from quillon.plans import registry, shared
+
+    made = len(shared._folders)
+    plan = registry.load()[0][name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange "), plan.count("Scan parquet"), len(shared._folders) - made
+
+
+def test_pages_are_dealt_once_and_read_where_they_are(spark):
+    assert plan_of(spark, "boxed_cells") == (1, 1, 0)
