@@ -80,3 +80,7 @@ def plan_of(spark, name):
 
 def test_pages_are_dealt_once_and_read_where_they_are(spark):
     assert plan_of(spark, "boxed_cells") == (1, 1, 0)
+
+
+def test_text_pages_are_read_once(spark):
+    assert plan_of(spark, "exhibit_cells") == (1, 1, 0)
