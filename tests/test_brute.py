@@ -248,6 +248,23 @@ def test_plain_words_before_patterns(spark):
         assert all(x.a == x.b for x in out) and any(x.a for x in out)
 
 
+def test_patterns_are_run_on_texts_with_their_own_words(spark):
+    from pyspark.sql import functions as F
+
+    from quillon.functions import rules as R
+    from quillon.operators import screens
+
+    r = random.Random(5)
+    for pattern in (R.THEORY, R.SYNTHETIC, R.EMPIRICAL):
+        bits = [x for a in screens.alternatives(pattern) for x in (screens.required(a).upper(), a.replace("\\b", "").replace("\\s+", " ").replace("?", ""))]
+        rows = [(" ".join(r.choice([*bits, "plain", "using", "DATA FROM", "1990 to 2015", "s&p 500", "proof of", "etfs"]) for _ in range(r.randint(0, 4))),) for _ in range(400)]
+        t = F.col("t")
+        out = spark.createDataFrame(rows, "t string").select(screens.has(t, pattern).alias("a"), screens.has_any(t, F.lower(t), pattern).alias("b")).collect()
+        assert all(x.a == x.b for x in out) and any(x.a for x in out) and any(not x.a for x in out)
+    plan = spark.createDataFrame([("a", "b")], "t string, a string").select(screens.abstract_screen(F.col("t"), F.col("a")))._jdf.queryExecution().analyzed().toString()
+    assert f"(?i){R.EMPIRICAL}" not in plan and f"(?i){R.THEORY}" not in plan
+
+
 def balanced(text):
     """The first JSON object in a text, by its braces outside of strings."""
     depth, start, quoted, skip = 0, -1, False, False
