@@ -14,6 +14,7 @@ from quillon.operators import studies as Y
 from quillon.plans.estimators import PREDICTORS, WINDOW, frame
 from quillon.plans.panels import rounded
 from quillon.plans.registry import query
+from quillon.plans.shared import spread
 from quillon.plans.statistics import bootstrap_sql, sharpe_sql
 from quillon.sources import views as V
 from quillon.sources.views import sql
@@ -142,7 +143,8 @@ h AS (SELECT o_orderkey AS sheet, k AS line, k * 7.0::DOUBLE + o_custkey % 5 AS
 b AS (SELECT c.sheet, c.col, arg_min(text, ((x0 > centre OR centre > x1)::INTEGER, abs((x0 + x1) / 2 - centre), x0)) AS name FROM c JOIN h ON c.sheet = h.sheet GROUP BY ALL) SELECT * FROM b""")
 def columns_by_position(spark, folder):
     """Header words over or next to the centres of a sheet's columns."""
-    numbers = V.table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("sheet"), F.lit(9).alias("line"), (F.col("l_linenumber") * 10.0).alias("x0"), (F.col("l_linenumber") * 10.0 + 4).alias("x1"), F.concat("l_linenumber", F.lit(".5")).alias("text")).distinct()
+    lines = spread(V.table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("sheet"), "l_linenumber"), 250_000, "sheet")  # a task holds its sheets
+    numbers = lines.select("sheet", F.lit(9).alias("line"), (F.col("l_linenumber") * 10.0).alias("x0"), (F.col("l_linenumber") * 10.0 + 4).alias("x1"), F.concat("l_linenumber", F.lit(".5")).alias("text")).distinct()
     k = F.col("k")
     at = k * 7.0 + F.col("o_custkey") % 5
     heads = V.table(spark, folder, "orders").select("o_orderkey", "o_custkey", F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("k"))

@@ -144,3 +144,13 @@ def test_indexes_of_texts_are_made_a_few_at_a_time():
     got = list(catalogue.inverted([pa.record_batch({"id": pa.array(range(120), pa.int64()), "text": ["a b a"] * 120})]))
     assert [b.num_rows for b in got] == [50, 50, 20]
     assert got[0].column(1)[0].as_py() == [("a", [0, 2]), ("b", [1])]
+
+
+def test_large_tables_are_dealt_to_more_tasks(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        plan = QUERIES["columns_by_position"](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and "REPARTITION_BY_NUM" not in QUERIES["columns_by_position"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
