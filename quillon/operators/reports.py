@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.operators import statistics as T
+from quillon.plans.shared import staged
 
 MIN_T = 1.5
 T_TOLERANCE = 0.6
@@ -182,7 +183,8 @@ def _run_code(code: str, panel: DataFrame, backtest: Callable[[DataFrame], DataF
     if errors:
         out.status, out.errors = "code_failed", errors
         return out
-    net = backtest(exhibits.apply_signal(panel, code))
+    # performance and claim both read the series, which is a row a date; the code is run once for them
+    net = staged(backtest(exhibits.apply_signal(panel, code)), "net")
     row = T.performance(net).first()
     if row is None or row["n"] == 0:
         out.status, out.errors = "backtest_failed", ["no returns"]

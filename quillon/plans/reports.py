@@ -159,9 +159,11 @@ def agreements(li):
 @query()
 def replication(spark, folder):
     """The whole way of every document as a paper: text, checked code, book, performance, claim."""
-    panel = P.dense(V.supplier_month(spark, folder))
+    panel = shared.staged(P.dense(V.supplier_month(spark, folder)), "panel")
 
     def backtest(scores):
+        # dates, ranks and holdings read the scores, which are dear
+        scores = shared.staged(scores, "scores")
         return B.net_returns(panel, B.quintile_long_short(P.normalized(scores).filter("score is not null")), 5.0)
 
     papers = V.table(spark, folder, "documents").select(F.col("doc_id").alias("paper"), "text")

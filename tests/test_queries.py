@@ -154,3 +154,12 @@ def test_large_tables_are_dealt_to_more_tasks(spark):
         assert "REPARTITION_BY_NUM" in plan and "REPARTITION_BY_NUM" not in QUERIES["columns_by_position"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_replicated_code_is_run_once(spark):
+    from quillon.plans import shared
+
+    before = len(shared._folders)
+    QUERIES["replication"](spark, FOLDER)
+    made = [p.rsplit("/", 1)[-1].rsplit("-", 1)[0] for p in shared._folders[before:]]
+    assert made.count("scores") == made.count("net") == made.count("panel") == 1
