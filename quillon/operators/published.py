@@ -80,42 +80,62 @@ def coskewness(rets: DataFrame, n: int = 36) -> DataFrame:
     return both.select("asset", "date", F.when(F.count("r").over(w) == n, score).alias("score"))
 
 
-def market_states(panel: DataFrame, rets: DataFrame) -> DataFrame:
-    """(date, m, m1 .. m4, liquidity, volatility, tail): the market's return and its lags, and what betas are taken to.
+def traded(panel: DataFrame) -> DataFrame:
+    """(asset, date, ret, value): return from the row before and traded value."""
+    return panel.select("asset", "date", (F.try_divide(F.col("close"), F.lag("close").over(by_asset())) - 1).alias("ret"), (F.col("close") * F.col("volume")).alias("value"))
+
+
+def market_states(rows: DataFrame) -> DataFrame:
+    """(date, m, m1 .. m4, liquidity, volatility, tail) of ``traded`` rows: the market's return and its lags, and what betas are taken to.
 
     liquidity: change of the log of the mean of absolute return over traded value; volatility: change of the year's deviation of the market;
     tail: mean log of how far the lowest twentieth of the returns of the row before lay beyond their edge.
     """
-    value = F.col("close") * F.col("volume")
-    traded = rets.join(panel.select("asset", "date", value.alias("value")), ["asset", "date"]).filter("ret is not null")
-    edges = traded.groupBy("date").agg(F.percentile("ret", F.lit(0.05)).alias("edge"))
+    rows = rows.filter("ret is not null")
+    edges = rows.groupBy("date").agg(F.percentile("ret", F.lit(0.05)).alias("edge"))
     beyond = F.when((F.col("ret") < F.col("edge")) & (F.col("edge") < 0), F.ln(F.col("ret") / F.col("edge")))
-    dates = traded.join(edges, "date").groupBy("date").agg(F.avg("ret").alias("m"), F.avg(F.try_divide(F.abs("ret"), "value")).alias("impact"), F.avg(beyond).alias("tail"))
-    w = Window.orderBy("date")  # one row a date
+    # one row a date
+    dates = rows.join(F.broadcast(edges), "date").groupBy("date").agg(F.avg("ret").alias("m"), F.avg(F.try_divide(F.abs("ret"), "value")).alias("impact"), F.avg(beyond).alias("tail"))
+    w = Window.orderBy("date")
     year = w.rowsBetween(-(YEAR - 1), 0)
     rows = dates.withColumn("deviation", F.when(F.count("m").over(year) == YEAR, F.stddev_samp("m").over(year)))
     change = lambda x: x - F.lag(x).over(w)
     return rows.select("date", "m", *[F.lag("m", k).over(w).alias(f"m{k}") for k in range(1, 5)], change(_logarithm(F.col("impact"))).alias("liquidity"), change(F.col("deviation")).alias("volatility"), F.lag("tail").over(w).alias("tail"))
 
 
+#: models of ``exposures``
+MODELS = {"lagged": ["m", "m1", "m2", "m3", "m4"], "one": ["m"], "liquidity": ["m", "liquidity"], "volatility": ["m", "volatility"], "tail": ["m", "tail"]}
+
+
 def exposures(rets: DataFrame, states: DataFrame, n: int = 36) -> DataFrame:
     """(asset, date, delay, liquidity, volatility, tail) from regressions over the n rows before each date.
 
     delay: less the part of what the market and its four lags explain that the market alone does; the others are the slopes beside the market's, those of volatility
-    with the opposite sign.
+    with the opposite sign.  rets has every asset on every date, so assets share their predictors: a model's normal equations are solved once a date,
+    and of an asset only the products of its returns with the states are summed, in one pass.
     """
-    rows = rets.join(states, "date")
-    keys = ["asset", "date"]
-
-    def fitted(columns: list[str], *out: Column) -> DataFrame:
-        sums = moments.running(rows, columns, n, "ret", by=["asset"])
-        return moments.regressions(sums, len(columns), keys).select(*keys, *out)
-
-    lagged = fitted(["m", "m1", "m2", "m3", "m4"], F.col("r2").alias("all_r2")).join(fitted(["m"], F.col("r2").alias("one_r2")), keys)
-    out = lagged.select(*keys, (1 - F.try_divide("one_r2", "all_r2")).alias("delay"))
-    for name, sign in (("liquidity", 1), ("volatility", -1), ("tail", 1)):
-        out = out.join(fitted(["m", name], (sign * F.get("slopes", F.lit(1))).alias(name)), keys, "left")
-    return out
+    models = states.select("date")
+    for name, predictors in MODELS.items():
+        solved = moments.inverses(moments.running(states, predictors, n, "m", own=True), len(predictors)).withColumnRenamed("inverse", f"{name}_inverse")
+        models = models.join(solved, "date", "left")
+    used = sorted({x for predictors in MODELS.values() for x in predictors})
+    # about their means over all dates, so that little is lost where a window's mean is taken off the sums
+    near = states.crossJoin(F.broadcast(states.agg(*[F.avg(x).alias(f"__{x}") for x in used]))).select("date", *[(F.col(x) - F.col(f"__{x}")).alias(x) for x in used])
+    models = models.join(near.select("date", *[F.avg(x).over(Window.orderBy("date").rowsBetween(-n, -1)).alias(f"mean_{x}") for x in used]), "date")
+    over = by_asset().rowsBetween(-n, -1)
+    rows = rets.select("asset", "date", F.when(~F.isnan("ret"), F.col("ret")).alias("y")).join(F.broadcast(near), "date")
+    rows = rows.select("asset", "date", "y", *[(F.col("y") * F.col(x)).alias(f"y_{x}") for x in used])
+    sums = rows.select("asset", "date", F.count("y").over(over).alias("n"), F.sum("y").over(over).alias("y"), (n * F.var_pop("y").over(over)).alias("yy"), *[F.sum(f"y_{x}").over(over).alias(f"y_{x}") for x in used])
+    fitted = sums.filter(F.col("n") == n).join(F.broadcast(models.filter("lagged_inverse is not null")), "date")
+    fitted = fitted.withColumns({f"y_{x}": F.col(f"y_{x}") - F.col(f"mean_{x}") * F.col("y") for x in used})
+
+    def slope(model: str, k: int) -> Column:
+        return sum((F.get(F.get(f"{model}_inverse", F.lit(k)), F.lit(j)) * F.col(f"y_{x}") for j, x in enumerate(MODELS[model])), F.lit(0.0))
+
+    def r2(model: str) -> Column:
+        return F.when(F.col("yy") > 0, sum((slope(model, k) * F.col(f"y_{x}") for k, x in enumerate(MODELS[model])), F.lit(0.0)) / F.col("yy"))
+
+    return fitted.select("asset", "date", (1 - F.try_divide(r2("one"), r2("lagged"))).alias("delay"), slope("liquidity", 1).alias("liquidity"), (-slope("volatility", 1)).alias("volatility"), slope("tail", 1).alias("tail"))
 
 
 def conditional_momentum(panel: DataFrame, sectors: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from quillon.operators import published as S
 from quillon.plans.panels import rounded, suppliers
 from quillon.plans.registry import query
 from quillon.plans.regressions import determinant
+from quillon.plans.shared import staged
 from quillon.sources import views as V
 from quillon.sources.views import sql
 
@@ -83,10 +84,9 @@ SELECT asset, date, round(1 - (v_m_y * v_m_y / v_m_m / vy) / (({" + ".join(f"{de
     )
 )
 def market_exposures(spark, folder):
-    """Price delay, and betas to liquidity, volatility and tail risk, from running moments."""
-    p = suppliers(spark, folder)
-    rets = P.returns(p)
-    return rounded(S.exposures(rets, S.market_states(p, rets)), digits=4)
+    """Price delay, and betas to liquidity, volatility and tail risk, of returns that are staged once."""
+    rows = staged(S.traded(suppliers(spark, folder)), "traded")
+    return rounded(S.exposures(rows, staged(S.market_states(rows), "states")), digits=4)
 
 
 @query(
