@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,13 +15,17 @@ TRANSCRIPTION = 0.005
 EVENTS = {"submission_accepted_t1": 5, "submission_accepted_t2": 20, "submission_accepted_t3": 100, "submission_rejected_spam": -10, "submission_rejected_vote": 0, "vote_with_majority": 1, "vote_against_majority": -1, "comment_helpful": 3, "comment_spam": -5}
 CELL = r"^\(?(-?)\$?(\d[\d,]*(\.\d+)?)\)?(%?)([*†‡]{0,3})$"
 
+STARS = "*†‡"
+#: what stands around the digits of a cell
+ENDS = "()%*†‡\n\r\x85\u2028\u2029"
+
 #: a line from its first token that ``parse_cell`` takes on
 PRINTED = r"(?s)(?<!\S)\(?[-−–]?\$?\d[\d,]*(?:\.\d+\)?%?|\)?%)[*†‡]{0,3}[\x{85}\x{2028}\x{2029}]?(?!\S).*"
 
 
 def clean(token: Column) -> Column:
     """Typographic minus signs to ASCII."""
-    return F.trim(F.translate(token, "−–", "--"))
+    return F.trim(F.when(F.contains(token, F.lit("−")) | F.contains(token, F.lit("–")), F.translate(token, "−–", "--")).otherwise(token))
 
 
 def is_cell(raw: Column) -> Column:
@@ -30,21 +36,39 @@ def is_cell(raw: Column) -> Column:
 def parse_cell(token: Column) -> Column:
     """(value, raw, percent, stars, parenthesised) of a printed number, or null."""
     raw = clean(token)
-    # what a number of this form is made of can be told by its characters, so one regular expression is enough
+    return F.when(is_cell(raw), cell_parts(raw))
+
+
+def cell_parts(raw: Column) -> Column:
+    """``parse_cell`` of a cleaned token that is a cell."""
+    # what a number of this form is made of can be told by its characters, so no other regular expression is needed
     without = lambda marks: F.translate(raw, marks, "")
-    value = without("()$,%*†‡\n\r\x85\u2028\u2029").try_cast("double")
-    stars = F.length(raw) - F.length(without("*†‡"))
-    return F.when(is_cell(raw), F.struct(value.alias("value"), raw.alias("raw"), F.contains(raw, F.lit("%")).alias("percent"), stars.alias("stars"), F.startswith(raw, F.lit("(")).alias("parenthesised")))
+    some = lambda marks: functools.reduce(Column.__or__, [F.contains(raw, F.lit(m)) for m in marks])
+    # marks inside of a number are rare, and those at its ends are cheaper to take off
+    value = F.when(some("$,"), without(f"$,{ENDS}")).otherwise(F.btrim(raw, F.lit(ENDS))).try_cast("double")
+    stars = F.when(some(STARS), F.length(raw) - F.length(without(STARS))).otherwise(F.lit(0))
+    return F.struct(value.alias("value"), raw.alias("raw"), F.contains(raw, F.lit("%")).alias("percent"), stars.alias("stars"), F.startswith(raw, F.lit("(")).alias("parenthesised"))
 
 
 def split_row(line: Column) -> Column:
     """(label, numbers): all before the first token that is a printed number, and the tokens from it on."""
-    # one search finds where the numbers begin; what is before and after it is cut there, token by token only in regular expressions
-    rest = F.regexp_extract(line, PRINTED, 0)
+    rest = numbers_of(line)
+    return F.struct(label_of(line, rest).alias("label"), F.coalesce(tokens(rest), F.array().cast("array<string>")).alias("numbers"))
+
+
+def numbers_of(line: Column) -> Column:
+    """The line from its first token that is a printed number on, else nothing."""
+    return F.regexp_extract(line, PRINTED, 0)
+
+
+def label_of(line: Column, rest: Column) -> Column:
+    """What is before the ``numbers_of`` a line."""
     before = F.substring(line, F.lit(1), F.length(line) - F.length(rest))
-    label = F.when(rest != "", F.trim(F.regexp_replace(before, r"\s+", " "))).otherwise(F.trim(line))
-    tokens = F.split(F.regexp_replace(rest, r"\s+\z", ""), r"\s+")
-    return F.struct(label.alias("label"), F.when(rest != "", tokens).otherwise(F.array().cast("array<string>")).alias("numbers"))
+    return F.when(rest != "", F.trim(F.regexp_replace(before, r"\s+", " "))).otherwise(F.trim(line))
+
+
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"\S+"), 0)
 
 
 def tolerance(cell: Column) -> Column:

@@ -79,9 +79,14 @@ def boxed_cells(spark, folder):
 
 def texts(spark, folder) -> DataFrame:
     """(paper, page, text): the same tables as text, without what only places can tell."""
-    row = F.struct("j", F.concat(F.lit("m"), "line").alias("name"), printed("q").alias("quantity"), F.concat(printed("p"), F.when(F.col("star"), "*").otherwise("")).alias("price"), F.concat(F.lit("("), printed(F.col("q") * 2), F.lit(")")).alias("total"))
-    t = cells(spark, folder).groupBy("paper").agg(F.array_sort(F.collect_list(row)).alias("r"))
-    line = lambda label, field: F.concat(F.lit(label), F.array_join(F.transform("r", lambda x: x[field]), " "))
+    li = spread(V.table(spark, folder, "lineitem").withColumnRenamed("l_orderkey", "paper"), LINES, "paper")
+    row = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("l_quantity").alias("q"), (F.col("l_discount") > 0.05).alias("star"))
+    t = li.groupBy("paper").agg(F.array_sort(F.collect_list(row)).alias("r"))
+    fields = {
+        "name": lambda x: F.concat(F.lit("m"), x["l_linenumber"]), "quantity": lambda x: printed(x["q"]),
+        "price": lambda x: F.concat(printed(x["l_extendedprice"]), F.when(x["star"], "*").otherwise("")), "total": lambda x: F.concat(F.lit("("), printed(x["q"] * 2), F.lit(")")),
+    }
+    line = lambda label, field: F.concat(F.lit(label), F.array_join(F.transform("r", fields[field]), " "))
     body = [F.concat(F.lit("some text before\nTable "), F.col("paper") % 9 + 1, F.lit(". Charges by line")), line("", "name"), *[line(f"{x} ", x) for x in ROWS], F.lit("Notes: none\nquantity 1.00")]
     return t.select("paper", F.lit(1).alias("page"), F.concat_ws("\n", *body).alias("text"))
 

@@ -84,3 +84,17 @@ def test_pages_are_dealt_once_and_read_where_they_are(spark):
 
 def test_text_pages_are_read_once(spark):
     assert plan_of(spark, "exhibit_cells") == (1, 1, 0)
+
+
+def test_a_page_of_text_is_one_row_until_its_cells_are(spark):
+    from quillon.operators import exhibits
+    from quillon.plans import registry
+
+    plan = registry.load()[0]["exhibit_cells"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 2  # of copies of an exhibit
+    text = "Table 1. A\nk = 1 k = 2\nPanel A: x\na 1.5 2.5\nPanel B\nb 3.5 4.5*\nlater\n\nc (5.5) 6%\nragged 1.5\nPanel A: x\nd 7.5 8.5\nNotes: z\ne 1.5 2.5\nFigure 1. f\ng 1.5\nTable 2\nh 12 9.5"
+    found = exhibits.harvest(spark.createDataFrame([("p", 1, text), ("p", 2, "Table 2\nno numbers"), ("q", 1, None)], "paper string, page int, text string"))
+    assert sorted((c.cell, c.value, c.stars, c.parenthesised) for c in found.collect()) == [
+        ("T1/Panel A/a/k = 1", 1.5, 0, False), ("T1/Panel A/a/k = 2", 2.5, 0, False), ("T1/Panel A/d/k = 1", 7.5, 0, False), ("T1/Panel A/d/k = 2", 8.5, 0, False),
+        ("T1/Panel B/b/k = 1", 3.5, 0, False), ("T1/Panel B/b/k = 2", 4.5, 1, False), ("T1/Panel B/later/c/k = 1", 5.5, 0, True), ("T1/Panel B/later/c/k = 2", 6.0, 0, False), ("T2/h 12/c1", 9.5, 0, False),
+    ]
