@@ -80,8 +80,8 @@ SELECT event_type, event_id, n, round(my - b1 * mh - b2 * mk, 5) + 0.0::DOUBLE A
 )
 def event_regressions(spark, folder):
     """Rolling regressions with t values for each type of event, all types side by side."""
-    sums = M.running(event_frame(spark, folder), ["hour", "k"], EVENT_WINDOW, "value", by=["event_type"], order="event_id", own=True)
-    r = M.regressions(sums, 2, ["event_type", "event_id"])
+    sums = M.running(event_frame(spark, folder), ["hour", "k"], EVENT_WINDOW, "value", by=["event_type"], order="event_id", own=True, pairwise=True)
+    r = M.regressions(sums, 2, ["event_type", "event_id"], pairwise=True)
     item = lambda c, k: F.get(c, F.lit(k))
     columns = {"slope_hour": item("slopes", 0), "slope_k": item("slopes", 1), "t_hour": item("t_values", 0), "t_k": item("t_values", 1)}
     return rounded(r.select("event_type", "event_id", "n", "intercept", *[c.alias(n) for n, c in columns.items()], "r2", "sigma", "forecast"), digits=5)

@@ -105,6 +105,23 @@ def test_windows_keep_their_digits_after_large_values(spark, tmp_path):
     assert oracle.difference(QUERIES["event_regressions"], SQL["event_regressions"], spark, str(tmp_path)) == ""
 
 
+def test_windows_of_equal_or_missing_numbers_are_those_of_sql(spark, tmp_path):
+    import datetime
+
+    start = datetime.datetime(2024, 1, 1)
+
+    def row(k):
+        part = k // 150  # the hour stays in parts 2 and 14, k in part 4 and the value in part 12; k is missing in part 6 and now and then in later ones
+        hour = None if k % 17 == 5 and part > 8 else start + datetime.timedelta(minutes=0 if part in (2, 14) else 23 * k)
+        props = None if part == 6 or k % 11 == 3 and part > 8 else f'{{"k": {7 if part == 4 else k * 31 % 89}}}'
+        return k, hour, "ab"[k % 2], None if k % 13 == 1 and part > 15 else 5.0 if part == 12 else k * k % 97 + k % 7 / 100, props
+
+    spark.createDataFrame([row(k) for k in range(2700)], "event_id long, ts timestamp, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    assert oracle.difference(QUERIES["event_regressions"], SQL["event_regressions"], spark, str(tmp_path)) == ""
+    found = QUERIES["event_regressions"](spark, str(tmp_path)).collect()
+    assert any(r.slope_k != r.slope_k for r in found) and any(r.t_k != r.t_k and r.slope_k == 0 for r in found) and any(r.slope_k is None for r in found)
+
+
 def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
