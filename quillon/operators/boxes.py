@@ -8,17 +8,19 @@ against each other; captions, panels, blocks and rows are found in the lines as
   middle, else the nearest one on either side;
 * sections: a line without numbers heads the rows that are indented more than it is.
 
-Lines are found by windows over a page; then a block is one row of arrays, as few as are printed on a page, and is not shuffled again: all windows and groups
-begin with the paper, so pages that are dealt by paper stay where they are.  A row with fewer numbers than there are columns keeps them under their columns.
+A page is one row of arrays until its cells are: its words, then its lines, then a row for each block.  A row with fewer numbers than there are columns keeps
+them under their columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators import scoring
-from quillon.operators.exhibits import ALL, BLOCK, EXHIBIT, captioned_lines, richest, table_rows
+from quillon.operators.exhibits import EXHIBIT, blocks_in, has, panels_in, richest
 
 #: fixed value: widest gap within a name
 GAP = 4.0
@@ -26,39 +28,54 @@ GAP = 4.0
 SLACK = 1.0
 
 
-def lines_of(words: DataFrame) -> DataFrame:
-    """(paper, page, line, text, boxes): lines from the top of each page, their words from left to right."""
-    named = words.filter("text is not null and trim(text) <> ''")
-    # a line is as wide as a page
-    lines = named.groupBy("paper", "page", F.round("top", 1).alias("top")).agg(F.array_sort(F.collect_list(F.struct("x0", "x1", "text"))).alias("boxes"))
-    number = F.row_number().over(Window.partitionBy("paper", "page").orderBy("top")) - 1
-    return lines.select("paper", "page", number.alias("line"), F.array_join(F.transform("boxes", lambda b: b["text"]), " ").alias("text"), "boxes")
+def pages_of(words: DataFrame) -> DataFrame:
+    """(paper, page, words): a page's word boxes (top, x0, x1, text) as an array."""
+    return words.groupBy("paper", "page").agg(F.collect_list(F.struct("top", "x0", "x1", "text")).alias("words"))
+
+
+def lines_of(pages: DataFrame) -> DataFrame:
+    """(paper, page, panelled, lines, boxes): texts of the lines from the top of each page, and their words from left to right."""
+    each = pages.select("paper", "page", F.filter("words", lambda b: b.isNotNull() & (F.trim(b["text"]) != "")).alias("words"))
+    # whole numbers need not be rounded
+    rounded = F.transform("words", lambda b: F.struct(F.round(b["top"], 1).alias("top"), b["x0"].alias("x0"), b["x1"].alias("x1"), b["text"].alias("text")))
+    whole = ~F.exists("words", lambda b: F.rint(b["top"]) != b["top"])
+    each = each.withColumn("words", F.sort_array(F.when(F.coalesce(whole, F.lit(False)), F.col("words")).otherwise(rounded)))
+    first = F.transform("words", lambda b, k: F.when((k == 0) | ~b["top"].eqNullSafe(F.get("words", k - 1)["top"]), k))
+    each = each.withColumn("begin", F.filter(first, lambda k: k.isNotNull()))
+    end = lambda k: F.coalesce(F.get("begin", k + 1), F.size("words"))
+    # in a lambda, ``slice`` would copy the whole array
+    each = each.withColumn("boxes", F.transform("begin", lambda b, k: F.transform(F.sequence(b, end(k) - 1), lambda j: F.get("words", j))))
+    each = each.withColumn("lines", F.transform("boxes", lambda line: F.array_join(line["text"], " ")))
+    return each.select("paper", "page", F.exists("lines", lambda t: has("Panel", t)).alias("panelled"), "lines", "boxes")
 
 
-def blocks_of(rows: DataFrame) -> DataFrame:
-    """One row for each block with data: ``numbers`` (line, row, section, x0, x1, token) and ``heads`` (line, boxes).
+def blocks_of(panels: DataFrame) -> DataFrame:
+    """One row for each block with data: ``numbers`` (k, x0, x1, token) in the ``rows`` and ``sections`` k, and ``heads``.
 
-    heads are the lines above the block's data; lines above the panels serve all of them.
+    heads are the words of the lines above the block's data; lines above the panels serve all of them.  A section begins at a line without numbers and ends at
+    one with numbers that is not indented more.
     """
+    size, text, boxes = lambda i: F.get("sizes", i), lambda i: F.get("texts", i), lambda i: F.get("boxes", i)
+    each = blocks_in(panels).filter("top is not null")
+    above = lambda lines: F.filter(lines, lambda i: (size(i) < 0) & (i < F.col("top")))
+    heads = F.when(F.col("panel") == "", above("at")).otherwise(F.concat(above("shared"), above("at")))
+    named = F.filter("at", lambda i: (i > F.col("top")) & (size(i) < 0) & (size(i) >= -6) & text(i).rlike("[A-Za-z]{2}"))
+    each = each.withColumns({"heads": F.transform(heads, boxes), "named": named, "data": F.filter("at", lambda i: size(i) > 0)})
+    edge = lambda i: F.get(boxes(i), F.lit(0))["x0"]
+    ended = lambda h, i: F.exists("data", lambda d: (d > h) & (d <= i) & F.coalesce(edge(d) <= edge(h) + SLACK, F.lit(False)))
+    under = lambda h, i: F.when(h.isNull() | ended(h, i), F.lit("")).otherwise(F.trim(text(h)))
+    section = lambda i: once(F.try_element_at(F.filter("named", lambda h: h < i), F.lit(-1)), lambda h: under(h, i))
     # the label's words come first; the numbers are the last boxes of their line
-    boxes = F.slice("boxes", F.size("boxes") - F.size("numbers") + 1, F.size("numbers"))
-    place = F.transform(boxes, lambda b: F.struct(F.col("line"), F.col("row"), F.col("section"), b["x0"].alias("x0"), b["x1"].alias("x1"), scoring.clean(b["text"]).alias("token")))
-    cells = F.filter(place, lambda x: scoring.is_cell(x["token"]))
-    block = Window.partitionBy(*BLOCK).orderBy("line")
-    every = lambda x: F.collect_list(x).over(block.rowsBetween(*ALL))
-    rows = rows.select(*BLOCK, "kind", "label", "title", "line", "top", F.when(F.col("is_data"), cells).alias("cells"), F.when(~F.col("is_data"), F.struct("line", "boxes")).alias("plain"))
-    # lines are in the order of their block already, and its first one stands for it
-    whole = rows.withColumn("at", F.row_number().over(block)).withColumn("numbers", every("cells")).withColumn("plains", every("plain")).filter("at = 1")
-    shared = F.collect_list(F.when(F.col("panel") == "", F.col("plains"))).over(Window.partitionBy(*EXHIBIT))
-    whole = whole.withColumn("shared", shared).filter("top is not null").withColumn("numbers", F.flatten("numbers"))
-    above = lambda lines: F.filter(lines, lambda h: h["line"] < F.col("top"))
-    heads = above(F.when(F.col("panel") == "", F.col("plains")).otherwise(F.concat("plains", F.flatten("shared"))))
-    return whole.select(*BLOCK, "kind", "label", "title", "numbers", F.array_sort(heads).alias("heads"))
+    number = lambda b, k: F.struct(k.alias("k"), b["x0"].alias("x0"), b["x1"].alias("x1"), scoring.clean(b["text"]).alias("token"))
+    place = lambda i, k: F.transform(F.sequence(F.size(boxes(i)) - size(i), F.size(boxes(i)) - 1), lambda j: once(F.get(boxes(i), j), lambda b: number(b, k)))
+    numbers = F.filter(F.flatten(F.transform("data", place)), lambda x: scoring.is_cell(x["token"]))
+    rows = F.transform("data", lambda i: scoring.label_of(text(i), F.get("rests", i)))
+    return each.select(*EXHIBIT, "kind", "label", "title", "panel", "heads", numbers.alias("numbers"), rows.alias("rows"), F.when(F.size("named") > 0, F.transform("data", section)).alias("sections"))
 
 
 def spans_of(numbers: Column) -> Column:
     """Columns (x0, x1) of a block, by a sweep over the spans of its numbers: one begins where a number starts right of all before."""
-    sweep = F.array_sort(F.transform(numbers, lambda b: F.struct(b["x0"].cast("double").alias("x0"), b["x1"].cast("double").alias("x1"))))
+    sweep = F.sort_array(F.transform(numbers, lambda b: F.struct(b["x0"].cast("double").alias("x0"), b["x1"].cast("double").alias("x1"))))
 
     def step(found: Column, b: Column) -> Column:
         last = F.try_element_at(found, F.lit(-1))
@@ -78,47 +95,49 @@ def names_of(boxes: Column, gap: float = GAP) -> Column:
         return F.when((F.size(found) == 0) | (b["x0"] - last["end"] > gap), F.concat(found, F.array(b))).otherwise(F.concat(F.slice(found, F.lit(1), F.size(found) - 1), F.array(longer)))
 
     groups = F.aggregate(words, F.array().cast("array<struct<x0:double,x1:double,end:double,name:string>>"), step)
-    return F.array_sort(F.transform(groups, lambda g: F.struct(((g["x0"] + g["x1"]) / 2).alias("x"), g["x0"].alias("x0"), g["x1"].alias("x1"), g["name"].alias("name"))))
+    return F.sort_array(F.transform(groups, lambda g: F.struct(((g["x0"] + g["x1"]) / 2).alias("x"), g["x0"].alias("x0"), g["x1"].alias("x1"), g["name"].alias("name"))))
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is made once, however often it is named."""
+    return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
 
 
 def picked(names: Column, x: Column) -> Column:
     """The name over a middle, else the nearest one."""
-    a, b = F.try_element_at(F.filter(names, lambda g: g["x"] <= x), F.lit(-1)), F.get(F.filter(names, lambda g: g["x"] > x), F.lit(0))
     over = lambda g: F.coalesce((g["x0"] - SLACK <= x) & (x <= g["x1"] + SLACK), F.lit(False))
-    return F.when(over(a), a["name"]).when(over(b), b["name"]).when(b.isNull() | (x - a["x"] <= b["x"] - x), a["name"]).otherwise(b["name"])
+    nearer = lambda a, b: F.when(over(a), a["name"]).when(over(b), b["name"]).when(b.isNull() | (x - a["x"] <= b["x"] - x), a["name"]).otherwise(b["name"])
+    around = F.struct(F.try_element_at(F.filter(names, lambda g: g["x"] <= x), F.lit(-1)).alias("a"), F.get(F.filter(names, lambda g: g["x"] > x), F.lit(0)).alias("b"))
+    return once(around, lambda g: nearer(g["a"], g["b"]))
 
 
 def with_columns(blocks: DataFrame) -> DataFrame:
-    """Blocks with ``spans`` and ``cols``: each column's names from all header lines, top line first, equal ones once.
+    """Blocks with ``cols``: each column's names from all header lines, top line first, equal ones once; ``numbers`` are (k, j, token) in column j.
 
     A header line of one name says nothing about several columns and is passed over.
     """
-    found = blocks.withColumn("spans", spans_of(F.col("numbers"))).withColumn("heads", F.transform("heads", lambda h: names_of(h["boxes"])))
+    found = blocks.withColumn("spans", spans_of(F.col("numbers"))).withColumn("heads", F.transform("heads", lambda h: names_of(h)))
     found = found.withColumn("heads", F.filter("heads", lambda h: (F.size(h) > 1) | ((F.size("spans") == 1) & (F.size(h) == 1))))
-    name = lambda s: F.array_join(F.array_distinct(F.transform("heads", lambda h: picked(h, (s["x0"] + s["x1"]) / 2))), "/")
+    name = lambda s: once((s["x0"] + s["x1"]) / 2, lambda x: F.array_join(F.array_distinct(F.transform("heads", lambda h: picked(h, x))), "/"))
     cols = F.transform("spans", lambda s, j: F.when(F.size("heads") > 0, name(s)).otherwise(F.concat(F.lit("c"), j + 1)))
-    return found.withColumn("cols", cols).drop("heads")
-
-
-def indented_sections(rows: DataFrame) -> DataFrame:
-    """Rows with the section that they are in: it begins at a line without numbers and ends at one with numbers that is not indented more."""
-    order = Window.partitionBy(*BLOCK).orderBy("line")
-    edge = F.get("boxes", F.lit(0))["x0"]
-    heads = ~F.col("is_data") & (F.col("line") > F.col("top")) & F.col("text").rlike("[A-Za-z]{2}") & (F.col("n_words") <= 6)
-    rows = rows.withColumn("head", F.when(heads, F.struct(F.trim("text").alias("name"), edge.alias("x0"))))
-    rows = rows.withColumn("under", F.last("head", ignorenulls=True).over(order))
-    ends = F.col("is_data") & F.coalesce(edge <= F.col("under.x0") + SLACK, F.lit(False))
-    # what decides last: the head of a section, or a line that ends it
-    event = F.when(F.col("head").isNotNull(), F.col("head.name")).when(ends, F.lit(""))
-    return rows.withColumn("section", F.coalesce(F.last(event, ignorenulls=True).over(order), F.lit(""))).drop("head", "under")
+    # columns begin at their first number, from left to right
+    placed = F.transform("numbers", lambda b: F.struct(b["k"].alias("k"), (F.size(F.filter("spans", lambda s: s["x0"] <= b["x0"])) - 1).alias("j"), b["token"].alias("token")))
+    return found.withColumn("cols", cols).withColumn("numbers", placed).drop("heads", "spans")
 
 
 def harvest(words: DataFrame) -> DataFrame:
     """(paper, CELLS of ``exhibits``) of word boxes."""
-    blocks = richest(blocks_of(indented_sections(table_rows(captioned_lines(lines_of(words))))))
-    each = with_columns(blocks).select("*", F.explode("numbers").alias("b")).select("*", "b.row", "b.section", scoring.parse_cell(F.col("b.token")).alias("c"))
-    # columns begin at their first number, from left to right
-    each = each.withColumn("col", F.get("cols", F.size(F.filter("spans", lambda s: s["x0"] <= F.col("b.x0"))) - 1))
+    return harvest_pages(pages_of(words))
+
+
+def harvest_pages(pages: DataFrame) -> DataFrame:
+    """``harvest`` of ``pages_of`` word boxes."""
+    panels = panels_in(lines_of(pages), "boxes", shared=lambda size, text: size < 0)
+    blocks = with_columns(richest(blocks_of(panels)))
     some = lambda c: F.nullif(c, F.lit(""))
-    cell = F.concat_ws("/", F.concat(F.substring("kind", 1, 1), "label"), some("panel"), some("section"), some("row"), "col")
-    return each.select("paper", cell.alias("cell"), "exhibit", F.lower("kind").alias("kind"), "title", F.col("page").cast("int").alias("page"), "panel", "section", "row", "col", "c.value", "c.raw", "c.percent", "c.stars", "c.parenthesised")
+    above = F.concat_ws("/", F.concat(F.substring("kind", 1, 1), "label"), some("panel"))
+    # an inner one would have numbers made once more, to count them first
+    each = blocks.select("paper", "exhibit", F.lower("kind").alias("kind"), "title", F.col("page").cast("int").alias("page"), "panel", above.alias("above"), "rows", "sections", "cols", F.inline_outer("numbers")).filter("k is not null")
+    each = each.withColumns({"row": F.get("rows", "k"), "section": F.coalesce(F.get("sections", "k"), F.lit("")), "col": F.get("cols", "j")})
+    cell = F.concat_ws("/", "above", some("section"), some("row"), "col")
+    return each.select("paper", cell.alias("cell"), "exhibit", "kind", "title", "page", "panel", "section", "row", "col", scoring.cell_parts(F.col("token")).alias("c")).select("paper", "cell", "exhibit", "kind", "title", "page", "panel", "section", "row", "col", "c.value", "c.raw", "c.percent", "c.stars", "c.parenthesised")

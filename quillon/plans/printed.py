@@ -33,31 +33,33 @@ def printed(x: Column | str) -> Column:
 
 
 def boxed(spark, folder) -> DataFrame:
-    """Word boxes of a page for each order.
+    """(paper, page, words): word boxes of a page for each order.
 
     Columns are 60 to 80 wide and numbers are set about their middle or to the right; names are two words, and every other page has a line above them
     with names over two columns; two rows are indented below a section, one of them only has numbers in some columns.
     """
     t = cells(spark, folder)
     spacing, left = 60 + 10 * (F.col("paper") % 3), 100 + F.col("paper") % 7
-    t = t.withColumn("c", (left + F.col("j") * spacing).cast("double")).withColumn("spacing", spacing)
+    # numbers are printed once, as their width places them
+    texts = {"quantity": printed("q"), "price": F.concat(printed("p"), F.when(F.col("star"), "*").otherwise("")), "tax": F.concat(printed("t"), F.lit("%")), "returned": F.when(F.col("late"), F.concat(F.lit("("), printed(F.col("line") + 0.25), F.lit(")"))), "total": printed(F.col("q") * 2)}
+    t = t.withColumns(texts).withColumn("c", (left + F.col("j") * spacing).cast("double")).withColumn("spacing", spacing)
     word = lambda top, x0, x1, text: F.struct(F.lit(top).cast("double").alias("top"), x0.cast("double").alias("x0"), x1.cast("double").alias("x1"), text.alias("text"))
     c, wide = F.col("c"), F.col("paper") % 3 == 1
 
-    def number(top, text):
-        size = F.length(text) * 5
+    def number(top, name):
+        text, size = F.col(name), F.length(name) * 5
         return word(top, F.when(wide, c + 14 - size).otherwise(c - size / 2), F.when(wide, c + 14).otherwise(c + size / 2), text)
 
     pair = F.col("j") - F.col("j") % 2
     middle = c + F.when(pair + 1 < F.col("n"), F.col("spacing") / 2).otherwise(F.lit(0.0))
     over = [F.when((F.col("paper") % 2 == 0) & (F.col("j") % 2 == 0), word(20, middle + a, middle + b, x)) for a, b, x in ((-8, -4, F.lit("k")), (-2, 2, F.lit("=")), (4, 8, (pair / 2 + 1).cast("int").cast("string")))]
     names = [word(30, c - 14, c - 2, F.concat(F.lit("m"), "line")), word(30, c + 1, c + 14, F.lit("cost"))]
-    data = [number(40, printed("q")), number(50, F.concat(printed("p"), F.when(F.col("star"), "*").otherwise(""))), number(70, F.concat(printed("t"), F.lit("%"))), F.when(F.col("late"), number(80, F.concat(F.lit("("), printed(F.col("line") + 0.25), F.lit(")")))), number(90, printed(F.col("q") * 2))]
+    data = [number(40, "quantity"), number(50, "price"), number(70, "tax"), F.when(F.col("late"), number(80, "returned")), number(90, "total")]
     once = F.col("j") == 0
     caption = [word(10, F.lit(10 + 30 * k), F.lit(35 + 30 * k), x) for k, x in enumerate((F.lit("Table"), F.concat((F.col("paper") % 9 + 1).cast("string"), F.lit(".")), F.lit("Charges"), F.lit("by"), F.lit("line")))]
     labels = [word(top, F.lit(x), F.lit(x + 40), F.lit(text)) for top, x, text in ((40, 10, "quantity"), (50, 10, "price"), (60, 10, "Charges"), (70, 20, "tax"), (80, 20, "returned"), (90, 10, "total"), (100, 10, "Notes:"), (100, 60, "none"))]
     every = F.array(*over, *names, *data, *[F.when(once, w) for w in (*caption, *labels)])
-    return t.select("paper", F.lit(1).alias("page"), F.explode(F.filter(every, lambda x: x.isNotNull())).alias("w")).select("paper", "page", "w.*")
+    return t.select("paper", every.alias("w")).groupBy("paper").agg(F.flatten(F.collect_list("w")).alias("words")).select("paper", F.lit(1).alias("page"), "words")
 
 
 _HEAD = "'T' || (paper % 9 + 1) || '/'"
@@ -74,7 +76,7 @@ _COL = "CASE WHEN paper % 2 = 0 AND (n > 2 OR n = 1) THEN 'k = ' || (j // 2 + 1)
 )
 def boxed_cells(spark, folder):
     """Cells of pages of word boxes, addressed by place."""
-    return B.harvest(boxed(spark, folder)).select("paper", "cell", "value", "percent", "stars", "parenthesised")
+    return B.harvest_pages(boxed(spark, folder)).select("paper", "cell", "value", "percent", "stars", "parenthesised")
 
 
 def texts(spark, folder) -> DataFrame:

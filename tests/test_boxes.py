@@ -86,6 +86,15 @@ def test_text_pages_are_read_once(spark):
     assert plan_of(spark, "exhibit_cells") == (1, 1, 0)
 
 
+def test_a_page_of_boxes_is_one_row_until_its_cells_are(spark):
+    from quillon.plans import registry
+
+    plan = registry.load()[0]["boxed_cells"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 4  # of an order's lines when pages are made, and of copies of an exhibit
+    # a box of two numbers is no cell
+    assert cells(page(spark, [(10, [(0, "Table"), (30, "1.")]), (20, [(90, "1.5 2.5")]), (30.04, [(0, "a"), (90, "3.5")]), (30.01, [(140, "4.5")])])) == {"T1/a/c1": 3.5, "T1/a/c2": 4.5}
+
+
 def test_a_page_of_text_is_one_row_until_its_cells_are(spark):
     from quillon.operators import exhibits
     from quillon.plans import registry
